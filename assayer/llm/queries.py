@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from assayer.llm.decontamination import op4_decontamination
 from assayer.llm.jaccard import op6_jaccard_join
 from assayer.llm.packing import op1_best_fit_packing
 from assayer.llm.quality import op9_quality_classifier
@@ -9,7 +10,7 @@ from assayer.llm.sharding import op2_sharding
 from assayer.llm.token_output import op10_token_output
 from assayer.llm.warc import op8_warc
 
-QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_sharding, op6_jaccard_join, op8_warc, op9_quality_classifier, op10_token_output)}
+QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_sharding, op4_decontamination, op6_jaccard_join, op8_warc, op9_quality_classifier, op10_token_output)}
 
 ORACLE_SQL = {
     "op8_warc": """
