@@ -8,10 +8,11 @@ from assayer.llm.packing import op1_best_fit_packing
 from assayer.llm.quality import op9_quality_classifier
 from assayer.llm.sharding import op2_sharding
 from assayer.llm.spans import op3_substring_dedup
+from assayer.llm.suffixes import op5_suffix_dedup
 from assayer.llm.token_output import op10_token_output
 from assayer.llm.warc import op8_warc
 
-QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_sharding, op3_substring_dedup, op4_decontamination, op6_jaccard_join, op8_warc, op9_quality_classifier, op10_token_output)}
+QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_sharding, op3_substring_dedup, op4_decontamination, op5_suffix_dedup, op6_jaccard_join, op8_warc, op9_quality_classifier, op10_token_output)}
 
 ORACLE_SQL = {
     "op8_warc": """
