@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from assayer.llm.decontamination import op4_decontamination
+from assayer.llm.fingerprints import op7_fingerprints
 from assayer.llm.jaccard import op6_jaccard_join
 from assayer.llm.packing import op1_best_fit_packing
 from assayer.llm.quality import op9_quality_classifier
@@ -12,7 +13,7 @@ from assayer.llm.suffixes import op5_suffix_dedup
 from assayer.llm.token_output import op10_token_output
 from assayer.llm.warc import op8_warc
 
-QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_sharding, op3_substring_dedup, op4_decontamination, op5_suffix_dedup, op6_jaccard_join, op8_warc, op9_quality_classifier, op10_token_output)}
+QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_sharding, op3_substring_dedup, op4_decontamination, op5_suffix_dedup, op6_jaccard_join, op7_fingerprints, op8_warc, op9_quality_classifier, op10_token_output)}
 
 ORACLE_SQL = {
     "op8_warc": """
