@@ -85,11 +85,16 @@ def _record(page_id: int | None, url: str | None, payload: bytes, refers_to: int
 
 
 def decided(pages: DataFrame) -> DataFrame:
-    """pages (page_id, url, html) with `winner`: the largest id of those with the same payload."""
+    """The pages and, before any page with a payload that others have too, a row without payload that tells the largest id of these.
+
+    Both kinds go through one range sort, so payloads are shuffled once.
+    """
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary").alias("html"))
     rows = rows.withColumn("_digest", F.unhex(F.sha1("html")))
-    winners = rows.groupBy("_digest").agg(F.max("page_id").alias("winner"), F.count("*").alias("n")).where("n > 1").drop("n")
-    return rows.join(winners, "_digest", "left").withColumn("winner", F.coalesce("winner", "page_id"))
+    ids = rows.select("page_id", "_digest")
+    winners = ids.groupBy("_digest").agg(F.max("page_id").alias("winner"), F.count("*").alias("n")).where("n > 1").drop("n")
+    told = ids.distinct().join(winners, "_digest").select("page_id", F.lit(None).cast("string").alias("url"), F.lit(None).cast("binary").alias("html"), "_digest", "winner")
+    return rows.withColumn("winner", F.lit(None).cast("long")).unionByName(told)
 
 
 def write(pages: DataFrame, folder: str, roll_bytes: int = ROLL_BYTES, partitions: int | None = None) -> DataFrame:
@@ -103,7 +108,7 @@ def write(pages: DataFrame, folder: str, roll_bytes: int = ROLL_BYTES, partition
         system, base = files.open_fs(folder)
         file, name, number, digest, records = None, "", 0, hashlib.sha256(), 0
         done: list[tuple] = []
-        last, copy = None, 0
+        last, copy, told, winner = None, 0, None, None
 
         def close():
             file.commit()
@@ -111,7 +116,12 @@ def write(pages: DataFrame, folder: str, roll_bytes: int = ROLL_BYTES, partition
 
         try:
             for batch in batches:
-                for page_id, url, html, own, winner in zip(*(batch.column(c).to_pylist() for c in ("page_id", "url", "html", "_digest", "winner")), strict=True):
+                for page_id, url, html, own, largest in zip(*(batch.column(c).to_pylist() for c in ("page_id", "url", "html", "_digest", "winner")), strict=True):
+                    if html is None:
+                        told, winner = (page_id, own), largest
+                        continue
+                    if told != (page_id, own):
+                        winner = page_id
                     copy = copy + 1 if (page_id, own) == last else 0
                     last = (page_id, own)
                     member = _record(page_id, url, html, winner, winner != page_id or copy > 0, copy)
@@ -136,8 +146,8 @@ def write(pages: DataFrame, folder: str, roll_bytes: int = ROLL_BYTES, partition
         yield files.as_rows(["file", "records", "bytes", "sha256"], [pa.string(), pa.int64(), pa.int64(), pa.string()], done)
 
     n = partitions or shuffle_partitions(spark)
-    rows = decided(pages).repartitionByRange(n, "page_id").sortWithinPartitions("page_id", "_digest", "url")
-    made = rows.mapInArrow(run, MANIFEST).orderBy("file").collect()  # one short row a file
+    rows = decided(pages).repartitionByRange(n, "page_id").sortWithinPartitions("page_id", "_digest", F.col("html").isNotNull(), "url")
+    made = sorted(rows.mapInArrow(run, MANIFEST).collect())  # one short row a file
     lines = "".join(json.dumps(r.asDict()) + "\n" for r in made)
     files.write_whole(folder, "manifest.jsonl", lines.encode())
     return spark.createDataFrame(made, MANIFEST)
