@@ -187,7 +187,7 @@ def held_out(doc_id) -> F.Column:
 def train(spark, sf_dir: str, docs: DataFrame | None = None) -> Model:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet") if docs is None else docs
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", F.col("quality").alias("label")).where(~held_out(F.col("doc_id")))
-    return fit(docs.select("doc_id", "text").join(labels, "doc_id"))
+    return fit(docs.select("doc_id", "text").join(labels.hint("merge"), "doc_id"))  # labels grow with the documents: never broadcast
 
 
 def op9_quality_classifier(spark, sf_dir: str) -> DataFrame:
