@@ -172,7 +172,7 @@ def write(docs: DataFrame, folder: str, size: int = SIZE, tokenizer: str | None
         yield files.as_rows(["stem", "matrix_rows", "segments", "tokens", "checksum"], [pa.string(), *[pa.int64()] * 4], done)
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    made = rows.mapInArrow(run, MANIFEST).orderBy("stem").collect()  # one short row a block
+    made = sorted(rows.mapInArrow(run, MANIFEST).collect())  # one short row a block
     files.write_whole(folder, "manifest.jsonl", ("".join(json.dumps(r.asDict() | {"size": size, "kind": kind}) + "\n" for r in made)).encode())
     return spark.createDataFrame(made, MANIFEST)
 
