@@ -20,17 +20,16 @@ gives no rows.
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
-from assayer.llm.common import chunks, staged
+from assayer.llm.common import chunks
 
 BITS = 18
 ORDER = 4
@@ -113,14 +112,13 @@ def _scaled(features: np.ndarray, ratios: np.ndarray) -> np.ndarray:
 
 
 def _logistic(margins: np.ndarray, labels: np.ndarray) -> tuple[float, float]:
-    """Slope and shift of the curve that fits the labels best, by Newton's steps; classes weigh alike, so 0.5 stays near margin 0."""
+    """Slope and shift of the curve that fits the labels best, by Newton's steps: scores are shares of class 1."""
     a, b = 1.0, 0.0
     y = (labels > 0).astype(float)
-    weight = np.where(y > 0, 0.5 / max(1, y.sum()), 0.5 / max(1, (1 - y).sum())) * len(y)
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(a * margins + b, -30, 30)))
-        g = np.array([np.sum(weight * (p - y) * margins) + 1e-3 * a, np.sum(weight * (p - y))])
-        h = weight * p * (1 - p) + 1e-9
+        g = np.array([np.sum((p - y) * margins) + 1e-3 * a, np.sum(p - y)])
+        h = p * (1 - p) + 1e-9
         hess = np.array([[np.sum(h * margins**2) + 1e-3, np.sum(h * margins)], [np.sum(h * margins), np.sum(h) + 1e-6]])
         step = np.linalg.solve(hess, g)
         a, b = a - step[0], b - step[1]
@@ -154,11 +152,21 @@ def fit(labelled: DataFrame, bits: int = BITS, order: int = ORDER, sample: int =
     values = [_scaled(x, ratios) for x in rows]
     signs = np.where(y == 1, 1, -1)
     w, bias = fit_hinge(rows, values, signs, 1 << bits)
-    margins = np.array([float(w[x] @ v) for x, v in zip(rows, values, strict=True)]) + bias
+    margins = np.empty(len(rows))
+    fold = np.arange(len(rows)) % 2  # the curve is set on rows that the model at hand hasn't seen
+    for f in (0, 1):
+        seen, unseen = np.flatnonzero(fold != f), np.flatnonzero(fold == f)
+        own, shift = (w, bias) if len(set(signs[seen].tolist())) < 2 else fit_hinge([rows[i] for i in seen], [values[i] for i in seen], signs[seen], 1 << bits)
+        margins[unseen] = [float(own[rows[i]] @ values[i]) + shift for i in unseen]
     slope, shift = _logistic(margins, signs)
     return Model(w.astype(np.float32), ratios, bias, slope, shift, bits, order)
 
 
+def _score(m: Model, features: np.ndarray) -> float:
+    margin = m.bias + (float(m.weights[features] @ _scaled(features, m.ratios)) if len(features) else 0.0)
+    return float(1 / (1 + np.exp(-np.clip(m.slope * margin + m.shift, -700, 700))))
+
+
 def score(df: DataFrame, model: Model, keep: list[str]) -> DataFrame:
     """(keep..., score) for every row of df."""
     spark = df.sparkSession
@@ -171,15 +179,25 @@ def score(df: DataFrame, model: Model, keep: list[str]) -> DataFrame:
             for part, data, at in chunks(batch, "_text"):
                 out = np.empty(part.num_rows)
                 for i, x in enumerate(row_features(data, at, m.bits, m.order)):
-                    margin = m.bias + (float(m.weights[x] @ _scaled(x, m.ratios)) if len(x) else 0.0)
-                    out[i] = 1 / (1 + np.exp(-np.clip(m.slope * margin + m.shift, -700, 700)))
+                    out[i] = _score(m, x)
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), pa.array(out)], names=[*keep, "score"])
 
-    from pyspark.sql.types import DoubleType, StructField, StructType
-
     return df.select(*keep, F.coalesce("text", F.lit("")).alias("_text")).mapInArrow(run, StructType([*fields, StructField("score", DoubleType())]))
 
 
+def accepted(docs: DataFrame, model: Model) -> DataFrame:
+    """The rows of docs whose text scores at least 0.5, all columns kept."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = shared.value
+        for batch in batches:
+            for part, data, at in chunks(batch):
+                yield part.filter(pa.array([_score(m, x) >= 0.5 for x in row_features(data, at, m.bits, m.order)], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def held_out(doc_id) -> F.Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1
 
