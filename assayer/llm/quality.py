@@ -1,9 +1,10 @@
 """Quality classifier: naive Bayes support vectors.
 
-A text's features are the hashed runs of `order` bytes that occur in it, each
-once. A feature's ratio is the log of its smoothed share in class 1 over that
+A text's features are hashed runs that occur in it, each once: of `order` bytes,
+of `order` + 2 shapes (upper or lower case, digit, blank, or the sign itself),
+and of two words that are the same. A feature's ratio is the log of its smoothed share in class 1 over that
 in class 0, counted by Spark over all labelled training rows. A text is the
-vector of its features' ratios at unit length; a linear model with hinge loss
+vector of its features' ratios at unit length (shorter for very short texts); a linear model with hinge loss
 is fitted to such vectors by dual coordinate descent. The fit uses at most
 `sample` labelled rows (those of the smallest hash of doc_id); counts use all.
 
@@ -29,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from assayer.llm.common import chunks
+from assayer.llm.common import chunks, word_hashes
 
 BITS = 18
 ORDER = 4
@@ -37,7 +38,9 @@ SAMPLE = 8_000
 COST = 1.0
 SMOOTH = 1.0
 EPOCHS = 12
+PRIOR = 100.0  # squared length that a text's vector has besides its own: short texts stay near the intercept
 _MULTIPLIER = np.uint32(0x9E3779B1)
+_AGAIN = 0x2A517
 
 
 @dataclass
@@ -51,14 +54,38 @@ class Model:
     order: int = ORDER
 
 
+def _shapes() -> np.ndarray:
+    """Letters by case, digits and blanks as one each, the rest as it is."""
+    table = np.arange(256, dtype=np.uint8)
+    table[65:91], table[97:123], table[48:58] = 65, 97, 48
+    table[128:] = 97
+    table[[9, 11, 12, 32]] = 32
+    return table
+
+
+_SHAPE = _shapes()
+
+
+def _runs(data: np.ndarray, order: int, salt: int, bits: int) -> np.ndarray:
+    """The feature of the run of `order` bytes from each place."""
+    codes = np.full(len(data), salt, np.uint32)
+    for j in range(order):
+        codes[: len(data) - j] = codes[: len(data) - j] * np.uint32(0x01000193) ^ data[j:]
+    codes ^= codes >> np.uint32(15)
+    return (codes * _MULTIPLIER) >> np.uint32(32 - bits)
+
+
 def row_features(data: np.ndarray, at: np.ndarray, bits: int, order: int) -> Iterator[np.ndarray]:
-    """For each row its features' numbers, each once, ascending."""
-    codes = np.zeros(len(data), np.uint32)
-    for j in range(order):  # the bytes of one run side by side; runs over four bytes are folded
-        codes[: len(data) - j] = codes[: len(data) - j] * np.uint32(257 if order > 4 else 256) + data[j:]
-    buckets = (codes * _MULTIPLIER) >> np.uint32(32 - bits)
-    for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
-        own = np.sort(buckets[a : max(a, b - order + 1)])
+    """For each row its features' numbers, each once, ascending: runs of bytes, runs of shapes of bytes, and how often
+    a word repeats the one before (a run of two words whose second is written as `same`; counts by powers of two)."""
+    kinds = [(_runs(data, order, 1, bits), order), (_runs(_SHAPE[data], order + 2, 2, bits), order + 2)]
+    words, starts, bounds = word_hashes(data, at)
+    same = np.concatenate([[0], np.cumsum(np.concatenate([[False], words[1:] == words[:-1]]))]) if len(words) else np.zeros(1, np.int64)
+    for i, (a, b) in enumerate(zip(at[:-1].tolist(), at[1:].tolist(), strict=True)):
+        first, last = bounds[i], bounds[i + 1]
+        again = int(same[last] - same[min(first + 1, last)]) if last > first else 0
+        extra = [(_AGAIN + again.bit_length()) % (1 << bits)] if again else []
+        own = np.sort(np.concatenate([*(k[a : max(a, b - n + 1)] for k, n in kinds), np.array(extra, np.uint32)]))
         yield own[np.concatenate([[True], own[1:] != own[:-1]])] if len(own) else own
 
 
@@ -108,7 +135,7 @@ def fit_hinge(rows: list[np.ndarray], values: list[np.ndarray], labels: np.ndarr
 
 def _scaled(features: np.ndarray, ratios: np.ndarray) -> np.ndarray:
     v = ratios[features]
-    return v / max(float(np.sqrt(v @ v)), 1e-12)
+    return v / np.sqrt(v @ v + PRIOR)
 
 
 def _logistic(margins: np.ndarray, labels: np.ndarray) -> tuple[float, float]:
