@@ -536,13 +536,16 @@ def augmented(spark, sf_dir):
     return shown(dataset.augmented(load(spark, sf_dir, "v_dataset"), "id", 3, SEED, _AUGMENT).select("id", "copy", "input"))
 
 
-@query("""SELECT model_type AS kind, count(*) AS n_over, max(t) AS longest, list_slice(list_sort(list(DISTINCT conv_id)), 1, 20) AS examples FROM (
-  SELECT *, (length(text) + CASE model_type WHEN 'qwen' THEN 17 + 7 + 10 + 1 + 18 + 11 + 22 + 10 WHEN 'mistral' THEN 0 ELSE 0 END) AS t FROM v_chat) x WHERE false GROUP BY 1""")
-def nothing_over_length(spark, sf_dir):
-    rows = load(spark, sf_dir, "v_chat")
-    pairs = dataset.supervised_pairs(rows, F.col("model_type"), F.lit("Be brief."), F.lit("Say it."), F.array("text"))
-    bad = pairs.where(~F.col("starts_with_prompt") | (F.col("completion") == ""))
-    return dataset.over_length(bad, F.col("model_type"), "conv_id", 0)
+_FULL = """CASE model_type WHEN 'qwen' THEN concat('<|im_start|>system', chr(10), 'Be brief.<|im_end|>', chr(10), '<|im_start|>user', chr(10), 'Say it.<|im_end|>', chr(10), '<|im_start|>assistant', chr(10), text, '<|im_end|>')
+  WHEN 'mistral' THEN concat('<s>[INST] Be brief.', chr(10), chr(10), 'Say it. [/INST] ', text, '</s>')
+  WHEN 'phi3' THEN concat('<|system|>', chr(10), 'Be brief.<|end|>', chr(10), '<|user|>', chr(10), 'Say it.<|end|>', chr(10), '<|assistant|>', chr(10), text, '<|end|>')
+  ELSE concat('System:', chr(10), 'Be brief.', chr(10), chr(10), 'User:', chr(10), 'Say it.', chr(10), chr(10), 'Assistant:', chr(10), text) END"""
+
+
+@query(f"""SELECT model_type AS kind, count(*) AS n_over, max(t) AS longest, list_slice(list_sort(list(DISTINCT conv_id)), 1, 20) AS examples FROM (SELECT *, greatest(1, length({_FULL}) // 4) AS t FROM v_chat) x WHERE t > 60 GROUP BY 1""")
+def over_length_prompts(spark, sf_dir):
+    pairs = dataset.supervised_pairs(load(spark, sf_dir, "v_chat"), F.col("model_type"), F.lit("Be brief."), F.lit("Say it."), F.array("text"))
+    return shown(dataset.over_length(pairs, F.col("model_type"), "conv_id", 60))
 
 
 @query("""SELECT conv_id, turn, concat(CASE WHEN model_type = 'mistral' THEN ' ' ELSE '' END, text, CASE model_type WHEN 'qwen' THEN '<|im_end|>' WHEN 'mistral' THEN '</s>' WHEN 'phi3' THEN '<|end|>' ELSE '' END) AS completion, true AS starts_with_prompt FROM v_chat""")
@@ -704,10 +707,59 @@ def judged_predictions(spark, sf_dir):
     return judging.evaluate(rows, stub_scorer, _TEMPLATE, order="id").select("id", "decision_method", "correct", "from_cache")
 
 
-@query("""SELECT coalesce(c.judge_model, c.k) AS measure, c.n FROM (SELECT judge_model, 'x' AS k, count(*) AS n FROM v_judged GROUP BY 1) c""")
-def rows_by_judge(spark, sf_dir):
-    base = load(spark, sf_dir, "v_judged").select("judge_model")
-    return agreement.merged(base, base.limit(0)).groupBy(F.col("judge_model").alias("measure")).agg(F.count("*").alias("n"))
+@query("""SELECT judge, verdict, count(*) AS n FROM (SELECT judge, verdict FROM v_ratings UNION ALL SELECT 'human', CASE WHEN quality = 1 THEN 'yes' ELSE 'no' END FROM labels) t GROUP BY ALL""")
+def ratings_with_humans(spark, sf_dir):
+    labels = load(spark, sf_dir, "labels").select(F.col("doc_id").cast("string").alias("input"), F.lit("").alias("gold"), F.lit("p").alias("prediction"), F.col("quality").alias("correct"))
+    human = agreement.human_rows(labels, F.lit("labels"), ["input"], ["gold"], ["prediction"])
+    return agreement.merged(load(spark, sf_dir, "v_ratings"), human).groupBy("judge", "verdict").agg(F.count("*").alias("n"))
+
+
+@query(f"""WITH {_ALIGNED}, {_ALL_PAIRS},
+f AS (SELECT count(*) AS n, avg((n_yes*n_yes + n_no*n_no - 5) / 20.0) AS po, sum(n_yes) / (5.0 * count(*)) AS y FROM rated WHERE n_raters = 5),
+s AS (SELECT count(*) AS c, sum(n_raters)::DOUBLE AS n, sum(n_yes)::DOUBLE AS y, sum(n_no)::DOUBLE AS k, sum(n_yes*n_no) / sum(n_raters*(n_raters-1)/2.0) AS o FROM rated WHERE n_raters >= 2)
+SELECT concat('cohen_', judge_1, '_', judge_2) AS measure, (a+b+c+d)::BIGINT AS n, round({_KAPPA}, 6) AS value FROM whole
+UNION ALL SELECT 'fleiss', n, round((po - (y*y + (1-y)*(1-y))) / (1 - (y*y + (1-y)*(1-y))), 6) FROM f
+UNION ALL SELECT 'krippendorff', c, round(1 - o / (1 - (y*(y-1) + k*(k-1)) / (n*(n-1))), 6) FROM s
+UNION ALL SELECT concat('human_', a.judge), count(*), round(avg((a.verdict = h.verdict)::INT), 6) FROM aligned a JOIN aligned h USING (source_file, item_key) WHERE h.judge = 'signup' AND a.judge <> 'signup' GROUP BY a.judge""")
+def reliability(spark, sf_dir):
+    ratings = _ratings(spark, sf_dir)
+    rated = agreement.items(ratings)
+    human = agreement.human_comparison(ratings, "signup").where("who not like '%_vote'")
+    return shown(report.reliability(agreement.pairwise(ratings), agreement.fleiss(rated, 5), agreement.krippendorff(rated, 5), human))
+
+
+@query("""WITH r AS (SELECT o_orderkey, CASE WHEN o_custkey % 3 = 0 THEN o_totalprice / 1000 END AS d, CASE WHEN o_custkey % 3 = 1 THEN 0.25 END AS e FROM orders),
+s AS (SELECT l_orderkey, count(*) AS n, avg(CASE WHEN l_linenumber = 1 THEN 1.0 ELSE 0.0 END) AS a, sum(l_extendedprice) AS t FROM lineitem GROUP BY 1)
+SELECT o_orderkey AS run_id, n AS n_examples, round(coalesce(e, a), 6) AS accuracy, round(coalesce(d * 1000, t), 6) AS latency_total_ms, round(coalesce(d * 1000, t) / n, 6) AS latency_mean_ms FROM r LEFT JOIN s ON l_orderkey = o_orderkey""")
+def run_entries(spark, sf_dir):
+    third = F.col("o_custkey") % 3
+    none = F.lit(None).cast("double")
+    head = load(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("run_id"), F.when(third == 0, F.col("o_totalprice") / 1000).alias("duration_seconds"), F.when(third == 1, 0.25).alias("exact_match"), none.alias("latency_total_ms"), none.alias("latency_mean_ms"), F.lit(0).cast("long").alias("n_examples"), F.lit(None).cast("long").alias("total_samples"))
+    rows = load(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("run_id"), (F.col("l_linenumber") == 1).cast("int").alias("exact_match"), F.col("l_extendedprice").alias("latency_ms"))
+    out = efficiency.run_entry(head, rows)
+    return out.select("run_id", "n_examples", F.round("accuracy", 6).alias("accuracy"), F.round("latency_total_ms", 6).alias("latency_total_ms"), F.round("latency_mean_ms", 6).alias("latency_mean_ms"))
+
+
+@query("""SELECT c_custkey, round(coalesce(j, e), 4) AS accuracy, CASE WHEN j IS NOT NULL THEN 'judge_summary' WHEN e IS NOT NULL THEN 'exact_match' END AS accuracy_source
+FROM (SELECT c_custkey, CASE WHEN c_custkey % 4 > 0 THEN c_acctbal END AS e FROM customer) c LEFT JOIN (SELECT o_custkey, avg(o_totalprice) AS j FROM orders WHERE o_orderstatus = 'F' GROUP BY 1) o ON o_custkey = c_custkey""")
+def accuracy_sources(spark, sf_dir):
+    head = load(spark, sf_dir, "customer").select(F.col("c_custkey"), F.when(F.col("c_custkey") % 4 > 0, F.col("c_acctbal")).alias("exact_match"))
+    summary = load(spark, sf_dir, "orders").where("o_orderstatus = 'F'").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.avg("o_totalprice").alias("accuracy"))
+    return shown(efficiency.with_judge_accuracy(head, summary, "c_custkey").select("c_custkey", "accuracy", "accuracy_source"), 4)
+
+
+@query("""SELECT source_file, k.mean_kappa, count(*) AS n_rows FROM (SELECT source_file FROM v_ratings) r LEFT JOIN (SELECT DISTINCT concat('run_', user_id % 12) AS source_file, (user_id % 12) / 10.0::DOUBLE AS mean_kappa FROM events WHERE user_id % 12 < 9) k USING (source_file) GROUP BY ALL""")
+def runs_with_agreement(spark, sf_dir):
+    rows = load(spark, sf_dir, "v_ratings").select(F.concat("source_file", F.lit("__judge-a.json")).alias("file"))
+    scores = load(spark, sf_dir, "events").where("user_id % 12 < 9").select(F.concat(F.lit("run_"), (F.col("user_id") % 12).cast("string"), F.lit(".json")).alias("source_file"), ((F.col("user_id") % 12) / 10).alias("mean_kappa")).distinct()
+    out = runs.with_agreement(rows, scores, "file")
+    return out.groupBy(text.source_stem(F.col("file")).alias("source_file"), "mean_kappa").agg(F.count("*").alias("n_rows"))
+
+
+@query("""SELECT id, CASE WHEN gold_2 IS NULL OR gold_2 = gold_1 THEN [trim(gold_1)] ELSE [trim(gold_1), trim(gold_2)] END AS golds, CASE WHEN gold_2 IS NULL THEN 'single' ELSE 'multi' END AS stratum FROM v_formula""")
+def gold_readings(spark, sf_dir):
+    golds = dataset.gold_options(F.array(F.concat(F.lit(" "), F.col("gold_1"))), F.array(F.col("gold_2"), F.col("gold_1"), F.lit(" ")))
+    return load(spark, sf_dir, "v_formula").select("id", golds.alias("golds")).withColumn("stratum", dataset.default_stratum(F.col("golds")))
 
 
 @query(f"""SELECT id, stratum, row_number() OVER (PARTITION BY stratum ORDER BY {_hash_sql("'rank'")}, id) AS rank, count(*) OVER (PARTITION BY stratum) AS n FROM v_dataset""")
