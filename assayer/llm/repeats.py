@@ -2,8 +2,8 @@
 
 A task hands over its items (hash, place) in one packed row for each bucket of
 hashes, so 10^8 items are some thousand rows. Before that, what the task itself
-can settle is settled: of items with one hash in a chunk of documents, one goes
-on and the others are answered at once. So a hash that very many documents
+can settle is settled: of items with one hash in several documents of a chunk,
+one goes on and all that repeat are answered at once. So a hash that very many documents
 share sends one item for each chunk. A bucket's task finds the repeats of its
 hashes by sorting them, and answers with places.
 
@@ -48,18 +48,20 @@ def _answers(doc: np.ndarray, mark: np.ndarray, row: np.ndarray, place: np.ndarr
     return pa.RecordBatch.from_arrays([pa.array(doc[row[first]], pa.int64()), pa.array(mark[row[first]], pa.int64()), pa.array(blobs, pa.binary())], names=["doc_id", "mark", "places"])
 
 
-def repeated(docs: DataFrame, items: Items, across: bool) -> DataFrame:
+def repeated(docs: DataFrame, items: Items, across: bool, kept: int = 8) -> DataFrame:
     """(doc_id, mark, places): places may come in several rows of a document.
 
     across: the places of hashes that occur in documents of different ids.
     Otherwise the places of all but the first item of a hash, in the order of
-    (doc_id, mark, place). docs: from marked().
+    (doc_id, mark, place). docs: from marked(). kept: bytes of a hash that are
+    sent and compared, besides the bucket; with few, hashes that only look alike
+    count as repeats.
     """
     spark = docs.sparkSession
     buckets = shuffle_partitions(spark)
 
     def settle(hashes: np.ndarray, doc: np.ndarray, mark: np.ndarray, row: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(what repeats, the first of each hash) as places in the arrays."""
+        """(what repeats, what stands for each hash elsewhere) as places in the arrays."""
         order = np.lexsort((place, mark[row], doc[row], hashes)) if not across else np.lexsort((doc[row], hashes))
         h, d = hashes[order], doc[row][order]
         begins = np.concatenate([[True], h[1:] != h[:-1]]) if len(h) else np.zeros(0, bool)
@@ -67,7 +69,8 @@ def repeated(docs: DataFrame, items: Items, across: bool) -> DataFrame:
         group = np.cumsum(begins) - 1
         if across:
             last = np.concatenate([first[1:], [len(h)]]) - 1
-            return order[(d[first] != d[last])[group]], order[first]
+            known = (d[first] != d[last])[group]
+            return order[known], order[begins | ~known]  # of one document's items all go on: none is answered yet
         m, p = mark[row][order], place[order]
         lead = first[group]
         return order[(d != d[lead]) | (m != m[lead]) | (p != p[lead])], order[first]
@@ -86,15 +89,16 @@ def repeated(docs: DataFrame, items: Items, across: bool) -> DataFrame:
                     none = pa.nulls(n, pa.binary())
                     yield pa.RecordBatch.from_arrays([pa.array(np.arange(n) % buckets, pa.int32()), *own.columns, none, none, none], names=["bucket", "doc_id", "mark", "places", "hashes", "docs", "counts"])
                 hashes, row, place = hashes[first], row[first], place[first]
-                bucket = ((hashes >> np.uint64(32)) % np.uint64(buckets)).astype(np.uint32)
+                bucket = ((hashes >> np.uint64(40)) % np.uint64(buckets)).astype(np.uint32)
                 order = np.lexsort((row, bucket))
                 hashes, row, place, bucket = hashes[order], row[order], place[order], bucket[order]
                 cuts = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
                 rows = []
                 for a, b in zip(cuts, [*cuts[1:], len(bucket)], strict=True):
                     own_row, count = np.unique(row[a:b], return_counts=True)
-                    short = np.ascontiguousarray(hashes[a:b]).view(np.uint8).reshape(-1, 8)[:, :6]  # 48 bits, and the bucket
-                    rows.append((int(bucket[a]), place[a:b].astype("<u4").tobytes(), short.tobytes(), np.stack([doc[own_row], mark[own_row]]).tobytes(), count.astype("<u4").tobytes()))
+                    short = np.ascontiguousarray(hashes[a:b]).view(np.uint8).reshape(-1, 8)[:, :kept]  # and the bucket
+                    planes = place[a:b].astype("<u4").view(np.uint8).reshape(-1, 4).T  # the high bytes together: they compress
+                    rows.append((int(bucket[a]), planes.tobytes(), short.tobytes(), np.stack([doc[own_row], mark[own_row]]).tobytes(), count.astype("<u4").tobytes()))
                 cols = list(zip(*rows, strict=True))
                 empty = pa.nulls(len(rows), pa.int64())
                 yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), empty, empty, *(pa.array(c, pa.binary()) for c in cols[1:])], names=["bucket", "doc_id", "mark", "places", "hashes", "docs", "counts"])
@@ -110,9 +114,9 @@ def repeated(docs: DataFrame, items: Items, across: bool) -> DataFrame:
                 held.setdefault(b, []).append(tuple(x))
         for b in sorted(held):
             parts = held.pop(b)
-            place = np.concatenate([np.frombuffer(p[0], "<u4") for p in parts])
+            place = np.concatenate([np.frombuffer(p[0], np.uint8).reshape(4, -1).T.reshape(-1).view("<u4") for p in parts])
             hashes = np.zeros((len(place), 8), np.uint8)
-            hashes[:, :6] = np.frombuffer(b"".join(p[1] for p in parts), np.uint8).reshape(-1, 6)
+            hashes[:, :kept] = np.frombuffer(b"".join(p[1] for p in parts), np.uint8).reshape(-1, kept)
             ids = np.concatenate([np.frombuffer(p[2], np.int64).reshape(2, -1) for p in parts], axis=1)
             row = np.repeat(np.arange(ids.shape[1]), np.concatenate([np.frombuffer(p[3], "<u4") for p in parts]))
             again, _ = settle(hashes.view(np.uint64).ravel(), ids[0], ids[1], row, place)

@@ -89,7 +89,7 @@ def runs(data: np.ndarray, at: np.ndarray, span: int, least: int) -> tuple[np.nd
 def drop_repeated_spans(docs: DataFrame, span: int = SPAN, least: int = LEAST_WORDS) -> DataFrame:
     """docs (doc_id, text) with what is left of each text, the number of its sentences and of those removed."""
     base = marked(docs)
-    places = repeated(base, lambda data, at: runs(data, at, span, least), across=False)
+    places = repeated(base, lambda data, at: runs(data, at, span, least), across=False, kept=8)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string()]

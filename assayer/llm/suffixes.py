@@ -51,7 +51,7 @@ from assayer.llm.files import as_rows
 from assayer.llm.repeats import NO_ID, PLACES, marked, repeated, unpack, with_places
 
 LENGTH = 50
-GRAM = 16
+GRAM = 24
 OWNER = 8
 SHARDS = 4
 GROUP_BYTES = 1 << 20
@@ -61,12 +61,19 @@ _ODD = [int(x) | 1 for x in mix(np.arange(11, 20, dtype=np.uint64))]
 
 
 def gram_hashes(data: np.ndarray, size: int, seed: int = 0) -> np.ndarray:
-    """A hash of the `size` bytes (a power of two) from each place; len(data) - size + 1 of them."""
+    """A hash of the `size` bytes from each place; len(data) - size + 1 of them."""
     if len(data) < size:
         return np.zeros(0, np.uint64)
-    h, k, i = _TABLE[data], 1, 0
-    while k < size:
-        h = h[:-k] * np.uint64(_ODD[i]) + h[k:]
+    n = len(data) - size + 1
+    part, k, i, h, covered = _TABLE[data], 1, 0, None, 0
+    while True:  # size is put together from hashes of 1, 2, 4 ... bytes
+        if size & k:
+            own = part[covered : covered + n]
+            h = own.copy() if h is None else h * np.uint64(_ODD[i]) + own
+            covered += k
+        if covered == size:
+            break
+        part = part[:-k] * np.uint64(_ODD[i]) + part[k:]
         k, i = 2 * k, i + 1
     h ^= np.uint64(seed * 0x9E3779B97F4A7C15 & (1 << 64) - 1)
     h *= np.uint64(0xBF58476D1CE4E5B9)
@@ -282,11 +289,11 @@ def _settled(done: dict[tuple[int, int], list[tuple[int, int]]]) -> pa.RecordBat
 
 
 def removed(base: DataFrame, length: int = LENGTH, group_bytes: int = GROUP_BYTES) -> DataFrame:
-    """(doc_id, mark, places): packed pairs (first window, number of windows) to remove, in any number of rows of a document. base: from marked()."""
+    """(doc_id, mark, places): packed pairs (first window, number of windows) to remove, in any number of rows of a document. base: from marked(), with any other columns; its shuffle is one with the caller's if that joins the places to base."""
     spark = base.sparkSession
     buckets = shuffle_partitions(spark)
     parts = 64
-    places = repeated(base, lambda data, at: anchors(data, at, length), across=True)
+    places = repeated(base, lambda data, at: anchors(data, at, length), across=True, kept=5)  # looking alike is enough to be a candidate
 
     def strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = _Held()
@@ -401,7 +408,6 @@ def dedup(docs: DataFrame, length: int = LENGTH, group_bytes: int = GROUP_BYTES)
     """docs with the repeated bytes cut out of text; all columns are kept (n_chars, where there is one, is counted anew)."""
     columns = docs.columns
     rest = [c for c in columns if c not in ("doc_id", "text")]
-    base = marked(docs)
     full = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(int(NO_ID))).alias("doc_id"), F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("mark"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), F.col("text").isNull().alias("none"), F.struct(*(F.col(c).alias(f"c{i}") for i, c in enumerate(rest)), F.lit(0).alias("z")).alias("rest"))
     schema = StructType([StructField("doc_id", LongType()), StructField("text", StringType()), StructField("none", full.schema["none"].dataType), full.schema["rest"]])
 
@@ -416,7 +422,7 @@ def dedup(docs: DataFrame, length: int = LENGTH, group_bytes: int = GROUP_BYTES)
                     texts.append((_kept(text, spans) if spans else text).decode(errors="ignore"))
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(texts, pa.string()), part.column("none"), part.column("rest")], names=["doc_id", "text", "none", "rest"])
 
-    out = with_places(full, removed(base, length, group_bytes)).select("doc_id", "text", "none", "rest", "places").mapInArrow(run, schema)
+    out = with_places(full, removed(full, length, group_bytes)).select("doc_id", "text", "none", "rest", "places").mapInArrow(run, schema)
     at = {c: F.col(f"rest.c{i}") for i, c in enumerate(rest)}
     at["doc_id"] = F.nullif(F.col("doc_id"), F.lit(int(NO_ID)))
     at["text"] = F.when(~F.col("none"), F.col("text"))

@@ -75,5 +75,15 @@ def test_merged_intervals_are_the_repeated_strings():
         assert sorted(sorted(x) for x in got.values()) == sorted(x for x in want.values() if len(x) > 1)
 
 
+def test_passage_twice_in_a_later_document(spark):
+    r = random.Random(8)
+    text = lambda k: "".join(r.choice("abcdefghij klmnop") for _ in range(k))
+    p = text(50)
+    rows = [(1, text(90) + p + text(70)), (2, text(300) + p + text(200) + p + text(90)), (3, p)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartitionByRange(3, "doc_id")
+    got = sorted((str(x.doc_id), x.n_bytes, x.n_removed, x.n_spans, x.kept_sha256) for x in s.summary(docs).collect())
+    assert got == [w[:5] for w in brute(rows, 50)] and [x[2] for x in got] == [0, 100, 50]
+
+
 def test_empty(spark):
     assert s.summary(spark.createDataFrame([], "doc_id long, text string")).count() == 0
