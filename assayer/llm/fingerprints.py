@@ -34,7 +34,7 @@ TABLE = CELLS // 3
 LONG = 500
 ROUNDS = 14
 ATTEMPTS = 5
-PER_SKETCH = 24
+PER_SKETCH = 16
 
 
 def _let(value: str, name: str, body: str) -> str:
@@ -50,14 +50,15 @@ def _keys(text: str) -> str:
     return found
 
 
-def _at(key: str, cell: str, attempt: int) -> str:
-    """Whether a key goes into a cell: each table reads other bits of it."""
-    return f"(shiftright({key}, {12 * attempt} + 4 * ({cell} div {TABLE})) & {TABLE - 1}) = {cell} % {TABLE}"
+def _slot(key: str, table: int, attempt: int) -> str:
+    """A key's cell in a table: each table reads other bits of it."""
+    return f"(shiftright({key}, {12 * attempt + 4 * table}) & {TABLE - 1}L)"
 
 
 def _cells(keys: str, attempt: int) -> str:
-    cell = "named_struct('n', size(own), 'k', aggregate(own, 0L, (a, x) -> a ^ x), 'h', aggregate(own, 0, (a, x) -> a ^ hash(x)))"
-    return _let(keys, "keys", f"transform(sequence(0, {CELLS - 1}), c -> {_let(f'filter(keys, x -> {_at("x", "c", attempt)})', 'own', cell)})")
+    cell = "named_struct('c', c, 'n', size(own), 'k', aggregate(own, 0L, (a, x) -> a ^ x), 'h', aggregate(own, 0, (a, x) -> a ^ hash(x)))"
+    tables = [f"transform(sequence(0L, {TABLE - 1}L), c -> {_let(f'filter(keys, x -> {_slot("x", t, attempt)} = c)', 'own', cell)})" for t in range(3)]
+    return _let(keys, "keys", f"concat({', '.join(tables)})")
 
 
 def _written(cells: str) -> str:
@@ -66,13 +67,14 @@ def _written(cells: str) -> str:
 
 def _peeled(a: str, b: str, attempt: int) -> str:
     """(p, q, ok): keys only in a, only in b, and whether all cells came out empty."""
-    difference = f"transform({a}, (x, i) -> named_struct('n', x.n - {b}[i].n, 'k', x.k ^ {b}[i].k, 'h', x.h ^ {b}[i].h))"
+    difference = f"transform({a}, (x, i) -> named_struct('c', x.c, 'n', x.n - {b}[i].n, 'k', x.k ^ {b}[i].k, 'h', x.h ^ {b}[i].h))"
     single = "array_distinct(transform(filter(s.cells, x -> abs(x.n) = 1 and hash(x.k) = x.h), x -> named_struct('n', x.n, 'k', x.k)))"
-    own = f"filter(single, y -> {_at('y.k', 'i', attempt)})"
-    cell = "named_struct('n', x.n - aggregate(own, 0, (t, y) -> t + y.n), 'k', aggregate(own, x.k, (t, y) -> t ^ y.k), 'h', aggregate(own, x.h, (t, y) -> t ^ hash(y.k)))"
-    cells = f"transform(s.cells, (x, i) -> {_let(own, 'own', cell)})"
-    step = _let(single, "single", f"if(size(single) = 0, s, named_struct('cells', {cells}, 'p', s.p + size(filter(single, y -> y.n = 1)), 'q', s.q + size(filter(single, y -> y.n = -1))))")
-    start = f"named_struct('cells', {difference}, 'p', 0, 'q', 0)"
+    cell = "if(size(own) = 0, x, named_struct('c', x.c, 'n', x.n - aggregate(own, 0, (t, y) -> t + y.n), 'k', aggregate(own, x.k, (t, y) -> t ^ y.k), 'h', aggregate(own, x.h, (t, y) -> t ^ hash(y.k))))"
+    tables = [f"transform(slice(s.cells, {TABLE * t + 1}, {TABLE}), x -> {_let(f'filter(single, y -> {_slot("y.k", t, attempt)} = x.c)', 'own', cell)})" for t in range(3)]
+    more = f"named_struct('cells', concat({', '.join(tables)}), 'p', s.p + size(filter(single, y -> y.n = 1)), 'q', s.q + size(filter(single, y -> y.n = -1)), 'done', false)"
+    stop = "named_struct('cells', s.cells, 'p', s.p, 'q', s.q, 'done', true)"
+    step = f"if(s.done, s, {_let(single, 'single', f'if(size(single) = 0, {stop}, {more})')})"
+    start = f"named_struct('cells', {difference}, 'p', 0, 'q', 0, 'done', false)"
     end = "named_struct('p', s.p, 'q', s.q, 'ok', forall(s.cells, x -> x.n = 0 and x.k = 0 and x.h = 0))"
     return f"aggregate(sequence(1, {ROUNDS}), {start}, (s, r) -> {step}, s -> {end})"
 
