@@ -17,6 +17,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -48,14 +49,34 @@ def _answers(doc: np.ndarray, mark: np.ndarray, row: np.ndarray, place: np.ndarr
     return pa.RecordBatch.from_arrays([pa.array(doc[row[first]], pa.int64()), pa.array(mark[row[first]], pa.int64()), pa.array(blobs, pa.binary())], names=["doc_id", "mark", "places"])
 
 
-def repeated(docs: DataFrame, items: Items, across: bool, kept: int = 8) -> DataFrame:
+def _without_copies(batch: pa.RecordBatch, seen: dict[tuple[int, int], int]) -> pa.RecordBatch:
+    """The rows but those whose text (by mark and length) a smaller doc_id has had. seen: of each text, the smallest so far."""
+    keep = []
+    for doc, *text in zip(batch.column("doc_id").to_pylist(), batch.column("mark").to_pylist(), pc.binary_length(batch.column("text")).to_pylist(), strict=True):
+        least = seen.setdefault(tuple(text), doc)
+        keep.append(doc <= least)
+        if doc < least:
+            seen[tuple(text)] = doc
+    return batch.filter(pa.array(keep, pa.bool_()))
+
+
+def copies(docs: DataFrame) -> DataFrame:
+    """(doc_id, mark, n_bytes) of the documents (marked) whose text one with a smaller doc_id has too. Texts count as equal by 128 bits of hash and length."""
+    ids = docs.select("doc_id", "mark", F.xxhash64(F.lit(1), "text").alias("_second"), F.octet_length("text").alias("n_bytes"))
+    by = ["mark", "_second", "n_bytes"]
+    least = ids.groupBy(*by).agg(F.min("doc_id").alias("_least"), F.max("doc_id").alias("_most")).where("_least < _most").drop("_most")
+    return ids.join(least.hint("merge"), by).where("doc_id > _least").select("doc_id", "mark", "n_bytes").distinct()
+
+
+def repeated(docs: DataFrame, items: Items, across: bool, kept: int = 8, copies_apart: bool = False) -> DataFrame:
     """(doc_id, mark, places): places may come in several rows of a document.
 
     across: the places of hashes that occur in documents of different ids.
     Otherwise the places of all but the first item of a hash, in the order of
     (doc_id, mark, place). docs: from marked(). kept: bytes of a hash that are
     sent and compared, besides the bucket; with few, hashes that only look alike
-    count as repeats.
+    count as repeats. copies_apart: the caller sees to documents whose text a
+    document with a smaller id has too; a task leaves out those it comes across.
     """
     spark = docs.sparkSession
     buckets = shuffle_partitions(spark)
@@ -76,7 +97,10 @@ def repeated(docs: DataFrame, items: Items, across: bool, kept: int = 8) -> Data
         return order[(d != d[lead]) | (m != m[lead]) | (p != p[lead])], order[first]
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: dict[tuple[int, int], int] = {}
         for batch in batches:
+            if copies_apart:
+                batch = _without_copies(batch, seen)
             for part, data, at in chunks(batch):
                 doc, mark = (part.column(c).to_numpy() for c in ("doc_id", "mark"))
                 hashes, row, place = items(data, at)
@@ -109,7 +133,7 @@ def repeated(docs: DataFrame, items: Items, across: bool, kept: int = 8) -> Data
             if not batch.num_rows:
                 continue
             packed = batch.column("hashes").is_valid()
-            yield batch.filter(pa.compute.invert(packed)).select(["doc_id", "mark", "places"])
+            yield batch.filter(pc.invert(packed)).select(["doc_id", "mark", "places"])
             for b, *x in zip(*(batch.filter(packed).column(c).to_pylist() for c in ("bucket", "places", "hashes", "docs", "counts")), strict=True):
                 held.setdefault(b, []).append(tuple(x))
         for b in sorted(held):

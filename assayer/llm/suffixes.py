@@ -3,6 +3,8 @@
 What is asked: each byte covered by a `length`-byte string that also starts in
 a document with a smaller doc_id goes; strings never cross documents.
 
+0. Of documents with equal texts only the one with the smallest doc_id takes
+   part; all windows of the others go, which aggregation by hash tells.
 1. Candidates. Of each `length`-byte window the `GRAM`-byte run with the least
    hash is its anchor, so equal windows have equal anchors. Anchors found in
    documents of different ids (one shuffle of packed hashes) mark the windows
@@ -42,13 +44,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from assayer.llm.common import chunks, mix, shuffle_partitions
 from assayer.llm.files import as_rows
-from assayer.llm.repeats import NO_ID, PLACES, marked, repeated, unpack, with_places
+from assayer.llm.repeats import NO_ID, PLACES, copies, marked, repeated, unpack, with_places
 
 LENGTH = 50
 GRAM = 24
@@ -119,25 +122,39 @@ def owned_runs(data: np.ndarray, windows: np.ndarray, length: int, seed: int) ->
 
 
 def sort_shard(text: np.ndarray, depth: int) -> np.ndarray:
-    """Places of text in the order of their first `depth` symbols (as far as text goes), ties by place. Eight bytes at a time, doubled."""
+    """Places of text in the order of their first `depth` symbols (as far as text goes).
+
+    Eight bytes at once, then by doubling: what is still tied is sorted by the
+    rank of the suffix that begins where the known part ends.
+    """
     n = len(text)
     padded = np.concatenate([text, np.zeros(8, np.uint8)])
     key = np.zeros(n, np.uint64)
     for j in range(8):
-        key = (key << np.uint64(8)) | padded[j : j + n].astype(np.uint64)
+        key = (key << np.uint64(8)) | padded[j : j + n]
+    order = np.argsort(key)
+    key = key[order]
+    fresh = np.concatenate([[True], key[1:] != key[:-1]])
+    slots = np.arange(n)
+    rank = np.empty(n + depth, np.int64)
+    rank[n:] = -1
+    rank[order] = np.maximum.accumulate(np.where(fresh, slots, 0))
     known = 8
-    while True:
-        order = np.argsort(key, kind="stable")
-        sorted_key = key[order]
-        fresh = np.concatenate([[False], sorted_key[1:] != sorted_key[:-1]])
-        if known >= depth or n < 2 or fresh[1:].all():
-            return order
-        rank = np.empty(n, np.uint64)
-        rank[order] = np.cumsum(fresh)
+    while known < depth:
+        tied = np.flatnonzero(~(fresh & np.concatenate([fresh[1:], [True]])))
+        if not len(tied):
+            break
         step = min(known, depth - known)
-        ahead = np.concatenate([rank[step:] + np.uint64(1), np.zeros(min(step, n), np.uint64)])[:n]
-        key = (rank << np.uint64(32)) | ahead
+        own = order[tied]
+        key = (rank[own] << 32) | (rank[own + step] + 1)
+        by = np.argsort(key)
+        own, key = own[by], key[by]
+        order[tied] = own
+        first = np.concatenate([[True], key[1:] != key[:-1]])
+        fresh[tied] = first
+        rank[own] = np.maximum.accumulate(np.where(first, tied, 0))
         known += step
+    return order
 
 
 def merged_intervals(shards: list[np.ndarray], length: int) -> tuple[np.ndarray, np.ndarray]:
@@ -171,7 +188,7 @@ def merged_intervals(shards: list[np.ndarray], length: int) -> tuple[np.ndarray,
             break
         border = np.concatenate([[True], (c[1:] != c[:-1]) | (block[1:] != block[:-1])])
         block = np.cumsum(border, dtype=np.int32) - 1
-        if r % 3 == 2 or r == length - 1:
+        if r > 3:
             alone = border & np.concatenate([border[1:], [True]])
             entries, block = entries[~alone], block[~alone]
     return where[entries], block
@@ -293,7 +310,8 @@ def removed(base: DataFrame, length: int = LENGTH, group_bytes: int = GROUP_BYTE
     spark = base.sparkSession
     buckets = shuffle_partitions(spark)
     parts = 64
-    places = repeated(base, lambda data, at: anchors(data, at, length), across=True, kept=5)  # looking alike is enough to be a candidate
+    places = repeated(base, lambda data, at: anchors(data, at, length), across=True, kept=5, copies_apart=True)  # looking alike is enough to be a candidate
+    copied = copies(base)
 
     def strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = _Held()
@@ -348,10 +366,10 @@ def removed(base: DataFrame, length: int = LENGTH, group_bytes: int = GROUP_BYTE
 
         for batch in batches:
             through = batch.column("part").is_null()
-            if pa.compute.any(through).as_py():
+            if pc.any(through).as_py():
                 own = batch.filter(through)
                 yield pa.RecordBatch.from_arrays([own.column("doc_id"), own.column("string").cast(pa.string()).cast(pa.int64()), own.column("uses")], names=names)
-                batch = batch.filter(pa.compute.invert(through))
+                batch = batch.filter(pc.invert(through))
             for p, s, doc, uses in zip(*(batch.column(c).to_pylist() for c in ("part", "string", "doc_id", "uses")), strict=True):
                 if p != key and held.size > group_bytes // 2:
                     close()
@@ -364,8 +382,15 @@ def removed(base: DataFrame, length: int = LENGTH, group_bytes: int = GROUP_BYTE
         close()
         yield as_rows(names, kinds, [(d, m, np.array(x, "<u4").tobytes()) for (d, m), x in done.items()])
 
-    marked_windows = with_places(base, places).where("places is not null").mapInArrow(strings, STRINGS)
-    return marked_windows.repartition(buckets, "bucket").sortWithinPartitions("part").mapInArrow(merge, PLACES)
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            pairs = [np.array([0, n - length + 1], "<u4").tobytes() for n in batch.column("n_bytes").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("mark"), pa.array(pairs, pa.binary())], names=["doc_id", "mark", "places"])
+
+    left_out = copied.select("doc_id", "mark", F.lit(True).alias("_copy")).hint("merge")
+    alone = with_places(base, places).join(left_out, ["doc_id", "mark"], "left").where("places is not null and _copy is null")
+    dealt = alone.mapInArrow(strings, STRINGS).repartition(buckets, "bucket").sortWithinPartitions("part")
+    return dealt.mapInArrow(merge, PLACES).unionByName(copied.where(F.col("n_bytes") >= length).mapInArrow(whole, PLACES))
 
 
 def _spans(blobs: list[bytes] | None, length: int, size: int) -> list[tuple[int, int]]:
