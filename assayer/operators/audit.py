@@ -99,6 +99,8 @@ def audit_sample(rows: DataFrame, requested: Mapping[str, int], priority: Sequen
     """
     rows = rows.persist()
     quotas = resolved_quotas(rows.groupBy(F.col("primary_stratum").alias("stratum")).agg(F.count("*").alias("n")), requested, priority)
+    settled = quotas.collect()  # a row for each stratum
+    quotas = rows.sparkSession.createDataFrame(settled, quotas.schema)
     place = {s: i for i, s in enumerate(dict.fromkeys([*requested, *priority]))}
     rank = F.coalesce(F.create_map(*(F.lit(x) for p in place.items() for x in p))[F.col("primary_stratum")], F.lit(len(place)))
     picked = bucket_sample(rows, quotas, key, seed).withColumns({"_place": rank, "_h": ordering_hash(seed, F.concat(F.lit("primary:"), F.col("primary_stratum")), F.col(key))})
@@ -114,7 +116,7 @@ def audit_sample(rows: DataFrame, requested: Mapping[str, int], priority: Sequen
             order = ranked(free.drop("_h"), key, seed, name, ["primary_stratum"], "_rank")
             more = order.join(F.broadcast(gaps), "primary_stratum").where("_rank <= _gap")
         else:
-            total = quotas.agg(F.sum("quota")).first()[0] or 0
+            total = sum(q.quota for q in settled)
             by_priority = {s: i for i, s in enumerate(priority)}
             level = F.coalesce(F.create_map(*(F.lit(x) for p in by_priority.items() for x in p))[F.col("primary_stratum")], F.lit(99)) if by_priority else F.lit(99)
             missing = max(0, int(total) - taken.count())
