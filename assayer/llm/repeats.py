@@ -5,7 +5,8 @@ hashes, so 10^8 items are some thousand rows. Before that, what the task itself
 can settle is settled: of items with one hash in several documents of a chunk,
 one goes on and all that repeat are answered at once. So a hash that very many documents
 share sends one item for each chunk. A bucket's task finds the repeats of its
-hashes by sorting them, and answers with places.
+hashes by sorting them, and answers with places, packed by parts of the
+documents in the same way; a last shuffle gathers each document's.
 
 Documents are told apart by (doc_id, mark), mark being a hash of the text:
 rows alike in both are one document that occurs twice.
@@ -21,7 +22,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from assayer.llm.common import chunks, shuffle_partitions
+from assayer.llm.common import chunks, mix, shuffle_partitions
 
 NO_ID = np.iinfo(np.int64).max  # stands for a null doc_id, which sorts last
 PLACES = "doc_id long, mark long, places binary"
@@ -40,13 +41,53 @@ def doc_id(name: str = "doc_id") -> Column:
     return F.nullif(F.col(name), F.lit(int(NO_ID)))
 
 
-def _answers(doc: np.ndarray, mark: np.ndarray, row: np.ndarray, place: np.ndarray) -> pa.RecordBatch:
-    """One row for each document: its places."""
-    order = np.lexsort((place, row))
-    row, place = row[order], place[order].astype("<u4")
-    first = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]])) if len(row) else np.zeros(0, np.int64)
-    blobs = [x.tobytes() for x in np.split(place, first[1:])] if len(row) else []
-    return pa.RecordBatch.from_arrays([pa.array(doc[row[first]], pa.int64()), pa.array(mark[row[first]], pa.int64()), pa.array(blobs, pa.binary())], names=["doc_id", "mark", "places"])
+PACKED = "part int, docs binary, counts binary, places binary"
+
+
+def pack_answers(doc: np.ndarray, mark: np.ndarray, row: np.ndarray, numbers: np.ndarray, parts: int) -> pa.RecordBatch:
+    """Numbers (uint32) for rows (doc, mark), packed in one row for each part of the documents. row must be ascending."""
+    if not len(row):
+        return pa.RecordBatch.from_arrays([pa.array([], k) for k in (pa.int32(), pa.binary(), pa.binary(), pa.binary())], names=["part", "docs", "counts", "places"])
+    begins = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]]))
+    count = np.diff(np.concatenate([begins, [len(row)]]))
+    d, m = doc[row[begins]], mark[row[begins]]
+    part = (mix(d.astype(np.uint64) * np.uint64(3) ^ m.astype(np.uint64)) % np.uint64(parts)).astype(np.int64)
+    order = np.argsort(part, kind="stable")
+    item = np.repeat(begins[order] - (np.cumsum(count[order]) - count[order]), count[order]) + np.arange(len(row))
+    d, m, part, count, numbers = d[order], m[order], part[order], count[order], numbers[item].astype("<u4")
+    at = np.concatenate([[0], np.cumsum(count)])
+    cuts = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
+    rows = [(int(part[i]), np.stack([d[i:j], m[i:j]]).tobytes(), count[i:j].astype("<u4").tobytes(), numbers[at[i] : at[j]].tobytes()) for i, j in zip(cuts, [*cuts[1:], len(part)], strict=True)]
+    cols = list(zip(*rows, strict=True))
+    return pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(cols, (pa.int32(), pa.binary(), pa.binary(), pa.binary()), strict=True)], names=["part", "docs", "counts", "places"])
+
+
+def gathered(packed: DataFrame, parts: int) -> DataFrame:
+    """(doc_id, mark, places), a row for each document, of rows as from pack_answers."""
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, list[tuple[bytes, ...]]] = {}
+        for batch in batches:
+            for p, *x in zip(*(batch.column(c).to_pylist() for c in ("part", "docs", "counts", "places")), strict=True):
+                held.setdefault(p, []).append(tuple(x))
+        for p in sorted(held):
+            own = held.pop(p)
+            ids = np.concatenate([np.frombuffer(x[0], np.int64).reshape(2, -1) for x in own], axis=1)
+            count = np.concatenate([np.frombuffer(x[1], "<u4") for x in own]).astype(np.int64)
+            numbers = np.frombuffer(b"".join(x[2] for x in own), "<u4")
+            order = np.lexsort((ids[1], ids[0]))
+            begin = (np.cumsum(count) - count)[order]
+            count, ids = count[order], ids[:, order]
+            item = np.repeat(begin - (np.cumsum(count) - count), count) + np.arange(len(numbers))
+            data, at = numbers[item].tobytes(), np.concatenate([[0], np.cumsum(count)]) * 4
+            first = np.flatnonzero(np.concatenate([[True], (ids[:, 1:] != ids[:, :-1]).any(0)])) if len(count) else np.zeros(0, np.int64)
+            last = np.concatenate([first[1:], [len(count)]]).astype(np.int64)
+            for i in range(0, len(first), 2_000):
+                part = slice(i, i + 2_000)
+                blobs = [data[at[a] : at[b]] for a, b in zip(first[part].tolist(), last[part].tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(ids[0][first[part]], pa.int64()), pa.array(ids[1][first[part]], pa.int64()), pa.array(blobs, pa.binary())], names=["doc_id", "mark", "places"])
+
+    return packed.repartition(parts, "part").mapInArrow(gather, PLACES)
 
 
 def _without_copies(batch: pa.RecordBatch, seen: dict[tuple[int, int], int]) -> pa.RecordBatch:
@@ -107,11 +148,10 @@ def repeated(docs: DataFrame, items: Items, across: bool, kept: int = 8, copies_
                 if not len(hashes):
                     continue
                 known, first = settle(hashes, doc, mark, row, place)
-                own = _answers(doc, mark, row[known], place[known])
-                n = own.num_rows
-                if n:
-                    none = pa.nulls(n, pa.binary())
-                    yield pa.RecordBatch.from_arrays([pa.array(np.arange(n) % buckets, pa.int32()), *own.columns, none, none, none], names=["bucket", "doc_id", "mark", "places", "hashes", "docs", "counts"])
+                by = known[np.argsort(row[known], kind="stable")]
+                own = pack_answers(doc, mark, row[by], place[by], buckets)
+                if own.num_rows:  # without hashes: passes the buckets as it is
+                    yield pa.RecordBatch.from_arrays([*own.columns, pa.nulls(own.num_rows, pa.binary())], names=["bucket", "docs", "counts", "places", "hashes"])
                 hashes, row, place = hashes[first], row[first], place[first]
                 bucket = ((hashes >> np.uint64(40)) % np.uint64(buckets)).astype(np.uint32)
                 order = np.lexsort((row, bucket))
@@ -122,10 +162,9 @@ def repeated(docs: DataFrame, items: Items, across: bool, kept: int = 8, copies_
                     own_row, count = np.unique(row[a:b], return_counts=True)
                     short = np.ascontiguousarray(hashes[a:b]).view(np.uint8).reshape(-1, 8)[:, :kept]  # and the bucket
                     planes = place[a:b].astype("<u4").view(np.uint8).reshape(-1, 4).T  # the high bytes together: they compress
-                    rows.append((int(bucket[a]), planes.tobytes(), short.tobytes(), np.stack([doc[own_row], mark[own_row]]).tobytes(), count.astype("<u4").tobytes()))
+                    rows.append((int(bucket[a]), np.stack([doc[own_row], mark[own_row]]).tobytes(), count.astype("<u4").tobytes(), planes.tobytes(), short.tobytes()))
                 cols = list(zip(*rows, strict=True))
-                empty = pa.nulls(len(rows), pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), empty, empty, *(pa.array(c, pa.binary()) for c in cols[1:])], names=["bucket", "doc_id", "mark", "places", "hashes", "docs", "counts"])
+                yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), *(pa.array(c, pa.binary()) for c in cols[1:])], names=["bucket", "docs", "counts", "places", "hashes"])
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, list[tuple[bytes, ...]]] = {}
@@ -133,7 +172,8 @@ def repeated(docs: DataFrame, items: Items, across: bool, kept: int = 8, copies_
             if not batch.num_rows:
                 continue
             packed = batch.column("hashes").is_valid()
-            yield batch.filter(pc.invert(packed)).select(["doc_id", "mark", "places"])
+            through = batch.filter(pc.invert(packed)).select(["bucket", "docs", "counts", "places"])
+            yield pa.RecordBatch.from_arrays(through.columns, names=["part", "docs", "counts", "places"])
             for b, *x in zip(*(batch.filter(packed).column(c).to_pylist() for c in ("bucket", "places", "hashes", "docs", "counts")), strict=True):
                 held.setdefault(b, []).append(tuple(x))
         for b in sorted(held):
@@ -144,11 +184,11 @@ def repeated(docs: DataFrame, items: Items, across: bool, kept: int = 8, copies_
             ids = np.concatenate([np.frombuffer(p[2], np.int64).reshape(2, -1) for p in parts], axis=1)
             row = np.repeat(np.arange(ids.shape[1]), np.concatenate([np.frombuffer(p[3], "<u4") for p in parts]))
             again, _ = settle(hashes.view(np.uint64).ravel(), ids[0], ids[1], row, place)
-            for a in range(0, len(again), 1 << 20):
-                yield _answers(ids[0], ids[1], row[again[a : a + (1 << 20)]], place[again[a : a + (1 << 20)]])
+            again = again[np.argsort(row[again], kind="stable")]
+            yield pack_answers(ids[0], ids[1], row[again], place[again], buckets)
 
-    packed = docs.mapInArrow(send, "bucket int, doc_id long, mark long, places binary, hashes binary, docs binary, counts binary")
-    return packed.repartition(buckets, "bucket").mapInArrow(find, PLACES)
+    packed = docs.mapInArrow(send, "bucket int, docs binary, counts binary, places binary, hashes binary")
+    return gathered(packed.repartition(buckets, "bucket").mapInArrow(find, PACKED), buckets)
 
 
 def with_places(docs: DataFrame, places: DataFrame) -> DataFrame:

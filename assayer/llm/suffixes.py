@@ -51,7 +51,7 @@ from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from assayer.llm.common import chunks, mix, shuffle_partitions
 from assayer.llm.files import as_rows
-from assayer.llm.repeats import NO_ID, PLACES, copies, marked, repeated, unpack, with_places
+from assayer.llm.repeats import NO_ID, PACKED, PLACES, copies, gathered, marked, pack_answers, repeated, unpack, with_places
 
 LENGTH = 50
 GRAM = 24
@@ -269,7 +269,8 @@ def _split(strings: list[bytes], docs: np.ndarray, length: int, seed: int, group
     return out
 
 
-STRINGS = "bucket int, part int, string binary, doc_id long, uses binary"
+STRINGS = "bucket int, part int, string binary, doc_id long, uses binary, counts binary"
+STRING_NAMES = [x.split()[0] for x in STRINGS.split(", ")]
 
 
 class _Held:
@@ -300,9 +301,13 @@ class _Held:
             self.size += 80
 
 
-def _settled(done: dict[tuple[int, int], list[tuple[int, int]]]) -> pa.RecordBatch:
-    """As PLACES: pairs (first window, windows)."""
-    return as_rows(["doc_id", "mark", "places"], [pa.int64(), pa.int64(), pa.binary()], [(d, m, np.array(x, "<u4").tobytes()) for (d, m), x in done.items()])
+def _settled(done: dict[tuple[int, int], list[tuple[int, int]]], parts: int) -> pa.RecordBatch:
+    """Pairs (first window, windows) of documents, packed."""
+    keys = list(done)
+    count = np.array([2 * len(done[k]) for k in keys], np.int64)
+    numbers = np.array([x for k in keys for pair in done[k] for x in pair], np.int64)
+    ids = np.array(keys, np.int64).reshape(-1, 2)
+    return pack_answers(ids[:, 0], ids[:, 1], np.repeat(np.arange(len(keys)), count), numbers, parts)
 
 
 def removed(base: DataFrame, length: int = LENGTH, group_bytes: int = GROUP_BYTES) -> DataFrame:
@@ -318,19 +323,18 @@ def removed(base: DataFrame, length: int = LENGTH, group_bytes: int = GROUP_BYTE
 
         def flush() -> Iterator[pa.RecordBatch]:
             if held.done:
-                done = _settled(held.done)  # passes the merge as it is; part is null, string has the mark
-                to = pa.array(np.arange(done.num_rows) % buckets, pa.int32())
-                yield pa.RecordBatch.from_arrays([to, pa.nulls(done.num_rows, pa.int32()), done.column("mark").cast(pa.string()).cast(pa.binary()), done.column("doc_id"), done.column("places")], names=["bucket", "part", "string", "doc_id", "uses"])
+                done = _settled(held.done, buckets)  # passes the merge as it is; part is null
+                yield pa.RecordBatch.from_arrays([done.column("part"), pa.nulls(done.num_rows, pa.int32()), done.column("docs"), pa.nulls(done.num_rows, pa.int64()), done.column("places"), done.column("counts")], names=STRING_NAMES)
             rows = []
             for s, (doc, uses, _) in held.by.items():
                 o = held.owner[s]
-                rows.append(((o >> 20) % buckets, (o >> 52) % parts, s, doc, np.array(uses, np.int64).tobytes()))
+                rows.append(((o >> 20) % buckets, (o >> 52) % parts, s, doc, np.array(uses, np.int64).tobytes(), None))
                 if len(rows) == 20_000:
-                    yield as_rows(["bucket", "part", "string", "doc_id", "uses"], kinds, rows)
+                    yield as_rows(STRING_NAMES, kinds, rows)
                     rows = []
-            yield as_rows(["bucket", "part", "string", "doc_id", "uses"], kinds, rows)
+            yield as_rows(STRING_NAMES, kinds, rows)
 
-        kinds = [pa.int32(), pa.int32(), pa.binary(), pa.int64(), pa.binary()]
+        kinds = [pa.int32(), pa.int32(), pa.binary(), pa.int64(), pa.binary(), pa.binary()]
         for batch in batches:
             batch = batch.filter(batch.column("places").is_valid())
             for part, data, at in chunks(batch):
@@ -351,7 +355,6 @@ def removed(base: DataFrame, length: int = LENGTH, group_bytes: int = GROUP_BYTE
         yield from flush()
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, kinds = ["doc_id", "mark", "places"], [pa.int64(), pa.int64(), pa.binary()]
         held, done, key = _Held(), {}, None
 
         def close() -> None:
@@ -368,7 +371,7 @@ def removed(base: DataFrame, length: int = LENGTH, group_bytes: int = GROUP_BYTE
             through = batch.column("part").is_null()
             if pc.any(through).as_py():
                 own = batch.filter(through)
-                yield pa.RecordBatch.from_arrays([own.column("doc_id"), own.column("string").cast(pa.string()).cast(pa.int64()), own.column("uses")], names=names)
+                yield pa.RecordBatch.from_arrays([own.column(c) for c in ("bucket", "string", "counts", "uses")], names=["part", "docs", "counts", "places"])
                 batch = batch.filter(pc.invert(through))
             for p, s, doc, uses in zip(*(batch.column(c).to_pylist() for c in ("part", "string", "doc_id", "uses")), strict=True):
                 if p != key and held.size > group_bytes // 2:
@@ -377,10 +380,11 @@ def removed(base: DataFrame, length: int = LENGTH, group_bytes: int = GROUP_BYTE
                 for mark, start in np.frombuffer(uses, np.int64).reshape(-1, 2).tolist():
                     held.add(s, 0, doc, mark, start, len(s) - length + 1)
             if len(done) > 50_000:
-                yield _settled(done)
+                yield _settled(done, buckets)
                 done.clear()
         close()
-        yield as_rows(names, kinds, [(d, m, np.array(x, "<u4").tobytes()) for (d, m), x in done.items()])
+        if done:
+            yield _settled(done, buckets)
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -390,7 +394,7 @@ def removed(base: DataFrame, length: int = LENGTH, group_bytes: int = GROUP_BYTE
     left_out = copied.select("doc_id", "mark", F.lit(True).alias("_copy")).hint("merge")
     alone = with_places(base, places).join(left_out, ["doc_id", "mark"], "left").where("places is not null and _copy is null")
     dealt = alone.mapInArrow(strings, STRINGS).repartition(buckets, "bucket").sortWithinPartitions("part")
-    return dealt.mapInArrow(merge, PLACES).unionByName(copied.where(F.col("n_bytes") >= length).mapInArrow(whole, PLACES))
+    return gathered(dealt.mapInArrow(merge, PACKED), buckets).unionByName(copied.where(F.col("n_bytes") >= length).mapInArrow(whole, PLACES))
 
 
 def _spans(blobs: list[bytes] | None, length: int, size: int) -> list[tuple[int, int]]:
