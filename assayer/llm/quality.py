@@ -34,7 +34,7 @@ from assayer.llm.common import chunks, word_hashes
 
 BITS = 18
 ORDER = 4
-SAMPLE = 8_000
+SAMPLE = 5_000
 COST = 1.0
 SMOOTH = 1.0
 EPOCHS = 12
@@ -174,9 +174,10 @@ def fit(labelled: DataFrame, bits: int = BITS, order: int = ORDER, sample: int =
     taken = labelled.where(F.xxhash64("doc_id") <= F.lit(chosen)).select("text", "label").limit(sample).mapInArrow(vectors, "label int, features binary").toPandas()
     y = taken["label"].to_numpy()
     rows = [np.frombuffer(x, "<u4") for x in taken["features"]]
+    del taken
     if len(set(y.tolist())) < 2:
         return Model(np.zeros(1 << bits, np.float32), ratios, 1.0 if y.all() else -1.0, 30.0, 0.0, bits, order)
-    values = [_scaled(x, ratios) for x in rows]
+    values = [_scaled(x, ratios).astype(np.float32) for x in rows]
     signs = np.where(y == 1, 1, -1)
     w, bias = fit_hinge(rows, values, signs, 1 << bits)
     margins = np.empty(len(rows))
