@@ -41,6 +41,15 @@ def doc_id(name: str = "doc_id") -> Column:
     return F.nullif(F.col(name), F.lit(int(NO_ID)))
 
 
+def _planes(numbers: np.ndarray) -> np.ndarray:
+    """First bytes, second bytes and so on: the high ones are alike and compress."""
+    return np.ascontiguousarray(numbers.view(np.uint8).reshape(len(numbers), -1).T).reshape(-1)
+
+
+def _from_planes(data: bytes, kind) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(np.dtype(kind).itemsize, -1).T).reshape(-1).view(kind)
+
+
 PACKED = "part int, docs binary, counts binary, places binary"
 
 
@@ -161,8 +170,9 @@ def repeated(docs: DataFrame, items: Items, across: bool, kept: int = 8, copies_
                 for a, b in zip(cuts, [*cuts[1:], len(bucket)], strict=True):
                     own_row, count = np.unique(row[a:b], return_counts=True)
                     short = np.ascontiguousarray(hashes[a:b]).view(np.uint8).reshape(-1, 8)[:, :kept]  # and the bucket
-                    planes = place[a:b].astype("<u4").view(np.uint8).reshape(-1, 4).T  # the high bytes together: they compress
-                    rows.append((int(bucket[a]), np.stack([doc[own_row], mark[own_row]]).tobytes(), count.astype("<u4").tobytes(), planes.tobytes(), short.tobytes()))
+                    planes = _planes(place[a:b].astype("<u4"))
+                    ids = np.stack([_planes(doc[own_row]), mark[own_row].view(np.uint8)])
+                    rows.append((int(bucket[a]), ids.tobytes(), count.astype("<u4").tobytes(), planes.tobytes(), short.tobytes()))
                 cols = list(zip(*rows, strict=True))
                 yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), *(pa.array(c, pa.binary()) for c in cols[1:])], names=["bucket", "docs", "counts", "places", "hashes"])
 
@@ -178,10 +188,10 @@ def repeated(docs: DataFrame, items: Items, across: bool, kept: int = 8, copies_
                 held.setdefault(b, []).append(tuple(x))
         for b in sorted(held):
             parts = held.pop(b)
-            place = np.concatenate([np.frombuffer(p[0], np.uint8).reshape(4, -1).T.reshape(-1).view("<u4") for p in parts])
+            place = np.concatenate([_from_planes(p[0], "<u4") for p in parts])
             hashes = np.zeros((len(place), 8), np.uint8)
             hashes[:, :kept] = np.frombuffer(b"".join(p[1] for p in parts), np.uint8).reshape(-1, kept)
-            ids = np.concatenate([np.frombuffer(p[2], np.int64).reshape(2, -1) for p in parts], axis=1)
+            ids = np.stack([np.concatenate(x) for x in zip(*((_from_planes(p[2][: len(p[2]) // 2], np.int64), np.frombuffer(p[2], np.int64)[len(p[2]) // 16 :]) for p in parts), strict=True)])
             row = np.repeat(np.arange(ids.shape[1]), np.concatenate([np.frombuffer(p[3], "<u4") for p in parts]))
             again, _ = settle(hashes.view(np.uint64).ravel(), ids[0], ids[1], row, place)
             again = again[np.argsort(row[again], kind="stable")]

@@ -58,7 +58,7 @@ GRAM = 24
 OWNER = 8
 SHARDS = 4
 GROUP_BYTES = 1 << 20
-HELD_BYTES = 24 << 20
+HELD_BYTES = 48 << 20
 _TABLE = mix(np.arange(1, 257, dtype=np.uint64))
 _ODD = [int(x) | 1 for x in mix(np.arange(11, 20, dtype=np.uint64))]
 
@@ -315,7 +315,7 @@ def removed(base: DataFrame, length: int = LENGTH, group_bytes: int = GROUP_BYTE
     spark = base.sparkSession
     buckets = shuffle_partitions(spark)
     parts = 64
-    places = repeated(base, lambda data, at: anchors(data, at, length), across=True, kept=5, copies_apart=True)  # looking alike is enough to be a candidate
+    places = repeated(base, lambda data, at: anchors(data, at, length), across=True, kept=4, copies_apart=True)  # looking alike is enough to be a candidate
     copied = copies(base)
 
     def strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
