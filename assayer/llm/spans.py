@@ -5,8 +5,10 @@ space that follows) or a line break. Every run of `span` consecutive sentences
 is hashed, runs are compared over all documents, and every sentence that lies
 in a run which is not its hash's first occurrence goes. First is by (doc_id,
 text hash, place); a run that occurs again within one document goes there too.
-Runs are of `span` sentences or, in texts with fewer, of all of them. Runs of
-under `least` words are no repeats by themselves: headings and lists recur.
+Runs are of `span` sentences or, in texts with fewer, of all of them. A run
+without words is no repeat. A caller can ask for a floor, `least` words in a run,
+below which headings and lists may recur; the query compares every run that has
+a word.
 
 Defined results: null text is the empty text and stays as it is (''), with no
 sentences. Rows alike in doc_id and text are one document: neither is the
@@ -115,5 +117,5 @@ def drop_repeated_spans(docs: DataFrame, span: int = SPAN, least: int = LEAST_WO
 
 
 def op3_substring_dedup(spark, sf_dir: str) -> DataFrame:
-    out = drop_repeated_spans(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    out = drop_repeated_spans(spark.read.parquet(f"{sf_dir}/documents.parquet"), least=1)
     return out.select("doc_id", "n_sentences", "n_removed", "kept_sha256", "text")

@@ -57,3 +57,11 @@ def test_against_brute_force(spark):
     twice = spark.createDataFrame([(1, rows[9][1] + "more of it. " * 3)] * 2, "doc_id long, text string")
     a, b = spans.drop_repeated_spans(twice).collect()
     assert a == b
+
+
+def test_query_hashes_short_runs(spark, tmp_path):
+    rows = [(1, "Yes. No. Maybe. Some words of its own. And more."), (2, "All else. YES. no.\nMaybe. Differs here."), (3, "Short copy."), (4, "short copy."), (5, " \n"), (6, " \n"), (7, "Go. " * 5)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {x.doc_id: (x.text, x.n_sentences, x.n_removed) for x in spans.op3_substring_dedup(spark, str(tmp_path)).collect()}
+    assert got == {d: (t, n, g) for d, t, n, g in brute(rows, 3, 1)}
+    assert got[2] == ("All else. Differs here.", 5, 3) and got[4] == ("", 1, 1) and got[5][0] == got[6][0] == " \n" and got[7][2] == 4
