@@ -9,6 +9,11 @@ which 80 in 100 shingles lie in the window has a Jaccard similarity of 0.32 at
 least with it, and the minimum hashes of the two agree in one of HASHES places
 with a probability of over 0.99999. Such pairs are candidates.
 
+Items of up to FEW different shingles are too small for that: a window holds
+several times as many. They are looked up instead, without loss: of an item with
+n shingles, n - m + 1 (the rarest of the block) are indexed, m being how many a
+document must have, and a document with any of these is a candidate.
+
 Candidates are verified exactly, shingle by shingle, as words: containment is
 the share of the item's distinct shingles that occur in the whole document.
 
@@ -39,6 +44,7 @@ from assayer.llm.files import as_rows
 WORDS = 5
 PERCENT = 80
 HASHES = 32
+FEW = 8
 BLOCK_ITEMS = 20_000
 BLOCK_BYTES = 16 << 20
 _WORD = re.compile(r"[^ \t-\r]+")
@@ -64,15 +70,36 @@ def size_class(n: int) -> int:
 
 @dataclass
 class Index:
-    """A block of items. For each size class and hash: the items' minimum hashes, ascending, and whose they are."""
+    """A block of items. For each size class and hash: the items' minimum hashes, ascending, and whose they are.
+
+    keys: ascending, the shingles by which small items are looked up; owners[keys_at[i]:keys_at[i + 1]] are those of a key.
+    """
 
     k: int
     ids: list[int | None] = field(default_factory=list)
     sets: list[set] = field(default_factory=list)
     classes: dict[int, tuple[np.ndarray, np.ndarray]] = field(default_factory=dict)
-
-
-def build(items: list[tuple[int | None, str | None]], k: int = WORDS) -> Index:
+    keys: np.ndarray = field(default_factory=lambda: np.zeros(0, np.uint64))
+    keys_at: np.ndarray = field(default_factory=lambda: np.zeros(1, np.int64))
+    owners: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
+
+
+def _look_up(index: Index, small: dict[int, np.ndarray], percent: int) -> None:
+    """Index small items, given by their number and different hashes, by as many rare ones as leave no match out."""
+    seen, count = np.unique(np.concatenate(list(small.values())), return_counts=True)
+    keys, owners = [], []
+    for n, own in small.items():
+        must = max(1, -(-percent * len(own) // 100))
+        rare = own[np.argsort(count[np.searchsorted(seen, own)], kind="stable")][: len(own) - min(must, len(own)) + 1]
+        keys.append(rare)
+        owners.append(np.full(len(rare), n))
+    keys, owners = np.concatenate(keys), np.concatenate(owners)
+    order = np.argsort(keys, kind="stable")
+    index.keys, first = np.unique(keys[order], return_index=True)
+    index.keys_at, index.owners = np.append(first, len(keys)), owners[order]
+
+
+def build(items: list[tuple[int | None, str | None]], k: int = WORDS, percent: int = PERCENT) -> Index:
     index = Index(k)
     items = [(i, t) for i, t in items if shingles(t, k)]
     if not items:
@@ -82,10 +109,16 @@ def build(items: list[tuple[int | None, str | None]], k: int = WORDS) -> Index:
     hashes, place = shingle_hashes(words, bounds, k)
     lows = np.stack([np.minimum.reduceat((hashes ^ _XOR[h]) * _TIMES[h], place[:-1]) for h in range(HASHES)])
     members: dict[int, list[int]] = {}
+    small: dict[int, np.ndarray] = {}
     for n, (item, text) in enumerate(items):
         index.ids.append(item)
         index.sets.append(shingles(text, k))
-        members.setdefault(size_class(int(place[n + 1] - place[n])), []).append(n)
+        if len(index.sets[n]) <= FEW:
+            small[n] = np.unique(hashes[place[n] : place[n + 1]])
+        else:
+            members.setdefault(size_class(int(place[n + 1] - place[n])), []).append(n)
+    if small:
+        _look_up(index, small, percent)
     for c, own in members.items():
         own_lows = lows[:, own]
         order = np.argsort(own_lows, axis=1, kind="stable")
@@ -102,9 +135,15 @@ def _granules(counts: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def candidates(index: Index, hashes: np.ndarray, place: np.ndarray) -> set[tuple[int, int]]:
-    """(row, item's number) whose minimum hashes agree in a window of the item's class."""
+    """(row, item's number) whose minimum hashes agree in a window of the item's class, or that share a key of a small item."""
     counts = np.diff(place)
     pairs: set[tuple[int, int]] = set()
+    if len(hashes) and len(index.keys):
+        at = np.minimum(np.searchsorted(index.keys, hashes), len(index.keys) - 1)
+        hit = np.flatnonzero(index.keys[at] == hashes)
+        found = np.unique((np.searchsorted(place, hit, "right") - 1) * len(index.keys) + at[hit])
+        for r, key in zip((found // len(index.keys)).tolist(), (found % len(index.keys)).tolist(), strict=True):
+            pairs.update((r, n) for n in index.owners[index.keys_at[key] : index.keys_at[key + 1]].tolist())
     if not len(hashes) or not index.classes:
         return pairs
     plans = {}
@@ -159,20 +198,20 @@ def matches(index: Index, part: pa.RecordBatch, text: str, data: np.ndarray, at:
     return out
 
 
-def blocks(benchmark: DataFrame, k: int = WORDS, block_items: int = BLOCK_ITEMS, block_bytes: int = BLOCK_BYTES) -> Iterator[Index]:
+def blocks(benchmark: DataFrame, k: int = WORDS, block_items: int = BLOCK_ITEMS, block_bytes: int = BLOCK_BYTES, percent: int = PERCENT) -> Iterator[Index]:
     """Indexes of blocks of items, each of about the given number and bytes at most."""
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
     n, size = items.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
     total = max(1, -(-2 * n // block_items), -(-2 * size // block_bytes)) if n > block_items or size > block_bytes else 1
     for b in range(total):
         part = items if total == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(total)) == b)
-        yield build([(r.item_id, r.text) for r in part.collect()], k)  # bounded by the block
+        yield build([(r.item_id, r.text) for r in part.collect()], k, percent)  # bounded by the block
 
 
 def search(docs: DataFrame, benchmark: DataFrame, k: int = WORDS, percent: int = PERCENT, **bounds: int) -> DataFrame:
     """(doc_id, item_id, n_item_shingles, n_shared, containment) of every pair of at least percent."""
     out = None
-    for index in blocks(benchmark, k, **bounds):
+    for index in blocks(benchmark, k, percent=percent, **bounds):
         shared = docs.sparkSession.sparkContext.broadcast(index)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
@@ -192,7 +231,7 @@ def search(docs: DataFrame, benchmark: DataFrame, k: int = WORDS, percent: int =
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, k: int = WORDS, percent: int = PERCENT, text: str = "text", **bounds: int) -> DataFrame:
     """docs without the rows that contain an item; all columns are kept."""
-    for index in blocks(benchmark, k, **bounds):
+    for index in blocks(benchmark, k, percent=percent, **bounds):
         shared = docs.sparkSession.sparkContext.broadcast(index)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:

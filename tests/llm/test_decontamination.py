@@ -41,3 +41,22 @@ def test_edges(spark):
     assert d.decontaminate(docs, none).count() == 1
     assert d.search(docs.limit(0), spark.createDataFrame([(1, "a b c d e f")], "item_id long, text string")).count() == 0
     assert [d.size_class(n) for n in (1, 8, 9, 13, 17, 25, 33, 49)] == [8, 8, 12, 16, 24, 32, 48, 64]
+
+
+def test_small_items_in_long_documents(spark):
+    r = random.Random(8)
+    items = [(i, " ".join(f"q{i}x{j}" for j in range(5 + i % 8))) for i in range(24)]
+    items += [(24, items[0][1]), (25, "q0x0 q0x1 q0x2 q0x3 q0x4 other"), (26, "la " * 40)]
+    rows = []
+    for i in range(120):
+        words = [f"w{r.randrange(5000)}" for _ in range(1500)]
+        for item in r.sample(range(26), 4) + [26] * (i % 9 == 0):
+            at = r.randrange(len(words) + 1)
+            words[at:at] = items[item][1].split()[: 11 if i % 2 else None]
+        rows.append((i, " ".join(words)))
+    sets = [d.shingles(t) for _, t in items]
+    want = [(i, n, len(s), len(s & own)) for i, t in rows for own in [d.shingles(t)] for n, s in enumerate(sets) if 100 * len(s & own) >= 80 * len(s)]
+    docs, bench = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = [(x.doc_id, x.item_id, x.n_item_shingles, x.n_shared) for x in d.search(docs, bench).collect()]
+    assert sorted(got) == want and len(want) > 400
+    assert d.decontaminate(docs, bench.where("item_id < 8")).count() == len(rows) - len({x[0] for x in want if x[1] < 8})
