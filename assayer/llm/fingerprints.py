@@ -1,7 +1,7 @@
 """Document fingerprints: invertible Bloom lookup sketches of paragraphs. DataFrame and SQL functions only.
 
-A text's paragraphs are its lines; a line over LONG characters is cut after
-full stops. The set of a text holds a 64-bit key for each different paragraph,
+A text's paragraphs are its lines, cut after full stops whatever their length
+(LONG is 0), so a passage gives the same keys wherever it stands. The set of a text holds a 64-bit key for each different paragraph,
 of its hash and how often it occurs. A sketch has CELLS cells in three tables;
 a key goes into one cell of each, which keeps how many keys it holds, their xor
 and the xor of their check hashes. The fingerprint is the sketch's non-empty
@@ -31,7 +31,7 @@ from assayer.llm.repeats import NO_ID
 
 CELLS = 48
 TABLE = CELLS // 3
-LONG = 500
+LONG = 0
 ROUNDS = 14
 ATTEMPTS = 5
 PER_SKETCH = 16

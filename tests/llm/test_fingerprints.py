@@ -53,3 +53,13 @@ def test_one_and_none(spark):
     one = f.fingerprints(spark.createDataFrame([(1, "a\nb")], "doc_id long, text string")).first()
     assert one.near_next == 1.0 and one.edited_sha256 == hashlib.sha256(b"a\na").hexdigest()
     assert f.fingerprints(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_cut_whatever_the_length(spark):
+    short = "One thing. Another thing. A third thing. The fourth."
+    same = "".join(f"Sentence number {i} stands here. " for i in range(12))
+    rows = [(1, short), (2, f"Zz. {short}"), (3, same + "Only the first has this. " * 10), (4, same + "And this is the second's. ")]
+    got = {x.doc_id: x for x in f.fingerprints(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert round(got[1].near_next, 9) == 0.8  # four of five, both lines short
+    assert len(rows[2][1]) > 500 > len(rows[3][1]) and round(got[3].near_next, 9) == round(12 / 14, 9)
+    assert all(x.near_edited > 0 for x in got.values())
