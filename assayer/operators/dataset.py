@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from assayer.functions import keys, text
@@ -110,4 +110,8 @@ def supervised_pairs(items: DataFrame, family: Column, system: Column, user: Col
 def over_length(pairs: DataFrame, kind: Column, key: str, limit: int, shown: int = 20) -> DataFrame:
     """For each kind: how many are over the limit, the longest, and the first keys of them."""
     bad = pairs.where(F.col("tokens") > limit).select(kind.alias("kind"), F.col(key).alias("_key"), "tokens")
-    return bad.groupBy("kind").agg(F.count("*").alias("n_over"), F.max("tokens").alias("longest"), F.slice(F.sort_array(F.collect_set("_key")), 1, shown).alias("examples"))
+    own = bad.groupBy("kind", "_key").agg(F.count("*").alias("_n"), F.max("tokens").alias("_longest")).withColumn("_bucket", F.pmod(F.xxhash64("_key"), F.lit(256)))
+    # the first keys of a kind are among the first of its buckets: no group gathers more than these
+    within = Window.partitionBy("kind", "_bucket").orderBy(F.col("_key").asc_nulls_last())
+    firsts = F.collect_list(F.when(F.col("_rank") <= shown, F.col("_key")))
+    return own.withColumn("_rank", F.row_number().over(within)).groupBy("kind").agg(F.sum("_n").alias("n_over"), F.max("_longest").alias("longest"), F.slice(F.sort_array(firsts), 1, shown).alias("examples"))

@@ -235,3 +235,10 @@ def test_resampling(spark):
     p = 2 * (1 - statistics.NormalDist().cdf(z))
     assert abs(out.randomization_p_value - p) < 0.05
     assert significance.paired_tests(diffs, 1500, 1).first() == out
+
+
+def test_over_length_gathers_first_keys_only(spark):
+    rows = [("a", f"k{i * 7919 % 3000:04}", 61 + i % 5) for i in range(6000)] + [("a", None, 90), ("b", None, 70), (None, "x", 61), ("a", "k", 60)]
+    out = dataset.over_length(spark.createDataFrame(rows, "model string, key string, tokens int"), F.col("model"), "key", 60)
+    assert {r.kind: (r.n_over, r.longest, r.examples) for r in out.collect()} == {"a": (6001, 90, [f"k{i:04}" for i in range(20)]), "b": (1, 70, []), None: (1, 61, ["x"])}
+    assert "collect_set" not in out._jdf.queryExecution().toString()
