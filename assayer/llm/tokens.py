@@ -2,9 +2,9 @@
 
 The tokenizer cuts a text into words first and encodes each by itself, so the
 ids of a text are the ids of its words joined. Texts with characters outside
-the Latin blocks (where normalisation could reach across words), control
-characters that the two regex engines class apart, or the names of special
-tokens go through the tokenizer whole.
+the Latin blocks (where normalisation could reach across words), letters whose
+small form lies outside them, control characters that the two regex engines
+class apart, or the names of special tokens go through the tokenizer whole.
 """
 
 from __future__ import annotations
@@ -16,9 +16,11 @@ import unicodedata
 import numpy as np
 
 _LATIN = [chr(c) for c in range(0x250)]
+_KNOWN = frozenset(_LATIN)
+_BLANK = "\t\n\x0b\x0c\r"
 _LETTERS = "".join(c for c in _LATIN if unicodedata.category(c)[0] == "L")
 _NUMBERS = "".join(c for c in _LATIN if unicodedata.category(c)[0] == "N")
-_PLAIN = re.compile(r"[\t-\r -~\xa1-įı-ɏ]*")
+_PLAIN = re.compile(f"[{re.escape(''.join(c for c in _LATIN if (c in _BLANK or ' ' <= c <= '~' or c >= '\xa1') and c.lower() in _KNOWN))}]*")
 _WORDS = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[{_NUMBERS}]|[^\s{_LETTERS}{_NUMBERS}]+")
 _SPECIAL = "<|"
 

@@ -21,6 +21,17 @@ def test_ids_equal_the_tokenizer():
         assert np.frombuffer(own.encode(t), "<u4").tolist() == whole.encode(t, add_special_tokens=False).ids
 
 
+def test_ids_of_every_latin_character_and_of_random_strings():
+    whole, own = Tokenizer.from_file(tokens.default_path()), tokens.WordEncoder(tokens.default_path())
+    latin = [chr(c) for c in range(0x250)]
+    r = random.Random(9)
+    found = [x for c in latin for x in (c, f"a{c}b", f"{c}word", f"word{c}", f"{c}{c}", f"a {c} b")]
+    found += ["".join(r.choice(latin) for _ in range(r.randrange(1, 12))) for _ in range(50_000)]
+    found += ["".join(r.choice(latin if r.random() < 0.2 else "abc 'sT.9") for _ in range(r.randrange(1, 30))) for _ in range(50_000)]
+    want = whole.encode_batch(found, add_special_tokens=False)
+    assert not [t for t, w in zip(found, want) if np.frombuffer(own.encode(t), "<u4").tolist() != w.ids]
+
+
 def check(rows, wanted, size):
     by = {}
     for r in rows:
