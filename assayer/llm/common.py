@@ -14,6 +14,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 CHUNK_BYTES = 2 << 20
 _BASE = 0x9E3779B97F4A7C15  # odd, so it has an inverse modulo 2**64
@@ -21,12 +22,14 @@ _INVERSE = pow(_BASE, -1, 1 << 64)
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's checkpoint folder; a temporary one only where none is set, as in tests."""
+    """The cluster's checkpoint folder; a temporary one only where none is set and all runs on one machine, as in tests."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         found = spark.sparkContext._jsc.sc().getCheckpointDir()
         found = found.get() if found.isDefined() else None
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="spark-")
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
@@ -44,6 +47,26 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
+_even: dict[int, np.ndarray] = {}
+
+
+def even_keys(spark: SparkSession, n: int) -> np.ndarray:
+    """n integers of which repartition(n, key) deals each to a partition of its own; plain numbers would share some and leave others empty."""
+    if n not in _even:
+        keys = np.arange(n, dtype=np.int32)
+        numbers = spark.range(0, 16 * n + 16, 1, 1).select(F.col("id").cast("int").alias("key"))
+        for key, part in numbers.select("key", F.pmod(F.hash("key"), F.lit(n))).collect()[::-1]:
+            keys[part] = key
+        taken = set()
+        for i, key in enumerate(keys.tolist()):  # a partition that no number fell to: any number not used yet
+            while key in taken:
+                key += 16 * n + 16
+            keys[i] = key
+            taken.add(key)
+        _even[n] = keys
+    return _even[n]
+
+
 def bytes_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The UTF-8 bytes of a column of strings, joined, and the offset of each row; null is empty."""
     if isinstance(column, pa.ChunkedArray):

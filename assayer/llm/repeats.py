@@ -22,9 +22,10 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from assayer.llm.common import chunks, mix, shuffle_partitions
+from assayer.llm.common import chunks, even_keys, mix, shuffle_partitions, staged
 
 NO_ID = np.iinfo(np.int64).max  # stands for a null doc_id, which sorts last
+SALTS = 16
 PLACES = "doc_id long, mark long, places binary"
 
 #: (data, offsets) of a chunk -> hashes, row of each, place of each (uint32)
@@ -53,20 +54,20 @@ def _from_planes(data: bytes, kind) -> np.ndarray:
 PACKED = "part int, docs binary, counts binary, places binary"
 
 
-def pack_answers(doc: np.ndarray, mark: np.ndarray, row: np.ndarray, numbers: np.ndarray, parts: int) -> pa.RecordBatch:
-    """Numbers (uint32) for rows (doc, mark), packed in one row for each part of the documents. row must be ascending."""
+def pack_answers(doc: np.ndarray, mark: np.ndarray, row: np.ndarray, numbers: np.ndarray, keys: np.ndarray) -> pa.RecordBatch:
+    """Numbers (uint32) for rows (doc, mark), packed in one row for each part of the documents. row must be ascending; keys: of the parts, see even_keys."""
     if not len(row):
         return pa.RecordBatch.from_arrays([pa.array([], k) for k in (pa.int32(), pa.binary(), pa.binary(), pa.binary())], names=["part", "docs", "counts", "places"])
     begins = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]]))
     count = np.diff(np.concatenate([begins, [len(row)]]))
     d, m = doc[row[begins]], mark[row[begins]]
-    part = (mix(d.astype(np.uint64) * np.uint64(3) ^ m.astype(np.uint64)) % np.uint64(parts)).astype(np.int64)
+    part = (mix(d.astype(np.uint64) * np.uint64(3) ^ m.astype(np.uint64)) % np.uint64(len(keys))).astype(np.int64)
     order = np.argsort(part, kind="stable")
     item = np.repeat(begins[order] - (np.cumsum(count[order]) - count[order]), count[order]) + np.arange(len(row))
     d, m, part, count, numbers = d[order], m[order], part[order], count[order], numbers[item].astype("<u4")
     at = np.concatenate([[0], np.cumsum(count)])
     cuts = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
-    rows = [(int(part[i]), np.stack([d[i:j], m[i:j]]).tobytes(), count[i:j].astype("<u4").tobytes(), numbers[at[i] : at[j]].tobytes()) for i, j in zip(cuts, [*cuts[1:], len(part)], strict=True)]
+    rows = [(int(keys[part[i]]), np.stack([d[i:j], m[i:j]]).tobytes(), count[i:j].astype("<u4").tobytes(), numbers[at[i] : at[j]].tobytes()) for i, j in zip(cuts, [*cuts[1:], len(part)], strict=True)]
     cols = list(zip(*rows, strict=True))
     return pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(cols, (pa.int32(), pa.binary(), pa.binary(), pa.binary()), strict=True)], names=["part", "docs", "counts", "places"])
 
@@ -112,10 +113,13 @@ def _without_copies(batch: pa.RecordBatch, seen: dict[tuple[int, int], int]) ->
 
 def copies(docs: DataFrame) -> DataFrame:
     """(doc_id, mark, n_bytes) of the documents (marked) whose text one with a smaller doc_id has too. Texts count as equal by 128 bits of hash and length."""
-    ids = docs.select("doc_id", "mark", F.xxhash64(F.lit(1), "text").alias("_second"), F.octet_length("text").alias("n_bytes"))
+    ids = staged(docs.select("doc_id", "mark", F.xxhash64(F.lit(1), "text").alias("_second"), F.octet_length("text").alias("n_bytes")), "ids")
     by = ["mark", "_second", "n_bytes"]
     least = ids.groupBy(*by).agg(F.min("doc_id").alias("_least"), F.max("doc_id").alias("_most")).where("_least < _most").drop("_most")
-    return ids.join(least.hint("merge"), by).where("doc_id > _least").select("doc_id", "mark", "n_bytes").distinct()
+    # a text that very many have is dealt to SALTS tasks
+    least = least.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salted = ids.withColumn("_salt", F.pmod(F.hash("doc_id"), F.lit(SALTS)))
+    return staged(salted.join(least.hint("merge"), [*by, "_salt"]).where("doc_id > _least").select("doc_id", "mark", "n_bytes").distinct(), "copies")
 
 
 def repeated(docs: DataFrame, items: Items, across: bool, kept: int = 8, copies_apart: bool = False) -> DataFrame:
@@ -130,6 +134,7 @@ def repeated(docs: DataFrame, items: Items, across: bool, kept: int = 8, copies_
     """
     spark = docs.sparkSession
     buckets = shuffle_partitions(spark)
+    keys = even_keys(spark, buckets)
 
     def settle(hashes: np.ndarray, doc: np.ndarray, mark: np.ndarray, row: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(what repeats, what stands for each hash elsewhere) as places in the arrays."""
@@ -158,7 +163,7 @@ def repeated(docs: DataFrame, items: Items, across: bool, kept: int = 8, copies_
                     continue
                 known, first = settle(hashes, doc, mark, row, place)
                 by = known[np.argsort(row[known], kind="stable")]
-                own = pack_answers(doc, mark, row[by], place[by], buckets)
+                own = pack_answers(doc, mark, row[by], place[by], keys)
                 if own.num_rows:  # without hashes: passes the buckets as it is
                     yield pa.RecordBatch.from_arrays([*own.columns, pa.nulls(own.num_rows, pa.binary())], names=["bucket", "docs", "counts", "places", "hashes"])
                 hashes, row, place = hashes[first], row[first], place[first]
@@ -172,7 +177,7 @@ def repeated(docs: DataFrame, items: Items, across: bool, kept: int = 8, copies_
                     short = np.ascontiguousarray(hashes[a:b]).view(np.uint8).reshape(-1, 8)[:, :kept]  # and the bucket
                     planes = _planes(place[a:b].astype("<u4"))
                     ids = np.stack([_planes(doc[own_row]), mark[own_row].view(np.uint8)])
-                    rows.append((int(bucket[a]), ids.tobytes(), count.astype("<u4").tobytes(), planes.tobytes(), short.tobytes()))
+                    rows.append((int(keys[bucket[a]]), ids.tobytes(), count.astype("<u4").tobytes(), planes.tobytes(), short.tobytes()))
                 cols = list(zip(*rows, strict=True))
                 yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), *(pa.array(c, pa.binary()) for c in cols[1:])], names=["bucket", "docs", "counts", "places", "hashes"])
 
@@ -195,7 +200,7 @@ def repeated(docs: DataFrame, items: Items, across: bool, kept: int = 8, copies_
             row = np.repeat(np.arange(ids.shape[1]), np.concatenate([np.frombuffer(p[3], "<u4") for p in parts]))
             again, _ = settle(hashes.view(np.uint64).ravel(), ids[0], ids[1], row, place)
             again = again[np.argsort(row[again], kind="stable")]
-            yield pack_answers(ids[0], ids[1], row[again], place[again], buckets)
+            yield pack_answers(ids[0], ids[1], row[again], place[again], keys)
 
     packed = docs.mapInArrow(send, "bucket int, docs binary, counts binary, places binary, hashes binary")
     return gathered(packed.repartition(buckets, "bucket").mapInArrow(find, PACKED), buckets)

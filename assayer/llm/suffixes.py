@@ -10,24 +10,20 @@ a document with a smaller doc_id goes; strings never cross documents.
    documents of different ids (one shuffle of packed hashes) mark the windows
    that can repeat at all; all others are left alone. Nothing is lost: a string
    in two documents has its anchor in both.
-2. Buckets. Each marked window goes to the bucket of its owner, the least hash
+2. Groups. Each marked window goes to the group of its owner, the least hash
    of its `OWNER`-byte runs; neighbouring windows of one owner go as one string
-   (string of n windows: n + length - 1 bytes). Equal windows meet in a bucket.
+   (string of n windows: n + length - 1 bytes). Equal windows meet in a group.
    Equal strings of a task go once, with the smallest doc_id among them: the
-   windows of the others are settled there and then.
-3. Within a bucket, the distinct strings form shards. Each shard's suffixes are
-   sorted and give its transform. The shards' transforms are merged without
-   sorting suffixes across shards: starting from the shards one after another,
-   each round of refinement reads the transforms in the interleave's order and
-   deals the entries out by symbol, stably; after round r the interleave is in
-   order of the first r bytes, and the borders between entries that differ there
-   are the places where the common prefix is under r. Entries alone between two
-   borders stay so and take no further part. After `length` rounds, what lies
-   between two borders is an interval of one repeated `length`-byte string.
-   Its smallest doc_id decides for all its windows.
-   A group of strings over GROUP_BYTES, which all have one owner, is split by
-   new owners (other hashes) of their windows, again and again; so a passage in
-   very many contexts never makes one large group.
+   windows of the others are settled there and then, so a passage that very many
+   documents share sends one string for each task.
+3. Within a group, what one task sent is a shard. Each shard's suffixes are
+   sorted and give its transform, and the transforms of all tasks' shards are
+   merged by refinement (transforms.py). What lies between two borders in the
+   end is an interval of one repeated `length`-byte string. Its smallest doc_id
+   decides for all its windows.
+   A group of over GROUP_BYTES is not merged: its strings are dealt out anew, by
+   owners under other hashes, and go through 2 and 3 again, as often as it takes.
+   No task holds more than one group, nor more of it than that.
 4. Removed windows go back to their documents, which are cut.
 
 Defined results: null text is the empty text. Rows of one doc_id never remove
@@ -45,20 +41,24 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from assayer.llm.common import chunks, mix, shuffle_partitions
+from assayer.llm.common import chunks, even_keys, mix, shuffle_partitions, staged
 from assayer.llm.files import as_rows
-from assayer.llm.repeats import NO_ID, PACKED, PLACES, copies, gathered, marked, pack_answers, repeated, unpack, with_places
+from assayer.llm.repeats import NO_ID, PLACES, copies, gathered, marked, pack_answers, repeated, with_places
+from assayer.llm.transforms import encoded, merged_intervals, repeats_of_later
 
 LENGTH = 50
 GRAM = 24
 OWNER = 8
-SHARDS = 4
-GROUP_BYTES = 1 << 20
-HELD_BYTES = 48 << 20
+MOST_WINDOWS = 64
+GROUPS = 64  # for each shuffle partition
+GROUP_BYTES = 4 << 20
+HELD_BYTES = 8 << 20
+LEVELS = 60
 _TABLE = mix(np.arange(1, 257, dtype=np.uint64))
 _ODD = [int(x) | 1 for x in mix(np.arange(11, 20, dtype=np.uint64))]
 
@@ -118,273 +118,233 @@ def owned_runs(data: np.ndarray, windows: np.ndarray, length: int, seed: int) ->
     owner = low[windows]
     begins = np.concatenate([[True], (owner[1:] != owner[:-1]) | (windows[1:] != windows[:-1] + 1)])
     first = np.flatnonzero(begins)
-    return windows[first], np.diff(np.concatenate([first, [len(windows)]])), owner[first]
-
-
-def sort_shard(text: np.ndarray, depth: int) -> np.ndarray:
-    """Places of text in the order of their first `depth` symbols (as far as text goes).
-
-    Eight bytes at once, then by doubling: what is still tied is sorted by the
-    rank of the suffix that begins where the known part ends.
-    """
-    n = len(text)
-    padded = np.concatenate([text, np.zeros(8, np.uint8)])
-    key = np.zeros(n, np.uint64)
-    for j in range(8):
-        key = (key << np.uint64(8)) | padded[j : j + n]
-    order = np.argsort(key)
-    key = key[order]
-    fresh = np.concatenate([[True], key[1:] != key[:-1]])
-    slots = np.arange(n)
-    rank = np.empty(n + depth, np.int64)
-    rank[n:] = -1
-    rank[order] = np.maximum.accumulate(np.where(fresh, slots, 0))
-    known = 8
-    while known < depth:
-        tied = np.flatnonzero(~(fresh & np.concatenate([fresh[1:], [True]])))
-        if not len(tied):
-            break
-        step = min(known, depth - known)
-        own = order[tied]
-        key = (rank[own] << 32) | (rank[own + step] + 1)
-        by = np.argsort(key)
-        own, key = own[by], key[by]
-        order[tied] = own
-        first = np.concatenate([[True], key[1:] != key[:-1]])
-        fresh[tied] = first
-        rank[own] = np.maximum.accumulate(np.where(first, tied, 0))
-        known += step
-    return order
-
-
-def merged_intervals(shards: list[np.ndarray], length: int) -> tuple[np.ndarray, np.ndarray]:
-    """(places in the shards one after another, interval of each) of the suffixes whose first `length` bytes occur again.
-
-    A shard is text whose strings each end with byte 0, which text itself has
-    as 255: see _encode. Entries are named by their place in the shards'
-    transforms, one shard after another.
-    """
-    symbols, back, where, base = [], [], [], 0
-    for text in shards:
-        order = sort_shard(text, length)
-        symbol = text[order - 1]  # the transform: what precedes; the first place has the last string's end before it
-        rank = np.empty(len(text), np.int64)
-        rank[order] = np.arange(len(text))
-        back.append(base + rank[order - 1])  # the entry of the suffix that is one byte longer
-        symbols.append(symbol)
-        where.append(base + order)
-        base += len(text)
-    symbol, back, where = np.concatenate(symbols), np.concatenate(back).astype(np.int32), np.concatenate(where)
-    entries = np.arange(base, dtype=np.int32)
-    block = np.zeros(base, np.int32)
-    for r in range(length):
-        c = symbol[entries]
-        live = np.flatnonzero(c)  # a string's end begins no repeat
-        entries, block, c = entries[live], block[live], c[live]
-        order = np.argsort(c, kind="stable")
-        c, block = c[order], block[order]
-        entries = back[entries[order]]
-        if not len(entries):
-            break
-        border = np.concatenate([[True], (c[1:] != c[:-1]) | (block[1:] != block[:-1])])
-        block = np.cumsum(border, dtype=np.int32) - 1
-        if r > 3:
-            alone = border & np.concatenate([border[1:], [True]])
-            entries, block = entries[~alone], block[~alone]
-    return where[entries], block
-
-
-def _encode(strings: list[bytes]) -> np.ndarray:
-    """Strings one after another, an end (0) after each; byte 0 within a string becomes 255, which UTF-8 never has."""
-    text = b"\xff".join(strings) + b"\xff"
-    out = np.frombuffer(text, np.uint8).copy()
-    zero, end = out == 0, out == 255
-    out[zero], out[end] = 255, 0
-    return out
-
-
-def first_documents(strings: list[bytes], docs: np.ndarray, length: int, seed: int = 0, group_bytes: int = GROUP_BYTES) -> list[tuple[int, int, int]]:
-    """(string, first window, windows) of what occurs in a string with a smaller doc. Strings differ; docs: the smallest doc of each."""
-    size = sum(map(len, strings))
-    if size > group_bytes and len(strings) > 1 and seed < 64:
-        return _split(strings, docs, length, seed + 1, group_bytes)
-    if len(strings) < 2:
-        return []
-    cuts = [i * len(strings) // SHARDS for i in range(SHARDS + 1)]
-    shards = [_encode(strings[a:b]) for a, b in zip(cuts[:-1], cuts[1:], strict=True) if a < b]
-    places, interval = merged_intervals(shards, length)
-    if not len(places):
-        return []
-    ends = np.cumsum([len(s) + 1 for s in strings])
-    string = np.searchsorted(ends, places, "right")
-    least = np.full(int(interval.max()) + 1, NO_ID, np.int64)
-    np.minimum.at(least, interval, docs[string])
-    again = least[interval] < docs[string]
-    window = places[again] - np.concatenate([[0], ends])[string[again]]
-    return _stretches(string[again], window)
-
-
-def _stretches(string: np.ndarray, window: np.ndarray) -> list[tuple[int, int, int]]:
-    if not len(string):
-        return []
-    order = np.lexsort((window, string))
-    string, window = string[order], window[order]
-    fresh = np.concatenate([[True], (string[1:] != string[:-1]) | (window[1:] > window[:-1] + 1)])
+    count = np.diff(np.concatenate([first, [len(windows)]]))
+    pieces = -(-count // MOST_WINDOWS)  # a stretch is longer only where a text repeats itself
+    within = (np.arange(int(pieces.sum())) - np.repeat(np.cumsum(pieces) - pieces, pieces)) * MOST_WINDOWS
+    first, count = np.repeat(first, pieces) + within, np.minimum(np.repeat(count, pieces) - within, MOST_WINDOWS)
+    return windows[first], count, owner[first]
+
+
+_TABULATED = mix(np.arange(1, (MOST_WINDOWS + 256) * 256 + 1, dtype=np.uint64))
+
+
+def _within(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The places begin[i], begin[i] + 1, ... of each i, size[i] of them, one after another."""
+    return np.repeat(begin - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
+
+
+class Strings:
+    """Strings of a task: text (each with an end), its length, group and owner; the document and place it is from."""
+
+    FIELDS = ("text", "size", "owner", "doc", "mark", "start")
+
+    def __init__(self, length: int, seed: int):
+        self.length, self.seed = length, seed
+        self.clear()
+
+    def clear(self) -> None:
+        self.held: list[tuple[np.ndarray, ...]] = []
+        self.bytes = 0
+
+    def add(self, data: np.ndarray, windows: np.ndarray, at: np.ndarray, doc: np.ndarray, mark: np.ndarray, start: np.ndarray) -> None:
+        """The windows (ascending) of rows that begin at `at` in data, whose byte 0 is 255; start: place of each row in its document."""
+        first, n, owner = owned_runs(data, windows, self.length, self.seed)
+        if not len(first):
+            return
+        row = np.searchsorted(at, first, "right") - 1
+        size = n + self.length
+        text = data[np.minimum(_within(first, size), len(data) - 1)]
+        text[np.cumsum(size) - 1] = 0
+        self.held.append((text, size, mix(owner), doc[row], mark[row], start[row] + first - at[row]))
+        self.bytes += len(text) + 40 * len(size)
+
+    def shards(self, groups: int) -> Iterator[tuple]:
+        """(settled, shards): settled is (doc, mark, first window, windows) of strings that a smaller doc has too; a shard is (group, text, sizes, docs, uses of each string, marks, starts), by group."""
+        if not self.held:
+            return
+        text, size, owner, doc, mark, start = (np.concatenate(x) for x in zip(*self.held, strict=True))
+        self.clear()
+        begin = np.cumsum(size) - size
+        place = np.arange(len(text)) - np.repeat(begin, size)
+        content = np.add.reduceat(_TABULATED[(place << 8) | text], begin)
+        group = (owner % np.uint64(groups)).astype(np.int64)
+        order = np.lexsort((doc, content, owner, group))
+        size, owner, doc, mark, start, content, group, begin = (x[order] for x in (size, owner, doc, mark, start, content, group, begin))
+        fresh = np.concatenate([[True], (owner[1:] != owner[:-1]) | (content[1:] != content[:-1])])
+        lead = np.flatnonzero(fresh)[np.cumsum(fresh) - 1]
+        later = doc > doc[lead]
+        yield doc[later], mark[later], start[later], size[later] - self.length
+        used = ~later
+        lead, uses = np.unique(lead[used], return_counts=True)  # places in the order by group
+        text, marks, starts = text[_within(begin[lead], size[lead])], mark[used], start[used]
+        cuts = np.flatnonzero(np.concatenate([[True], group[lead][1:] != group[lead][:-1]]))
+        ends = np.concatenate([[0], np.cumsum(size[lead])])
+        use = np.concatenate([[0], np.cumsum(uses)])
+        for i, j in zip(cuts.tolist(), [*cuts[1:].tolist(), len(lead)], strict=True):
+            a, b = use[i], use[j]
+            yield int(group[lead[i]]), text[ends[i] : ends[j]], doc[lead[i:j]], uses[i:j], marks[a:b], starts[a:b]
+
+
+def _stretches(of: np.ndarray, window: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(of, first window, windows) of neighbouring windows, ascending."""
+    key = np.sort((of.astype(np.int64) << 32) | window)
+    fresh = np.concatenate([[True], key[1:] != key[:-1] + 1]) if len(key) else np.zeros(0, bool)
     first = np.flatnonzero(fresh)
-    last = np.concatenate([first[1:], [len(string)]]) - 1
-    return list(zip(string[first].tolist(), window[first].tolist(), (window[last] - window[first] + 1).tolist(), strict=True))
-
-
-def _split(strings: list[bytes], docs: np.ndarray, length: int, seed: int, group_bytes: int) -> list[tuple[int, int, int]]:
-    """The same, by groups of other owners: a group of one owner that is too large holds different windows."""
-    groups: dict[int, dict[bytes, list[tuple[int, int]]]] = {}
-    for i, s in enumerate(strings):
-        data = np.frombuffer(s, np.uint8)
-        for a, n, owner in zip(*(x.tolist() for x in owned_runs(data, np.arange(len(s) - length + 1), length, seed)), strict=True):
-            groups.setdefault(owner, {}).setdefault(s[a : a + n + length - 1], []).append((i, a))
-    out: list[tuple[int, int, int]] = []
-    ready: list[tuple[bytes, list[tuple[int, int]]]] = []
-    held = 0
-
-    def close(seed: int) -> None:
-        least = np.array([min(docs[i] for i, _ in own) for _, own in ready], np.int64)
-        for (s, own), low in zip(ready, least.tolist(), strict=True):
-            out.extend((i, a, len(s) - length + 1) for i, a in own if docs[i] > low)
-        for x, a, n in first_documents([s for s, _ in ready], least, length, seed, group_bytes):
-            out.extend((i, b + a, n) for i, b in ready[x][1] if docs[i] == least[x])
-        ready.clear()
-
-    for own in sorted(groups.values(), key=len):
-        own_size = sum(map(len, own))
-        if held and held + own_size > group_bytes:
-            close(64)
-            held = 0
-        ready.extend(own.items())
-        held += own_size
-        if own_size > group_bytes:  # one owner still: split it again
-            close(seed)
-            held = 0
-    if ready:
-        close(64)
-    return out
-
-
-STRINGS = "bucket int, part int, string binary, doc_id long, uses binary, counts binary"
-STRING_NAMES = [x.split()[0] for x in STRINGS.split(", ")]
-
-
-class _Held:
-    """The strings of a task: for each the smallest doc, where it uses it, and at once what that settles for the others."""
+    n = np.diff(np.concatenate([first, [len(key)]]))
+    return key[first] >> 32, key[first] & 0xFFFFFFFF, n
+
+
+def later_windows(text: np.ndarray, shards: np.ndarray, docs: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(string, first window, windows) of what occurs in a string with a smaller doc. text: shards one after another; docs: of each string."""
+    places, begins = merged_intervals(text, shards, length)
+    ends = np.flatnonzero(text == 0)
+    string = np.searchsorted(ends, places)
+    later = repeats_of_later(begins, docs[string])
+    string = string[later]
+    return _stretches(string, places[later] - np.concatenate([[0], ends + 1])[string])
+
+
+ROWS = "key int, part int, docs binary, counts binary, places binary, body binary"
+ROW_NAMES = [x.split()[0] for x in ROWS.split(", ")]
+ROW_KINDS = [pa.int32(), pa.int32(), *[pa.binary()] * 4]
+
+
+def _answers(found: list[tuple[np.ndarray, ...]], keys: np.ndarray) -> pa.RecordBatch:
+    """Rows without part and body of (doc, mark, first window, windows)."""
+    doc, mark, start, n = (np.concatenate(x) for x in zip(*found, strict=True))
+    numbers = np.stack([start, n], 1).astype("<u4").reshape(-1)
+    packed = pack_answers(doc, mark, np.repeat(np.arange(len(doc)), 2), numbers, keys)
+    nothing = pa.nulls(packed.num_rows, pa.int32()), pa.nulls(packed.num_rows, pa.binary())
+    return pa.RecordBatch.from_arrays([packed.column("part"), nothing[0], packed.column("docs"), packed.column("counts"), packed.column("places"), nothing[1]], names=ROW_NAMES)
+
+
+def _handed_over(strings: Strings, keys: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """What a task holds, as rows: answers first, then its shards."""
+    made = strings.shards(GROUPS * len(keys))
+    settled = next(made, None)
+    if settled is None:
+        return
+    if len(settled[0]):
+        yield _answers([settled], keys)
+    pack, rows, held = zstandard.ZstdCompressor(level=1), [], 0
+    for group, text, docs, uses, marks, starts in made:
+        ids = pack.compress(np.concatenate([docs, marks]).astype("<i8").view(np.uint8).reshape(-1, 8).T.tobytes())
+        rows.append((int(keys[group % len(keys)]), group // len(keys), ids, uses.astype("<u4").tobytes(), starts.astype("<u4").tobytes(), pack.compress(text.tobytes())))
+        held += len(text)
+        if held > 4 << 20:
+            yield as_rows(ROW_NAMES, ROW_KINDS, rows)
+            rows, held = [], 0
+    yield as_rows(ROW_NAMES, ROW_KINDS, rows)
+
+
+class Group:
+    """Shards of one group, as they come."""
 
     def __init__(self) -> None:
-        self.by: dict[bytes, list] = {}
-        self.owner: dict[bytes, int] = {}
-        self.size = 0
-        self.done: dict[tuple[int, int], list[tuple[int, int]]] = {}
-
-    def add(self, string: bytes, owner: int, doc: int, mark: int, start: int, windows: int) -> None:
-        held = self.by.get(string)
-        if held is None:
-            self.by[string] = [doc, [(mark, start)], windows]
-            self.owner[string] = owner
-            self.size += len(string) + 200
-        elif doc == held[0]:
-            held[1].append((mark, start))
-            self.size += 80
-        elif doc > held[0]:
-            self.done.setdefault((doc, mark), []).append((start, windows))
-            self.size += 80
-        else:
-            for m, s in held[1]:
-                self.done.setdefault((held[0], m), []).append((s, windows))
-            held[0], held[1] = doc, [(mark, start)]
-            self.size += 80
-
-
-def _settled(done: dict[tuple[int, int], list[tuple[int, int]]], parts: int) -> pa.RecordBatch:
-    """Pairs (first window, windows) of documents, packed."""
-    keys = list(done)
-    count = np.array([2 * len(done[k]) for k in keys], np.int64)
-    numbers = np.array([x for k in keys for pair in done[k] for x in pair], np.int64)
-    ids = np.array(keys, np.int64).reshape(-1, 2)
-    return pack_answers(ids[:, 0], ids[:, 1], np.repeat(np.arange(len(keys)), count), numbers, parts)
+        self.rows: list[tuple] = []
+        self.bytes = 0
+
+    def add(self, ids: bytes, uses: bytes, starts: bytes, body: bytes) -> None:
+        unpack = zstandard.ZstdDecompressor()
+        count = np.frombuffer(uses, "<u4").astype(np.int64)
+        own = np.ascontiguousarray(np.frombuffer(unpack.decompress(ids), np.uint8).reshape(8, -1).T).view("<i8").ravel()
+        self.rows.append((np.frombuffer(unpack.decompress(body), np.uint8), own[: len(count)], count, own[len(count) :], np.frombuffer(starts, "<u4").astype(np.int64)))
+        self.bytes += len(self.rows[-1][0])
+
+    def take(self) -> tuple[np.ndarray, ...]:
+        """(bytes of each shard, text, docs, uses, marks, starts), which are then forgotten."""
+        shards = np.array([len(r[0]) for r in self.rows])
+        out = shards, *(np.concatenate(x) for x in zip(*self.rows, strict=True))
+        self.__init__()
+        return out
+
+
+def _spread(string: np.ndarray, docs: np.ndarray, uses: np.ndarray, marks: np.ndarray, starts: np.ndarray, first: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(doc, mark, first window, windows) for each use of the strings."""
+    use = _within((np.cumsum(uses) - uses)[string], uses[string])
+    times = uses[string]
+    return np.repeat(docs[string], times), marks[use], starts[use] + np.repeat(first, times), np.repeat(n, times)
+
+
+def _merge(batches: Iterator[pa.RecordBatch], length: int, group_bytes: int, seed: int, keys: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Answers of the groups, which come one after another; groups that are too large are handed over again under the next seed."""
+    group, key, large = Group(), None, False
+    again, found, held = Strings(length, seed + 1), [], 0
+
+    def close() -> None:
+        nonlocal held
+        if not group.rows:
+            return
+        shards, text, docs, uses, marks, starts = group.take()
+        if len(docs) > 1:
+            string, first, n = later_windows(text, shards, docs, length)
+            found.append(_spread(string, docs, uses, marks, starts, first, n))
+            held += len(found[-1][0])
+
+    def dealt_again() -> None:
+        """The group's strings as rows of documents; each use of a string is one."""
+        _, text, docs, uses, marks, starts = group.take()
+        ends = np.flatnonzero(text == 0)
+        begin = np.concatenate([[0], ends[:-1] + 1])
+        string = np.repeat(np.arange(len(docs)), uses)
+        size = (ends - begin + 1)[string]
+        text = text[_within(begin[string], size)]
+        at = np.cumsum(size) - size
+        again.add(text, _within(at, size - length), at, docs[string], marks, starts)
+
+    for batch in batches:
+        own = batch.column("part").is_null()
+        if pc.any(own).as_py():  # settled before: passes as it is
+            yield batch.filter(own)
+            batch = batch.filter(pc.invert(own))
+        for *name, ids, uses, starts, body in zip(*(batch.column(c).to_pylist() for c in ROW_NAMES), strict=True):
+            if name != key:
+                if large and group.rows:
+                    dealt_again()
+                close()
+                key, large = name, False
+            group.add(ids, uses, starts, body)
+            large = large or group.bytes > group_bytes and seed < LEVELS
+            if large and group.bytes > group_bytes:
+                dealt_again()
+            if again.bytes > HELD_BYTES:
+                yield from _handed_over(again, keys)
+            if held > 500_000:
+                yield _answers(found, keys)
+                found, held = [], 0
+    if large and group.rows:
+        dealt_again()
+    close()
+    if held:
+        yield _answers(found, keys)
+    yield from _handed_over(again, keys)
 
 
 def removed(base: DataFrame, length: int = LENGTH, group_bytes: int = GROUP_BYTES) -> DataFrame:
     """(doc_id, mark, places): packed pairs (first window, number of windows) to remove, in any number of rows of a document. base: from marked(), with any other columns; its shuffle is one with the caller's if that joins the places to base."""
     spark = base.sparkSession
     buckets = shuffle_partitions(spark)
-    parts = 64
+    keys = even_keys(spark, buckets)
     places = repeated(base, lambda data, at: anchors(data, at, length), across=True, kept=4, copies_apart=True)  # looking alike is enough to be a candidate
     copied = copies(base)
 
     def strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = _Held()
-
-        def flush() -> Iterator[pa.RecordBatch]:
-            if held.done:
-                done = _settled(held.done, buckets)  # passes the merge as it is; part is null
-                yield pa.RecordBatch.from_arrays([done.column("part"), pa.nulls(done.num_rows, pa.int32()), done.column("docs"), pa.nulls(done.num_rows, pa.int64()), done.column("places"), done.column("counts")], names=STRING_NAMES)
-            rows = []
-            for s, (doc, uses, _) in held.by.items():
-                o = held.owner[s]
-                rows.append(((o >> 20) % buckets, (o >> 52) % parts, s, doc, np.array(uses, np.int64).tobytes(), None))
-                if len(rows) == 20_000:
-                    yield as_rows(STRING_NAMES, kinds, rows)
-                    rows = []
-            yield as_rows(STRING_NAMES, kinds, rows)
-
-        kinds = [pa.int32(), pa.int32(), pa.binary(), pa.int64(), pa.binary(), pa.binary()]
+        held = Strings(length, 0)
         for batch in batches:
             batch = batch.filter(batch.column("places").is_valid())
             for part, data, at in chunks(batch):
-                raw = data.tobytes()
-                for i, (doc, mark, blobs) in enumerate(zip(*(part.column(c).to_pylist() for c in ("doc_id", "mark", "places")), strict=True)):
-                    own = data[at[i] : at[i + 1]]
-                    last = len(own) - length
-                    anchor = unpack(blobs)
-                    change = np.zeros(last + 2, np.int64)
-                    np.add.at(change, np.maximum(anchor - (length - GRAM), 0), 1)
-                    np.add.at(change, np.minimum(anchor, last) + 1, -1)
-                    windows = np.flatnonzero(np.cumsum(change[:-1]) > 0)
-                    for a, n, owner in zip(*(x.tolist() for x in owned_runs(own, windows, length, 0)), strict=True):
-                        held.add(raw[at[i] + a : at[i] + a + n + length - 1], owner, doc, mark, a, n)
-                    if held.size > HELD_BYTES:
-                        yield from flush()
-                        held.__init__()
-        yield from flush()
-
-    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, done, key = _Held(), {}, None
-
-        def close() -> None:
-            found = list(held.by)
-            docs = np.array([held.by[s][0] for s in found], np.int64)
-            for x, a, n in first_documents(found, docs, length, 0, group_bytes):
-                for mark, start in held.by[found[x]][1]:
-                    held.done.setdefault((held.by[found[x]][0], mark), []).append((start + a, n))
-            for k, v in held.done.items():
-                done.setdefault(k, []).extend(v)
-            held.__init__()
-
-        for batch in batches:
-            through = batch.column("part").is_null()
-            if pc.any(through).as_py():
-                own = batch.filter(through)
-                yield pa.RecordBatch.from_arrays([own.column(c) for c in ("bucket", "string", "counts", "uses")], names=["part", "docs", "counts", "places"])
-                batch = batch.filter(pc.invert(through))
-            for p, s, doc, uses in zip(*(batch.column(c).to_pylist() for c in ("part", "string", "doc_id", "uses")), strict=True):
-                if p != key and held.size > group_bytes // 2:
-                    close()
-                key = p
-                for mark, start in np.frombuffer(uses, np.int64).reshape(-1, 2).tolist():
-                    held.add(s, 0, doc, mark, start, len(s) - length + 1)
-            if len(done) > 50_000:
-                yield _settled(done, buckets)
-                done.clear()
-        close()
-        if done:
-            yield _settled(done, buckets)
+                lists = part.column("places").to_pylist()
+                anchor = [np.frombuffer(b"".join(x), "<u4") for x in lists]
+                where = np.concatenate(anchor).astype(np.int64) + np.repeat(at[:-1], [len(x) for x in anchor])
+                first, last = (np.repeat(x, [len(y) for y in anchor]) for x in (at[:-1], at[1:]))
+                change = np.bincount(np.maximum(where - (length - GRAM), first), minlength=len(data) + 1)
+                change -= np.bincount(np.minimum(where, last - length) + 1, minlength=len(data) + 1)
+                windows = np.flatnonzero(np.cumsum(change) > 0)
+                doc, mark = (part.column(c).to_numpy() for c in ("doc_id", "mark"))
+                held.add(encoded(data), windows, at[:-1], doc, mark, np.zeros(part.num_rows, np.int64))
+                if held.bytes > HELD_BYTES:
+                    yield from _handed_over(held, keys)
+        yield from _handed_over(held, keys)
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -393,8 +353,16 @@ def removed(base: DataFrame, length: int = LENGTH, group_bytes: int = GROUP_BYTE
 
     left_out = copied.select("doc_id", "mark", F.lit(True).alias("_copy")).hint("merge")
     alone = with_places(base, places).join(left_out, ["doc_id", "mark"], "left").where("places is not null and _copy is null")
-    dealt = alone.mapInArrow(strings, STRINGS).repartition(buckets, "bucket").sortWithinPartitions("part")
-    return gathered(dealt.mapInArrow(merge, PACKED), buckets).unionByName(copied.where(F.col("n_bytes") >= length).mapInArrow(whole, PLACES))
+    dealt, answers = alone.mapInArrow(strings, ROWS), None
+    for seed in range(LEVELS + 1):
+        merge = dealt.repartition(buckets, "key").sortWithinPartitions("part").mapInArrow(lambda x, seed=seed: _merge(x, length, group_bytes, seed, keys), ROWS)
+        done = staged(merge, f"merged-{seed}")
+        own = done.where("part is null").select(F.col("key").alias("part"), "docs", "counts", "places")
+        answers = own if answers is None else answers.unionByName(own)
+        dealt = done.where("part is not null")
+        if dealt.isEmpty():
+            break
+    return gathered(answers, buckets).unionByName(copied.where(F.col("n_bytes") >= length).mapInArrow(whole, PLACES))
 
 
 def _spans(blobs: list[bytes] | None, length: int, size: int) -> list[tuple[int, int]]:

@@ -5,6 +5,7 @@ import numpy as np
 import pytest
 
 from assayer.llm import suffixes as s
+from assayer.llm import transforms as t
 
 
 def brute(rows, length):
@@ -60,19 +61,34 @@ def test_against_brute_force(spark, seed, group):
 
 def test_merged_intervals_are_the_repeated_strings():
     r = random.Random(3)
-    strings = list({"".join(r.choice("ab") for _ in range(r.randrange(5, 40))).encode() for _ in range(80)})
-    for shards in (1, 2, 5):
-        cuts = [i * len(strings) // shards for i in range(shards + 1)]
-        places, interval = s.merged_intervals([s._encode(strings[a:b]) for a, b in zip(cuts, cuts[1:])], 5)
-        text = b"\x00".join(strings) + b"\x00"
-        want = {}
-        for i in range(len(text) - 4):
-            if 0 not in text[i : i + 5]:
-                want.setdefault(text[i : i + 5], []).append(i)
-        got = {}
-        for p, i in zip(places.tolist(), interval.tolist()):
-            got.setdefault(i, []).append(p)
-        assert sorted(sorted(x) for x in got.values()) == sorted(x for x in want.values() if len(x) > 1)
+    strings = list({"".join(r.choice("ab\x00") for _ in range(r.randrange(5, 40))).encode() for _ in range(80)})
+    for depth in (2, 6, 8):
+        for shards in (1, 2, 5, 80):
+            cuts = [i * len(strings) // shards for i in range(shards + 1)]
+            parts = [np.concatenate([np.append(t.encoded(np.frombuffer(x, np.uint8)), np.uint8(0)) for x in strings[a:b]]) for a, b in zip(cuts, cuts[1:]) if a < b]
+            text = np.concatenate(parts)
+            places, begins = t.merged_intervals(text, np.array([len(x) for x in parts]), depth)
+            want, raw = {}, text.tobytes()
+            for i in range(len(raw) - depth + 1):
+                if 0 not in raw[i : i + depth]:
+                    want.setdefault(raw[i : i + depth], []).append(i)
+            got = {}
+            for p, i in zip(places.tolist(), np.cumsum(begins).tolist()):
+                got.setdefault(i, []).append(p)
+            assert sorted(sorted(x) for x in got.values()) == sorted(x for x in want.values() if len(x) > 1)
+
+
+def test_transforms_lead_back_to_the_text():
+    r = np.random.default_rng(4)
+    text = r.choice(np.frombuffer(b"abc", np.uint8), 400_000)
+    text[r.integers(0, len(text), 6000)] = 0
+    text[-1] = 0
+    ends = np.flatnonzero(text == 0)
+    shards = np.diff(ends[[99, 2000, -1]], prepend=-1)
+    symbol, back, where = t.transforms(text, shards, 50)
+    assert np.array_equal(np.sort(where), np.arange(len(text)))
+    live = np.flatnonzero(symbol)
+    assert np.array_equal(where[back[live]], where[live] - 1) and np.array_equal(text[where[live] - 1], symbol[live])
 
 
 def test_passage_twice_in_a_later_document(spark):
@@ -85,5 +101,41 @@ def test_passage_twice_in_a_later_document(spark):
     assert got == [w[:5] for w in brute(rows, 50)] and [x[2] for x in got] == [0, 100, 50]
 
 
+def test_a_passage_in_very_many_contexts(spark):
+    r = random.Random(11)
+    text = lambda k: "".join(r.choice("abcdefghij klmnop") for _ in range(k))
+    passage = text(60)
+    rows = [(i, text(40) + passage + text(40)) for i in range(300)] + [(1000 + i, "z" * (60 + i % 7)) for i in range(80)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    for group in (1 << 20, 3_000):  # 3,000 bytes are some 30 strings: several rounds are needed
+        got = sorted((str(x.doc_id), x.n_bytes, x.n_removed, x.n_spans, x.kept_sha256) for x in s.summary(docs, group_bytes=group).collect())
+        assert got == [w[:5] for w in brute(rows, 50)]
+
+
+def test_no_task_holds_more_than_a_group():
+    r = random.Random(12)
+    text = lambda k: bytes(r.choice(b"abcdefghij klmnop") for _ in range(k))
+    passage, keys = text(60), np.arange(1, dtype=np.int32)
+    most, add = [], s.Group.add
+
+    def watched(self, *row):
+        add(self, *row)
+        most.append(self.bytes)
+
+    held = s.Strings(50, 0)
+    rows = []
+    for i in range(400):
+        own = np.frombuffer(text(40) + passage + text(40), np.uint8)
+        held.add(own, np.arange(len(own) - 49), np.zeros(1, np.int64), np.array([i]), np.array([7]), np.zeros(1, np.int64))
+        if i % 10 == 9:
+            rows += [b for b in s._handed_over(held, keys)]
+    s.Group.add = watched
+    try:
+        out = list(s._merge(iter(sorted((b for x in rows for b in (x.slice(i, 1) for i in range(x.num_rows))), key=lambda b: (b.column("part")[0].as_py() is not None, b.column("part")[0].as_py()))), 50, 5_000, 0, keys))
+    finally:
+        s.Group.add = add
+    assert max(most) < 5_000 + 10 * 120 and any(x.column("part").null_count < x.num_rows for x in out)
+
+
 def test_empty(spark):
     assert s.summary(spark.createDataFrame([], "doc_id long, text string")).count() == 0
