@@ -13,6 +13,8 @@ empty; what came out is what differs, to either side, and gives the Jaccard
 likeness of the two sets. A sketch holds some 35 differences. A pair with more
 fails and is tried again with larger sketches: keys are dealt to as many
 sketches as their number asks for, with other hashes, and again twice as many.
+There an aggregation by cell subtracts, and only cells that don't come out empty
+go on. Only pairs that failed keep their keys and are shuffled, once an attempt.
 
 Defined results: null text is the empty text, with an empty fingerprint. Two
 texts without paragraphs are alike (1.0); one with and one without are not
@@ -65,18 +67,34 @@ def _written(cells: str) -> str:
     return f"concat_ws(';', transform(filter(transform({cells}, (x, i) -> named_struct('i', i, 'x', x)), y -> y.x.n > 0), y -> concat(hex(y.i), ':', hex(y.x.n), ':', hex(y.x.k), ':', hex(y.x.h))))"
 
 
+_SINGLE = "array_distinct(transform(filter(s.cells, x -> abs(x.n) = 1 and hash(x.k) = x.h), x -> named_struct('n', x.n, 'k', x.k)))"
+_TAKEN = "named_struct('c', x.c, 'n', x.n - aggregate(own, 0, (t, y) -> t + y.n), 'k', aggregate(own, x.k, (t, y) -> t ^ y.k), 'h', aggregate(own, x.h, (t, y) -> t ^ hash(y.k)))"
+
+
+def _rounds(cells: str, after: str, ok: str) -> str:
+    """(p, q, ok) of peeling: after is what is left of the cells when the keys `single` are taken out."""
+    more = f"named_struct('cells', {after}, 'p', s.p + size(filter(single, y -> y.n = 1)), 'q', s.q + size(filter(single, y -> y.n = -1)), 'done', false)"
+    stop = "named_struct('cells', s.cells, 'p', s.p, 'q', s.q, 'done', true)"
+    step = f"if(s.done, s, {_let(_SINGLE, 'single', f'if(size(single) = 0, {stop}, {more})')})"
+    start = f"named_struct('cells', {cells}, 'p', 0, 'q', 0, 'done', false)"
+    return f"aggregate(sequence(1, {ROUNDS}), {start}, (s, r) -> {step}, s -> named_struct('p', s.p, 'q', s.q, 'ok', {ok}))"
+
+
 def _peeled(a: str, b: str, attempt: int) -> str:
     """(p, q, ok): keys only in a, only in b, and whether all cells came out empty."""
     difference = f"transform({a}, (x, i) -> named_struct('c', x.c, 'n', x.n - {b}[i].n, 'k', x.k ^ {b}[i].k, 'h', x.h ^ {b}[i].h))"
-    single = "array_distinct(transform(filter(s.cells, x -> abs(x.n) = 1 and hash(x.k) = x.h), x -> named_struct('n', x.n, 'k', x.k)))"
-    cell = "if(size(own) = 0, x, named_struct('c', x.c, 'n', x.n - aggregate(own, 0, (t, y) -> t + y.n), 'k', aggregate(own, x.k, (t, y) -> t ^ y.k), 'h', aggregate(own, x.h, (t, y) -> t ^ hash(y.k))))"
+    cell = f"if(size(own) = 0, x, {_TAKEN})"
     tables = [f"transform(slice(s.cells, {TABLE * t + 1}, {TABLE}), x -> {_let(f'filter(single, y -> {_slot("y.k", t, attempt)} = x.c)', 'own', cell)})" for t in range(3)]
-    more = f"named_struct('cells', concat({', '.join(tables)}), 'p', s.p + size(filter(single, y -> y.n = 1)), 'q', s.q + size(filter(single, y -> y.n = -1)), 'done', false)"
-    stop = "named_struct('cells', s.cells, 'p', s.p, 'q', s.q, 'done', true)"
-    step = f"if(s.done, s, {_let(single, 'single', f'if(size(single) = 0, {stop}, {more})')})"
-    start = f"named_struct('cells', {difference}, 'p', 0, 'q', 0, 'done', false)"
-    end = "named_struct('p', s.p, 'q', s.q, 'ok', forall(s.cells, x -> x.n = 0 and x.k = 0 and x.h = 0))"
-    return f"aggregate(sequence(1, {ROUNDS}), {start}, (s, r) -> {step}, s -> {end})"
+    return _rounds(difference, f"concat({', '.join(tables)})", "forall(s.cells, x -> x.n = 0 and x.k = 0 and x.h = 0)")
+
+
+def _peeled_few(cells: str, attempt: int) -> str:
+    """The same from the cells that aren't empty; tables are told apart by their cells' numbers."""
+    at = [f"{_slot('y.k', t, attempt)} + {TABLE * t}" for t in range(3)]
+    own = f"filter(single, y -> {' or '.join(f'x.c = {x}' for x in at)})"
+    cell = f"if(size(own) = 0, x, {_TAKEN})"
+    left = f"filter(transform(s.cells, x -> {_let(own, 'own', cell)}), x -> x.n <> 0 or x.k <> 0 or x.h <> 0)"
+    return _rounds(cells, left, "size(s.cells) = 0")
 
 
 def _likeness(p, q, a, b):
@@ -102,37 +120,38 @@ def with_next(docs: DataFrame) -> DataFrame:
         return ranges.transform(df.withColumn("_at", F.col("doc_id").cast("double"))).withColumn("_range", F.col("_range").cast("int")).drop("_at")
 
     heads = sorted((r["_range"], r["first"]) for r in ranged(ids).groupBy("_range").agg(F.min("doc_id").alias("first")).collect())  # a row for each range
-    before = {first: heads[i - 1][0] for i, (_, first) in enumerate(heads)}
-    base = ranged(rows).withColumn("_head", F.lit(False))
-    if heads:
-        to = F.create_map(*(F.lit(x) for pair in before.items() for x in pair))
-        copies = rows.where(F.col("doc_id").isin(list(before))).withColumn("_range", to[F.col("doc_id")]).withColumn("_head", F.lit(True))
-        base = base.unionByName(copies)
+    before = [(first, heads[i - 1][0]) for i, (_, first) in enumerate(heads)]
+    # each range's first row, for the range before: as many rows as ranges
+    first = rows.join(F.broadcast(spark.createDataFrame(before, "doc_id long, _range int")), "doc_id").groupBy("doc_id", "_range").agg(F.min("text").alias("text"))
+    base = ranged(rows).withColumn("_head", F.lit(False)).unionByName(first.withColumn("_head", F.lit(True)))
     window = Window.partitionBy("_range").orderBy("_head", "doc_id", "text")
     return base.withColumn("next_text", F.lead("text").over(window)).where(~F.col("_head")).select("doc_id", "text", "next_text")
 
 
 def compare(pairs: DataFrame) -> DataFrame:
-    """(row, likeness) of pairs (row, a, b) of arrays of keys, by sketches of growing size. row must be unique."""
-    done, now = None, pairs.withColumn("_n", F.size("a") + F.size("b"))
+    """(row, likeness) of staged pairs (row, a, b) of arrays of keys, by sketches of growing size. row must be unique."""
+    done, now = None, pairs
+    n = F.size("a") + F.size("b")
     for attempt in range(1, ATTEMPTS):
-        sketches = F.greatest(F.lit(1), F.ceil(F.col("_n") * 2 ** (attempt - 1) / PER_SKETCH))
-        key = lambda side: F.transform(side, lambda x: F.struct(F.pmod(F.xxhash64(x, F.lit(attempt)), "_sketches").alias("sketch"), x.alias("key")))
-        dealt = now.withColumn("_sketches", sketches)
-        sides = [dealt.select("row", F.explode(key(F.col(s))).alias("x"), F.lit(s).alias("side")) for s in ("a", "b")]
-        dealt = sides[0].unionByName(sides[1]).groupBy("row", F.col("x.sketch").alias("sketch")).agg(*(F.collect_list(F.when(F.col("side") == s, F.col("x.key"))).alias(s) for s in ("a", "b")))
-        one = F.expr(_let(f"named_struct('a', {_cells('a', attempt)}, 'b', {_cells('b', attempt)})", "t", _peeled("t.a", "t.b", attempt)))
-        got = dealt.select("row", one.alias("o")).groupBy("row").agg(F.sum("o.p").alias("p"), F.sum("o.q").alias("q"), F.bool_and("o.ok").alias("ok"))
-        tried = staged(got, f"attempt-{attempt}")
-        sizes = now.select("row", F.size("a").alias("na"), F.size("b").alias("nb"))
-        fine = tried.where("ok").join(sizes, "row").select("row", _likeness(F.col("p"), F.col("q"), F.col("na"), F.col("nb")).alias("likeness"))
+        sketches = F.greatest(F.lit(1), F.ceil(n * 2 ** (attempt - 1) / PER_SKETCH))
+        signed = lambda side, sign: F.transform(side, lambda x: F.struct(x.alias("key"), F.lit(sign).alias("sign")))
+        # all that follows is grouped by row first, so the arrays are shuffled and nothing else
+        dealt = now.select("row", "a", "b").repartition(shuffle_partitions(pairs.sparkSession), "row").withColumns({"sketches": sketches, "na": F.size("a"), "nb": F.size("b")})
+        keys = dealt.select("row", "na", "nb", "sketches", F.explode(F.concat(signed("a", 1), signed("b", -1))).alias("x")).select("row", "na", "nb", F.pmod(F.xxhash64("x.key", F.lit(attempt)), "sketches").alias("sketch"), F.col("x.key").alias("key"), F.col("x.sign").alias("sign"))
+        cell = F.explode(F.expr(f"array({', '.join(f'{_slot("key", t, attempt)} + {TABLE * t}' for t in range(3))})"))
+        cells = keys.withColumn("c", cell).groupBy("row", "na", "nb", "sketch", "c").agg(F.sum("sign").cast("int").alias("n"), F.bit_xor("key").alias("k"), F.bit_xor(F.hash("key")).alias("h"))
+        left = F.collect_list(F.when(F.expr("n <> 0 or k <> 0 or h <> 0"), F.struct("c", "n", "k", "h")))
+        one = cells.groupBy("row", "na", "nb", "sketch").agg(left.alias("cells")).select("row", "na", "nb", F.expr(_peeled_few("cells", attempt)).alias("o"))
+        got = one.groupBy("row", "na", "nb").agg(F.sum("o.p").alias("p"), F.sum("o.q").alias("q"), F.bool_and("o.ok").alias("ok"))
+        tried = staged(got.withColumn("ok", F.expr("ok and p - q = na - nb")), f"attempt-{attempt}")
+        fine = tried.where("ok").select("row", _likeness(F.col("p"), F.col("q"), F.col("na"), F.col("nb")).alias("likeness"))
         done = fine if done is None else done.unionByName(fine)
         failed = tried.where("not ok").select("row")
         if failed.isEmpty():
             return done
         now = staged(now.join(failed, "row", "left_semi"), f"failed-{attempt}")
     shared = F.size(F.array_intersect("a", "b"))  # no sketch came out after so many: the sets themselves
-    return done.unionByName(now.select("row", (shared / (F.col("_n") - shared)).alias("likeness")))
+    return done.unionByName(now.select("row", (shared / (n - shared)).alias("likeness")))
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
@@ -143,23 +162,20 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     keys = staged(pairs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), F.expr(_keys("text")).alias("own"), F.expr(_keys("edited")).alias("edited"), F.expr(_keys("next_text")).alias("next")), "keys")
     sketches = f"named_struct('own', {_cells('own', 0)}, 'edited', {_cells('edited', 0)}, 'next', {_cells('next', 0)})"
     result = f"named_struct('f', {_written('t.own')}, 'e', {_written('t.edited')}, 'edited', {_peeled('t.own', 't.edited', 0)}, 'next', {_peeled('t.own', 't.next', 0)})"
-    first = staged(keys.select("row", F.expr(_let(sketches, "t", result)).alias("o")).select("row", F.col("o.f").alias("fingerprint"), F.col("o.e").alias("edited_fingerprint"), F.col("o.edited").alias("edited_diff"), F.col("o.next").alias("next_diff")), "sketches")
-    sizes = keys.select("row", "doc_id", "n_chars", "edited_sha256", *(F.size(c).alias(f"n_{c}") for c in ("own", "edited", "next")))
-    joined = first.join(sizes, "row")
-    near = {}
-    for c in ("edited", "next"):
-        d = F.col(f"{c}_diff")
-        near[c] = F.when(d["ok"], _likeness(d["p"], d["q"], F.col("n_own"), F.col(f"n_{c}")))
-    failed = first.where("not edited_diff.ok or not next_diff.ok").select("row", (~F.col("edited_diff.ok")).alias("_e"), (~F.col("next_diff.ok")).alias("_n"))
-    again = keys.select("row", "own", "edited", "next").join(failed, "row")
-    parts = [again.where(flag).select((F.col("row") * 2 + i).alias("row"), F.col("own").alias("a"), F.col(c).alias("b")) for i, (c, flag) in enumerate((("edited", "_e"), ("next", "_n")))]
-    more = staged(parts[0].unionByName(parts[1]), "again")
-    found = compare(more)
-    for i, c in enumerate(("edited", "next")):
-        part = found.where(F.pmod("row", F.lit(2)) == i).select(F.expr("row div 2").alias("row"), F.col("likeness").alias(f"again_{c}"))
-        joined = joined.join(part, "row", "left")
-        near[c] = F.coalesce(near[c], F.col(f"again_{c}"))
-    return joined.select(F.nullif(F.col("doc_id"), F.lit(int(NO_ID))).alias("doc_id"), "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", near["edited"].alias("near_edited"), near["next"].alias("near_next"))
+    sides = ("edited", "next")
+    near = {c: F.when(F.col(f"o.{c}.ok"), _likeness(F.col(f"o.{c}.p"), F.col(f"o.{c}.q"), F.size("own"), F.size(c))).alias(f"near_{c}") for c in sides}
+    kept = {c: F.when(~F.col(f"o.{c}.ok"), F.col(c)).alias(c) for c in sides}
+    own = F.when(~(F.col("o.edited.ok") & F.col("o.next.ok")), F.col("own")).alias("own")
+    names = ["row", "doc_id", "n_chars", "edited_sha256"]
+    first = keys.withColumn("o", F.expr(_let(sketches, "t", result)))
+    first = staged(first.select(*names, F.col("o.f").alias("fingerprint"), F.col("o.e").alias("edited_fingerprint"), *near.values(), own, *kept.values()), "sketches")
+    again = [first.where(F.col(c).isNotNull()).select((F.col("row") * 2 + i).alias("row"), F.col("own").alias("a"), F.col(c).alias("b")) for i, c in enumerate(sides)]
+    side = F.pmod("row", F.lit(2))
+    found = compare(again[0].unionByName(again[1])).groupBy(F.expr("row div 2").alias("row")).agg(*(F.max(F.when(side == i, F.col("likeness"))).alias(f"again_{c}") for i, c in enumerate(sides)))
+    whole = first.where("own is null").drop("own", *sides)
+    open_ = first.where("own is not null").drop("own", *sides).join(found, "row").withColumns({f"near_{c}": F.coalesce(f"near_{c}", f"again_{c}") for c in sides})
+    out = whole.unionByName(open_.select(whole.columns))
+    return out.select(F.nullif(F.col("doc_id"), F.lit(int(NO_ID))).alias("doc_id"), "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next")
 
 
 def op7_fingerprints(spark, sf_dir: str) -> DataFrame:
