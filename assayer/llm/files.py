@@ -3,6 +3,9 @@
 A file is written under a temporary name of its own attempt and then moved to
 its final name. Content and final name follow from the input alone, so a task
 that runs twice leaves the same file; only manifests say which files count.
+Tasks write manifests too: each its own lines, as JSON, in the folder MANIFESTS,
+which Spark marks as whole when all are there. A folder that holds anything is
+never written to.
 """
 
 from __future__ import annotations
@@ -13,9 +16,14 @@ from collections.abc import Iterator
 from typing import Any
 
 from pyarrow import fs
+from pyspark.sql import DataFrame, SparkSession
+
+MANIFESTS = "manifest"
 
 
 def open_fs(uri: str) -> tuple[fs.FileSystem, str]:
+    if uri.startswith("s3a://"):
+        uri = f"s3://{uri.removeprefix('s3a://')}"
     if "://" in uri or uri.startswith("file:"):
         return fs.FileSystem.from_uri(uri)
     return fs.LocalFileSystem(), uri
@@ -48,11 +56,23 @@ class Pending:
             self.system.delete_file(self.temporary)
 
 
-def write_whole(uri_folder: str, name: str, data: bytes) -> None:
-    system, folder = open_fs(uri_folder)
-    file = Pending(system, folder, name)
-    file.write(data)
-    file.commit()
+def refuse_if_used(uri: str) -> None:
+    """Raises where the folder holds anything: files of another run would count as this one's."""
+    system, folder = open_fs(uri)
+    if system.get_file_info(fs.FileSelector(folder, allow_not_found=True)):
+        raise FileExistsError(f"{uri} is not empty")
+
+
+def write_manifest(made: DataFrame, folder: str) -> None:
+    """Runs `made`, whose tasks write files and give a row for each, and has each task write its rows."""
+    made.write.mode("error").json(f"{folder}/{MANIFESTS}")
+
+
+def read_manifest(spark: SparkSession, folder: str, schema: str) -> DataFrame:
+    system, base = open_fs(folder)
+    if system.get_file_info(f"{base}/{MANIFESTS}/_SUCCESS").type == fs.FileType.NotFound:
+        raise FileNotFoundError(f"{folder} has no whole manifest")
+    return spark.read.schema(schema).json(f"{folder}/{MANIFESTS}")
 
 
 def blocks(system: fs.FileSystem, path: str, size: int = 1 << 20) -> Iterator[bytes]:

@@ -13,7 +13,9 @@ in .cu), `.pos` (positions of each token, which start at 0 anew with every
 segment, 0 in padding; 16 or 32 bits, zstd) and `.seg` (int64 triples doc_id,
 piece, start for each segment; flagged by `.seg`'s fourth number where doc_id is
 null). Names follow from task and block, files are moved to their names when
-complete, and the manifest written last says which count.
+complete, and the manifest says which count; each task writes its own lines of
+it. A folder that holds anything is refused. Blocks follow the input's
+partitions, so other partitions give other files.
 
 Defined results: null text is the empty text. Each document ends with `end_id`,
 so an empty one is one token. Repeated rows are written again. Extra columns are
@@ -22,7 +24,6 @@ ignored. An empty table gives an empty manifest and no rows.
 
 from __future__ import annotations
 
-import json
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -39,7 +40,7 @@ from assayer.llm.common import shared_dir, shuffle_partitions
 SIZE = 2048
 BLOCK_TOKENS = 4 << 20
 END_ID = 50_256
-MANIFEST = "stem string, matrix_rows long, segments long, tokens long, checksum long"
+MANIFEST = "stem string, matrix_rows long, segments long, tokens long, checksum long, size long, kind string"
 SEGMENTS = "doc_id long, piece int, start long, length long, sequence string, offset long, ids_crc32 long"
 
 
@@ -134,10 +135,10 @@ def block_files(pieces: list[tuple[int | None, int, int, np.ndarray]], size: int
 
 
 def write(docs: DataFrame, folder: str, size: int = SIZE, tokenizer: str | None = None, end_id: int = END_ID, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
-    """Writes docs (doc_id, text) under folder and then the manifest, which it returns."""
-    spark = docs.sparkSession
+    """Writes docs (doc_id, text) and the manifest, which it returns, under folder, which must be empty or absent."""
     path = tokenizer or default_path()
-    kind = "<u2" if end_id < 1 << 16 else "<u4"
+    kind = "<u2" if max(end_id, byte_encoding(path).max_token_value) < 1 << 16 else "<u4"
+    files.refuse_if_used(folder)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -156,7 +157,7 @@ def write(docs: DataFrame, folder: str, size: int = SIZE, tokenizer: str | None
                 file = files.Pending(system, base, f"{stem}.{name}")
                 file.write(data)
                 file.commit()
-            done.append((stem, len(made["rows"]) // 8 - 1, len(pieces), held, zlib.crc32(made["ids"])))
+            done.append((stem, len(made["rows"]) // 8 - 1, len(pieces), held, zlib.crc32(made["ids"]), size, kind))
 
         for batch in batches:
             for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
@@ -169,12 +170,11 @@ def write(docs: DataFrame, folder: str, size: int = SIZE, tokenizer: str | None
                         pieces, held, number = [], 0, number + 1
         if pieces:
             flush()
-        yield files.as_rows(["stem", "matrix_rows", "segments", "tokens", "checksum"], [pa.string(), *[pa.int64()] * 4], done)
+        yield files.as_rows([x.split()[0] for x in MANIFEST.split(", ")], [pa.string(), *[pa.int64()] * 5, pa.string()], done)
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    made = sorted(rows.mapInArrow(run, MANIFEST).collect())  # one short row a block
-    files.write_whole(folder, "manifest.jsonl", ("".join(json.dumps(r.asDict() | {"size": size, "kind": kind}) + "\n" for r in made)).encode())
-    return spark.createDataFrame(made, MANIFEST)
+    files.write_manifest(rows.mapInArrow(run, MANIFEST), folder)
+    return files.read_manifest(docs.sparkSession, folder, MANIFEST)
 
 
 def read_block(folder: str, stem: str, size: int, kind: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -186,8 +186,7 @@ def read_block(folder: str, stem: str, size: int, kind: str) -> tuple[np.ndarray
 
 def read_segments(spark: SparkSession, folder: str) -> DataFrame:
     """One row for each segment of the written matrices, its ids read back; checksums and position resets are checked."""
-    listed = [json.loads(x) for x in files.read_whole(folder, "manifest.jsonl").decode().splitlines()]
-    rows = spark.createDataFrame([(r["stem"], r["size"], r["kind"], r["checksum"]) for r in listed], "stem string, size long, kind string, checksum long")
+    rows = files.read_manifest(spark, folder, MANIFEST).select("stem", "size", "kind", "checksum")
 
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for frame in frames:
@@ -206,7 +205,7 @@ def read_segments(spark: SparkSession, folder: str) -> DataFrame:
                         out.append((None if null else doc, piece, start, b - a, f"{x['stem']}/{r}", a, zlib.crc32(ids[r, a:b].astype("<u4").tobytes())))
                 yield files.as_rows([c.split()[0] for c in SEGMENTS.split(", ")], [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64()], out)
 
-    n = max(1, min(len(listed), 4 * shuffle_partitions(spark)))
+    n = max(1, min(rows.count(), 4 * shuffle_partitions(spark)))
     return rows.repartition(n).mapInArrow(run, SEGMENTS)
 
 

@@ -1,10 +1,12 @@
 """WARC archives: a deterministic sharded writer, and the reader.
 
-Pages are range-sorted by id; each task writes its range to files that roll by
-compressed size. Every record is a gzip member of its own with headers,
-digests and record ids made anew from the page, and no clock enters, so a task
-that runs again writes the same bytes. Files get their final names by a move;
-the manifest, written last and in the same way, names the files that count.
+Pages are range-sorted by id, in ranges found by counting (ranges.py), so the
+same pages give the same files however they were partitioned; each range is
+written to files that roll by compressed size. Every record is a gzip member of
+its own with headers, digests and record ids made anew from the page, and no
+clock enters, so a task that runs again writes the same bytes. Files get their
+final names by a move; the manifest names the files that count, and each task
+writes its own lines of it. A folder that holds anything is refused.
 
 Equal payloads are stored once: the page with the largest id is the response,
 the others are revisit records that refer to it. Winners come from an
@@ -22,18 +24,17 @@ from __future__ import annotations
 import base64
 import gzip
 import hashlib
-import json
 import uuid
 import zlib
 from collections.abc import Iterator
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from assayer.llm import files
-from assayer.llm.common import shared_dir, shuffle_partitions
+from assayer.llm.common import even_keys, shared_dir, shuffle_partitions
+from assayer.llm.ranges import borders, range_of
 
 ROLL_BYTES = 64 << 20
 LEVEL = 6
@@ -98,15 +99,13 @@ def decided(pages: DataFrame) -> DataFrame:
 
 
 def write(pages: DataFrame, folder: str, roll_bytes: int = ROLL_BYTES, partitions: int | None = None) -> DataFrame:
-    """Writes the archives under folder and then the manifest; returns the manifest (file, records, bytes, sha256)."""
+    """Writes the archives and their manifest under folder, which must be empty or absent; returns the manifest (file, records, bytes, sha256)."""
     spark = pages.sparkSession
+    files.refuse_if_used(folder)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-
-        task = TaskContext.get().partitionId()
         system, base = files.open_fs(folder)
-        file, name, number, digest, records = None, "", 0, hashlib.sha256(), 0
+        file, name, part, number, digest, records = None, "", -1, 0, hashlib.sha256(), 0
         done: list[tuple] = []
         last, copy, told, winner = None, 0, None, None
 
@@ -116,7 +115,7 @@ def write(pages: DataFrame, folder: str, roll_bytes: int = ROLL_BYTES, partition
 
         try:
             for batch in batches:
-                for page_id, url, html, own, largest in zip(*(batch.column(c).to_pylist() for c in ("page_id", "url", "html", "_digest", "winner")), strict=True):
+                for at, page_id, url, html, own, largest in zip(*(batch.column(c).to_pylist() for c in ("_range", "page_id", "url", "html", "_digest", "winner")), strict=True):
                     if html is None:
                         told, winner = (page_id, own), largest
                         continue
@@ -125,11 +124,13 @@ def write(pages: DataFrame, folder: str, roll_bytes: int = ROLL_BYTES, partition
                     copy = copy + 1 if (page_id, own) == last else 0
                     last = (page_id, own)
                     member = _record(page_id, url, html, winner, winner != page_id or copy > 0, copy)
-                    if file and file.size + len(member) > roll_bytes:
+                    if file and (at != part or file.size + len(member) > roll_bytes):
                         close()
                         file = None
+                    if at != part:
+                        part, number = at, 0
                     if not file:
-                        name = f"part-{task:06d}-{number:05d}.warc.gz"
+                        name = f"part-{part:06d}-{number:05d}.warc.gz"
                         file, digest, records, number = files.Pending(system, base, name), hashlib.sha256(), 0, number + 1
                         info = _member([("WARC-Type", "warcinfo"), ("WARC-Record-ID", f"<urn:uuid:{uuid.uuid5(_SPACE, name)}>"), ("WARC-Date", DATE), ("WARC-Filename", name), ("Content-Type", "application/warc-fields")], b"format: WARC File Format 1.1\r\n")
                         file.write(info)
@@ -137,6 +138,9 @@ def write(pages: DataFrame, folder: str, roll_bytes: int = ROLL_BYTES, partition
                     file.write(member)
                     digest.update(member)
                     records += 1
+                if len(done) > 1_000:
+                    yield files.as_rows(["file", "records", "bytes", "sha256"], [pa.string(), pa.int64(), pa.int64(), pa.string()], done)
+                    done.clear()
             if file:
                 close()
                 file = None
@@ -146,16 +150,16 @@ def write(pages: DataFrame, folder: str, roll_bytes: int = ROLL_BYTES, partition
         yield files.as_rows(["file", "records", "bytes", "sha256"], [pa.string(), pa.int64(), pa.int64(), pa.string()], done)
 
     n = partitions or shuffle_partitions(spark)
-    rows = decided(pages).repartitionByRange(n, "page_id").sortWithinPartitions("page_id", "_digest", F.col("html").isNotNull(), "url")
-    made = sorted(rows.mapInArrow(run, MANIFEST).collect())  # one short row a file
-    lines = "".join(json.dumps(r.asDict()) + "\n" for r in made)
-    files.write_whole(folder, "manifest.jsonl", lines.encode())
-    return spark.createDataFrame(made, MANIFEST)
+    cuts = borders(pages.select(F.col("page_id").cast("long").alias("page_id")), "page_id", n)
+    at = F.element_at(F.lit(even_keys(spark, n).tolist()), F.col("_range") + 1)
+    rows = decided(pages).withColumn("_range", range_of(F.col("page_id"), cuts)).withColumn("_key", at)
+    rows = rows.repartition(n, "_key").sortWithinPartitions("_range", "page_id", "_digest", F.col("html").isNotNull(), "url")
+    files.write_manifest(rows.drop("_key").mapInArrow(run, MANIFEST), folder)
+    return read_manifest(spark, folder)
 
 
 def read_manifest(spark: SparkSession, folder: str) -> DataFrame:
-    rows = [json.loads(x) for x in files.read_whole(folder, "manifest.jsonl").decode().splitlines()]
-    return spark.createDataFrame([(r["file"], r["records"], r["bytes"], r["sha256"]) for r in rows], MANIFEST)
+    return files.read_manifest(spark, folder, MANIFEST)
 
 
 def _members(stream: Iterator[bytes]) -> Iterator[bytes]:
