@@ -18,7 +18,6 @@ from pyspark.sql import functions as F
 
 CHUNK_BYTES = 2 << 20
 _BASE = 0x9E3779B97F4A7C15  # odd, so it has an inverse modulo 2**64
-_INVERSE = pow(_BASE, -1, 1 << 64)
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -97,35 +96,27 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _byte_values() -> np.ndarray:
-    values = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(_BASE))
-    values[65:91] = values[97:123]  # A-Z count as a-z
-    values[[9, 10, 11, 12, 13, 32]] = 0
-    return values
+_REACH = 256  # places of a word that have numbers of their own
 
 
-_VALUES = _byte_values()
-_SPACE = _VALUES == 0
-_powers: dict[str, np.ndarray] = {}
+def _tabulated() -> tuple[np.ndarray, np.ndarray]:
+    """A random number for each place in a word and byte, one table after another; and which bytes are blank."""
+    blank = np.zeros(256, bool)
+    blank[[9, 10, 11, 12, 13, 32]] = True
+    values = mix(np.arange(1, _REACH * 256 + 1, dtype=np.uint64) * np.uint64(_BASE)).reshape(_REACH, 256)
+    values[:, 65:91] = values[:, 97:123]  # A-Z count as a-z
+    values[:, blank] = 0
+    return values.ravel(), blank
 
 
-def _power(base: int, n: int, name: str) -> np.ndarray:
-    if name not in _powers or len(_powers[name]) < n:
-        size = max(n, CHUNK_BYTES + 1)
-        table = np.empty(size, np.uint64)
-        table[0], filled = 1, 1
-        while filled < size:
-            step = min(filled, size - filled)
-            table[filled : filled + step] = table[:step] * np.uint64(pow(base, filled, 1 << 64))
-            filled += step
-        if n > CHUNK_BYTES + 1:
-            return table  # of one very long text: not kept
-        _powers[name] = table
-    return _powers[name]
+_VALUES, _SPACE = _tabulated()
 
 
 def word_hashes(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of the words [^ \\t-\\r]+ with A-Z in lower case: 64-bit hashes, first bytes, and for each row the place of its first word (one more at the end)."""
+    """Of the words [^ \\t-\\r]+ with A-Z in lower case: 64-bit hashes, first bytes, and for each row the place of its first word (one more at the end).
+
+    A word's hash is the sum of numbers drawn for its bytes by place, so no regular pattern of bytes cancels out.
+    """
     n = len(data)
     if not n:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(len(at), np.int64)
@@ -138,10 +129,14 @@ def word_hashes(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarra
     bounds = np.searchsorted(starts, at)
     if not len(starts):
         return np.zeros(0, np.uint64), starts, bounds
-    values = _VALUES[data]
-    values *= _power(_BASE, n, "up")[:n]
-    hashes = np.add.reduceat(values, starts) * _power(_INVERSE, n, "down")[starts]
-    return mix(hashes), starts, bounds
+    lead = starts[0]
+    size = np.diff(starts, append=n)
+    place = np.arange(n - lead, dtype=np.int32) - np.repeat((starts - lead).astype(np.int32), size)
+    values = _VALUES[((place & np.int32(_REACH - 1)) << 8) | data[lead:]]
+    if size.max() > _REACH:
+        far = np.flatnonzero((place >= _REACH) & ~space[lead:])
+        values[far] = mix(values[far] + (place[far] // _REACH).astype(np.uint64) * np.uint64(_BASE))
+    return mix(np.add.reduceat(values, starts - lead)), starts, bounds
 
 
 def shingle_hashes(words: np.ndarray, bounds: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:

@@ -47,9 +47,8 @@ FROM t LEFT JOIN m USING (doc_id)
 WITH RECURSIVE d AS MATERIALIZED ({_shingles('documents', 'doc_id', 3)}), n AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM d GROUP BY 1),
 p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM d a JOIN d b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY 1, 2),
 l AS MATERIALIZED (SELECT x, y FROM p JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * c >= 90 * (a.n + b.n - c)),
-r(x, y) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.x, l.y FROM r JOIN l ON r.y = l.x),
-z AS (SELECT d.doc_id, list_sort(list(s)) AS ss FROM d GROUP BY 1), u AS (SELECT l.x, count(DISTINCT ss) AS links FROM l JOIN z ON z.doc_id = l.y WHERE ss <> (SELECT ss FROM z o WHERE o.doc_id = l.x) GROUP BY 1)
-SELECT x AS doc_id, coalesce(any_value(n), 0) AS n_shingles, min(y) AS component_id, coalesce(any_value(links), 0) AS n_links FROM r LEFT JOIN n ON n.doc_id = x LEFT JOIN u USING (x) GROUP BY x
+r(x, y) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.x, l.y FROM r JOIN l ON r.y = l.x)
+SELECT x AS doc_id, coalesce(any_value(n), 0) AS n_shingles, min(y) AS component_id FROM r LEFT JOIN n ON n.doc_id = x GROUP BY x
 """,
     "op8_warc": """
 SELECT p.page_id, CAST(strlen(coalesce(html, '')) AS BIGINT) AS payload_bytes, d.payload_digest,
