@@ -28,7 +28,7 @@ NO_ID = np.iinfo(np.int64).max  # stands for a null doc_id, which sorts last
 SALTS = 16
 PLACES = "doc_id long, mark long, places binary"
 
-#: (data, offsets) of a chunk -> hashes, row of each, place of each (uint32)
+#: (data, offsets) of a chunk -> hashes (a row of one or two 64-bit numbers each), row of each, place of each (uint32)
 Items = Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray, np.ndarray]]
 
 
@@ -127,9 +127,9 @@ def repeated(docs: DataFrame, items: Items, across: bool, kept: int = 8, copies_
 
     across: the places of hashes that occur in documents of different ids.
     Otherwise the places of all but the first item of a hash, in the order of
-    (doc_id, mark, place). docs: from marked(). kept: bytes of a hash that are
-    sent and compared, besides the bucket; with few, hashes that only look alike
-    count as repeats. copies_apart: the caller sees to documents whose text a
+    (doc_id, mark, place). docs: from marked(). kept: bytes of a hash's first
+    number that are sent and compared, besides the bucket; with few, hashes that
+    only look alike count as repeats. copies_apart: the caller sees to documents whose text a
     document with a smaller id has too; a task leaves out those it comes across.
     """
     spark = docs.sparkSession
@@ -138,9 +138,10 @@ def repeated(docs: DataFrame, items: Items, across: bool, kept: int = 8, copies_
 
     def settle(hashes: np.ndarray, doc: np.ndarray, mark: np.ndarray, row: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(what repeats, what stands for each hash elsewhere) as places in the arrays."""
-        order = np.lexsort((place, mark[row], doc[row], hashes)) if not across else np.lexsort((doc[row], hashes))
+        by = (doc[row], *hashes.T)
+        order = np.lexsort(by if across else (place, mark[row], *by))
         h, d = hashes[order], doc[row][order]
-        begins = np.concatenate([[True], h[1:] != h[:-1]]) if len(h) else np.zeros(0, bool)
+        begins = np.concatenate([[True], (h[1:] != h[:-1]).any(1)]) if len(h) else np.zeros(0, bool)
         first = np.flatnonzero(begins)
         group = np.cumsum(begins) - 1
         if across:
@@ -167,14 +168,15 @@ def repeated(docs: DataFrame, items: Items, across: bool, kept: int = 8, copies_
                 if own.num_rows:  # without hashes: passes the buckets as it is
                     yield pa.RecordBatch.from_arrays([*own.columns, pa.nulls(own.num_rows, pa.binary())], names=["bucket", "docs", "counts", "places", "hashes"])
                 hashes, row, place = hashes[first], row[first], place[first]
-                bucket = ((hashes >> np.uint64(40)) % np.uint64(buckets)).astype(np.uint32)
+                bucket = ((hashes[:, 0] >> np.uint64(40)) % np.uint64(buckets)).astype(np.uint32)
                 order = np.lexsort((row, bucket))
                 hashes, row, place, bucket = hashes[order], row[order], place[order], bucket[order]
                 cuts = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
                 rows = []
                 for a, b in zip(cuts, [*cuts[1:], len(bucket)], strict=True):
                     own_row, count = np.unique(row[a:b], return_counts=True)
-                    short = np.ascontiguousarray(hashes[a:b]).view(np.uint8).reshape(-1, 8)[:, :kept]  # and the bucket
+                    short = np.ascontiguousarray(hashes[a:b]).view(np.uint8)
+                    short = np.concatenate([short[:, :kept], short[:, 8:]], 1)  # and the bucket
                     planes = _planes(place[a:b].astype("<u4"))
                     ids = np.stack([_planes(doc[own_row]), mark[own_row].view(np.uint8)])
                     rows.append((int(keys[bucket[a]]), ids.tobytes(), count.astype("<u4").tobytes(), planes.tobytes(), short.tobytes()))
@@ -194,11 +196,12 @@ def repeated(docs: DataFrame, items: Items, across: bool, kept: int = 8, copies_
         for b in sorted(held):
             parts = held.pop(b)
             place = np.concatenate([_from_planes(p[0], "<u4") for p in parts])
-            hashes = np.zeros((len(place), 8), np.uint8)
-            hashes[:, :kept] = np.frombuffer(b"".join(p[1] for p in parts), np.uint8).reshape(-1, kept)
+            sent = np.frombuffer(b"".join(p[1] for p in parts), np.uint8).reshape(len(place), -1)
+            hashes = np.zeros((len(place), sent.shape[1] + 8 - kept), np.uint8)
+            hashes[:, :kept], hashes[:, 8:] = sent[:, :kept], sent[:, kept:]
             ids = np.stack([np.concatenate(x) for x in zip(*((_from_planes(p[2][: len(p[2]) // 2], np.int64), np.frombuffer(p[2], np.int64)[len(p[2]) // 16 :]) for p in parts), strict=True)])
             row = np.repeat(np.arange(ids.shape[1]), np.concatenate([np.frombuffer(p[3], "<u4") for p in parts]))
-            again, _ = settle(hashes.view(np.uint64).ravel(), ids[0], ids[1], row, place)
+            again, _ = settle(hashes.view(np.uint64), ids[0], ids[1], row, place)
             again = again[np.argsort(row[again], kind="stable")]
             yield pack_answers(ids[0], ids[1], row[again], place[again], keys)
 

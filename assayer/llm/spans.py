@@ -2,7 +2,7 @@
 
 A text is cut into sentences, which end after `.`, `!`, `?` (with the white
 space that follows) or a line break. Every run of `span` consecutive sentences
-is hashed, runs are compared over all documents, and every sentence that lies
+is hashed to 128 bits, runs are compared over all documents, and every sentence that lies
 in a run which is not its hash's first occurrence goes. First is by (doc_id,
 text hash, place); a run that occurs again within one document goes there too.
 Runs are of `span` sentences or, in texts with fewer, of all of them. A run
@@ -67,19 +67,21 @@ def sentences(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 
 
 def runs(data: np.ndarray, at: np.ndarray, span: int, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hash, row and first sentence of each run. Sentences are compared by their words, in lower case."""
+    """Hash (two numbers), row and first sentence of each run. Sentences are compared by their words, in lower case."""
     starts, bounds = sentences(data, at)
     words, begins, _ = word_hashes(data, at)
     if not len(starts) or not len(words):
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
+        return np.zeros((0, 2), np.uint64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
     which = np.searchsorted(starts, begins, "right") - 1
     first = np.searchsorted(which, np.arange(len(starts) + 1))
     count = np.diff(first)
     position = (np.arange(len(words)) - first[which]).astype(np.uint64)
-    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(words + position * np.uint64(0x9E3779B97F4A7C15)))])
-    sums = total[first[1:]] - total[first[:-1]]
-    hashes = mix(sums + count.astype(np.uint64))
-    own, place = shingle_hashes(hashes, bounds, span)
+    both = []
+    for step in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F):
+        total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(words + position * np.uint64(step)))])
+        both.append(mix(total[first[1:]] - total[first[:-1]] + count.astype(np.uint64)))
+    own, place = zip(*(shingle_hashes(hashes, bounds, span) for hashes in both), strict=True)
+    own, place = np.stack(own, 1), place[0]
     row = np.repeat(np.arange(len(bounds) - 1), np.diff(place))
     sentence = np.arange(len(own)) - place[row]
     a = bounds[row] + sentence

@@ -99,7 +99,7 @@ def anchors(data: np.ndarray, at: np.ndarray, length: int = LENGTH, gram: int =
     h = gram_hashes(data, gram)
     width = length - gram + 1
     if len(h) < width:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
+        return np.zeros((0, 1), np.uint64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
     low = _slide(h, width, np.minimum)
     pad = np.zeros(width - 1, np.uint64)
     top = _slide(np.concatenate([pad, low, pad]), width, np.maximum)  # over the windows that hold the run
@@ -107,7 +107,7 @@ def anchors(data: np.ndarray, at: np.ndarray, length: int = LENGTH, gram: int =
     row = np.searchsorted(at, found, "right") - 1
     inside = (found + gram <= at[row + 1]) & (at[row + 1] - at[row] >= length)
     found, row = found[inside], row[inside]
-    return h[found], row, (found - at[row]).astype(np.uint32)
+    return h[found, None], row, (found - at[row]).astype(np.uint32)
 
 
 def owned_runs(data: np.ndarray, windows: np.ndarray, length: int, seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
