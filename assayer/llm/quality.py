@@ -2,21 +2,24 @@
 
 A text's features are hashed runs that occur in it, each once: of `order` bytes,
 of `order` + 2 shapes (upper or lower case, digit, blank, or the sign itself),
-and of two words that are the same. A feature's ratio is the log of its smoothed share in class 1 over that
-in class 0, counted by Spark over all labelled training rows. A text is the
-vector of its features' ratios at unit length (shorter for very short texts); a linear model with hinge loss
-is fitted to such vectors by dual coordinate descent. The fit uses at most
-`sample` labelled rows (those of the smallest hash of doc_id); counts use all.
+and of two words. A feature's ratio is the log of its smoothed share in class 1
+over that in class 0, counted by Spark over all labelled training rows. A text is
+the vector of its features' ratios at unit length (shorter for very short texts);
+a linear model with hinge loss is fitted to such vectors by dual coordinate
+descent. The fit uses at most `sample` labelled rows, those of the smallest hash
+of doc_id (at ties, of text and label), and of these as many as have at most
+`numbers` features together; counts use all rows.
 
 Scores are a logistic curve over the margin, set on the same sample. Labels,
 language, source and doc_id are no inputs.
 
 Defined results: null text is the empty text, which has no features; its score
 comes from the intercept. Rows with a null or other label than 0 and 1 train
-nothing. Of several labels of a document, each counts. With one class or no
+nothing. Repeated rows and several labels of a document each count. With one class or no
 labels at all, every score is the share of class 1 (0.5 without labels). Each
-row is scored, repeated ones too; extra columns are ignored. An empty table
-gives no rows.
+row is scored, repeated ones too; extra columns are ignored. A column of df
+called `score` that is kept stays, and the score is then called `_score`. An
+empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -30,17 +33,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from assayer.llm.common import chunks, word_hashes
+from assayer.llm.common import chunks, staged, word_hashes
 
 BITS = 18
 ORDER = 4
 SAMPLE = 5_000
+NUMBERS = 16 << 20  # 64 MB of features on the driver
 COST = 1.0
 SMOOTH = 1.0
 EPOCHS = 12
 PRIOR = 100.0  # squared length that a text's vector has besides its own: short texts stay near the intercept
 _MULTIPLIER = np.uint32(0x9E3779B1)
-_AGAIN = 0x2A517
+_PAIR = np.uint64(0x9E3779B97F4A7C15)
 
 
 @dataclass
@@ -76,16 +80,12 @@ def _runs(data: np.ndarray, order: int, salt: int, bits: int) -> np.ndarray:
 
 
 def row_features(data: np.ndarray, at: np.ndarray, bits: int, order: int) -> Iterator[np.ndarray]:
-    """For each row its features' numbers, each once, ascending: runs of bytes, runs of shapes of bytes, and how often
-    a word repeats the one before (a run of two words whose second is written as `same`; counts by powers of two)."""
+    """For each row its features' numbers, each once, ascending: runs of bytes, of shapes of bytes, and of two words."""
     kinds = [(_runs(data, order, 1, bits), order), (_runs(_SHAPE[data], order + 2, 2, bits), order + 2)]
-    words, starts, bounds = word_hashes(data, at)
-    same = np.concatenate([[0], np.cumsum(np.concatenate([[False], words[1:] == words[:-1]]))]) if len(words) else np.zeros(1, np.int64)
+    words, _, bounds = word_hashes(data, at)
+    pairs = ((words[:-1] * _PAIR + words[1:]) >> np.uint64(64 - bits)).astype(np.uint32)
     for i, (a, b) in enumerate(zip(at[:-1].tolist(), at[1:].tolist(), strict=True)):
-        first, last = bounds[i], bounds[i + 1]
-        again = int(same[last] - same[min(first + 1, last)]) if last > first else 0
-        extra = [(_AGAIN + again.bit_length()) % (1 << bits)] if again else []
-        own = np.sort(np.concatenate([*(k[a : max(a, b - n + 1)] for k, n in kinds), np.array(extra, np.uint32)]))
+        own = np.sort(np.concatenate([*(k[a : max(a, b - n + 1)] for k, n in kinds), pairs[bounds[i] : max(bounds[i], bounds[i + 1] - 1)]]))
         yield own[np.concatenate([[True], own[1:] != own[:-1]])] if len(own) else own
 
 
@@ -154,24 +154,42 @@ def _logistic(margins: np.ndarray, labels: np.ndarray) -> tuple[float, float]:
     return max(a, 1e-3), b
 
 
-def fit(labelled: DataFrame, bits: int = BITS, order: int = ORDER, sample: int = SAMPLE) -> Model:
-    """labelled: (doc_id, text, label). Counts cover every row; the linear model is fitted to at most `sample` of them."""
+def _sampled(labelled: DataFrame, sample: int) -> DataFrame:
+    """The `sample` rows of the smallest (hash of doc_id, hash of text and label). Keys are compared first, without texts."""
+    keyed = labelled.withColumns({"_at": F.xxhash64("doc_id"), "_tie": F.xxhash64("text", "label")})
+    last = keyed.select("_at").orderBy("_at").limit(sample).agg(F.max("_at"), F.count("*")).first()
+    if not last[1]:
+        return keyed.limit(0)
+    within = keyed.where(F.col("_at") <= F.lit(last[0]))
+    below, all_ = within.agg(F.count(F.when(F.col("_at") < F.lit(last[0]), 1)), F.count("*")).first()
+    if all_ <= sample:
+        return within
+    edge = within.where(F.col("_at") == F.lit(last[0])).select("_tie").orderBy("_tie").limit(sample - below).agg(F.max("_tie")).first()[0]
+    tied = within.where((F.col("_at") == F.lit(last[0])) & (F.col("_tie") <= F.lit(edge))).orderBy("_tie").limit(sample - below)
+    return within.where(F.col("_at") < F.lit(last[0])).unionByName(tied)
+
+
+def fit(labelled: DataFrame, bits: int = BITS, order: int = ORDER, sample: int = SAMPLE, numbers: int = NUMBERS) -> Model:
+    """labelled: (doc_id, text, label). Counts cover every row; the linear model is fitted to at most `sample` of them, with at most `numbers` features together."""
     labelled = labelled.where(F.col("label").isin(0, 1)).select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.col("label").cast("int").alias("label"))
     total = class_counts(labelled.select("text", "label"), bits, order)
     share = total.sum(1) + SMOOTH * total.shape[1]
     ratios = np.log((total[1] + SMOOTH) / share[1]) - np.log((total[0] + SMOOTH) / share[0])
+    names = ["at", "tie", "label", "n", "features"]
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, data, at in chunks(batch):
-                rows = [x.astype("<u4").tobytes() for x in row_features(data, at, bits, order)]
-                yield pa.RecordBatch.from_arrays([part.column("label"), pa.array(rows, pa.binary())], names=["label", "features"])
+                rows = list(row_features(data, at, bits, order))
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("_at", "_tie", "label")), pa.array([len(x) for x in rows], pa.int64()), pa.array([x.astype("<u4").tobytes() for x in rows], pa.binary())], names=names)
 
-    # ids first, texts after: the top-k sorts no texts, and the driver gets the features of `sample` rows
-    chosen = labelled.select("doc_id", F.xxhash64("doc_id").alias("at")).orderBy("at", "doc_id").limit(sample).agg(F.max("at")).first()[0]
-    if chosen is None:
+    chosen = staged(_sampled(labelled, sample).select("_at", "_tie", "text", "label").mapInArrow(vectors, "at long, tie long, label int, n long, features binary"), "sample")
+    sizes = chosen.select("at", "tie", "n").toPandas().sort_values(["at", "tie"], kind="stable")
+    if not len(sizes):
         return Model(np.zeros(1 << bits, np.float32), ratios, 0.0, 1.0, 0.0, bits, order)
-    taken = labelled.where(F.xxhash64("doc_id") <= F.lit(chosen)).select("text", "label").limit(sample).mapInArrow(vectors, "label int, features binary").toPandas()
+    fits = max(1, int((sizes["n"].cumsum() <= numbers).sum()))
+    taken = chosen.where(F.col("at") <= F.lit(int(sizes["at"].iloc[fits - 1]))) if fits < len(sizes) else chosen
+    taken = taken.select("at", "tie", "label", "features").toPandas().sort_values(["at", "tie"], kind="stable").head(fits)
     y = taken["label"].to_numpy()
     rows = [np.frombuffer(x, "<u4") for x in taken["features"]]
     del taken
@@ -199,18 +217,23 @@ def score(df: DataFrame, model: Model, keep: list[str]) -> DataFrame:
     """(keep..., score) for every row of df."""
     spark = df.sparkSession
     shared = spark.sparkContext.broadcast(model)  # 2**bits numbers, twice
-    fields = [df.schema[c] for c in keep]
+    name, text = "score", "_text"
+    while name in keep:
+        name = f"_{name}"
+    while text in keep:
+        text = f"_{text}"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         for batch in batches:
-            for part, data, at in chunks(batch, "_text"):
+            for part, data, at in chunks(batch, text):
                 out = np.empty(part.num_rows)
                 for i, x in enumerate(row_features(data, at, m.bits, m.order)):
                     out[i] = _score(m, x)
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), pa.array(out)], names=[*keep, "score"])
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), pa.array(out)], names=[*keep, name])
 
-    return df.select(*keep, F.coalesce("text", F.lit("")).alias("_text")).mapInArrow(run, StructType([*fields, StructField("score", DoubleType())]))
+    schema = StructType([*(df.schema[c] for c in keep), StructField(name, DoubleType())])
+    return df.select(*keep, F.coalesce("text", F.lit("")).alias(text)).mapInArrow(run, schema)
 
 
 def accepted(docs: DataFrame, model: Model) -> DataFrame:
