@@ -58,8 +58,13 @@ def _slot(key: str, table: int, attempt: int) -> str:
 
 
 def _cells(keys: str, attempt: int) -> str:
-    cell = "named_struct('c', c, 'n', size(own), 'k', aggregate(own, 0L, (a, x) -> a ^ x), 'h', aggregate(own, 0, (a, x) -> a ^ hash(x)))"
-    tables = [f"transform(sequence(0L, {TABLE - 1}L), c -> {_let(f'filter(keys, x -> {_slot("x", t, attempt)} = c)', 'own', cell)})" for t in range(3)]
+    """A sketch's cells. Keys are dealt to quarters of a table first, then to the cells of a quarter."""
+    cell = "named_struct('c', 4 * q + r, 'n', size(own), 'k', aggregate(own, 0L, (a, x) -> a ^ x), 'h', aggregate(own, 0, (a, x) -> a ^ hash(x)))"
+    tables = []
+    for t in range(3):
+        bits = 12 * attempt + 4 * t
+        quarter = f"transform(sequence(0L, 3L), r -> {_let(f'filter(part, x -> (shiftright(x, {bits}) & 3L) = r)', 'own', cell)})"
+        tables.append(f"flatten(transform(sequence(0L, 3L), q -> {_let(f'filter(keys, x -> (shiftright(x, {bits + 2}) & 3L) = q)', 'part', quarter)}))")
     return _let(keys, "keys", f"concat({', '.join(tables)})")
 
 
@@ -67,34 +72,34 @@ def _written(cells: str) -> str:
     return f"concat_ws(';', transform(filter(transform({cells}, (x, i) -> named_struct('i', i, 'x', x)), y -> y.x.n > 0), y -> concat(hex(y.i), ':', hex(y.x.n), ':', hex(y.x.k), ':', hex(y.x.h))))"
 
 
-_SINGLE = "array_distinct(transform(filter(s.cells, x -> abs(x.n) = 1 and hash(x.k) = x.h), x -> named_struct('n', x.n, 'k', x.k)))"
-_TAKEN = "named_struct('c', x.c, 'n', x.n - aggregate(own, 0, (t, y) -> t + y.n), 'k', aggregate(own, x.k, (t, y) -> t ^ y.k), 'h', aggregate(own, x.h, (t, y) -> t ^ hash(y.k)))"
+_TAKEN = "named_struct('c', x.c, 'n', x.n - aggregate(own, 0, (t, y) -> t + y.n), 'k', aggregate(own, x.k, (t, y) -> t ^ y.k), 'h', aggregate(own, x.h, (t, y) -> t ^ y.h))"
 
 
-def _rounds(cells: str, after: str, ok: str) -> str:
-    """(p, q, ok) of peeling: after is what is left of the cells when the keys `single` are taken out."""
+def _left(cells: str, t: int) -> str:
+    """The cells of a table that aren't empty when the keys `single` are taken out."""
+    changed = f"transform({cells}, x -> {_let(f'filter(single, y -> y.s[{t}] = x.c)', 'own', f'if(size(own) = 0, x, {_TAKEN})')})"
+    return f"filter({changed}, x -> x.n <> 0 or x.k <> 0 or x.h <> 0)"
+
+
+def _peeled(tables: list[str], attempt: int) -> str:
+    """(p, q, ok): keys only in one, only in the other, and whether all cells came out empty, from the cells of each table that differ."""
+    cells = f"named_struct({', '.join(f"'t{t}', {x}" for t, x in enumerate(tables))})"
+    slots = ", ".join(_slot("x.k", t, attempt) for t in range(3))
+    pure = [f"transform(filter(s.cells.t{t}, x -> abs(x.n) = 1 and hash(x.k) = x.h), x -> named_struct('n', x.n, 'k', x.k, 'h', x.h, 's', array({slots})))" for t in range(3)]
+    single = f"array_distinct(concat({', '.join(pure)}))"
+    after = f"named_struct({', '.join(f"'t{t}', {_left(f's.cells.t{t}', t)}" for t in range(3))})"
     more = f"named_struct('cells', {after}, 'p', s.p + size(filter(single, y -> y.n = 1)), 'q', s.q + size(filter(single, y -> y.n = -1)), 'done', false)"
     stop = "named_struct('cells', s.cells, 'p', s.p, 'q', s.q, 'done', true)"
-    step = f"if(s.done, s, {_let(_SINGLE, 'single', f'if(size(single) = 0, {stop}, {more})')})"
+    step = f"if(s.done, s, {_let(single, 'single', f'if(size(single) = 0, {stop}, {more})')})"
     start = f"named_struct('cells', {cells}, 'p', 0, 'q', 0, 'done', false)"
+    ok = " and ".join(f"size(s.cells.t{t}) = 0" for t in range(3))
     return f"aggregate(sequence(1, {ROUNDS}), {start}, (s, r) -> {step}, s -> named_struct('p', s.p, 'q', s.q, 'ok', {ok}))"
 
 
-def _peeled(a: str, b: str, attempt: int) -> str:
-    """(p, q, ok): keys only in a, only in b, and whether all cells came out empty."""
-    difference = f"transform({a}, (x, i) -> named_struct('c', x.c, 'n', x.n - {b}[i].n, 'k', x.k ^ {b}[i].k, 'h', x.h ^ {b}[i].h))"
-    cell = f"if(size(own) = 0, x, {_TAKEN})"
-    tables = [f"transform(slice(s.cells, {TABLE * t + 1}, {TABLE}), x -> {_let(f'filter(single, y -> {_slot("y.k", t, attempt)} = x.c)', 'own', cell)})" for t in range(3)]
-    return _rounds(difference, f"concat({', '.join(tables)})", "forall(s.cells, x -> x.n = 0 and x.k = 0 and x.h = 0)")
-
-
-def _peeled_few(cells: str, attempt: int) -> str:
-    """The same from the cells that aren't empty; tables are told apart by their cells' numbers."""
-    at = [f"{_slot('y.k', t, attempt)} + {TABLE * t}" for t in range(3)]
-    own = f"filter(single, y -> {' or '.join(f'x.c = {x}' for x in at)})"
-    cell = f"if(size(own) = 0, x, {_TAKEN})"
-    left = f"filter(transform(s.cells, x -> {_let(own, 'own', cell)}), x -> x.n <> 0 or x.k <> 0 or x.h <> 0)"
-    return _rounds(cells, left, "size(s.cells) = 0")
+def _difference(a: str, b: str, t: int) -> str:
+    """The cells of a table in which two sketches differ."""
+    part = f"slice({a}, {TABLE * t + 1}, {TABLE})"
+    return f"filter(transform({part}, (x, i) -> named_struct('c', x.c, 'n', x.n - {b}[i + {TABLE * t}].n, 'k', x.k ^ {b}[i + {TABLE * t}].k, 'h', x.h ^ {b}[i + {TABLE * t}].h)), x -> x.n <> 0 or x.k <> 0 or x.h <> 0)"
 
 
 def _likeness(p, q, a, b):
@@ -138,10 +143,11 @@ def compare(pairs: DataFrame) -> DataFrame:
         # all that follows is grouped by row first, so the arrays are shuffled and nothing else
         dealt = now.select("row", "a", "b").repartition(shuffle_partitions(pairs.sparkSession), "row").withColumns({"sketches": sketches, "na": F.size("a"), "nb": F.size("b")})
         keys = dealt.select("row", "na", "nb", "sketches", F.explode(F.concat(signed("a", 1), signed("b", -1))).alias("x")).select("row", "na", "nb", F.pmod(F.xxhash64("x.key", F.lit(attempt)), "sketches").alias("sketch"), F.col("x.key").alias("key"), F.col("x.sign").alias("sign"))
-        cell = F.explode(F.expr(f"array({', '.join(f'{_slot("key", t, attempt)} + {TABLE * t}' for t in range(3))})"))
-        cells = keys.withColumn("c", cell).groupBy("row", "na", "nb", "sketch", "c").agg(F.sum("sign").cast("int").alias("n"), F.bit_xor("key").alias("k"), F.bit_xor(F.hash("key")).alias("h"))
-        left = F.collect_list(F.when(F.expr("n <> 0 or k <> 0 or h <> 0"), F.struct("c", "n", "k", "h")))
-        one = cells.groupBy("row", "na", "nb", "sketch").agg(left.alias("cells")).select("row", "na", "nb", F.expr(_peeled_few("cells", attempt)).alias("o"))
+        cell = F.explode(F.expr(f"array({', '.join(f"named_struct('t', {t}, 'c', {_slot('key', t, attempt)})" for t in range(3))})"))
+        cells = keys.withColumn("x", cell).groupBy("row", "na", "nb", "sketch", "x.t", "x.c").agg(F.sum("sign").cast("int").alias("n"), F.bit_xor("key").alias("k"), F.bit_xor(F.hash("key")).alias("h"))
+        differ = F.expr("n <> 0 or k <> 0 or h <> 0")
+        left = [F.collect_list(F.when(differ & (F.col("t") == t), F.struct("c", "n", "k", "h"))).alias(f"t{t}") for t in range(3)]
+        one = cells.groupBy("row", "na", "nb", "sketch").agg(*left).select("row", "na", "nb", F.expr(_peeled(["t0", "t1", "t2"], attempt)).alias("o"))
         got = one.groupBy("row", "na", "nb").agg(F.sum("o.p").alias("p"), F.sum("o.q").alias("q"), F.bool_and("o.ok").alias("ok"))
         tried = staged(got.withColumn("ok", F.expr("ok and p - q = na - nb")), f"attempt-{attempt}")
         fine = tried.where("ok").select("row", _likeness(F.col("p"), F.col("q"), F.col("na"), F.col("nb")).alias("likeness"))
@@ -161,7 +167,8 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     pairs = with_next(docs).withColumn("n_chars", n.cast("long")).withColumn("edited", F.concat(F.substring(F.col("text"), F.lit(1), n - half), F.substring(F.col("next_text"), F.lit(1), half)))
     keys = staged(pairs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), F.expr(_keys("text")).alias("own"), F.expr(_keys("edited")).alias("edited"), F.expr(_keys("next_text")).alias("next")), "keys")
     sketches = f"named_struct('own', {_cells('own', 0)}, 'edited', {_cells('edited', 0)}, 'next', {_cells('next', 0)})"
-    result = f"named_struct('f', {_written('t.own')}, 'e', {_written('t.edited')}, 'edited', {_peeled('t.own', 't.edited', 0)}, 'next', {_peeled('t.own', 't.next', 0)})"
+    peeled = {c: _peeled([_difference("t.own", f"t.{c}", t) for t in range(3)], 0) for c in ("edited", "next")}
+    result = f"named_struct('f', {_written('t.own')}, 'e', {_written('t.edited')}, 'edited', {peeled['edited']}, 'next', {peeled['next']})"
     sides = ("edited", "next")
     near = {c: F.when(F.col(f"o.{c}.ok"), _likeness(F.col(f"o.{c}.p"), F.col(f"o.{c}.q"), F.size("own"), F.size(c))).alias(f"near_{c}") for c in sides}
     kept = {c: F.when(~F.col(f"o.{c}.ok"), F.col(c)).alias(c) for c in sides}
