@@ -42,6 +42,11 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def released(spark: SparkSession) -> None:
+    """Has what finished jobs have shuffled deleted now. Spark does so when the driver collects garbage, which may be long after the disks are full."""
+    spark.sparkContext._jvm.java.lang.System.gc()
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 

@@ -28,7 +28,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from assayer.llm.common import shuffle_partitions, staged
+from assayer.llm.common import released, shuffle_partitions, staged
 from assayer.llm.repeats import NO_ID
 
 CELLS = 48
@@ -152,6 +152,7 @@ def compare(pairs: DataFrame) -> DataFrame:
         tried = staged(got.withColumn("ok", F.expr("ok and p - q = na - nb")), f"attempt-{attempt}")
         fine = tried.where("ok").select("row", _likeness(F.col("p"), F.col("q"), F.col("na"), F.col("nb")).alias("likeness"))
         done = fine if done is None else done.unionByName(fine)
+        released(pairs.sparkSession)
         failed = tried.where("not ok").select("row")
         if failed.isEmpty():
             return done
@@ -166,6 +167,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     half = F.floor(n / 2).cast("int")
     pairs = with_next(docs).withColumn("n_chars", n.cast("long")).withColumn("edited", F.concat(F.substring(F.col("text"), F.lit(1), n - half), F.substring(F.col("next_text"), F.lit(1), half)))
     keys = staged(pairs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), F.expr(_keys("text")).alias("own"), F.expr(_keys("edited")).alias("edited"), F.expr(_keys("next_text")).alias("next")), "keys")
+    released(docs.sparkSession)
     sketches = f"named_struct('own', {_cells('own', 0)}, 'edited', {_cells('edited', 0)}, 'next', {_cells('next', 0)})"
     peeled = {c: _peeled([_difference("t.own", f"t.{c}", t) for t in range(3)], 0) for c in ("edited", "next")}
     result = f"named_struct('f', {_written('t.own')}, 'e', {_written('t.edited')}, 'edited', {peeled['edited']}, 'next', {peeled['next']})"

@@ -46,7 +46,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from assayer.llm.common import chunks, even_keys, mix, shuffle_partitions, staged
+from assayer.llm.common import chunks, even_keys, mix, released, shuffle_partitions, staged
 from assayer.llm.files import as_rows
 from assayer.llm.repeats import NO_ID, PLACES, copies, gathered, marked, pack_answers, repeated, with_places
 from assayer.llm.transforms import encoded, merged_intervals, repeats_of_later
@@ -360,6 +360,7 @@ def removed(base: DataFrame, length: int = LENGTH, group_bytes: int = GROUP_BYTE
         own = done.where("part is null").select(F.col("key").alias("part"), "docs", "counts", "places")
         answers = own if answers is None else answers.unionByName(own)
         dealt = done.where("part is not null")
+        released(spark)
         if dealt.isEmpty():
             break
     return gathered(answers, buckets).unionByName(copied.where(F.col("n_bytes") >= length).mapInArrow(whole, PLACES))

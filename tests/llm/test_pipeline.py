@@ -41,3 +41,40 @@ def test_stages_against_brute_force(spark, tmp_path):
     pd.testing.assert_frame_equal(five[cols].sort_values(cols, ignore_index=True), whole[cols].sort_values(cols, ignore_index=True))
     ends = five.groupby("sequence_id")["length"].sum()
     assert ends.max() <= 2048 and np.ceil(five["length"].sum() / 2048) <= len(ends)
+
+
+def tables(spark, folder, docs, labels=((0, 1, 0), (1, 1, 0), (5, 1, 0), (6, 1, 0), (7, 1, 0), (99, 0, 0), (98, 0, 0))):
+    docs.write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame(list(labels), "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+    spark.createDataFrame([(1, "one two three four five six"), (2, None)], "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+    return folder
+
+
+def test_nulls_repeats_and_clashing_columns(spark, tmp_path):
+    long = " ".join(f"w{i}" for i in range(400_000))  # 3 MB: more than one chunk
+    rows = [(0, "good words stand here in a row of their own", "en", "s", 9, "k0"), (0, "good words stand here in a row of their own", "en", "s", 9, "k0"), (1, None, None, None, None, "k1"), (None, None, "en", "s", 0, "k2")]
+    rows += [(None, "a text without an id but with words in it", "de", None, 3, None), (5, "", "en", "s", 0, "k5"), (6, long, "en", "s", len(long), "k6"), (7, "one two three four five six", "en", "s", 7, "k7")]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, {} string"
+    rows += [(i, "### $$$ 00 11 22 ###" * (i - 90), "en", "s", 9, f"k{i}") for i in (98, 99)]
+    folder = tables(spark, str(tmp_path / "mark"), spark.createDataFrame(rows, schema.format("mark")))
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, folder)
+        if name != "best-fit packing":
+            assert out.columns == docs.columns, name
+            docs = corpus_pipeline.staged(out, "kept")
+    texts = {(r.doc_id, r.mark): r.text for r in docs.collect()}
+    assert (7, "k7") not in texts and (99, "k99") not in texts and (98, "k98") not in texts and texts[(6, "k6")] == long and texts[(1, "k1")] is None and texts[(5, "k5")] == ""
+    assert sorted(k for _, k in texts if k) == ["k0", "k1", "k2", "k5", "k6"] and texts[(None, None)] == rows[4][1]
+    assert sum(r.length for r in out.collect() if r.doc_id == 6) > 400_000
+    few = [r for r in rows if r[0] != 6]
+    for extra in ("places", "node", "_keep_id", "score", "_text", "copy", "rest"):
+        docs = spark.createDataFrame(few, schema.format(extra))
+        folder = tables(spark, str(tmp_path / extra), docs)
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            assert stage(spark, docs, folder).columns == docs.columns, name
+
+
+def test_empty_table(spark, tmp_path):
+    docs = spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long")
+    assert corpus_pipeline.run(spark, tables(spark, str(tmp_path), docs)).count() == 0
