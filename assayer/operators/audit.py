@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from assayer.functions.keys import ordering_hash
 from assayer.operators.rank import ranked
+from assayer.sources.shared import staged
 
 
 def judge_label(name: str) -> str:
@@ -97,7 +98,7 @@ def audit_sample(rows: DataFrame, requested: Mapping[str, int], priority: Sequen
     fill a gap are chosen by a seeded hash among units not taken yet, and are no
     units twice among themselves. The sample's size is bounded by the quotas.
     """
-    rows = rows.persist()
+    rows = staged(rows, "rows")
     quotas = resolved_quotas(rows.groupBy(F.col("primary_stratum").alias("stratum")).agg(F.count("*").alias("n")), requested, priority)
     settled = quotas.collect()  # a row for each stratum
     quotas = rows.sparkSession.createDataFrame(settled, quotas.schema)
@@ -105,7 +106,8 @@ def audit_sample(rows: DataFrame, requested: Mapping[str, int], priority: Sequen
     rank = F.coalesce(F.create_map(*(F.lit(x) for p in place.items() for x in p))[F.col("primary_stratum")], F.lit(len(place)))
     picked = bucket_sample(rows, quotas, key, seed).withColumns({"_place": rank, "_h": ordering_hash(seed, F.concat(F.lit("primary:"), F.col("primary_stratum")), F.col(key))})
     first = Window.partitionBy(unit).orderBy("_place", "_h", key)
-    taken = picked.withColumn("_n", F.row_number().over(first)).where("_n = 1").select(*rows.columns).persist()
+    taken = picked.withColumn("_n", F.row_number().over(first)).where("_n = 1").select(*rows.columns)
+    taken = staged(taken, "taken")
     for name in ("unique-fill", "global-unique-fill"):
         free = rows.join(taken.select(unit), unit, "left_anti")
         free = free.withColumns({"_h": ordering_hash(seed, name, F.col(key)), "_place": rank})
@@ -121,7 +123,7 @@ def audit_sample(rows: DataFrame, requested: Mapping[str, int], priority: Sequen
             level = F.coalesce(F.create_map(*(F.lit(x) for p in by_priority.items() for x in p))[F.col("primary_stratum")], F.lit(99)) if by_priority else F.lit(99)
             missing = max(0, int(total) - taken.count())
             more = free.withColumn("_level", level).orderBy("_level", "_h", key).limit(missing)
-        taken = taken.unionByName(more.select(*rows.columns)).persist()
+        taken = taken.unionByName(staged(more.select(*rows.columns), name))
     return taken
 
 
@@ -149,5 +151,11 @@ def stratum_weights(rows: DataFrame, sample: DataFrame, by: str = "primary_strat
     return a.join(b, by, "left").select(by, "population", F.coalesce("sampled", F.lit(0)).alias("sampled"), F.coalesce("units", F.lit(0)).alias("units"), F.try_divide(F.col("population"), F.col("sampled")).alias("sampling_weight"))
 
 
+def complexity_counts(rows: DataFrame, sample: DataFrame, by: str = "complexity_bin") -> DataFrame:
+    """How many rows and how many sampled ones each bin of complexity has."""
+    both = rows.select(by, F.lit(1).alias("_r"), F.lit(0).alias("_s")).unionByName(sample.select(by, F.lit(0).alias("_r"), F.lit(1).alias("_s")))
+    return both.groupBy(by).agg(F.sum("_r").alias("population"), F.sum("_s").alias("sampled"))
+
+
 def key_items(sample: DataFrame, weights: DataFrame, by: str = "primary_stratum") -> DataFrame:
     return sample.join(F.broadcast(weights.select(by, "sampling_weight")), by, "left")  # a row for each stratum

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from assayer.operators.rank import first_keys
+
 
 def derived(rows: DataFrame) -> DataFrame:
     """duration_seconds, throughput_samples_per_sec, accuracy_per_second; null where a part is missing or zero."""
@@ -101,6 +103,9 @@ def grouped(rows: DataFrame) -> DataFrame:
 
 def totals(rows: DataFrame, shown: int = 100) -> DataFrame:
     """Numbers of entries, models and conditions; how many lack accuracy or latency, and the first of them by name."""
-    name = F.concat_ws("/", "model_short", "condition", "judge_model")
-    listed = lambda c: F.array_join(F.slice(F.array_sort(F.collect_set(F.when(F.col(c).isNull(), name))), 1, shown), ",")
-    return rows.agg(F.count("*").alias("n_entries"), F.count_distinct("model_short").alias("n_models"), F.count_distinct("condition").alias("n_conditions"), F.count_if(F.col("accuracy").isNull()).alias("n_missing_accuracy"), F.count_if(F.col("latency_mean_ms").isNull()).alias("n_missing_latency"), listed("accuracy").alias("missing_accuracy"), listed("latency_mean_ms").alias("missing_latency"))
+    named = rows.withColumn("_name", F.concat_ws("/", "model_short", "condition", "judge_model"))
+    out = rows.agg(F.count("*").alias("n_entries"), F.count_distinct("model_short").alias("n_models"), F.count_distinct("condition").alias("n_conditions"), F.count_if(F.col("accuracy").isNull()).alias("n_missing_accuracy"), F.count_if(F.col("latency_mean_ms").isNull()).alias("n_missing_latency"))
+    for c, into in (("accuracy", "missing_accuracy"), ("latency_mean_ms", "missing_latency")):
+        firsts = first_keys(named.where(F.col(c).isNull()).withColumn("_all", F.lit(0)), ["_all"], "_name", shown, into).select(F.array_join(into, ",").alias(into))
+        out = out.join(F.broadcast(firsts), F.lit(True), "left").withColumn(into, F.coalesce(into, F.lit("")))  # one row to one row
+    return out

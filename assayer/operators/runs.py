@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from assayer.functions import text
+from assayer.operators.rank import first_keys, quantiles
 
 # The numeric fields of a run that are aggregated over seeds.
 NUMERIC_FIELDS = (
@@ -30,16 +31,19 @@ NUMERIC_FIELDS = (
 GROUP = ("model_short", "condition", "finetuned", "few_shot", "judge_model", "split_type")
 
 
-def latency_columns(latency: str = "latency_ms") -> list[Column]:
-    p = F.percentile(latency, F.array(*(F.lit(x) for x in (0.5, 0.95, 0.99))))
-    return [F.avg(latency).alias("latency_mean_ms"), F.min(latency).alias("latency_min_ms"), F.max(latency).alias("latency_max_ms"), F.sum(latency).alias("latency_total_ms"), p[0].alias("latency_p50_ms"), p[1].alias("latency_p95_ms"), p[2].alias("latency_p99_ms")]
-
-
-def run_stats(rows: DataFrame, by: list[str], generated: str = "generated", error: str = "generation_error", latency: str = "latency_ms", row_id: str = "id") -> DataFrame:
-    """Counts of successful, failed and refused rows, ids of the refused, and latencies. An empty output is a failure."""
+def run_stats(rows: DataFrame, by: list[str], generated: str = "generated", error: str = "generation_error", latency: str = "latency_ms", row_id: str = "id", shown: int = 1_000) -> DataFrame:
+    """Counts of successful, failed and refused rows, the first `shown` ids of the refused, and latencies. An empty output is a failure."""
     bad = F.col(error).isNotNull() | (F.coalesce(F.col(generated), F.lit("")) == "")
     filtered = text.refused(F.col(error))
-    return rows.groupBy(*by).agg(F.count("*").alias("total_samples"), F.count_if(~bad).alias("successful"), F.count_if(bad).alias("failed"), F.count_if(filtered).alias("content_filtered"), F.array_sort(F.collect_list(F.when(filtered, F.col(row_id)))).alias("content_filtered_ids"), *latency_columns(latency))
+    counts = rows.groupBy(*by).agg(F.count("*").alias("total_samples"), F.count_if(~bad).alias("successful"), F.count_if(bad).alias("failed"), F.count_if(filtered).alias("content_filtered"), F.avg(latency).alias("latency_mean_ms"), F.min(latency).alias("latency_min_ms"), F.max(latency).alias("latency_max_ms"), F.sum(latency).alias("latency_total_ms"))
+    ids = first_keys(rows.where(filtered), by, row_id, shown, "content_filtered_ids")
+    marks = quantiles(rows, by, latency, {"latency_p50_ms": 0.5, "latency_p95_ms": 0.95, "latency_p99_ms": 0.99})
+    out, names = counts, counts.columns
+    for other in (ids, marks):
+        extra = [c for c in other.columns if c not in by]
+        out = out.alias("a").join(other.alias("b"), [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in by] or F.lit(True), "left").select(*(f"a.{c}" for c in names), *(f"b.{c}" for c in extra))
+        names = [*names, *extra]
+    return out.withColumn("content_filtered_ids", F.coalesce("content_filtered_ids", F.array().cast(ids.schema["content_filtered_ids"].dataType)))
 
 
 def with_split_type(runs: DataFrame, combine_judges: bool = False) -> DataFrame:
@@ -69,6 +73,11 @@ def with_agreement(runs: DataFrame, per_source: DataFrame, source: str = "source
     return runs.withColumn("_stem", text.source_stem(F.col(source))).join(right, "_stem", "left").drop("_stem")
 
 
+def agreement_stats(runs: DataFrame, per_source: DataFrame, by: list[str], fields: list[str], source: str = "source_file") -> DataFrame:
+    """Statistics over each group's runs of the agreement scores of their sources."""
+    return seed_stats(with_agreement(runs, per_source, source), by, fields)
+
+
 def seed_pairs(runs: DataFrame, metric: str = "accuracy") -> DataFrame:
     """Pairs of models compared on the seeds both have: mean difference, wins and ties, for each condition and judge."""
     by = ["condition", "judge_model"]

@@ -3,7 +3,8 @@
 Differences between paired scores take few values, so their counts are all that
 resampling needs: a bootstrap sample of n items is a multinomial draw over the
 values, a random sign flip a binomial one for each value. A replicate then costs
-as many draws as there are values, whatever n is.
+as many draws as there are values, whatever n is, and a task draws CHUNK
+replicates at once. Scores are shares of few votes, so values stay few.
 """
 
 from __future__ import annotations
@@ -16,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 GROUP = ("model_short", "condition")
+CHUNK = 100
 OUT = "model_short string, condition string, boot double, flip double"
 
 
@@ -31,26 +33,34 @@ def paired_differences(scores: DataFrame, best: tuple[str, str], challengers: Da
     return rest.join(top, F.col(unit) == F.col("_u")).groupBy(*GROUP, (F.col("_best") - F.col("combined_score")).alias("diff")).agg(F.count("*").alias("n"))
 
 
+def paired_moments(differences: DataFrame) -> DataFrame:
+    """For each challenger: n, mean difference, and the exact deviation of that mean under random sign flips, with what it makes of the mean (z)."""
+    n, mean = F.sum("n"), F.sum(F.col("diff") * F.col("n")) / F.sum("n")
+    out = differences.groupBy(*GROUP).agg(n.alias("n_paired_items"), mean.alias("accuracy_difference"), (F.sqrt(F.sum(F.col("diff") * F.col("diff") * F.col("n"))) / n).alias("flip_std"))
+    return out.withColumn("flip_z", F.try_divide("accuracy_difference", "flip_std"))
+
+
 def paired_tests(differences: DataFrame, replicates: int = 2000, seed: int = 1) -> DataFrame:
     """For each challenger: n, mean difference, bootstrap 95 % interval, and the p-value of random sign flips."""
-    table = differences.groupBy(*GROUP).agg(F.array_sort(F.collect_list(F.struct("diff", "n"))).alias("d"), F.sum("n").alias("n_paired_items"), (F.sum(F.col("diff") * F.col("n")) / F.sum("n")).alias("accuracy_difference"))
+    values = F.array_sort(F.collect_list(F.struct("diff", "n")))
+    table = differences.groupBy(*GROUP).agg(values.alias("d"), F.sum("n").alias("n_paired_items"), (F.sum(F.col("diff") * F.col("n")) / F.sum("n")).alias("accuracy_difference"))
     spark = differences.sparkSession
-    tasks = table.join(F.broadcast(spark.range(replicates).withColumnRenamed("id", "replicate")))  # groups are few, replicates a parameter
+    chunks = spark.range(-(-replicates // CHUNK)).withColumnRenamed("id", "chunk")
+    tasks = table.join(F.broadcast(chunks))  # groups are few, replicates a parameter
+    tasks = tasks.select(*GROUP, "chunk", F.col("d.diff").alias("diffs"), F.col("d.n").alias("counts")).repartition(*GROUP, "chunk")
 
     def draw(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            boot, flip = [], []
-            for name, other, d, r in zip(frame["model_short"], frame["condition"], frame["d"], frame["replicate"], strict=True):
-                values = np.array([x["diff"] for x in d])
-                counts = np.array([x["n"] for x in d])
-                own = np.random.default_rng([seed, int(r), *f"{name}|{other}".encode()])
-                n = counts.sum()
-                boot.append(own.multinomial(n, counts / n) @ values / n)
-                flip.append((2 * own.binomial(counts, 0.5) - counts) @ values / n)
-            yield pd.DataFrame({"model_short": frame["model_short"], "condition": frame["condition"], "boot": boot, "flip": flip})
-
-    drawn = tasks.select(*GROUP, "d", "replicate").mapInPandas(draw, OUT)
+            for name, other, chunk, diffs, counts in zip(*(frame[c] for c in (*GROUP, "chunk", "diffs", "counts")), strict=True):
+                own = np.random.default_rng([seed, int(chunk), *f"{name}|{other}".encode()])
+                diffs, counts = np.asarray(diffs), np.asarray(counts)
+                size, n = min(CHUNK, replicates - CHUNK * int(chunk)), counts.sum()
+                boot = own.multinomial(n, counts / n, size=size) @ diffs / n
+                flip = (2 * own.binomial(counts, 0.5, size=(size, len(counts))) - counts) @ diffs / n
+                yield pd.DataFrame({"model_short": name, "condition": other, "boot": boot, "flip": flip})
+
+    drawn = tasks.mapInPandas(draw, OUT)
     facts = table.select(*GROUP, "n_paired_items", "accuracy_difference")
-    joined = drawn.join(facts, list(GROUP))
+    joined = drawn.join(F.broadcast(facts), list(GROUP))  # a row for each group
     extreme = F.count_if(F.abs("flip") >= F.abs("accuracy_difference") - 1e-12)
     return joined.groupBy(*GROUP, "n_paired_items", "accuracy_difference").agg(F.percentile("boot", F.lit(0.025)).alias("ci95_low"), F.percentile("boot", F.lit(0.975)).alias("ci95_high"), ((extreme + 1) / (F.count("*") + 1)).alias("randomization_p_value"))

@@ -12,6 +12,8 @@ from assayer.functions import keys, text
 from assayer.operators import agreement, annotations, audit, dataset, efficiency, judging, report, runs, scoring, significance
 from assayer.operators.rank import ranked
 from assayer.plans.views import load, with_views
+from assayer.sources import readers, sinks
+from assayer.sources.shared import fresh_path, staged
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -459,6 +461,13 @@ def paired_differences(spark, sf_dir):
     return rows.groupBy("model_short", "condition", (F.round("diff", 6) + F.lit(0.0)).alias("diff")).agg(F.sum("n").alias("n"))
 
 
+@query("""WITH s AS (SELECT l_returnflag AS model_short, l_linestatus AS condition, l_partkey, avg(CASE WHEN l_quantity >= 25 THEN 1.0 ELSE 0.0 END) AS x FROM lineitem GROUP BY ALL),
+d AS (SELECT b.model_short, b.condition, a.x - b.x AS diff FROM s a JOIN s b USING (l_partkey) WHERE a.model_short = 'A' AND a.condition = 'F' AND NOT (b.model_short = 'A' AND b.condition = 'F'))
+SELECT model_short, condition, count(*) AS n_paired_items, round(avg(diff), 6) AS accuracy_difference, round(sqrt(sum(diff * diff)) / count(*), 6) AS flip_std FROM d GROUP BY ALL""")
+def paired_moments(spark, sf_dir):
+    return shown(significance.paired_moments(_differences(spark, sf_dir)).drop("flip_z"))
+
+
 @query()
 def paired_tests(spark, sf_dir):
     return significance.paired_tests(_differences(spark, sf_dir), 2000, SEED)
@@ -612,11 +621,45 @@ def audit_bucket_sample(spark, sf_dir):
     return audit.bucket_sample(_population(spark, sf_dir), _quotas(spark, sf_dir), "population_key", SEED).select("population_key", "primary_stratum")
 
 
-@query()
+def _case(column: str, names, other: int) -> str:
+    return f"CASE {column} {' '.join(f"WHEN '{n}' THEN {i}" for i, n in enumerate(names))} ELSE {other} END"
+
+
+_PLACE = _case("primary_stratum", list(dict.fromkeys([*QUOTAS, *PRIORITY])), 99)
+_KEYED = """SELECT population_key, primary_stratum, source_file AS source_stratum, split_part(split_part(population_key, '/', 2), '|', 1) AS unit"""
+
+
+def _free_sql(space: str, taken: str) -> str:
+    """One row of each unit that isn't taken: the first by place and hash."""
+    h = _hash_sql(f"'{space}'", "population_key")
+    return f"""SELECT *, {h} AS h FROM ({_KEYED} FROM strata) x WHERE unit NOT IN (SELECT unit FROM {taken}) QUALIFY row_number() OVER (PARTITION BY unit ORDER BY {_PLACE}, {h}, population_key) = 1"""
+
+
+@query(f"""WITH {_SHARES}, r AS (SELECT *, {_hash_sql("concat('primary:', primary_stratum)", "population_key")} AS h FROM strata),
+r2 AS (SELECT *, row_number() OVER (PARTITION BY primary_stratum, source_file ORDER BY h, population_key) AS k FROM r),
+picked AS (SELECT r2.* FROM r2 JOIN shares s ON r2.primary_stratum = s.primary_stratum AND r2.source_file = s.source_stratum WHERE k <= allocation),
+t1 AS ({_KEYED} FROM picked QUALIFY row_number() OVER (PARTITION BY split_part(split_part(population_key, '/', 2), '|', 1) ORDER BY {_PLACE}, h, population_key) = 1),
+f1 AS ({_free_sql('unique-fill', 't1')}),
+m1 AS (SELECT f1.population_key, f1.primary_stratum, f1.source_stratum, f1.unit FROM (SELECT *, row_number() OVER (PARTITION BY primary_stratum ORDER BY h, population_key) AS k FROM f1) f1
+       JOIN (SELECT stratum, quota - (SELECT count(*) FROM t1 WHERE t1.primary_stratum = stratum) AS gap FROM quotas) g ON g.stratum = f1.primary_stratum WHERE k <= gap),
+t2 AS (SELECT * FROM t1 UNION ALL SELECT * FROM m1),
+f2 AS ({_free_sql('global-unique-fill', 't2')}),
+m2 AS (SELECT population_key, primary_stratum, source_stratum, unit FROM (SELECT *, row_number() OVER (ORDER BY {_case('primary_stratum', PRIORITY, 99)}, h, population_key) AS k FROM f2) f2 WHERE k <= (SELECT sum(quota) FROM quotas) - (SELECT count(*) FROM t2)),
+t3 AS (SELECT * FROM t2 UNION ALL SELECT * FROM m2),
+o AS (SELECT *, row_number() OVER (ORDER BY {_hash_sql("'presentation'", "population_key")}, population_key) AS presentation_order FROM t3)
+SELECT concat('AUDIT-', lpad(presentation_order::VARCHAR, 4, '0')) AS audit_id, presentation_order, population_key, unit AS annotation_unit_key, primary_stratum, source_stratum,
+       round((SELECT count(*) FROM strata s WHERE s.primary_stratum = o.primary_stratum) / (SELECT count(*) FROM t3 WHERE t3.primary_stratum = o.primary_stratum)::DOUBLE, 6) AS sampling_weight FROM o""")
 def audit_sample(spark, sf_dir):
-    rows = _population(spark, sf_dir)
+    rows = staged(_population(spark, sf_dir), "population")
     sample = audit.audit_sample(rows, QUOTAS, PRIORITY, SEED)
-    return audit.key_items(audit.with_audit_ids(sample, SEED), audit.stratum_weights(rows, sample)).select("audit_id", "presentation_order", "population_key", "annotation_unit_key", "primary_stratum", "source_stratum", "sampling_weight")
+    items = audit.key_items(audit.with_audit_ids(sample, SEED), audit.stratum_weights(rows, sample))
+    return shown(items.select("audit_id", "presentation_order", "population_key", "annotation_unit_key", "primary_stratum", "source_stratum", "sampling_weight"))
+
+
+@query(f"""WITH {_POP} SELECT CASE WHEN count(*) > 0 THEN 'bin_' END || (length(population_key) % 3)::VARCHAR AS complexity_bin, count(*) AS population, count(*) FILTER (WHERE primary_stratum LIKE 'disagree_%') AS sampled FROM strata GROUP BY length(population_key) % 3""")
+def complexity_counts(spark, sf_dir):
+    rows = _population(spark, sf_dir).withColumn("complexity_bin", F.concat(F.lit("bin_"), (F.length("population_key") % 3).cast("string")))
+    return audit.complexity_counts(rows, rows.where(F.col("primary_stratum").startswith("disagree_")))
 
 
 @query(f"""WITH {_POP} SELECT concat('DIS-', lpad(row_number() OVER (ORDER BY {_hash_sql("'presentation'", "population_key")}, population_key)::VARCHAR, 4, '0')) AS audit_id, population_key FROM strata WHERE primary_stratum LIKE 'disagree_%'""")
@@ -765,3 +808,86 @@ def gold_readings(spark, sf_dir):
 @query(f"""SELECT id, stratum, row_number() OVER (PARTITION BY stratum ORDER BY {_hash_sql("'rank'")}, id) AS rank, count(*) OVER (PARTITION BY stratum) AS n FROM v_dataset""")
 def seeded_ranks(spark, sf_dir):
     return ranked(load(spark, sf_dir, "v_dataset"), "id", SEED, "rank", ["stratum"], "rank", "n").select("id", "stratum", "rank", "n")
+
+
+# --- files: tables written to the shared folder in the readers' forms, and read back ---
+
+
+def _as_files(rows: DataFrame, name: str, columns: dict[str, str]) -> str:
+    """A folder with one text file for each row of `rows`, whose column `content` it holds, under directories by the other columns."""
+    path = fresh_path(rows.sparkSession, name)
+    rows.select("content", *(F.col(c).alias(n) for n, c in columns.items())).write.partitionBy(*columns).text(path)
+    return path
+
+
+@query("""SELECT id::VARCHAR AS id, CASE WHEN p_size % 7 = 0 THEN '' ELSE concat('Q', id) END AS input, CASE WHEN gold_2 IS NULL THEN [trim(gold_1)] ELSE [trim(gold_1), trim(gold_2)] END AS outputs, CASE WHEN p_size % 7 = 0 THEN 'input is blank' END AS problem FROM v_formula""")
+def gold_files(spark, sf_dir):
+    rows = load(spark, sf_dir, "v_formula").withColumn("bucket", F.col("id") % 16)
+    item = F.struct(F.col("id").cast("string").alias("id"), F.when(F.col("p_size") % 7 == 0, "").otherwise(F.concat(F.lit("Q"), "id")).alias("input"), F.transform(_golds(), lambda g: F.struct(F.concat(F.lit(" "), g).alias("formula"))).alias("outputs"))
+    folder = _as_files(rows.groupBy("bucket").agg(F.to_json(F.collect_list(item)).alias("content")), "gold", {"bucket": "bucket"})
+    return readers.gold_dataset(spark, folder).select("id", "input", "outputs", "problem")
+
+
+def _judged_folder(spark, sf_dir) -> str:
+    rows = load(spark, sf_dir, "v_formula").withColumns({"run": F.concat(F.lit("run"), F.col("id") % 8), "bucket": F.when(F.col("id") % 2 == 0, "judge_a").otherwise("judge_b")})
+    item = F.struct(F.col("id").cast("string").alias("id"), F.concat(F.lit("Q"), "id").alias("input"), F.col("gold_1").alias("expected"), F.col("prediction").alias("generated"), F.when(F.col("p_size") > 25, "yes").otherwise("no").alias("correct"))
+    whole = rows.groupBy("bucket", "run").agg(F.to_json(F.struct(F.struct(F.col("run").alias("run_id"), F.lit(42).alias("seed")).alias("metadata"), F.array_sort(F.collect_list(item)).alias("detailed_results"))).alias("content"))
+    broken = whole.where("run = 'run0'").select("bucket", F.lit("broken").alias("run"), F.lit("{oops").alias("content"))
+    return _as_files(whole.unionByName(broken), "judged", {"run": "run", "judge": "bucket"})
+
+
+@query("""SELECT id::VARCHAR AS id, concat('run', id % 8) AS run_id, 42::BIGINT AS seed, concat('judge=judge_', CASE WHEN id % 2 = 0 THEN 'a' ELSE 'b' END) AS judge, concat('Q', id) AS input, gold_1 AS gold, prediction, CASE WHEN p_size > 25 THEN 'yes' ELSE 'no' END AS correct FROM v_formula""")
+def judged_records(spark, sf_dir):
+    return readers.judged_files(spark, _judged_folder(spark, sf_dir), "*.txt").select("id", "run_id", "seed", "judge", "input", "gold", "prediction", "correct")
+
+
+@query("SELECT count(DISTINCT id % 2) AS n_unreadable FROM v_formula WHERE id % 8 = 0")
+def unreadable_files(spark, sf_dir):
+    return readers.unreadable_files(spark, _judged_folder(spark, sf_dir), "*.txt").agg(F.count("*").alias("n_unreadable"))
+
+
+@query("SELECT concat('judge=judge_', CASE WHEN id % 2 = 0 THEN 'a' ELSE 'b' END) AS folder, count(DISTINCT id % 8) + max(CASE WHEN id % 8 = 0 THEN 1 ELSE 0 END) AS n_files, true AS digests_are_64_digits FROM v_formula GROUP BY 1")
+def file_digests(spark, sf_dir):
+    out = readers.file_digests(spark, _judged_folder(spark, sf_dir), "*.txt")
+    return out.groupBy(F.element_at(F.split("path", "/"), -2).alias("folder")).agg(F.count("*").alias("n_files"), F.bool_and(F.length("sha256") == 64).alias("digests_are_64_digits"))
+
+
+@query("""SELECT audit_id, annotator_id, correct FROM v_annotation WHERE trim(audit_id) <> ''""")
+def annotation_files(spark, sf_dir):
+    rows = load(spark, sf_dir, "v_annotation").withColumn("bucket", F.pmod(F.hash("audit_id"), F.lit(8)))
+    folder = _as_files(rows.where("ord <= 2").groupBy("bucket").agg(F.to_json(F.struct(F.collect_list(F.struct("audit_id", "annotator_id", "correct")).alias("items"))).alias("content")), "annotations", {"bucket": "bucket"})
+    path = fresh_path(spark, "annotations-csv")
+    sinks.write(rows.where("ord > 2"), path, "csv", ["audit_id", "annotator_id", "correct"])
+    return readers.annotations_json(spark, folder).unionByName(readers.annotations_csv(spark, path)).select("audit_id", "annotator_id", "correct")
+
+
+@query("""SELECT judge_model, prompt_version, CASE WHEN judge_model = 'R' AND prompt_version = 'v1' THEN -1 ELSE total END AS total
+FROM (SELECT judge_model, CASE WHEN condition = 'F' THEN 'v1' ELSE 'v2' END AS prompt_version, sum(o_orderkey)::BIGINT AS total FROM v_judged GROUP BY ALL) t""")
+def judged_partitions(spark, sf_dir):
+    rows = load(spark, sf_dir, "v_judged").select("judge_model", F.when(F.col("condition") == "F", "v1").otherwise("v2").alias("prompt_version"), "o_orderkey")
+    path = fresh_path(spark, "judged")
+    sinks.write_judged(rows, path)
+    again = rows.where("judge_model = 'R' and prompt_version = 'v1'").groupBy("judge_model", "prompt_version").agg(F.lit(-1).cast("long").alias("o_orderkey"))
+    sinks.write_judged(again, path)
+    return spark.read.schema(rows.schema).parquet(path).groupBy("judge_model", "prompt_version").agg(F.sum("o_orderkey").alias("total"))
+
+
+@query(f"""WITH {_ALIGNED}, {_PAIRS}, k AS (SELECT source_file, avg({_KAPPA}) AS mean_kappa FROM pairs GROUP BY 1), g AS (SELECT source_file, CASE WHEN source_file < 'run_5' THEN 'first' ELSE 'second' END AS half, mean_kappa FROM k)
+SELECT half, 'mean_kappa' AS metric, round(avg(mean_kappa), 6) AS mean, round(CASE WHEN count(*) > 1 THEN stddev_pop(mean_kappa) ELSE 0 END, 6) AS std, count(*) AS n FROM g GROUP BY 1""")
+def agreement_stats(spark, sf_dir):
+    ratings = _ratings(spark, sf_dir)
+    files = ratings.select("source_file").distinct().withColumn("half", F.when(F.col("source_file") < "run_5", "first").otherwise("second"))
+    return shown(runs.agreement_stats(files, agreement.per_source(ratings), ["half"], ["mean_kappa"]).select("half", "metric", "mean", "std", "n"))
+
+
+@query("SELECT o_orderstatus AS condition, CASE o_orderstatus WHEN 'F' THEN 0 WHEN 'O' THEN 1 ELSE 50 END::BIGINT AS place, count(*) AS n, round(sum(CASE WHEN o_custkey % 3 = 0 THEN o_totalprice ELSE o_totalprice / 2 END), 2) AS total FROM orders GROUP BY ALL")
+def ranked_conditions(spark, sf_dir):
+    pair = F.struct(F.when(F.col("o_custkey") % 3 == 0, F.col("o_totalprice")).alias("value"), (F.col("o_totalprice") / 2).alias("mean"))
+    rows = load(spark, sf_dir, "orders").select(F.col("o_orderstatus").alias("condition"), report.condition_rank(F.col("o_orderstatus"), {"F": 0, "O": 1}).alias("place"), runs.numeric_metric(pair).alias("x"))
+    return shown(rows.groupBy("condition", "place").agg(F.count("*").alias("n"), F.round(F.sum("x"), 2).alias("total")))
+
+
+@query("SELECT id, gold_1, prediction FROM v_formula")
+def aligned_pairs(spark, sf_dir):
+    rows = load(spark, sf_dir, "v_formula")
+    return scoring.aligned_pairs(rows.select("id", "gold_1"), rows.select("id", "prediction"), ["id"])

@@ -67,7 +67,7 @@ def item_columns() -> dict[str, Column]:
 def record_files(spark: SparkSession, path: str | list[str], pattern: str = "*.json") -> DataFrame:
     """Items of prediction or judged files, in either form (an object with rows, or a bare list), with header, file and ordinal.
 
-    Files that can't be read and summaries are left out; a bare list's rows are
+    Files that can't be read (see unreadable_files) and summaries are left out; a bare list's rows are
     objects of its own, so it is read as items.
     """
     rows = _json(spark, path, FILE, pattern).select("*", F.col("_metadata.file_path").alias("file"))
@@ -91,9 +91,15 @@ def _bare_schema() -> str:
     return f"{own}, detailed_results array<string>, predictions array<string>, _bad string"
 
 
-def judged_files(spark: SparkSession, folder: str) -> DataFrame:
+def unreadable_files(spark: SparkSession, path: str | list[str], pattern: str = "*.json") -> DataFrame:
+    """(file): those that record_files leaves out since they are no JSON. Say how many there are before going on without them."""
+    rows = _json(spark, path, FILE, pattern).select("_bad", "metadata", F.col("_metadata.file_path").alias("file"))
+    return rows.where("_bad is not null and metadata is null").select("file").distinct()
+
+
+def judged_files(spark: SparkSession, folder: str, pattern: str = "*.json") -> DataFrame:
     """Judged items of folder/<judge>/<file>: with judge (the file's own, else its folder), and the source's stem."""
-    rows = record_files(spark, folder)
+    rows = record_files(spark, folder, pattern)
     directory = F.element_at(F.split("file", "/"), -2)
     return rows.withColumns({"judge": F.coalesce(F.col("judge_model"), directory), "source_file": text.source_stem(F.col("file"))})
 
@@ -102,12 +108,12 @@ ANNOTATION = "struct<audit_id:string,annotator_id:string,correct:string>"
 
 
 def annotations_json(spark: SparkSession, path: str) -> DataFrame:
-    """(audit_id, annotator_id, correct, ord): a list, or an object with the rows under one of four names. The annotator defaults to the file's stem."""
+    """(audit_id, annotator_id, correct, ord): ord is the place by row and within it. A list, or an object with the rows under one of four names. The annotator defaults to the file's stem."""
     schema = f"audit_id string, annotator_id string, correct string, annotations array<{ANNOTATION}>, items array<{ANNOTATION}>, data array<{ANNOTATION}>, predictions array<{ANNOTATION}>, _bad string"
     rows = _json(spark, path, schema).where("_bad is null").select("*", F.col("_metadata.file_name").alias("_file"))
     own = F.array(F.struct("audit_id", "annotator_id", "correct"))
     rows = rows.select("_file", F.monotonically_increasing_id().alias("_row"), F.posexplode(F.coalesce("annotations", "items", "data", "predictions", own)).alias("_at", "a"))
-    return _annotation_rows(rows.select("_file", "a.*", (F.col("_row") * (1 << 20) + F.col("_at")).alias("ord")))
+    return _annotation_rows(rows.select("_file", "a.*", F.struct("_row", "_at").alias("ord")))
 
 
 def annotations_csv(spark: SparkSession, path: str) -> DataFrame:
@@ -115,7 +121,7 @@ def annotations_csv(spark: SparkSession, path: str) -> DataFrame:
     for c in ("annotator_id", "correct"):
         if c not in rows.columns:
             rows = rows.withColumn(c, F.lit(None).cast("string"))
-    return _annotation_rows(rows.select(F.col("_metadata.file_name").alias("_file"), "audit_id", "annotator_id", "correct", F.monotonically_increasing_id().alias("ord")))
+    return _annotation_rows(rows.select(F.col("_metadata.file_name").alias("_file"), "audit_id", "annotator_id", "correct", F.struct(F.monotonically_increasing_id().alias("_row"), F.lit(0).alias("_at")).alias("ord")))
 
 
 def _annotation_rows(rows: DataFrame) -> DataFrame:

@@ -27,6 +27,12 @@ def test_judged_files(spark, tmp_path):
     assert got == [("j1", "run1", 0, "r1", 42, "m", "p", "yes"), ("j1", "run1", 1, "r1", 42, "m", "p", "no"), ("j2", "run1", -1, None, None, None, "p", "yes"), ("j2", "run1", -1, None, None, None, "z", "yes")]
 
 
+def test_unreadable_files_are_told(spark, tmp_path):
+    save(tmp_path / "a" / "good.json", [{"input": "i"}])
+    save(tmp_path / "a" / "broken.json", "{oops")
+    assert [r.file.rsplit("/", 1)[-1] for r in readers.unreadable_files(spark, str(tmp_path)).collect()] == ["broken.json"]
+
+
 def test_finding_files(spark, tmp_path):
     for name in ("a/x1.json", "b/x2.json", "b/y.json", "b/z.txt"):
         save(tmp_path / name, "[]")
