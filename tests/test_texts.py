@@ -37,21 +37,24 @@ def test_exact_match_examples(spark):
     assert [r.got for r in df.select("i", scoring.exact_match(F.col("p"), F.col("g")).alias("got")).orderBy("i").collect()] == [x[2] for x in rows]
 
 
-def cleaned(x, family):
-    markers, stops = text.ANSWER_MARKERS[family]
-    for m in markers:
-        x = x.rsplit(m, 1)[-1]
-    ends = [x.find(s) for s in stops if s in x]
-    x = x[: min(ends)] if ends else x
-    return re.sub(r"\n\s*\n+", "\n", x).strip().strip('"').strip("'")
-
-
-@pytest.mark.parametrize("family", sorted(text.ANSWER_MARKERS))
+#: By hand: raw outputs of each family and the answers in them.
+ANSWERS = {
+    "qwen": [
+        ('<|im_start|>user\nask<|im_end|>\n<|im_start|>assistant\n"F p"<|im_end|>tail', "F p"),
+        ("<|im_start|>assistant\none\n \n\ntwo<|im_end|><|im_end|>", "one\ntwo"),
+        ("  just this\t", "just this"),
+        ("<|im_start|>assistant\n<|im_end|>gone", ""),
+    ],
+    "mistral": [("<s>[INST] ask [/INST] 'G q'</s>tail", "G q"), ("[INST] a [/INST] b [INST] c [/INST] d", "d"), ("\"it's\"", "it's"), ("", "")],
+    "phi3": [("<|user|>ask<|end|>\n<|assistant|>\nF p<|end|>tail", "F p"), ("<|assistant|>first<|assistant|>second", "second")],
+    "generic": [("User: ask\nAssistant: F p", "F p"), ("Assistant: a\n\n\nb", "a\nb")],
+}
+
+
+@pytest.mark.parametrize("family", sorted(ANSWERS))
 def test_clean_output(spark, family):
-    r = random.Random(3)
-    parts = ["<|im_start|>assistant", "[/INST]", "<|assistant|>", "Assistant:", "assistant:", "<|im_end|>", "<|end|>", "</s>", "<|endoftext|>", "\n", "\n \n", '"', "'", " ", "F p", "\t"]
-    values = ["".join(r.choice(parts) for _ in range(r.randrange(0, 10))) for _ in range(400)]
-    assert column(spark, values, lambda c: text.clean_output(c, F.lit(family))) == [cleaned(v, family) for v in values]
+    raw, want = zip(*ANSWERS[family])
+    assert column(spark, list(raw), lambda c: text.clean_output(c, F.lit(family))) == list(want)
 
 
 def test_verdicts(spark):
