@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from assayer.llm.common import chunks, staged, word_hashes
+from assayer.llm.common import bytes_of, chunks, staged, word_hashes
 
 BITS = 18
 ORDER = 4
@@ -102,7 +102,7 @@ def class_counts(rows: DataFrame, bits: int = BITS, order: int = ORDER) -> np.nd
         yield pa.RecordBatch.from_arrays([pa.array(y, pa.int32()), pa.array(x, pa.int32()), pa.array(total[y, x], pa.int64())], names=["label", "feature", "n"])
 
     # fewer, larger tasks: what each sends is bounded by 2**bits rows a class
-    found = rows.mapInArrow(count, "label int, feature int, n long").groupBy("label", "feature").agg(F.sum("n").alias("n")).toPandas()
+    found = rows.mapInArrow(count, "label int, feature int, n long").groupBy("label", "feature").agg(F.sum("n").alias("n")).toArrow()
     total = np.zeros((2, 1 << bits), np.int64)
     total[found["label"].to_numpy(), found["feature"].to_numpy()] = found["n"].to_numpy()
     return total
@@ -184,14 +184,15 @@ def fit(labelled: DataFrame, bits: int = BITS, order: int = ORDER, sample: int =
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("_at", "_tie", "label")), pa.array([len(x) for x in rows], pa.int64()), pa.array([x.astype("<u4").tobytes() for x in rows], pa.binary())], names=names)
 
     chosen = staged(_sampled(labelled, sample).select("_at", "_tie", "text", "label").mapInArrow(vectors, "at long, tie long, label int, n long, features binary"), "sample")
-    sizes = chosen.select("at", "tie", "n").toPandas().sort_values(["at", "tie"], kind="stable")
+    sizes = np.array(sorted((r["at"], r["tie"], r["n"]) for r in chosen.select("at", "tie", "n").collect()), np.int64).reshape(-1, 3)
     if not len(sizes):
         return Model(np.zeros(1 << bits, np.float32), ratios, 0.0, 1.0, 0.0, bits, order)
-    fits = max(1, int((sizes["n"].cumsum() <= numbers).sum()))
-    taken = chosen.where(F.col("at") <= F.lit(int(sizes["at"].iloc[fits - 1]))) if fits < len(sizes) else chosen
-    taken = taken.select("at", "tie", "label", "features").toPandas().sort_values(["at", "tie"], kind="stable").head(fits)
-    y = taken["label"].to_numpy()
-    rows = [np.frombuffer(x, "<u4") for x in taken["features"]]
+    fits = max(1, int((np.cumsum(sizes[:, 2]) <= numbers).sum()))
+    taken = (chosen.where(F.col("at") <= F.lit(int(sizes[fits - 1, 0]))) if fits < len(sizes) else chosen).select("at", "tie", "label", "features").toArrow()
+    by = np.lexsort((taken["tie"].to_numpy(), taken["at"].to_numpy()))[:fits]
+    y = taken["label"].to_numpy()[by]
+    data, at = bytes_of(taken["features"])  # held once, as it came
+    rows = [data[at[i] : at[i + 1]].view("<u4") for i in by.tolist()]
     del taken
     if len(set(y.tolist())) < 2:
         return Model(np.zeros(1 << bits, np.float32), ratios, 1.0 if y.all() else -1.0, 30.0, 0.0, bits, order)
