@@ -17,8 +17,9 @@ document must have, and a document with any of these is a candidate.
 Candidates are verified exactly, shingle by shingle, as words: containment is
 the share of the item's distinct shingles that occur in the whole document.
 
-Items come in blocks of bounded number and size, which are broadcast; each
-block is searched in all documents, so documents are never shuffled.
+Items with one text are searched for once. Different texts come in blocks of
+bounded number and size, which are broadcast; each block is searched in all
+documents, so documents are never shuffled.
 
 Defined results: null or blank texts have no shingles and match nothing. Texts
 of fewer than k words have all their words as one shingle: a short item matches
@@ -49,7 +50,7 @@ BLOCK_ITEMS = 20_000
 BLOCK_BYTES = 16 << 20
 _WORD = re.compile(r"[^ \t-\r]+")
 _LOWER = {c: c + 32 for c in range(65, 91)}
-PAIRS = "doc_id long, item_id long, n_item_shingles long, n_shared long, containment double"
+FOUND = "doc_id long, _item string, n_item_shingles long, n_shared long, containment double"
 
 _XOR = mix(np.arange(1, HASHES + 1, dtype=np.uint64))
 _TIMES = mix(np.arange(1001, HASHES + 1001, dtype=np.uint64)) | np.uint64(1)
@@ -76,7 +77,7 @@ class Index:
     """
 
     k: int
-    ids: list[int | None] = field(default_factory=list)
+    ids: list[str] = field(default_factory=list)
     sets: list[set] = field(default_factory=list)
     classes: dict[int, tuple[np.ndarray, np.ndarray]] = field(default_factory=dict)
     keys: np.ndarray = field(default_factory=lambda: np.zeros(0, np.uint64))
@@ -99,7 +100,7 @@ def _look_up(index: Index, small: dict[int, np.ndarray], percent: int) -> None:
     index.keys_at, index.owners = np.append(first, len(keys)), owners[order]
 
 
-def build(items: list[tuple[int | None, str | None]], k: int = WORDS, percent: int = PERCENT) -> Index:
+def build(items: list[tuple[str, str | None]], k: int = WORDS, percent: int = PERCENT) -> Index:
     index = Index(k)
     items = [(i, t) for i, t in items if shingles(t, k)]
     if not items:
@@ -198,14 +199,20 @@ def matches(index: Index, part: pa.RecordBatch, text: str, data: np.ndarray, at:
     return out
 
 
+def named(benchmark: DataFrame) -> DataFrame:
+    """(item_id, text, _item): _item is the same for items with one text."""
+    text = F.col("text").cast("string")
+    return benchmark.select(F.col("item_id").cast("long").alias("item_id"), text.alias("text"), F.sha1(F.coalesce(text, F.lit(""))).alias("_item"))
+
+
 def blocks(benchmark: DataFrame, k: int = WORDS, block_items: int = BLOCK_ITEMS, block_bytes: int = BLOCK_BYTES, percent: int = PERCENT) -> Iterator[Index]:
-    """Indexes of blocks of items, each of about the given number and bytes at most."""
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
+    """Indexes of blocks of items' texts, each of about the given number and bytes at most."""
+    items = named(benchmark).select("_item", "text").distinct()
     n, size = items.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
     total = max(1, -(-2 * n // block_items), -(-2 * size // block_bytes)) if n > block_items or size > block_bytes else 1
     for b in range(total):
-        part = items if total == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(total)) == b)
-        yield build([(r.item_id, r.text) for r in part.collect()], k, percent)  # bounded by the block
+        part = items if total == 1 else items.where(F.pmod(F.xxhash64("_item"), F.lit(total)) == b)
+        yield build([(r["_item"], r["text"]) for r in part.collect()], k, percent)  # bounded by the block
 
 
 def search(docs: DataFrame, benchmark: DataFrame, k: int = WORDS, percent: int = PERCENT, **bounds: int) -> DataFrame:
@@ -216,17 +223,17 @@ def search(docs: DataFrame, benchmark: DataFrame, k: int = WORDS, percent: int =
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             index = shared.value
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64()]
+            kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.float64()]
             for batch in batches:
                 rows = []
                 for part, data, at in chunks(batch):
                     ids = part.column("doc_id").to_pylist()
                     rows += [(ids[r], index.ids[i], n, s, s / n) for r, i, n, s in matches(index, part, "text", data, at, percent)]
-                yield as_rows([x.split()[0] for x in PAIRS.split(", ")], kinds, rows)
+                yield as_rows([x.split()[0] for x in FOUND.split(", ")], kinds, rows)
 
-        found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, PAIRS)
+        found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, FOUND)
         out = found if out is None else out.unionByName(found)
-    return out
+    return out.join(named(benchmark).drop("text"), "_item").select("doc_id", "item_id", "n_item_shingles", "n_shared", "containment")
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, k: int = WORDS, percent: int = PERCENT, text: str = "text", **bounds: int) -> DataFrame:
