@@ -65,3 +65,13 @@ def test_query_hashes_short_runs(spark, tmp_path):
     got = {x.doc_id: (x.text, x.n_sentences, x.n_removed) for x in spans.op3_substring_dedup(spark, str(tmp_path)).collect()}
     assert got == {d: (t, n, g) for d, t, n, g in brute(rows, 3, 1)}
     assert got[2] == ("All else. Differs here.", 5, 3) and got[4] == ("", 1, 1) and got[5][0] == got[6][0] == " \n" and got[7][2] == 4
+
+
+def test_a_text_of_several_chunks(spark):
+    shared = "This passage is shared by both. It has three sentences of words. Here is the third of them. "
+    long = "".join(f"Sentence number {i} has some words of its own. " for i in range(70_000))
+    assert len(long) > 3 << 20
+    docs = spark.createDataFrame([(1, shared), (2, long + shared + long[:200])], "doc_id long, text string")
+    got = {x.doc_id: x for x in spans.drop_repeated_spans(docs, least=1).collect()}
+    assert got[1].n_removed == 0 and got[2].n_removed >= 3
+    assert shared not in got[2].text and got[2].text.startswith(long)
