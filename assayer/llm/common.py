@@ -13,6 +13,7 @@ import pyarrow as pa
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
+from assayer.sources.shared import discard as discard
 from assayer.sources.shared import shared_dir as shared_dir
 from assayer.sources.shared import staged as staged
 

@@ -28,7 +28,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from assayer.llm.common import released, shuffle_partitions, staged
+from assayer.llm.common import discard, released, shuffle_partitions, staged
 from assayer.llm.repeats import NO_ID
 
 CELLS = 48
@@ -157,6 +157,7 @@ def compare(pairs: DataFrame) -> DataFrame:
         if failed.isEmpty():
             return done
         now = staged(now.join(failed, "row", "left_semi"), f"failed-{attempt}")
+        released(pairs.sparkSession)
     shared = F.size(F.array_intersect("a", "b"))  # no sketch came out after so many: the sets themselves
     return done.unionByName(now.select("row", (shared / (n - shared)).alias("likeness")))
 
@@ -178,6 +179,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     names = ["row", "doc_id", "n_chars", "edited_sha256"]
     first = keys.withColumn("o", F.expr(_let(sketches, "t", result)))
     first = staged(first.select(*names, F.col("o.f").alias("fingerprint"), F.col("o.e").alias("edited_fingerprint"), *near.values(), own, *kept.values()), "sketches")
+    discard(keys)
     again = [first.where(F.col(c).isNotNull()).select((F.col("row") * 2 + i).alias("row"), F.col("own").alias("a"), F.col(c).alias("b")) for i, c in enumerate(sides)]
     side = F.pmod("row", F.lit(2))
     found = compare(again[0].unionByName(again[1])).groupBy(F.expr("row div 2").alias("row")).agg(*(F.max(F.when(side == i, F.col("likeness"))).alias(f"again_{c}") for i, c in enumerate(sides)))
