@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from assayer.llm.byte_bpe import op11_byte_bpe
 from assayer.llm.conversations import op13_conversation_repair
 from assayer.llm.decontamination import op4_decontamination
 from assayer.llm.fingerprints import op7_fingerprints
@@ -14,7 +15,7 @@ from assayer.llm.suffixes import op5_suffix_dedup
 from assayer.llm.token_output import op10_token_output
 from assayer.llm.warc import op8_warc
 
-QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_sharding, op3_substring_dedup, op4_decontamination, op5_suffix_dedup, op6_jaccard_join, op7_fingerprints, op8_warc, op9_quality_classifier, op10_token_output, op13_conversation_repair)}
+QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_sharding, op3_substring_dedup, op4_decontamination, op5_suffix_dedup, op6_jaccard_join, op7_fingerprints, op8_warc, op9_quality_classifier, op10_token_output, op11_byte_bpe, op13_conversation_repair)}
 
 _AZ = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
 
