@@ -7,6 +7,7 @@ from assayer.llm.conversations import op13_conversation_repair
 from assayer.llm.decontamination import op4_decontamination
 from assayer.llm.fingerprints import op7_fingerprints
 from assayer.llm.jaccard import op6_jaccard_join
+from assayer.llm.lexical import op12_lexical_search
 from assayer.llm.packing import op1_best_fit_packing
 from assayer.llm.quality import op9_quality_classifier
 from assayer.llm.sharding import op2_sharding
@@ -15,7 +16,7 @@ from assayer.llm.suffixes import op5_suffix_dedup
 from assayer.llm.token_output import op10_token_output
 from assayer.llm.warc import op8_warc
 
-QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_sharding, op3_substring_dedup, op4_decontamination, op5_suffix_dedup, op6_jaccard_join, op7_fingerprints, op8_warc, op9_quality_classifier, op10_token_output, op11_byte_bpe, op13_conversation_repair)}
+QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_sharding, op3_substring_dedup, op4_decontamination, op5_suffix_dedup, op6_jaccard_join, op7_fingerprints, op8_warc, op9_quality_classifier, op10_token_output, op11_byte_bpe, op12_lexical_search, op13_conversation_repair)}
 
 _AZ = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
 
@@ -60,5 +61,14 @@ FROM (SELECT *, max(page_id) OVER (PARTITION BY coalesce(html, '')) AS w FROM pa
 JOIN (SELECT page_id, string_agg(substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + CAST((v >> CAST(35 - 5 * j AS INT)) % 32 AS INT), 1), '' ORDER BY g, j) AS payload_digest
       FROM (SELECT page_id, g, j, ('0x' || substr(sha1(coalesce(html, '')), 1 + 10 * g, 10))::BIGINT AS v
             FROM pages, range(4) t(g), range(8) u(j)) GROUP BY page_id) d ON d.page_id = p.page_id
+""",
+    "op12_lexical_search": f"""
+WITH d AS MATERIALIZED (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), {_AZ}), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+') AS w FROM documents),
+s AS MATERIALIZED (SELECT count(*) FILTER (len(w) > 0) AS big_n, sum(len(w))::BIGINT AS big_l FROM d),
+t AS MATERIALIZED (SELECT doc_id, any_value(n) AS n, term, count(*) AS tf FROM (SELECT doc_id, len(w) AS n, unnest(w) AS term FROM d) GROUP BY doc_id, term),
+v AS MATERIALIZED (SELECT term, floor(1000 * ln((2 * any_value(big_n) + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS weight FROM t, s GROUP BY term),
+q AS MATERIALIZED (SELECT item_id, term, count(*) AS often FROM (SELECT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), {_AZ}), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) AS term FROM benchmark) GROUP BY 1, 2),
+p AS (SELECT item_id, doc_id, sum(often * weight * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * n * big_n) // big_l))))::BIGINT AS score FROM q JOIN t USING (term) JOIN v USING (term), s GROUP BY 1, 2)
+SELECT item_id, rank, doc_id, score FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INT AS rank FROM p WHERE score > 0) WHERE rank <= 10
 """,
 }
