@@ -1,18 +1,18 @@
 """Benchmark decontamination: size-partitioned MinHash containment search.
 
-An item's domain is its set of k-word shingles. Items are partitioned by size:
-class c holds those of over 2c/3 and at most c shingles. For each class, a
-document is searched in windows of 1.5c shingles that start every c/2, so each
-run of c shingles lies whole in a window, however long the document is, and a
-window is never much larger than the items it is compared with: an item of
-which 80 in 100 shingles lie in the window has a Jaccard similarity of 0.32 at
-least with it, and the minimum hashes of the two agree in one of HASHES places
-with a probability of over 0.99999. Such pairs are candidates.
-
-Items of up to FEW different shingles are too small for that: a window holds
-several times as many. They are looked up instead, without loss: of an item with
-n shingles, n - m + 1 (the rarest of the block) are indexed, m being how many a
-document must have, and a document with any of these is a candidate.
+An item's domain is its set of different k-word shingles. Items are partitioned
+by its size: class c holds those of over 2c/3 and at most c. An item's sketch
+is its least hashes, as many for each class as leave no match out: a document
+that has `percent` of the item's n shingles lacks n - m at most, so of a sketch
+of s at least s - (n - m) are in it; s is chosen so that this is about a tenth of
+the class. A document isn't sketched: each of its shingles is looked up among
+the sketches of all items, wherever in the document it is, and items of whose
+sketch it has enough are candidates. So short items are found in documents of
+any length, and what repeats within an item or lies scattered in a document
+changes nothing.
+
+Of items of up to FEW shingles the rarest of the block are taken instead of the
+least hashes, since a single one makes a candidate.
 
 Candidates are verified exactly, shingle by shingle, as words: containment is
 the share of the item's distinct shingles that occur in the whole document.
@@ -39,22 +39,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from assayer.llm.common import bytes_of, chunks, mix, shingle_hashes, word_hashes
+from assayer.llm.common import bytes_of, chunks, distinct, mix, shingle_hashes, word_hashes
 from assayer.llm.files import as_rows
 
 WORDS = 5
 PERCENT = 80
-HASHES = 32
 FEW = 8
+MIN_HASH = np.uint64(0xA24BAED4963EE407)
 BLOCK_ITEMS = 20_000
 BLOCK_BYTES = 16 << 20
 _WORD = re.compile(r"[^ \t-\r]+")
 _LOWER = {c: c + 32 for c in range(65, 91)}
 FOUND = "doc_id long, _item string, n_item_shingles long, n_shared long, containment double"
 
-_XOR = mix(np.arange(1, HASHES + 1, dtype=np.uint64))
-_TIMES = mix(np.arange(1001, HASHES + 1001, dtype=np.uint64)) | np.uint64(1)
-
 
 def shingles(text: str | None, k: int = WORDS) -> set[tuple[str, ...]]:
     words = _WORD.findall((text or "").translate(_LOWER))
@@ -69,35 +66,24 @@ def size_class(n: int) -> int:
     return c
 
 
+def sketch_size(n: int, percent: int) -> tuple[int, int]:
+    """(s, need) of an item of n different shingles: how many its sketch has, and how many of these a document with percent of the n has at least."""
+    c = n if n <= FEW else size_class(n)
+    s = min(n, c + percent * c // -100 + max(1, c // 10))
+    return s, max(1, s - (n + percent * n // -100))
+
+
 @dataclass
 class Index:
-    """A block of items. For each size class and hash: the items' minimum hashes, ascending, and whose they are.
-
-    keys: ascending, the shingles by which small items are looked up; owners[keys_at[i]:keys_at[i + 1]] are those of a key.
-    """
+    """A block of items. keys: ascending, the hashes of all sketches; owners[keys_at[i]:keys_at[i + 1]] are the items that have a key; need: by item."""
 
     k: int
     ids: list[str] = field(default_factory=list)
     sets: list[set] = field(default_factory=list)
-    classes: dict[int, tuple[np.ndarray, np.ndarray]] = field(default_factory=dict)
     keys: np.ndarray = field(default_factory=lambda: np.zeros(0, np.uint64))
     keys_at: np.ndarray = field(default_factory=lambda: np.zeros(1, np.int64))
     owners: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
-
-
-def _look_up(index: Index, small: dict[int, np.ndarray], percent: int) -> None:
-    """Index small items, given by their number and different hashes, by as many rare ones as leave no match out."""
-    seen, count = np.unique(np.concatenate(list(small.values())), return_counts=True)
-    keys, owners = [], []
-    for n, own in small.items():
-        must = max(1, -(-percent * len(own) // 100))
-        rare = own[np.argsort(count[np.searchsorted(seen, own)], kind="stable")][: len(own) - min(must, len(own)) + 1]
-        keys.append(rare)
-        owners.append(np.full(len(rare), n))
-    keys, owners = np.concatenate(keys), np.concatenate(owners)
-    order = np.argsort(keys, kind="stable")
-    index.keys, first = np.unique(keys[order], return_index=True)
-    index.keys_at, index.owners = np.append(first, len(keys)), owners[order]
+    need: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
 
 
 def build(items: list[tuple[str, str | None]], k: int = WORDS, percent: int = PERCENT) -> Index:
@@ -108,81 +94,38 @@ def build(items: list[tuple[str, str | None]], k: int = WORDS, percent: int = PE
     data, at = bytes_of(pa.array([t for _, t in items], pa.string()))
     words, _, bounds = word_hashes(data, at)
     hashes, place = shingle_hashes(words, bounds, k)
-    lows = np.stack([np.minimum.reduceat((hashes ^ _XOR[h]) * _TIMES[h], place[:-1]) for h in range(HASHES)])
-    members: dict[int, list[int]] = {}
-    small: dict[int, np.ndarray] = {}
+    own = [distinct(hashes[a:b]) for a, b in zip(place[:-1], place[1:], strict=True)]
+    seen, count = np.unique(np.concatenate(own), return_counts=True)
+    keys, owners, need = [], [], []
     for n, (item, text) in enumerate(items):
         index.ids.append(item)
         index.sets.append(shingles(text, k))
-        if len(index.sets[n]) <= FEW:
-            small[n] = np.unique(hashes[place[n] : place[n + 1]])
-        else:
-            members.setdefault(size_class(int(place[n + 1] - place[n])), []).append(n)
-    if small:
-        _look_up(index, small, percent)
-    for c, own in members.items():
-        own_lows = lows[:, own]
-        order = np.argsort(own_lows, axis=1, kind="stable")
-        index.classes[c] = (np.take_along_axis(own_lows, order, 1), np.array(own)[order])
+        size, least = sketch_size(len(own[n]), percent)
+        order = count[np.searchsorted(seen, own[n])] if len(own[n]) <= FEW else mix(own[n] ^ MIN_HASH)
+        keys.append(own[n][np.argsort(order, kind="stable")][:size])
+        owners.append(np.full(size, n))
+        need.append(least)
+    keys, owners = np.concatenate(keys), np.concatenate(owners)
+    order = np.argsort(keys, kind="stable")
+    index.keys, first = np.unique(keys[order], return_index=True)
+    index.keys_at, index.owners, index.need = np.append(first, len(keys)), owners[order], np.array(need)
     return index
 
 
-def _granules(counts: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """First place and row of each granule of so many entries, rows one after another."""
-    n = -(-counts // size)
-    row = np.repeat(np.arange(len(counts)), n)
-    within = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
-    return (np.cumsum(counts) - counts)[row] + within * size, row
-
-
-def candidates(index: Index, hashes: np.ndarray, place: np.ndarray) -> set[tuple[int, int]]:
-    """(row, item's number) whose minimum hashes agree in a window of the item's class, or that share a key of a small item."""
-    counts = np.diff(place)
-    pairs: set[tuple[int, int]] = set()
-    if len(hashes) and len(index.keys):
-        at = np.minimum(np.searchsorted(index.keys, hashes), len(index.keys) - 1)
-        hit = np.flatnonzero(index.keys[at] == hashes)
-        found = np.unique((np.searchsorted(place, hit, "right") - 1) * len(index.keys) + at[hit])
-        for r, key in zip((found // len(index.keys)).tolist(), (found % len(index.keys)).tolist(), strict=True):
-            pairs.update((r, n) for n in index.owners[index.keys_at[key] : index.keys_at[key + 1]].tolist())
-    if not len(hashes) or not index.classes:
-        return pairs
-    plans = {}
-    for c in index.classes:
-        base = 4 if c & (c - 1) == 0 else 6
-        plans.setdefault(base, {})[c // 2] = c
-    shapes = {}
-    for base, wanted in plans.items():
-        size, (starts, row) = base, _granules(counts, base)
-        steps = [(size, starts, row)]
-        while size < max(wanted):
-            per_row = np.bincount(row, minlength=len(counts))
-            starts, row = _granules(per_row, 2)
-            size *= 2
-            steps.append((size, starts, row))
-        shapes[base] = steps
-    for h in range(HASHES):
-        values = (hashes ^ _XOR[h]) * _TIMES[h]
-        for base, wanted in plans.items():
-            low = values
-            for size, starts, row in shapes[base]:
-                low = np.minimum.reduceat(low, starts)
-                if size not in wanted:
-                    continue
-                window = low.copy()  # three granules, as far as the document goes
-                for d in (1, 2):
-                    if len(low) > d:
-                        same = row[d:] == row[:-d]
-                        window[:-d] = np.where(same, np.minimum(window[:-d], low[d:]), window[:-d])
-                lows, owner = index.classes[wanted[size]]
-                left = np.searchsorted(lows[h], window, "left")
-                hit = np.flatnonzero(lows[h][np.minimum(left, len(lows[h]) - 1)] == window)
-                for w in hit.tolist():
-                    i = left[w]
-                    while i < len(lows[h]) and lows[h][i] == window[w]:
-                        pairs.add((int(row[w]), int(owner[h][i])))
-                        i += 1
-    return pairs
+def candidates(index: Index, hashes: np.ndarray, place: np.ndarray) -> list[tuple[int, int]]:
+    """(row, item's number), ascending, of rows that have enough of the item's sketch."""
+    if not len(hashes) or not len(index.keys):
+        return []
+    at = np.minimum(np.searchsorted(index.keys, hashes), len(index.keys) - 1)
+    hit = np.flatnonzero(index.keys[at] == hashes)
+    row = np.searchsorted(place, hit, "right") - 1
+    found = np.unique(row * len(index.keys) + at[hit])
+    row, key = found // len(index.keys), found % len(index.keys)
+    many = index.keys_at[key + 1] - index.keys_at[key]
+    entry = np.repeat(index.keys_at[key] - (np.cumsum(many) - many), many) + np.arange(many.sum())
+    pair, count = np.unique(np.repeat(row, many) * len(index.ids) + index.owners[entry], return_counts=True)
+    pair = pair[count >= index.need[pair % len(index.ids)]]
+    return list(zip((pair // len(index.ids)).tolist(), (pair % len(index.ids)).tolist(), strict=True))
 
 
 def matches(index: Index, part: pa.RecordBatch, text: str, data: np.ndarray, at: np.ndarray, percent: int) -> list[tuple[int, int, int, int]]:
@@ -190,7 +133,7 @@ def matches(index: Index, part: pa.RecordBatch, text: str, data: np.ndarray, at:
     words, _, bounds = word_hashes(data, at)
     hashes, place = shingle_hashes(words, bounds, index.k)
     out, last, own = [], -1, set()
-    for row, item in sorted(candidates(index, hashes, place)):
+    for row, item in candidates(index, hashes, place):
         if row != last:
             last, own = row, shingles(part.column(text)[row].as_py(), index.k)
         shared = len(index.sets[item] & own)
