@@ -14,9 +14,15 @@
    against it again.
    A cluster over a bound of sets or shingles is cut in blocks by hash. Each block
    is searched by itself and for up to PIVOTS sets of the cluster, the same for
-   all blocks. The largest component that has one of these is settled; every
-   other set of the cluster is searched for in every block. A link between components has such a set, so none
-   is lost, and near copies of one text take one round over the blocks.
+   all blocks. The largest component that has one of these is settled: near
+   copies of one text take one round over the blocks. A link that is left has an
+   end outside of it. Two linked sets of sizes a and b share one of their first
+   a - ceil(p a) + 1 and b - ceil(p b) + 1 shingles in any order that is the same
+   for both; the order puts last what several pivots have. Only these shingles
+   are dealt out, counted, and dropped where one set has them or none that isn't
+   settled; sets that share what is left meet in ranges of shingles, in blocks
+   again where a range is large. So pages of one template, which don't link,
+   meet nowhere, and no link is lost.
 4. Links make components; a component is named by its smallest doc_id.
 
 Defined results: null and blank text have the empty set, which links with
@@ -130,7 +136,7 @@ def merged_by_heap(flat: list[int], heads: list[tuple[int, int]], least: int, be
 
 
 def t_occurrence(sets: list[np.ndarray], percent: int, side: np.ndarray | None = None, known: Callable[[int, int], bool] = lambda i, j: False) -> Iterator[tuple[int, list[int]]]:
-    """(i, partners) for each set with links, every link once. side: only links between different sides count. known(i, j): that link needs no search."""
+    """(i, partners) for each set with links, every link once. side: links between two sets of side 1 don't count. known(i, j): that link needs no search."""
     sizes = np.array([len(s) for s in sets], np.int64)
     order = np.argsort(sizes, kind="stable")  # by size: partners of i come after it
     sizes = sizes[order]
@@ -150,7 +156,7 @@ def t_occurrence(sets: list[np.ndarray], percent: int, side: np.ndarray | None =
     sides = side[order].tolist() if side is not None else None
     for i in range(n - 1):
         size = int(sizes[i])
-        if not size or all((sides is not None and sides[x] == sides[i]) or known(names[i], names[x]) for x in range(i + 1, largest[i])):
+        if not size or all((sides is not None and sides[x] and sides[i]) or known(names[i], names[x]) for x in range(i + 1, largest[i])):
             continue
         own = slice(first[i], first[i + 1])
         length = end[own] - begin[own]
@@ -164,7 +170,7 @@ def t_occurrence(sets: list[np.ndarray], percent: int, side: np.ndarray | None =
         short, rest = lists[: len(lists) - long], lists[len(lists) - long :]
         linked = []
         for x, count in merged_by_heap(flat, short, need - long, largest[i]):
-            if sides is not None and sides[x] == sides[i] or known(names[i], names[x]):
+            if sides is not None and sides[x] and sides[i] or known(names[i], names[x]):
                 continue
             want, left = int(required(size, sizes[x], percent)), len(rest)
             for a, b in rest:
@@ -198,7 +204,7 @@ def _join_block(nodes: list[bytes], sets: list[np.ndarray], side: np.ndarray | N
 
 
 def _searched(sets: DataFrame, percent: int) -> DataFrame:
-    """(u, v) of the links found in each group (cluster, block, other) of rows with (node, side, set); links of one side only count where a group has no other."""
+    """(u, v) of the links found in each group (cluster, block, other) of rows with (node, side, set); links between two of side 1 only count where a group has no other."""
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, kinds = ["u", "v"], [pa.binary(), pa.binary()]
@@ -276,13 +282,62 @@ def links(docs: DataFrame, marks: DataFrame, k: int, percent: int, block_sets: i
     main = top.groupBy("cluster", "top").agg(F.count("*").alias("n")).groupBy("cluster").agg(F.max(F.struct("n", "top"))["top"].alias("main"))
     main = main.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     rest = staged(top.withColumn("_salt", F.pmod(F.hash("node"), F.lit(SALTS))).join(main.hint("merge"), ["cluster", "_salt"]).where("top <> main").select("cluster", "node"), "rest")
-    parts = rest.groupBy("cluster").agg(F.ceil(F.count("*") / F.lit(block_sets)).cast("int").alias("others"))
-    parts = parts.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    salted = several.withColumn("_salt", F.pmod(F.hash("node"), F.lit(SALTS))).join(parts.hint("merge"), ["cluster", "_salt"])
-    every = salted.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("others") - 1))).withColumn("side", F.lit(1))
-    asked = salted.join(rest.hint("merge"), ["cluster", "node"], "left_semi").withColumns({"other": F.pmod(F.xxhash64("node"), "others").cast("int"), "side": F.lit(0)}).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    columns = ["cluster", "block", "other", "node", "side", "set"]
-    return found.unionByName(staged(_searched(every.select(columns).unionByName(asked.select(columns)), percent), "links-across"))
+    if rest.isEmpty():
+        return found
+    across = _across(several, several.join(first.select("cluster", F.explode("nodes").alias("node")).hint("merge"), ["cluster", "node"]), rest, percent, block_sets)
+    return found.unionByName(staged(_searched(across, percent), "links-across"))
+
+
+def prefix(tokens: np.ndarray, common: np.ndarray, often: np.ndarray, percent: int) -> np.ndarray:
+    """The first shingles of a set in its cluster's order, of which it shares one with whatever it is linked to. common: ascending, shingles that several pivots have; often: how many."""
+    rank = np.zeros(len(tokens), np.int64)
+    if len(common):
+        at = np.minimum(np.searchsorted(common, tokens), len(common) - 1)
+        rank = np.where(common[at] == tokens, often[at], 0)
+    return tokens[np.lexsort((mix(tokens), rank))[: len(tokens) + percent * len(tokens) // -100 + 1]]
+
+
+def _across(several: DataFrame, pivots: DataFrame, rest: DataFrame, percent: int, block_sets: int) -> DataFrame:
+    """Groups for `_searched` of sets that may be linked to one of rest: those that share a shingle of their prefixes with it."""
+    salted = lambda df: df.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    dealt = lambda df: df.withColumn("_salt", F.pmod(F.hash("node"), F.lit(SALTS)))
+
+    def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for cluster, sets in zip(batch.column("cluster").to_pylist(), batch.column("sets").to_pylist(), strict=True):
+                tokens, often = np.unique(np.concatenate([np.frombuffer(x, np.uint64) for x in sets]), return_counts=True)
+                out.append((cluster, tokens[often > 1].tobytes(), often[often > 1].astype(np.int64).tobytes()))
+            yield as_rows(["cluster", "common", "often"], [pa.binary()] * 3, out)
+
+    common = pivots.groupBy("cluster").agg(F.collect_list("set").alias("sets")).mapInArrow(shared, "cluster binary, common binary, often binary")  # PIVOTS sets at most
+
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found, ends = [], [0]
+            for blob, tokens, often in zip(*(batch.column(c).to_pylist() for c in ("set", "common", "often")), strict=True):
+                own = prefix(np.frombuffer(blob, np.uint64), np.frombuffer(tokens or b"", np.uint64), np.frombuffer(often or b"", np.int64), percent)
+                found.append(own.view(np.int64))
+                ends.append(ends[-1] + len(own))
+            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(found) if found else [], pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch.column("cluster"), batch.column("node"), batch.column("blocks"), lists], names=["cluster", "node", "blocks", "tokens"])
+
+    known = dealt(several.select("cluster", "node", "blocks", "set")).join(salted(common).hint("merge"), ["cluster", "_salt"], "left").drop("_salt")
+    prefixes = known.mapInArrow(first, "cluster binary, node binary, blocks int, tokens array<long>")
+    open_ = prefixes.join(rest.withColumn("open", F.lit(True)).hint("merge"), ["cluster", "node"], "left")
+    each = staged(open_.select("cluster", "node", "blocks", F.col("open").isNotNull().alias("open"), F.explode("tokens").alias("token")), "prefixes")
+    live = each.groupBy("cluster", "token").agg(F.count("*").alias("n"), F.max("open").alias("any")).where("n > 1 and any").select("cluster", "token")
+    part = F.pmod(F.xxhash64("token"), "blocks").cast("string")
+    meet = dealt(each).join(salted(live).hint("merge"), ["cluster", "token", "_salt"]).select(F.concat("cluster", F.encode(part, "UTF-8")).alias("group"), "node", "open").distinct()
+    meet = staged(meet, "meeting")
+    sizes = meet.groupBy("group").agg(F.ceil(F.count("*") / F.lit(block_sets)).cast("int").alias("blocks"), F.ceil(F.count_if("open") / F.lit(block_sets)).cast("int").alias("others")).where("others > 0")
+    each = dealt(meet).join(salted(sizes).hint("merge"), ["group", "_salt"])
+    number = lambda n: F.pmod(F.xxhash64("node"), n).cast("int")
+    every = each.withColumns({"block": number("blocks"), "other": F.explode(F.sequence(F.lit(0), F.col("others") - 1)), "side": F.lit(1)})
+    asked = each.where("open").withColumns({"other": number("others"), "block": F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)), "side": F.lit(0)})
+    columns = ["group", "block", "other", "node", "side"]
+    groups = every.select(columns).unionByName(asked.select(columns))
+    return groups.join(several.select("node", "set").hint("merge"), "node").withColumnRenamed("group", "cluster").select("cluster", "block", "other", "node", "side", "set")
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, block_sets: int = BLOCK_SETS, block_shingles: int = BLOCK_SHINGLES) -> DataFrame:

@@ -127,3 +127,41 @@ def test_one_of_each_keeps_all_columns(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, _keep_id string")
     out = jaccard.one_of_each(docs)
     assert out.columns == docs.columns and sorted(r._keep_id for r in out.collect()) == ["k1", "k3", "k5"]
+
+
+def test_pages_of_one_template_meet_nowhere(spark, monkeypatch):
+    """They agree in bands and don't link: what is searched grows with them, not with their square."""
+    searched, rows_of = jaccard._searched, []
+    monkeypatch.setattr(jaccard, "_searched", lambda sets, percent: rows_of.append(sets.count()) or searched(sets, percent))
+    counts = []
+    for n in (400, 800):
+        rows_of.clear()
+        rows = [(i, " ".join([f"t{j}" for j in range(100)] + [f"p{i}x{j}" for j in range(22)])) for i in range(n)]
+        docs = spark.createDataFrame(rows, "doc_id long, text string")
+        assert {r.component_id for r in jaccard.near_duplicates(docs, 3, 90, 50).collect()} == set(range(n))
+        counts.append(sum(rows_of))
+    assert counts[0] < 4 * 400 and counts[1] < 2.2 * counts[0]
+
+
+def test_links_between_sets_that_are_not_settled(spark):
+    """Pairs of pages of one template, far from its largest group, each pair alike: every pair is found, in whatever block its ends are."""
+    rows = [(i, " ".join([f"t{j}" for j in range(100)] + [f"e{i}"])) for i in range(60)]
+    for i in range(60, 160, 2):
+        own = [f"t{j}" for j in range(100)] + [f"p{i}x{j}" for j in range(25)]
+        rows += [(i, " ".join(own)), (i + 1, " ".join([*own, "more"]))]
+    out = jaccard.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 3, 90, 9)
+    assert sorted((x.doc_id, x.n_shingles, x.component_id) for x in out.collect()) == brute(rows, 3, 90)
+
+
+def test_prefixes_of_linked_sets_meet():
+    r = np.random.default_rng(4)
+    for percent in (80, 90):
+        for _ in range(300):
+            pool = r.integers(0, 2**63, 400).astype(np.uint64)
+            common, often = np.unique(r.choice(pool, 60)), None
+            often = r.integers(2, 9, len(common))
+            a = np.unique(pool[: r.integers(1, 200)])
+            b = np.unique(np.concatenate([r.choice(a, max(1, int(len(a) * r.uniform(0.8, 1))), False), pool[300 : 300 + r.integers(0, 12)]]))
+            shared = len(np.intersect1d(a, b))
+            if 100 * shared >= percent * (len(a) + len(b) - shared):
+                assert len(np.intersect1d(jaccard.prefix(a, common, often, percent), jaccard.prefix(b, common, often, percent)))
