@@ -27,6 +27,7 @@ text. An empty table gives no rows.
 from __future__ import annotations
 
 import base64
+import math
 import re
 from collections.abc import Iterator
 from itertools import islice
@@ -40,7 +41,7 @@ from pyspark.sql.types import ArrayType, BinaryType, IntegerType, StructField, S
 from assayer.llm.common import chunks
 
 PIECES = 1 << 16
-CACHE = 300_000
+CACHE = 400_000
 PAIRS = 2_000_000
 LONGEST_CACHED = 40
 FAR = "\U00010000"
@@ -52,12 +53,12 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
 
 
-def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
-    """The definition: of all neighbours that make a token, those of the least rank are joined, the first of them first, until none do."""
+def merge(piece: bytes, ranks: dict[bytes, int], below: float = math.inf) -> list[int]:
+    """The definition: of all neighbours that make a token (of a rank under `below`), those of the least rank are joined, the first of them first, until none do."""
     parts = [piece[i : i + 1] for i in range(len(piece))]
     while len(parts) > 1:
-        rank, i = min((ranks.get(parts[i] + parts[i + 1], len(ranks) + 1), i) for i in range(len(parts) - 1))
-        if rank > len(ranks):
+        rank, i = min((ranks.get(parts[i] + parts[i + 1], math.inf), i) for i in range(len(parts) - 1))
+        if rank >= below:
             break
         parts[i : i + 2] = [parts[i] + parts[i + 1]]
     return [ranks[p] for p in parts]
@@ -98,18 +99,54 @@ class ByteEncoder:
         self.plain = dict.fromkeys(map(ord, newer), OTHER)
         self.shorter: dict[int, int] = {}
         self.pairs: dict[tuple[int, int], bool] = {}
+        self.edges: tuple[dict, dict] = {}, {}
+        self.packed = {rank: rank.to_bytes(4, "little") for rank in self.tokens}
         self.seen: dict[str, bytes] = {}
 
+    def parts(self, token: int) -> tuple[int, int] | None:
+        """The two tokens of which merging makes this one last; None where it never does."""
+        found = merge(self.tokens[token], self.ranks, token)
+        return tuple(found) if len(found) == 2 else None
+
+    def edge(self, token: int, last: int) -> list[tuple[bytes, float]] | None:
+        """The tokens that the first (last = 0) or last (1) byte is in while the token is made, each with the rank at which it goes into the next."""
+        known = self.edges[last].get(token, ())
+        if known == ():
+            own, end = self.tokens[token], math.inf
+            known = [(own, end)]
+            while len(own) > 1 and known is not None:
+                made = self.parts(self.ranks[own])
+                known = None if made is None else [(self.tokens[made[last]], self.ranks[own]), *known]
+                own = known[0][0] if known else b""
+            self.edges[last][token] = known
+        return known
+
     def compatible(self, a: int, b: int) -> bool:
-        """Whether merging the bytes of the two gives the two."""
+        """Whether merging the bytes of the two gives the two: no merge across the border comes before the border's tokens go into their own."""
         known = self.pairs.get((a, b))
         if known is None:
-            known = merge(self.tokens[a] + self.tokens[b], self.ranks) == [a, b]
+            known = self._apart(self.edge(a, 1), self.edge(b, 0))
             if len(self.pairs) >= PAIRS:
                 self.pairs.clear()
             self.pairs[a, b] = known
         return known
 
+    def _apart(self, lefts: list | None, rights: list | None) -> bool:
+        if lefts is None or rights is None:
+            return False
+        i = j = 0
+        while True:
+            (x, x_ends), (y, y_ends) = lefts[i], rights[j]
+            across = self.ranks.get(x + y)
+            if across is not None and across < x_ends and across <= y_ends:  # of merges of one rank the first comes first
+                return False
+            if x_ends == y_ends == math.inf:
+                return True
+            if x_ends <= y_ends:
+                i += 1
+            else:
+                j += 1
+
     def prefix(self, token: int) -> int:
         """The longest token that is a proper prefix; -1: none."""
         found = self.shorter.get(token)
@@ -149,7 +186,7 @@ class ByteEncoder:
         return next(self.automaton.iter_long(letters[at : at + self.reach]))[1]  # a slice: the automaton copies what it is given
 
     def ids(self, piece: str) -> bytes:
-        found = np.array(self.piece(piece.encode()), "<i4").tobytes()
+        found = b"".join([self.packed[i] for i in self.piece(piece.encode())])
         if len(piece) <= LONGEST_CACHED:
             if len(self.seen) >= CACHE:
                 self.seen.clear()
