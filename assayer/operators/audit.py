@@ -70,25 +70,85 @@ def resolved_quotas(available: DataFrame, requested: Mapping[str, int], priority
 def apportioned(groups: DataFrame, by: list[str], group: str, quota: str = "quota", size: str = "n") -> DataFrame:
     """(by, group, allocation): each group's floor share of the quota; what is left goes, all it can take, to the largest fraction first.
 
-    groups: a row for each group. What is exploded are units of the remainder, at most groups squared.
+    Of groups with one fraction, units go to where most room is left, then to the
+    last group by name: the room that is left ends at one level for all that had
+    more, which follows from sums over the groups in order of room.
     """
     whole = Window.partitionBy(*by)
     raw = F.col(quota) * F.col(size) / F.sum(size).over(whole)
     rows = groups.withColumn("_raw", raw).withColumn("_base", F.least(F.col(size), F.floor("_raw")))
-    rows = rows.withColumn("_rem", F.least(F.col(quota), F.sum(size).over(whole)) - F.sum("_base").over(whole))
-    units = F.greatest(F.lit(0), F.least(F.col(size) - F.col("_base"), F.col("_rem"))).cast("int")
-    unit = rows.where(units > 0).withColumn("_u", F.explode(F.sequence(F.lit(0), units - 1)))
-    order = whole.orderBy(F.desc(F.col("_raw") - F.floor("_raw")), F.desc(F.col(size) - F.col("_base") - F.col("_u")), F.desc(group))
-    won = unit.withColumn("_k", F.row_number().over(order)).where("_k <= _rem").groupBy(*by, group).agg(F.count("*").alias("_more"))
-    return rows.join(won, [*by, group], "left").select(*by, group, (F.col("_base") + F.coalesce("_more", F.lit(0))).cast("long").alias("allocation"))
+    rows = rows.withColumns({"_rem": F.least(F.col(quota), F.sum(size).over(whole)) - F.sum("_base").over(whole), "_room": F.col(size) - F.col("_base"), "_part": F.col("_raw") - F.floor("_raw")})
+    alike = Window.partitionBy(*by, "_part")
+    all_room = F.sum("_room").over(alike)
+    before = F.sum("_room").over(whole.orderBy(F.desc("_part")).rangeBetween(Window.unboundedPreceding, Window.currentRow)) - all_room
+    rows = rows.withColumn("_award", F.least(all_room, F.greatest(F.lit(0), F.col("_rem") - before)))
+    largest = alike.orderBy(F.desc("_room"), F.desc(group)).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = rows.withColumns({"_upto": F.sum("_room").over(largest), "_k": F.row_number().over(alike.orderBy(F.desc("_room"), F.desc(group)))})
+    rows = rows.withColumn("_level", F.max(F.floor((F.col("_upto") - F.col("_award")) / F.col("_k")) + 1).over(alike))
+    rows = rows.withColumn("_more", F.greatest(F.lit(0), F.col("_room") - F.col("_level")))
+    last = F.row_number().over(alike.orderBy(F.desc(F.col("_room") >= F.col("_level")), F.desc(group)))
+    rows = rows.withColumns({"_one": F.col("_award") - F.sum("_more").over(alike), "_last": last})
+    one = F.when((F.col("_last") <= F.col("_one")) & (F.col("_room") >= F.col("_level")), 1).otherwise(0)
+    return rows.select(*by, group, (F.col("_base") + F.when(F.col("_award") > 0, F.col("_more") + one).otherwise(0)).cast("long").alias("allocation"))
+
+
+def _prefix(order: Column) -> Column:
+    """The first 32 bits of an ordering hash: rows up to a limit of it come first in the order."""
+    return F.conv(F.substring(order, 1, 8), 16, 10).cast("long")
+
+
+def _limit(wanted: Column, rows: Column, widen: float = 1.0) -> Column:
+    """A limit of the prefix under which `wanted` rows lie, but for a chance of some 1e-9; 2**32 where that is all of them."""
+    return F.least(F.lit(float(1 << 32)), (wanted + 6 * F.sqrt(wanted) + 20) * widen / rows * float(1 << 32)).cast("long")
 
 
 def bucket_sample(candidates: DataFrame, quotas: DataFrame, key: str, seed: int, stratum: str = "primary_stratum", source: str = "source_stratum") -> DataFrame:
-    """Of each stratum its quota, apportioned over sources; in each source the first by a seeded hash. Every stratum in one pass."""
+    """Of each stratum its quota, apportioned over sources; in each source the first by a seeded hash. Every stratum in one pass.
+
+    Only rows under a limit of the hash are ranked: all of these come before all
+    others, so where they are enough, the first of them are the first of all. The
+    limit is widened until they are.
+    """
     sizes = candidates.groupBy(stratum, source).agg(F.count("*").alias("n")).join(quotas.select(F.col("stratum").alias(stratum), "quota"), stratum)
-    shares = apportioned(sizes, [stratum], source)
-    order = ranked(candidates, key, seed, F.concat(F.lit("primary:"), F.col(stratum)), [stratum, source], "_rank")
-    return order.join(shares, [stratum, source]).where("_rank <= allocation").drop("_rank", "allocation")
+    shares = staged(sizes.select(stratum, source, "n").join(apportioned(sizes, [stratum], source), [stratum, source]).where("allocation > 0"), "allocations")
+    order = ordering_hash(seed, F.concat(F.lit("primary:"), F.col(stratum)), F.col(key))
+    names = candidates.columns
+    widen = 1.0
+    while True:
+        limits = shares.select(stratum, source, "allocation", _limit(F.col("allocation"), F.col("n"), widen).alias("_limit"))
+        few = staged(candidates.join(limits, [stratum, source]).withColumn("_h", order).where(_prefix(F.col("_h")) <= F.col("_limit")), "candidates")
+        found = few.groupBy(stratum, source).agg(F.count("*").alias("_found"))
+        if shares.join(found, [stratum, source], "left").where("coalesce(_found, 0) < allocation").isEmpty():
+            first = Window.partitionBy(stratum, source).orderBy("_h", key)
+            return few.withColumn("_rank", F.row_number().over(first)).where("_rank <= allocation").select(*names)
+        widen *= 8
+
+
+def _fill(rows: DataFrame, taken: DataFrame, gaps: DataFrame, order: Column, rank: Column, key: str, unit: str) -> DataFrame:
+    """The first rows of units that aren't taken, as many as gaps has for each group. gaps: (primary_stratum, _group, _gap).
+
+    A unit stands for its first row by (rank, order, key). Only units with a row
+    under a limit of the order, in a group with a gap, are looked at, with all
+    their rows; widened until each group has enough or all of it is looked at.
+    """
+    names = rows.columns
+    taken_units = taken.select(unit).distinct()
+    free = rows.join(F.broadcast(taken_units), unit, "left_anti").withColumns({"_h": order, "_place": rank})  # as many as the quotas at most
+    free = free.join(F.broadcast(gaps), "primary_stratum", "left")  # a row for each stratum
+    sizes = free.where("_gap > 0").groupBy("_group", "_gap").agg(F.count("*").alias("n")).collect()  # a row for each group
+    widen = 4.0
+    while True:
+        limits = rows.sparkSession.createDataFrame([(s["_group"], min(1 << 32, int((s["_gap"] + 6 * s["_gap"] ** 0.5 + 20) * widen / s["n"] * (1 << 32)))) for s in sizes], "_group string, _limit long")
+        candidates = free.where("_gap > 0").join(F.broadcast(limits), "_group").where(_prefix(F.col("_h")) <= F.col("_limit")).select(unit).distinct()
+        first = Window.partitionBy(unit).orderBy("_place", "_h", key)
+        own = free.join(candidates, unit, "left_semi").withColumn("_n", F.row_number().over(first)).where("_n = 1 and _gap > 0")
+        own = staged(own.join(F.broadcast(limits), "_group").where(_prefix(F.col("_h")) <= F.col("_limit")), "fill")
+        found = {r["_group"]: r["n"] for r in own.groupBy("_group").agg(F.count("*").alias("n")).collect()}
+        whole = {r["_group"] for r in limits.where(F.col("_limit") >= 1 << 32).collect()}
+        if all(s["_group"] in whole or found.get(s["_group"], 0) >= s["_gap"] for s in sizes):
+            best = Window.partitionBy("_group").orderBy("_h", key)
+            return own.withColumn("_rank", F.row_number().over(best)).where(F.col("_rank") <= F.col("_gap")).select(*names)
+        widen *= 8
 
 
 def audit_sample(rows: DataFrame, requested: Mapping[str, int], priority: Sequence[str], seed: int, key: str = "population_key", unit: str = "annotation_unit_key") -> DataFrame:
@@ -99,31 +159,31 @@ def audit_sample(rows: DataFrame, requested: Mapping[str, int], priority: Sequen
     units twice among themselves. The sample's size is bounded by the quotas.
     """
     rows = staged(rows, "rows")
-    quotas = resolved_quotas(rows.groupBy(F.col("primary_stratum").alias("stratum")).agg(F.count("*").alias("n")), requested, priority)
-    settled = quotas.collect()  # a row for each stratum
-    quotas = rows.sparkSession.createDataFrame(settled, quotas.schema)
+    available = rows.groupBy(F.col("primary_stratum").alias("stratum")).agg(F.count("*").alias("n"))
+    spark = rows.sparkSession
+    settled = resolved_quotas(available, requested, priority).collect()  # a row for each stratum
+    quotas = spark.createDataFrame([tuple(q) for q in settled], "stratum string, quota long")
     place = {s: i for i, s in enumerate(dict.fromkeys([*requested, *priority]))}
-    rank = F.coalesce(F.create_map(*(F.lit(x) for p in place.items() for x in p))[F.col("primary_stratum")], F.lit(len(place)))
+    numbered = lambda names, other: F.coalesce(F.create_map(*(F.lit(x) for p in names.items() for x in p))[F.col("primary_stratum")], F.lit(other)) if names else F.lit(other)
+    rank = numbered(place, len(place))
     picked = bucket_sample(rows, quotas, key, seed).withColumns({"_place": rank, "_h": ordering_hash(seed, F.concat(F.lit("primary:"), F.col("primary_stratum")), F.col(key))})
     first = Window.partitionBy(unit).orderBy("_place", "_h", key)
-    taken = picked.withColumn("_n", F.row_number().over(first)).where("_n = 1").select(*rows.columns)
-    taken = staged(taken, "taken")
-    for name in ("unique-fill", "global-unique-fill"):
-        free = rows.join(taken.select(unit), unit, "left_anti")
-        free = free.withColumns({"_h": ordering_hash(seed, name, F.col(key)), "_place": rank})
-        free = free.withColumn("_n", F.row_number().over(Window.partitionBy(unit).orderBy("_place", "_h", key))).where("_n = 1").drop("_n")
-        if name == "unique-fill":
-            have = taken.groupBy(F.col("primary_stratum").alias("stratum")).agg(F.count("*").alias("have"))
-            gaps = quotas.join(have, "stratum", "left").select(F.col("stratum").alias("primary_stratum"), (F.col("quota") - F.coalesce("have", F.lit(0))).alias("_gap")).where("_gap > 0")
-            order = ranked(free.drop("_h"), key, seed, name, ["primary_stratum"], "_rank")
-            more = order.join(F.broadcast(gaps), "primary_stratum").where("_rank <= _gap")
-        else:
-            total = sum(q.quota for q in settled)
-            by_priority = {s: i for i, s in enumerate(priority)}
-            level = F.coalesce(F.create_map(*(F.lit(x) for p in by_priority.items() for x in p))[F.col("primary_stratum")], F.lit(99)) if by_priority else F.lit(99)
-            missing = max(0, int(total) - taken.count())
-            more = free.withColumn("_level", level).orderBy("_level", "_h", key).limit(missing)
-        taken = taken.unionByName(staged(more.select(*rows.columns), name))
+    taken = staged(picked.withColumn("_n", F.row_number().over(first)).where("_n = 1").select(*rows.columns), "taken")
+    have = {r["primary_stratum"]: r["n"] for r in taken.groupBy("primary_stratum").agg(F.count("*").alias("n")).collect()}
+    gaps = [(q["stratum"], q["stratum"], int(q["quota"] - have.get(q["stratum"], 0))) for q in settled if q["quota"] > have.get(q["stratum"], 0)]
+    if gaps:
+        table = spark.createDataFrame(gaps, "primary_stratum string, _group string, _gap long")
+        taken = staged(taken.unionByName(_fill(rows, taken, table, ordering_hash(seed, "unique-fill", F.col(key)), rank, key, unit)), "taken")
+    missing = sum(int(q["quota"]) for q in settled) - taken.count()
+    strata = [r["stratum"] for r in available.select("stratum").collect()]  # a row for each stratum
+    level = {s: i for i, s in enumerate(priority)}
+    for own in sorted({level.get(s, 99) for s in strata}):  # along the priorities, as long as something is missing
+        if missing <= 0:
+            break
+        table = spark.createDataFrame([(s, "all", missing) for s in strata if level.get(s, 99) == own], "primary_stratum string, _group string, _gap long")
+        more = staged(_fill(rows, taken, table, ordering_hash(seed, "global-unique-fill", F.col(key)), rank, key, unit), "more")
+        missing -= more.count()
+        taken = staged(taken.unionByName(more), "taken")
     return taken
 
 

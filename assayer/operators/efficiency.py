@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from assayer.operators.rank import first_keys
-
 
 def derived(rows: DataFrame) -> DataFrame:
     """duration_seconds, throughput_samples_per_sec, accuracy_per_second; null where a part is missing or zero."""
@@ -101,11 +99,12 @@ def grouped(rows: DataFrame) -> DataFrame:
     return out.select("grouped_by", F.coalesce("condition", "model_short").alias("name"), "n_entries", "mean_accuracy", "best_accuracy", "mean_latency_ms", "mean_score")
 
 
-def totals(rows: DataFrame, shown: int = 100) -> DataFrame:
-    """Numbers of entries, models and conditions; how many lack accuracy or latency, and the first of them by name."""
-    named = rows.withColumn("_name", F.concat_ws("/", "model_short", "condition", "judge_model"))
-    out = rows.agg(F.count("*").alias("n_entries"), F.count_distinct("model_short").alias("n_models"), F.count_distinct("condition").alias("n_conditions"), F.count_if(F.col("accuracy").isNull()).alias("n_missing_accuracy"), F.count_if(F.col("latency_mean_ms").isNull()).alias("n_missing_latency"))
-    for c, into in (("accuracy", "missing_accuracy"), ("latency_mean_ms", "missing_latency")):
-        firsts = first_keys(named.where(F.col(c).isNull()).withColumn("_all", F.lit(0)), ["_all"], "_name", shown, into).select(F.array_join(into, ",").alias(into))
-        out = out.join(F.broadcast(firsts), F.lit(True), "left").withColumn(into, F.coalesce(into, F.lit("")))  # one row to one row
-    return out
+def totals(rows: DataFrame) -> DataFrame:
+    """Numbers of entries, models and conditions, and of entries that lack accuracy or latency."""
+    return rows.agg(F.count("*").alias("n_entries"), F.count_distinct("model_short").alias("n_models"), F.count_distinct("condition").alias("n_conditions"), F.count_if(F.col("accuracy").isNull()).alias("n_missing_accuracy"), F.count_if(F.col("latency_mean_ms").isNull()).alias("n_missing_latency"))
+
+
+def missing(rows: DataFrame) -> DataFrame:
+    """(model_short, condition, judge_model, missing): every entry that lacks accuracy or latency, a row for each lack."""
+    lacks = F.array_compact(F.array(F.when(F.col("accuracy").isNull(), "accuracy"), F.when(F.col("latency_mean_ms").isNull(), "latency")))
+    return rows.select("model_short", "condition", "judge_model", F.explode(lacks).alias("missing"))

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from assayer.functions.keys import ordering_hash
+from assayer.sources.shared import staged
 
 DIGITS = 3
 
@@ -36,30 +37,31 @@ def ranked(df: DataFrame, key: str, seed: int, namespace: str | Column, strata:
     return joined.withColumn(into, (F.row_number().over(within) + F.col("_before")).cast("long")).drop("_hash", "_all", "_bucket", "_before")
 
 
-def first_keys(rows: DataFrame, by: list[str], key: str, shown: int, into: str) -> DataFrame:
-    """(by, into): the first `shown` different keys of each group, in order. No group gathers more than these of each of 256 parts."""
-    own = rows.where(F.col(key).isNotNull()).select(*by, F.col(key).alias("_key")).distinct().withColumn("_part", F.pmod(F.xxhash64("_key"), F.lit(256)))
-    within = Window.partitionBy(*by, "_part").orderBy("_key")
-    firsts = own.withColumn("_rank", F.row_number().over(within)).where(F.col("_rank") <= shown)
-    return firsts.groupBy(*by).agg(F.slice(F.array_sort(F.collect_list("_key")), 1, shown).alias(into))
+def quantiles(rows: DataFrame, by: list[str], value: str, shares: dict[str, float], parts: int = 64, salts: int = 16) -> DataFrame:
+    """Exact, interpolated quantiles of each group, by name.
 
-
-def quantiles(rows: DataFrame, by: list[str], value: str, shares: dict[str, float], parts: int = 4096) -> DataFrame:
-    """Exact, interpolated quantiles of each group, by name. Values are counted, counts are dealt to ranges of value, and only ranges with a wanted rank are ordered."""
-    own = rows.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).cast("double").alias("_v")).agg(F.count("*").alias("_n"))
-    limits = own.groupBy(*by).agg(F.min("_v").alias("_low"), F.max("_v").alias("_high"), F.sum("_n").alias("_all"))
-    same = lambda a, b: [F.col(f"{a}.{c}").eqNullSafe(F.col(f"{b}.{c}")) for c in by] or [F.lit(True)]
-    part = F.when(F.col("_high") > F.col("_low"), F.floor((F.col("_v") - F.col("_low")) / (F.col("_high") - F.col("_low")) * (parts - 1))).otherwise(0)
-    placed = own.alias("a").join(limits.alias("b"), same("a", "b")).select("a.*", "b._all", part.cast("int").alias("_part"))
-    sizes = placed.groupBy(*by, "_part").agg(F.sum("_n").alias("_size"), F.first("_all").alias("_all"))
-    before = Window.partitionBy(*by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # as many rows as parts
-    sizes = sizes.withColumn("_before", F.coalesce(F.sum("_size").over(before), F.lit(0)))
+    Different values are counted first. A sketch of these brackets the ranks: its
+    cuts deal a group's values to `parts` ranges of about as many each, whatever
+    the values are. Ranges are counted exactly, and only those that hold a wanted
+    rank are ordered. Nulls are skipped; a group without values has no row.
+    """
+    keyed = rows.where(F.col(value).isNotNull()).withColumn("_group", F.struct(F.lit(0).alias("_"), *by))
+    own = staged(keyed.groupBy("_group", F.col(value).cast("double").alias("_v")).agg(F.count("*").alias("_n")), "counted-values")
+    cuts = own.groupBy("_group").agg(F.percentile_approx("_v", [i / parts for i in range(1, parts)], 20 * parts).alias("_cuts"), F.sum("_n").alias("_all"))
+    # a group's values may be a third of all: its row is copied for each salt
+    cuts = cuts.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    placed = own.withColumn("_salt", F.pmod(F.hash("_v"), F.lit(salts))).join(cuts, ["_group", "_salt"])
+    placed = placed.withColumn("_part", F.size(F.filter("_cuts", lambda c: c <= F.col("_v")))).select("_group", "_v", "_n", "_all", "_part")
+    sizes = placed.groupBy("_group", "_part").agg(F.sum("_n").alias("_size"), F.first("_all").alias("_all"))
+    before = Window.partitionBy("_group").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # as many rows as parts
     ranks = F.array(*(F.struct(F.lit(n).alias("name"), ((F.col("_all") - 1) * p).alias("at")) for n, p in shares.items()))
-    wanted = sizes.withColumn("_w", F.explode(ranks)).select(*by, "_part", "_before", "_size", F.col("_w.name").alias("_name"), F.col("_w.at").alias("_at"))
-    wanted = wanted.withColumn("_rank", F.explode(F.array_distinct(F.array(F.floor("_at"), F.ceil("_at"))))).where((F.col("_rank") >= F.col("_before")) & (F.col("_rank") < F.col("_before") + F.col("_size")))
-    inside = placed.alias("a").join(wanted.select(*by, "_part", "_before").distinct().alias("b"), [*same("a", "b"), F.col("a._part") == F.col("b._part")]).select("a.*", "b._before")
-    upto = Window.partitionBy(*by, "_part").orderBy("_v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    inside = inside.withColumn("_end", F.col("_before") + F.sum("_n").over(upto))
-    hit = wanted.alias("a").join(inside.alias("b"), [*same("a", "b"), F.col("a._part") == F.col("b._part"), F.col("a._rank") < F.col("b._end"), F.col("a._rank") >= F.col("b._end") - F.col("b._n")])
-    weight = F.when(F.floor("_at") == F.ceil("_at"), F.lit(1.0)).otherwise(1 - F.abs(F.col("_at") - F.col("_rank")))
-    return hit.select("a.*", "b._v").groupBy(*by).agg(*(F.sum(F.when(F.col("_name") == n, F.col("_v") * weight)).alias(n) for n in shares))
+    wanted = sizes.withColumn("_before", F.coalesce(F.sum("_size").over(before), F.lit(0))).withColumn("_w", F.explode(ranks))
+    wanted = wanted.withColumn("_rank", F.explode(F.array_distinct(F.array(F.floor("_w.at"), F.ceil("_w.at"))))).where((F.col("_rank") >= F.col("_before")) & (F.col("_rank") < F.col("_before") + F.col("_size")))
+    wanted = wanted.groupBy("_group", "_part", "_before").agg(F.collect_list(F.struct(F.col("_w.name").alias("name"), F.col("_w.at").alias("at"), F.col("_rank").alias("rank"))).alias("_wanted"))  # two for each share at most
+    upto = Window.partitionBy("_group", "_part").orderBy("_v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    inside = placed.drop("_all").join(wanted, ["_group", "_part"]).withColumn("_end", F.col("_before") + F.sum("_n").over(upto))
+    here = F.filter("_wanted", lambda w: (w["rank"] < F.col("_end")) & (w["rank"] >= F.col("_end") - F.col("_n")))
+    hit = inside.select("_group", "_v", F.explode(here).alias("w"))
+    weight = F.when(F.floor("w.at") == F.ceil("w.at"), F.lit(1.0)).otherwise(1 - F.abs(F.col("w.at") - F.col("w.rank")))
+    out = hit.groupBy("_group").agg(*(F.sum(F.when(F.col("w.name") == n, F.col("_v") * weight)).alias(n) for n in shares))
+    return out.select(*(F.col("_group")[c].alias(c) for c in by), *shares)

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from assayer.functions import text
-from assayer.operators.rank import first_keys, quantiles
+from assayer.operators.rank import quantiles
 
 # The numeric fields of a run that are aggregated over seeds.
 NUMERIC_FIELDS = (
@@ -31,19 +31,18 @@ NUMERIC_FIELDS = (
 GROUP = ("model_short", "condition", "finetuned", "few_shot", "judge_model", "split_type")
 
 
-def run_stats(rows: DataFrame, by: list[str], generated: str = "generated", error: str = "generation_error", latency: str = "latency_ms", row_id: str = "id", shown: int = 1_000) -> DataFrame:
-    """Counts of successful, failed and refused rows, the first `shown` ids of the refused, and latencies. An empty output is a failure."""
-    bad = F.col(error).isNotNull() | (F.coalesce(F.col(generated), F.lit("")) == "")
-    filtered = text.refused(F.col(error))
-    counts = rows.groupBy(*by).agg(F.count("*").alias("total_samples"), F.count_if(~bad).alias("successful"), F.count_if(bad).alias("failed"), F.count_if(filtered).alias("content_filtered"), F.avg(latency).alias("latency_mean_ms"), F.min(latency).alias("latency_min_ms"), F.max(latency).alias("latency_max_ms"), F.sum(latency).alias("latency_total_ms"))
-    ids = first_keys(rows.where(filtered), by, row_id, shown, "content_filtered_ids")
+def run_stats(rows: DataFrame, by: list[str], generated: str = "generated", error: str = "generation_error", latency: str = "latency_ms") -> DataFrame:
+    """Counts of successful, failed and refused rows, and latencies. A row with an output is successful, whatever else it says; one with an error text is refused."""
+    filled = lambda c: F.coalesce(F.col(c), F.lit("")) != ""
+    counts = rows.groupBy(*by).agg(F.count("*").alias("total_samples"), F.count_if(filled(generated)).alias("successful"), F.count_if(~filled(generated)).alias("failed"), F.count_if(filled(error)).alias("content_filtered"), F.avg(latency).alias("latency_mean_ms"), F.min(latency).alias("latency_min_ms"), F.max(latency).alias("latency_max_ms"), F.sum(latency).alias("latency_total_ms"))
     marks = quantiles(rows, by, latency, {"latency_p50_ms": 0.5, "latency_p95_ms": 0.95, "latency_p99_ms": 0.99})
-    out, names = counts, counts.columns
-    for other in (ids, marks):
-        extra = [c for c in other.columns if c not in by]
-        out = out.alias("a").join(other.alias("b"), [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in by] or F.lit(True), "left").select(*(f"a.{c}" for c in names), *(f"b.{c}" for c in extra))
-        names = [*names, *extra]
-    return out.withColumn("content_filtered_ids", F.coalesce("content_filtered_ids", F.array().cast(ids.schema["content_filtered_ids"].dataType)))
+    same = [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in by] or F.lit(True)
+    return counts.alias("a").join(marks.alias("b"), same, "left").select("a.*", *(f"b.{c}" for c in marks.columns if c not in by))
+
+
+def refused_ids(rows: DataFrame, by: list[str], error: str = "generation_error", row_id: str = "id") -> DataFrame:
+    """(by, id): the rows with an error text, one row for each, uncut."""
+    return rows.where(F.coalesce(F.col(error), F.lit("")) != "").select(*by, F.col(row_id).alias("id"))
 
 
 def with_split_type(runs: DataFrame, combine_judges: bool = False) -> DataFrame:

@@ -332,13 +332,21 @@ _GROUP = ["model_short", "condition", "judge_model"]
 
 
 @query("""
-SELECT model_short, condition, count(*) AS total_samples, count(*) FILTER (WHERE decision_method NOT IN ('unmatched', 'content_filtered')) AS successful, count(*) FILTER (WHERE decision_method IN ('unmatched', 'content_filtered')) AS failed,
+SELECT model_short, condition, count(*) AS total_samples, count(*) FILTER (WHERE decision_method <> 'unmatched') AS successful, count(*) FILTER (WHERE decision_method = 'unmatched') AS failed,
        count(*) FILTER (WHERE decision_method = 'content_filtered') AS content_filtered, round(avg(latency_ms), 6) AS latency_mean_ms, round(min(latency_ms), 6) AS latency_min_ms, round(max(latency_ms), 6) AS latency_max_ms, round(sum(latency_ms), 6) AS latency_total_ms,
        round(quantile_cont(latency_ms, 0.5), 6) AS latency_p50_ms, round(quantile_cont(latency_ms, 0.95), 6) AS latency_p95_ms, round(quantile_cont(latency_ms, 0.99), 6) AS latency_p99_ms
 FROM v_judged GROUP BY ALL""")
 def run_stats(spark, sf_dir):
-    rows = load(spark, sf_dir, "v_judged").withColumns({"generated": F.when(F.col("decision_method") == "unmatched", "").otherwise("x"), "generation_error": F.when(F.col("decision_method") == "content_filtered", "content_filter: no")})
-    return shown(runs.run_stats(rows, ["model_short", "condition"], row_id="o_orderkey").drop("content_filtered_ids"))
+    return shown(runs.run_stats(_generated(spark, sf_dir), ["model_short", "condition"]))
+
+
+def _generated(spark, sf_dir):
+    return load(spark, sf_dir, "v_judged").withColumns({"generated": F.when(F.col("decision_method") == "unmatched", "").otherwise("x"), "generation_error": F.when(F.col("decision_method") == "content_filtered", "content_filter: no")})
+
+
+@query("""SELECT model_short, condition, o_orderkey AS id FROM v_judged WHERE decision_method = 'content_filtered'""")
+def refused_ids(spark, sf_dir):
+    return runs.refused_ids(_generated(spark, sf_dir), ["model_short", "condition"], row_id="o_orderkey")
 
 
 @query(f"""WITH {_RUNS}, long AS (SELECT model_short, condition, judge_model, CASE WHEN cv_fold IS NULL THEN 'canonical' ELSE 'cv' END AS split_type, unnest(['accuracy', 'latency_mean_ms', 'n_examples']) AS metric, unnest([accuracy, latency_mean_ms, n_examples::DOUBLE]) AS value FROM runs),
@@ -408,11 +416,18 @@ def efficiency_groups(spark, sf_dir):
 
 
 @query("""WITH e AS (SELECT model_short, condition, judge_model, max(CASE WHEN judge_model <> 'A' THEN latency_ms END) AS l FROM v_judged GROUP BY ALL)
-SELECT count(*) AS n_entries, count(DISTINCT model_short) AS n_models, count(DISTINCT condition) AS n_conditions, 0::BIGINT AS n_missing_accuracy, count(*) FILTER (WHERE l IS NULL) AS n_missing_latency, '' AS missing_accuracy,
-       string_agg(CASE WHEN l IS NULL THEN concat(model_short, '/', condition, '/', judge_model) END, ',' ORDER BY concat(model_short, '/', condition, '/', judge_model)) AS missing_latency FROM e""")
+SELECT count(*) AS n_entries, count(DISTINCT model_short) AS n_models, count(DISTINCT condition) AS n_conditions, 0::BIGINT AS n_missing_accuracy, count(*) FILTER (WHERE l IS NULL) AS n_missing_latency FROM e""")
 def efficiency_totals(spark, sf_dir):
-    rows = _stats(spark, sf_dir, _GROUP).withColumn("latency_mean_ms", F.when(F.col("judge_model") != "A", F.col("latency_mean_ms")))
-    return efficiency.totals(rows)
+    return efficiency.totals(_without_latency(spark, sf_dir))
+
+
+@query("""SELECT model_short, condition, judge_model, 'latency' AS missing FROM v_judged WHERE judge_model = 'A' GROUP BY ALL""")
+def efficiency_missing(spark, sf_dir):
+    return efficiency.missing(_without_latency(spark, sf_dir))
+
+
+def _without_latency(spark, sf_dir):
+    return _stats(spark, sf_dir, _GROUP).withColumn("latency_mean_ms", F.when(F.col("judge_model") != "A", F.col("latency_mean_ms")))
 
 
 @query(f"""WITH {_ENTRIES}, m AS (SELECT model_short, condition, avg(accuracy) AS a FROM entries GROUP BY ALL)
@@ -450,8 +465,11 @@ def _supplier_scores(spark, sf_dir):
 
 def _differences(spark, sf_dir):
     scores = _supplier_scores(spark, sf_dir)
-    others = spark.createDataFrame([("A", "O"), ("N", "F"), ("N", "O"), ("R", "F"), ("R", "O")], "model_short string, condition string")
-    return significance.paired_differences(scores, ("A", "F"), others)
+    return significance.paired_differences(scores, ("A", "F"), _others(spark))
+
+
+def _others(spark):
+    return spark.createDataFrame([("A", "O"), ("N", "F"), ("N", "O"), ("R", "F"), ("R", "O")], "model_short string, condition string")
 
 
 @query("""WITH s AS (SELECT l_returnflag AS model_short, l_linestatus AS condition, l_partkey, avg(CASE WHEN l_quantity >= 25 THEN 1.0 ELSE 0.0 END) AS x FROM lineitem GROUP BY ALL)
@@ -468,9 +486,23 @@ def paired_moments(spark, sf_dir):
     return shown(significance.paired_moments(_differences(spark, sf_dir)).drop("flip_z"))
 
 
-@query()
+#: In twelfths; every sum's probability by a transform over a period that no sum can leave, added up in order.
+@query("""WITH s AS (SELECT l_returnflag AS model_short, l_linestatus AS condition, l_partkey, round(12 * avg(CASE WHEN l_quantity >= 25 THEN 1.0 ELSE 0.0 END))::BIGINT AS x FROM lineitem GROUP BY ALL),
+d AS MATERIALIZED (SELECT b.model_short, b.condition, a.x - b.x AS a, count(*) AS k FROM s a JOIN s b USING (l_partkey) WHERE a.model_short = 'A' AND a.condition = 'F' AND NOT (b.model_short = 'A' AND b.condition = 'F') GROUP BY ALL),
+g AS MATERIALIZED (SELECT model_short, condition, sum(k)::BIGINT AS n, sum(a * k)::BIGINT AS s, sum(a * a * k)::BIGINT AS q FROM d GROUP BY ALL),
+per AS MATERIALIZED (SELECT *, (30 * ceil(sqrt(q)) + 2 * abs(s) + 30)::BIGINT AS p FROM g),
+phi AS MATERIALIZED (SELECT model_short, condition, m, p, n, s, 2 * pi() * m / p AS t,
+    exp(n * (ln(sum(k * cos(a * 2 * pi() * m / p)) ** 2 + sum(k * sin(a * 2 * pi() * m / p)) ** 2) / 2 - ln(n))) AS size, n * atan2(sum(k * sin(a * 2 * pi() * m / p)), sum(k * cos(a * 2 * pi() * m / p))) AS turn, product(power(cos(a * 2 * pi() * m / p), k)) AS flip
+    FROM d JOIN (SELECT *, unnest(range(1, p)) AS m FROM per) USING (model_short, condition) GROUP BY model_short, condition, m, p, n, s),
+pr AS (SELECT model_short, condition, j, (1 + sum(size * cos(turn - t * j))) / any_value(p) AS pr FROM (SELECT *, unnest(range(s - p // 2, s - p // 2 + p)) AS j FROM (SELECT * FROM phi WHERE size > 1e-18)) GROUP BY ALL),
+c AS (SELECT *, sum(pr) OVER (PARTITION BY model_short, condition ORDER BY j) AS c FROM pr),
+b AS (SELECT model_short, condition, min(j) FILTER (WHERE c >= 0.025) AS lo, min(j) FILTER (WHERE c >= 0.975) AS hi FROM c GROUP BY ALL),
+f AS (SELECT model_short, condition, greatest(0, 1 - (2 * abs(any_value(s)) - 1 + sum(flip * sin((abs(s) - 0.5) * t) / sin(t / 2))) / any_value(p)) AS pv FROM phi WHERE s <> 0 GROUP BY model_short, condition)
+SELECT model_short, condition, n AS n_paired_items, round(s / 12.0 / n, 6) AS accuracy_difference, round(lo / 12.0 / n, 6) AS ci95_low, round(hi / 12.0 / n, 6) AS ci95_high, round(coalesce(pv, 1.0), 6) AS randomization_p_value, 0.0 AS off_grid
+FROM g JOIN b USING (model_short, condition) LEFT JOIN f USING (model_short, condition)""")
 def paired_tests(spark, sf_dir):
-    return significance.paired_tests(_differences(spark, sf_dir), 2000, SEED)
+    scores = _supplier_scores(spark, sf_dir).withColumn("combined_score", F.round(F.col("combined_score") * 12) / 12)
+    return shown(significance.paired_tests(significance.paired_differences(scores, ("A", "F"), _others(spark))))
 
 
 # --- datasets ---

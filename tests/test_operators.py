@@ -1,12 +1,15 @@
+import hashlib
+import itertools
 import random
 import statistics
+from collections import Counter
 
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from assayer.operators import agreement, annotations, audit, dataset, efficiency, judging, runs, scoring, significance
-from assayer.operators.rank import ranked
+from assayer.operators.rank import quantiles, ranked
 
 
 def test_rank_is_a_window(spark):
@@ -225,7 +228,7 @@ def test_resampling(spark):
     scores = significance.item_scores(spark.createDataFrame(rows, "model_short string, condition string, unit_key string, correct string"))
     others = spark.createDataFrame([("b", "x")], "model_short string, condition string")
     diffs = significance.paired_differences(scores, ("a", "x"), others)
-    out = significance.paired_tests(diffs, 1500, 1).first()
+    out = significance.drawn_tests(diffs, 1500, 1).first()
     mine = {u: c for m, _, u, c in rows if m == "a"}
     d = [(mine[u] == "yes") - (c == "yes") for m, _, u, c in rows if m == "b"]
     mean, sem = statistics.mean(d), statistics.pstdev(d) / 20
@@ -234,7 +237,156 @@ def test_resampling(spark):
     z = abs(mean) / (sum(x * x for x in d) ** 0.5 / 400)
     p = 2 * (1 - statistics.NormalDist().cdf(z))
     assert abs(out.randomization_p_value - p) < 0.05
-    assert significance.paired_tests(diffs, 1500, 1).first() == out
+    assert significance.drawn_tests(diffs, 1500, 1).first() == out
+    exact = significance.paired_tests(diffs).first()
+    assert abs(exact.randomization_p_value - out.randomization_p_value) < 4 * (exact.randomization_p_value / 1500) ** 0.5 + 1 / 1500
+    assert abs(exact.ci95_low - out.ci95_low) < 0.01 and abs(exact.ci95_high - out.ci95_high) < 0.01
+
+
+def test_exact_resampling_against_every_outcome(spark):
+    """Small sets: all bootstrap samples and all sign flips, one after another."""
+    r = random.Random(6)
+    cases = [[r.choice([-1, -0.5, -1 / 3, 0, 0.25, 0.5, 1]) for _ in range(n)] for n in (1, 2, 3, 4, 5, 6) for _ in range(4)] + [[0.0, 0.0], [0.5] * 5, [0.5, -0.5]]
+    rows = [(str(i), "x", float(d), 1) for i, own in enumerate(cases) for d in own]
+    diffs = spark.createDataFrame(rows, "model_short string, condition string, diff double, n long").groupBy("model_short", "condition", "diff").agg(F.sum("n").alias("n"))
+    got = {int(x.model_short): x for x in significance.paired_tests(diffs).collect()}
+    for i, own in enumerate(cases):
+        steps, n = [round(12 * d) for d in own], len(own)
+        sums = Counter(sum(c) for c in itertools.product(steps, repeat=n))
+        upto = list(itertools.accumulate(sums[k] for k in sorted(sums)))
+        low, high = (next(k for k, c in zip(sorted(sums), upto) if c >= q * n**n - 1e-6) for q in (0.025, 0.975))
+        flips = [abs(sum(s * a for s, a in zip(signs, steps))) for signs in itertools.product((1, -1), repeat=n)]
+        p = sum(f >= abs(sum(steps)) for f in flips) / len(flips)
+        x = got[i]
+        assert (x.n_paired_items, round(x.ci95_low * n * 12), round(x.ci95_high * n * 12)) == (n, low, high), own
+        assert abs(x.randomization_p_value - p) < 1e-9 and abs(x.accuracy_difference - sum(own) / n) < 1e-9 and x.off_grid < 1e-12
+
+
+def test_exact_resampling_of_very_many_items(spark):
+    """A hundred million items take as long as a thousand deviations; a difference far from 0 has p-value 0."""
+    n = 10**8
+    rows = [("near", "x", 1.0, n // 2 + 9_000), ("near", "x", -1.0, n // 2 - 9_000), ("far", "x", 0.5, n), ("far", "x", -0.5, n // 2)]
+    diffs = spark.createDataFrame(rows, "model_short string, condition string, diff double, n long")
+    out = {x.model_short: x for x in significance.paired_tests(diffs, 0.5).collect()}
+    z = 18_000 / n**0.5
+    assert abs(out["near"].randomization_p_value - 2 * (1 - statistics.NormalDist().cdf(z))) < 1e-4
+    assert abs(out["near"].ci95_low - (18_000 / n - 1.96 / n**0.5)) < 1e-6 and out["far"].randomization_p_value == 0
+
+
+def test_quantiles_with_outliers(spark):
+    r = random.Random(8)
+    groups = {"a": [r.gauss(0, 1) for _ in range(3_000)] + [1e12, -1e300, 1e300], "b": [5.0] * 400 + [7.0], "c": [2.0], None: [r.choice([1.0, 2.0, 3.5]) for _ in range(50)], "none": [None, None]}
+    rows = [(g, v) for g, own in groups.items() for v in own]
+    df = spark.createDataFrame(rows, "g string, v double").repartition(6)
+    shares = {"low": 0.0, "p50": 0.5, "p95": 0.95, "p99": 0.99, "high": 1.0}
+    got = {x.g: x for x in quantiles(df, ["g"], "v", shares).collect()}
+    assert set(got) == {"a", "b", "c", None}
+    for g, x in got.items():
+        own = sorted(groups[g])
+        for name, p in shares.items():
+            at = (len(own) - 1) * p
+            a, b = own[int(at)], own[min(int(at) + 1, len(own) - 1)]
+            want = a if at == int(at) else a * (1 - (at - int(at))) + b * (at - int(at))
+            assert x[name] == pytest.approx(want, rel=1e-12), (g, name)
+    everything = quantiles(df.where("g = 'b'"), [], "v", {"p": 0.5}).collect()
+    assert [x.p for x in everything] == [5.0] and quantiles(df.limit(0), ["g"], "v", shares).count() == 0
+
+
+def test_no_part_of_the_quantiles_is_large(spark, monkeypatch):
+    """One outlier doesn't bring all other values into one range."""
+    from assayer.operators import rank
+
+    df = spark.range(200_000).select((F.col("id") * 0.001).alias("v")).unionByName(spark.createDataFrame([(1e12,)], "v double"))
+    kept = []
+    monkeypatch.setattr(rank, "staged", lambda d, name: kept.append(d) or d)
+    out = quantiles(df, [], "v", {"p": 0.5})
+    assert out.first().p == pytest.approx(100.0)
+    (cuts,) = kept[0].agg(F.percentile_approx("_v", [i / 64 for i in range(1, 64)], 1280)).first()
+    sizes = kept[0].groupBy(F.size(F.filter(F.lit(cuts), lambda c: c <= F.col("_v")))).count().agg(F.max("count")).first()[0]
+    assert sizes < 4 * 200_001 / 64
+
+
+def test_success_is_an_output(spark):
+    rows = [("m", "text", None, 5.0, 1), ("m", "text", "late error", 7.0, 2), ("m", "", "content_filter", None, 3), ("m", None, "", 1.0, 4)]
+    df = spark.createDataFrame(rows, "m string, generated string, generation_error string, latency_ms double, id long")
+    out = runs.run_stats(df, ["m"]).first()
+    assert (out.total_samples, out.successful, out.failed, out.content_filtered, out.latency_p50_ms) == (4, 2, 2, 2, 5.0)
+    assert sorted(x.id for x in runs.refused_ids(df, ["m"]).collect()) == [2, 3]
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_apportionment_by_levels(spark, seed):
+    """Against units handed out one by one: largest fraction first, then most room left, then the last name."""
+    r = random.Random(seed)
+    rows, want = [], {}
+    for s in range(60):
+        sizes = [r.choice([1, 2, 3, 5, 10, 10, 40]) for _ in range(r.randrange(1, 8))]
+        quota = r.randrange(0, sum(sizes) + 6)
+        raw = [quota * n / sum(sizes) for n in sizes]
+        base = [min(n, int(x)) for n, x in zip(sizes, raw)]
+        left = min(quota, sum(sizes)) - sum(base)
+        while left > 0:
+            i = max((i for i in range(len(sizes)) if base[i] < sizes[i]), key=lambda i: (raw[i] - int(raw[i]), sizes[i] - base[i], f"g{i}"))
+            base[i] += 1
+            left -= 1
+        rows += [(s, f"g{i}", n, quota) for i, n in enumerate(sizes)]
+        want |= {(s, f"g{i}"): x for i, x in enumerate(base)}
+    out = audit.apportioned(spark.createDataFrame(rows, "s long, g string, n long, quota long"), ["s"], "g")
+    assert {(x.s, x.g): x.allocation for x in out.collect()} == want
+    assert "Generate" not in out._jdf.queryExecution().toString()
+
+
+def plain_audit(rows, requested, priority, seed):
+    """The audit sample by sorting everything."""
+    h = lambda space, k: hashlib.sha256(f"{seed}|{space}|{k}".encode()).hexdigest()
+    place = {s: i for i, s in enumerate(dict.fromkeys([*requested, *priority]))}
+    have = Counter(s for *_, s, _ in rows)
+    names = list(place)
+    cut = {s: min(requested.get(s, 0), have[s]) for s in names}
+    short = sum(requested.values()) - sum(cut.values())
+    for s in priority:
+        more = min(short, have[s] - cut[s])
+        cut[s] += more
+        short -= more
+    picked = []
+    for s, quota in cut.items():
+        sizes = Counter(x[3] for x in rows if x[2] == s)
+        raw = {g: quota * n / have[s] for g, n in sizes.items()}
+        got = {g: min(n, int(raw[g])) for g, n in sizes.items()}
+        for _ in range(min(quota, have[s]) - sum(got.values())):
+            g = max((g for g in sizes if got[g] < sizes[g]), key=lambda g: (raw[g] - int(raw[g]), sizes[g] - got[g], g))
+            got[g] += 1
+        for g, n in got.items():
+            picked += sorted((x for x in rows if x[2] == s and x[3] == g), key=lambda x: (h(f"primary:{s}", x[0]), x[0]))[:n]
+    taken = {}
+    for x in sorted(picked, key=lambda x: (place.get(x[2], len(place)), h(f"primary:{x[2]}", x[0]), x[0])):
+        taken.setdefault(x[1], x)
+
+    def free(space):
+        out = {}
+        for x in sorted((x for x in rows if x[1] not in taken), key=lambda x: (place.get(x[2], len(place)), h(space, x[0]), x[0])):
+            out.setdefault(x[1], x)
+        return sorted(out.values(), key=lambda x: (h(space, x[0]), x[0]))
+
+    gaps = {s: q - sum(x[2] == s for x in taken.values()) for s, q in cut.items()}
+    for x in free("unique-fill"):
+        if gaps.get(x[2], 0) > 0:
+            gaps[x[2]] -= 1
+            taken[x[1]] = x
+    level = {s: i for i, s in enumerate(priority)}
+    for x in sorted(free("global-unique-fill"), key=lambda x: level.get(x[2], 99))[: max(0, sum(cut.values()) - len(taken))]:
+        taken[x[1]] = x
+    return sorted(x[0] for x in taken.values())
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_audit_sample_is_what_sorting_everything_gives(spark, seed):
+    r = random.Random(seed)
+    rows = [(f"k{i}", f"u{r.randrange(500)}", r.choice(["x", "y", "z", "w"]), r.choice(["s", "t", "v"])) for i in range(1_500)]
+    requested = {"x": r.randrange(90), "y": r.randrange(200), "q": 25}
+    df = spark.createDataFrame(rows, "population_key string, annotation_unit_key string, primary_stratum string, source_stratum string")
+    got = sorted(x.population_key for x in audit.audit_sample(df, requested, ["z", "x"], seed).collect())
+    assert got == plain_audit(rows, requested, ["z", "x"], seed)
 
 
 def test_over_length_gathers_first_keys_only(spark):

@@ -9,8 +9,8 @@ import pytest
 from assayer.plans.queries import ORACLE_SQL, QUERIES
 
 SF = "/root/testdata/sf0.001"
-#: Queries that call a scorer or draw at random.
-PYTHON = {"judged_predictions", "paired_tests"}
+#: Queries that call a scorer.
+PYTHON = {"judged_predictions"}
 
 
 @pytest.fixture(scope="module")
