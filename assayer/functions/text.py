@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -127,25 +127,77 @@ def formula_profile(golds: Column, prediction: Column) -> Column:
     )
 
 
-_STRING = r""""(?:[^"\\]|\\.)*"|'(?:[^'\\]|\\.)*'"""
-_OBJECT = r"\{(?:[^{}\"']|%s)*\}"
-_NESTED = _OBJECT % f"{_STRING}|{_OBJECT % f'{_STRING}|{_OBJECT % _STRING}'}"
+def objects(text: Column) -> Column:
+    """The outermost {...} of a text, in order, nested to any depth; braces in strings within them don't count."""
+    tokens = F.regexp_extract_all(text, F.lit(r"""(?s)\\.?|[{}"']|[^\\{}"']+"""), F.lit(0))
+    start = F.struct(F.lit(1).alias("at"), F.lit(0).alias("depth"), F.lit("").alias("quote"), F.lit(0).alias("begin"), F.array().cast("array<struct<a:int,n:int>>").alias("found"))
+
+    def step(s, t):
+        inside = s["quote"] != ""
+        size = F.length(t)
+        # a backslash goes with the character after it; out of strings that one counts as itself
+        mark = F.when(t.startswith("\\"), F.when(inside, F.lit("")).otherwise(F.substring(t, 2, 1))).otherwise(t)
+        last = s["at"] + size  # the place after the token
+        opens = ~inside & (mark == "{")
+        closes = ~inside & (mark == "}") & (s["depth"] > 0)
+        quote = F.when(inside, F.when(mark == s["quote"], F.lit("")).otherwise(s["quote"])).when((s["depth"] > 0) & mark.isin('"', "'"), mark).otherwise(F.lit(""))
+        depth = s["depth"] + F.when(opens, 1).when(closes, -1).otherwise(0)
+        begin = F.when(opens & (s["depth"] == 0), last - 1).otherwise(s["begin"])
+        found = F.when(closes & (s["depth"] == 1), F.concat(s["found"], F.array(F.struct(s["begin"].alias("a"), (last - s["begin"]).alias("n"))))).otherwise(s["found"])
+        return F.struct(last.alias("at"), depth.alias("depth"), quote.alias("quote"), begin.alias("begin"), found.alias("found"))
+
+    spans = F.aggregate(tokens, start, step, lambda s: s["found"])
+    return F.transform(spans, lambda x: F.substring(text, x["a"], x["n"]))
+
+
+_LENIENT = {"allowSingleQuotes": "true", "allowBackslashEscapingAnyCharacter": "true", "allowUnquotedControlChars": "true"}
+_PYTHON_WORDS = (("True", "true"), ("False", "false"), ("None", "null"))
+
+
+def parsed_object(text: Column) -> Column:
+    """A {...} as VARIANT, with typographic quotes, commas before closing brackets and Python's words for values mended; null where it can't be read."""
+    mended = F.regexp_replace(F.regexp_replace(F.translate(text, "“”‘’", "\"\"''"), r",\s*\}", "}"), r",\s*\]", "]")
+    words = mended
+    for own, other in _PYTHON_WORDS:
+        words = F.regexp_replace(words, rf"([:\[,]\s*){own}(?=\s*[,}}\]])", f"$1{other}")
+    read = lambda x: F.from_json(x, "variant", _LENIENT)
+    return F.coalesce(read(mended), read(words))
+
+
+def _said(data: Column, path: str) -> Column:
+    """A value as text: null is None, true is True; null where there is none."""
+    value = F.try_variant_get(data, path, "variant")
+    own = F.try_variant_get(data, path, "string")
+    return F.when(F.is_variant_null(value), "None").when(F.schema_of_variant(value) == "BOOLEAN", F.initcap(own)).otherwise(own)
 
 
 def verdict(reply: Column) -> Column:
-    """(decision, reasoning) of a judge's reply: its last JSON object, repaired where quotes or commas are off; else `correct: yes`; else no."""
+    """(decision, reasoning) of a judge's reply: its last JSON object, at any depth of nesting and mended where quotes or commas are off; else `correct: yes` with what follows `reasoning:`; else no.
+
+    Nested values in reasoning are written as JSON. A quote in the prose around an object opens no string.
+    """
     raw = strip(F.coalesce(reply, F.lit("")))
     raw = strip(F.element_at(F.split(raw, r"(?iU)\boutput\s*:"), -1))
-    repaired = lambda x: F.regexp_replace(F.regexp_replace(F.translate(x, "“”‘’", "\"\"''"), r",\s*\}", "}"), r",\s*\]", "]")
-    objects = F.reverse(F.regexp_extract_all(raw, F.lit(f"({_NESTED})"), F.lit(1)))
-    maps = F.transform(objects, lambda x: F.from_json(repaired(x), "map<string,string>", {"allowSingleQuotes": "true"}))
-    found = F.try_element_at(F.filter(maps, lambda m: m.isNotNull() & (F.size(m) > 0)), F.lit(1))
+    return let(raw, lambda raw: let(_last_object(raw), lambda data: _decision(raw, data)))
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), with value worked out once."""
+    return F.transform(F.array(value), body)[0]
+
+
+def _last_object(raw: Column) -> Column:
+    """The last object that can be read. What comes before it isn't parsed."""
+    return F.aggregate(F.reverse(objects(raw)), F.lit(None).cast("variant"), lambda seen, x: F.when(seen.isNotNull(), seen).otherwise(parsed_object(x)))
+
+
+def _decision(raw: Column, data: Column) -> Column:
     pair = F.lower(F.regexp_extract(raw, r"""(?iU)\bcorrect\s*[:=]\s*['"]?(yes|no)['"]?""", 1))
-    own = yes_no(found["correct"], ("yes",))
-    why = first_filled(F.trim(found["reasoning"]), F.lit("No reasoning provided."))
+    after = F.regexp_replace(strip(F.regexp_extract(raw, r"(?isU)\breasoning\s*[:=]\s*(.+)", 1)), r"""^["']+|["']+\z""", "")
+    why = lambda x: first_filled(strip(x), F.lit("No reasoning provided."))
     return (
-        F.when(found.isNotNull(), F.struct(own.alias("decision"), why.alias("reasoning")))
-        .when(pair != "", F.struct(pair.alias("decision"), F.lit("No reasoning provided.").alias("reasoning")))
+        F.when(data.isNotNull(), F.struct(yes_no(strip(_said(data, "$.correct")), ("yes",)).alias("decision"), why(_said(data, "$.reasoning")).alias("reasoning")))
+        .when(pair != "", F.struct(pair.alias("decision"), why(after).alias("reasoning")))
         .otherwise(F.struct(F.lit("no").alias("decision"), F.lit("Judge response was not valid JSON.").alias("reasoning")))
     )
 

@@ -208,8 +208,10 @@ def judge_prompts(spark, sf_dir):
 
 
 @query("""
-SELECT id, CASE id % 6 WHEN 0 THEN 'yes' WHEN 2 THEN 'yes' WHEN 3 THEN 'yes' ELSE 'no' END AS decision,
-       CASE id % 6 WHEN 0 THEN 'same scope' WHEN 1 THEN 'bad' WHEN 5 THEN 'Judge response was not valid JSON.' ELSE 'No reasoning provided.' END AS reasoning
+SELECT id, CASE id % 8 WHEN 0 THEN 'yes' WHEN 2 THEN 'yes' WHEN 3 THEN 'yes' ELSE 'no' END AS decision,
+       CASE id % 8 WHEN 2 THEN 'brief' WHEN 4 THEN '{"a":[1,{"b":"c"}]}' WHEN 5 THEN 'Judge response was not valid JSON.' WHEN 7 THEN 'Judge response was not valid JSON.'
+       WHEN 3 THEN coalesce(nullif(trim(trim(regexp_replace(translate(said, '{}', '()'), '^\\s+|\\s+$', '', 'g'), concat('"', chr(39)))), ''), 'No reasoning provided.')
+       ELSE coalesce(nullif(regexp_replace(said, '^\\s+|\\s+$', '', 'g'), ''), 'No reasoning provided.') END AS reasoning
 FROM v_reply""")
 def verdicts(spark, sf_dir):
     return load(spark, sf_dir, "v_reply").select("id", text.verdict(F.col("reply")).alias("v")).select("id", "v.*")
@@ -845,6 +847,9 @@ def seeded_ranks(spark, sf_dir):
 # --- files: tables written to the shared folder in the readers' forms, and read back ---
 
 
+PER_FILE = 1000  # ids in a file, however many files that takes
+
+
 def _as_files(rows: DataFrame, name: str, columns: dict[str, str]) -> str:
     """A folder with one text file for each row of `rows`, whose column `content` it holds, under directories by the other columns."""
     path = fresh_path(rows.sparkSession, name)
@@ -854,39 +859,58 @@ def _as_files(rows: DataFrame, name: str, columns: dict[str, str]) -> str:
 
 @query("""SELECT id::VARCHAR AS id, CASE WHEN p_size % 7 = 0 THEN '' ELSE concat('Q', id) END AS input, CASE WHEN gold_2 IS NULL THEN [trim(gold_1)] ELSE [trim(gold_1), trim(gold_2)] END AS outputs, CASE WHEN p_size % 7 = 0 THEN 'input is blank' END AS problem FROM v_formula""")
 def gold_files(spark, sf_dir):
-    rows = load(spark, sf_dir, "v_formula").withColumn("bucket", F.col("id") % 16)
+    rows = load(spark, sf_dir, "v_formula").withColumn("bucket", F.floor(F.col("id") / PER_FILE))
     item = F.struct(F.col("id").cast("string").alias("id"), F.when(F.col("p_size") % 7 == 0, "").otherwise(F.concat(F.lit("Q"), "id")).alias("input"), F.transform(_golds(), lambda g: F.struct(F.concat(F.lit(" "), g).alias("formula"))).alias("outputs"))
     folder = _as_files(rows.groupBy("bucket").agg(F.to_json(F.collect_list(item)).alias("content")), "gold", {"bucket": "bucket"})
     return readers.gold_dataset(spark, folder).select("id", "input", "outputs", "problem")
 
 
 def _judged_folder(spark, sf_dir) -> str:
-    rows = load(spark, sf_dir, "v_formula").withColumns({"run": F.concat(F.lit("run"), F.col("id") % 8), "bucket": F.when(F.col("id") % 2 == 0, "judge_a").otherwise("judge_b")})
+    rows = load(spark, sf_dir, "v_formula").withColumns({"run": F.concat(F.lit("run"), F.floor(F.col("id") / PER_FILE)), "bucket": F.when(F.col("id") % 2 == 0, "judge_a").otherwise("judge_b")})
     item = F.struct(F.col("id").cast("string").alias("id"), F.concat(F.lit("Q"), "id").alias("input"), F.col("gold_1").alias("expected"), F.col("prediction").alias("generated"), F.when(F.col("p_size") > 25, "yes").otherwise("no").alias("correct"))
     whole = rows.groupBy("bucket", "run").agg(F.to_json(F.struct(F.struct(F.col("run").alias("run_id"), F.lit(42).alias("seed")).alias("metadata"), F.array_sort(F.collect_list(item)).alias("detailed_results"))).alias("content"))
     broken = whole.where("run = 'run0'").select("bucket", F.lit("broken").alias("run"), F.lit("{oops").alias("content"))
     return _as_files(whole.unionByName(broken), "judged", {"run": "run", "judge": "bucket"})
 
 
-@query("""SELECT id::VARCHAR AS id, concat('run', id % 8) AS run_id, 42::BIGINT AS seed, concat('judge=judge_', CASE WHEN id % 2 = 0 THEN 'a' ELSE 'b' END) AS judge, concat('Q', id) AS input, gold_1 AS gold, prediction, CASE WHEN p_size > 25 THEN 'yes' ELSE 'no' END AS correct FROM v_formula""")
+@query("""SELECT id::VARCHAR AS id, concat('run', id // 1000) AS run_id, 42::BIGINT AS seed, concat('judge=judge_', CASE WHEN id % 2 = 0 THEN 'a' ELSE 'b' END) AS judge, concat('Q', id) AS input, gold_1 AS gold, prediction, CASE WHEN p_size > 25 THEN 'yes' ELSE 'no' END AS correct FROM v_formula""")
 def judged_records(spark, sf_dir):
     return readers.judged_files(spark, _judged_folder(spark, sf_dir), "*.txt").select("id", "run_id", "seed", "judge", "input", "gold", "prediction", "correct")
 
 
-@query("SELECT count(DISTINCT id % 2) AS n_unreadable FROM v_formula WHERE id % 8 = 0")
+@query("SELECT count(DISTINCT id % 2) AS n_unreadable FROM v_formula WHERE id // 1000 = 0")
 def unreadable_files(spark, sf_dir):
     return readers.unreadable_files(spark, _judged_folder(spark, sf_dir), "*.txt").agg(F.count("*").alias("n_unreadable"))
 
 
-@query("SELECT concat('judge=judge_', CASE WHEN id % 2 = 0 THEN 'a' ELSE 'b' END) AS folder, count(DISTINCT id % 8) + max(CASE WHEN id % 8 = 0 THEN 1 ELSE 0 END) AS n_files, true AS digests_are_64_digits FROM v_formula GROUP BY 1")
+@query("SELECT concat('file=', id // 100) AS folder, sha256(concat(string_agg(concat(id, ' ', gold_1), ' | ' ORDER BY id), chr(10))) AS sha256, strlen(string_agg(concat(id, ' ', gold_1), ' | ' ORDER BY id)) + 1 AS bytes FROM v_formula GROUP BY id // 100")
 def file_digests(spark, sf_dir):
-    out = readers.file_digests(spark, _judged_folder(spark, sf_dir), "*.txt")
-    return out.groupBy(F.element_at(F.split("path", "/"), -2).alias("folder")).agg(F.count("*").alias("n_files"), F.bool_and(F.length("sha256") == 64).alias("digests_are_64_digits"))
+    rows = load(spark, sf_dir, "v_formula").withColumn("file", F.floor(F.col("id") / 100))
+    line = F.transform(F.array_sort(F.collect_list(F.struct("id", "gold_1"))), lambda x: F.concat(x["id"].cast("string"), F.lit(" "), x["gold_1"]))
+    folder = _as_files(rows.groupBy("file").agg(F.array_join(line, " | ").alias("content")), "digests", {"file": "file"})
+    return readers.file_digests(spark, folder, "*.txt").select(F.element_at(F.split("path", "/"), -2).alias("folder"), "sha256", "bytes")
+
+
+@query("""SELECT id::VARCHAR AS id, concat('run', id // 1000) AS run_id, concat('{"of":', id // 1000, ',"tags":["a",null]}') AS note, concat('{"size":', p_size, '}') AS extra, prediction FROM v_formula""")
+def open_records(spark, sf_dir):
+    """Keys that no schema names, of runs and of items, after a round through files in both forms of envelope."""
+    rows = load(spark, sf_dir, "v_formula").withColumns({"run": F.floor(F.col("id") / PER_FILE), "half": F.col("id") % 2})
+    item = F.struct(F.col("id").cast("string").alias("id"), F.col("prediction").alias("generated"), F.struct(F.col("p_size").alias("size")).alias("extra"))
+    note = F.struct(F.col("run").alias("of"), F.array(F.lit("a"), F.lit(None)).alias("tags"))
+    name = F.concat(F.lit("run"), F.col("run").cast("string"))
+    items = F.array_sort(F.collect_list(item))
+    keep = {"ignoreNullFields": "false"}
+    nested = F.to_json(F.struct(F.struct(name.alias("run_id"), note.alias("note")).alias("metadata"), items.alias("detailed_results")), keep)
+    flat = F.to_json(F.struct(name.alias("run_id"), note.alias("note"), items.alias("predictions")), keep)
+    folder = _as_files(rows.groupBy("half", "run").agg(F.when(F.col("half") == 0, nested).otherwise(flat).alias("content")), "open", {"run": "run", "half": "half"})
+    head = readers.run_envelopes(spark, folder, "*.txt").select("file", F.col("metadata")["run_id"].cast("string").alias("run_id"), F.to_json(F.col("metadata")["note"]).alias("note"))
+    own = lambda key: F.try_variant_get("item", f"$.{key}", "string")
+    return readers.run_items(spark, folder, "*.txt").join(head, "file").select(own("id").alias("id"), "run_id", "note", own("extra").alias("extra"), own("generated").alias("prediction"))
 
 
 @query("""SELECT audit_id, annotator_id, correct FROM v_annotation WHERE trim(audit_id) <> ''""")
 def annotation_files(spark, sf_dir):
-    rows = load(spark, sf_dir, "v_annotation").withColumn("bucket", F.pmod(F.hash("audit_id"), F.lit(8)))
+    rows = load(spark, sf_dir, "v_annotation").withColumn("bucket", F.floor(F.regexp_extract("audit_id", r"(\d+)$", 1).cast("long") / PER_FILE))
     folder = _as_files(rows.where("ord <= 2").groupBy("bucket").agg(F.to_json(F.struct(F.collect_list(F.struct("audit_id", "annotator_id", "correct")).alias("items"))).alias("content")), "annotations", {"bucket": "bucket"})
     path = fresh_path(spark, "annotations-csv")
     sinks.write(rows.where("ord > 2"), path, "csv", ["audit_id", "annotator_id", "correct"])

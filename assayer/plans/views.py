@@ -52,14 +52,17 @@ SELECT doc_id AS id, text AS input,
        CASE WHEN instr(text, chr(10)) > 0 THEN 'multi' ELSE 'single' END AS stratum
 FROM {documents}""",
     "v_reply": """
-SELECT doc_id AS id,
-       CASE doc_id % 6 WHEN 0 THEN '{{"correct": "yes", "reasoning": "same scope"}}'
-                       WHEN 1 THEN 'output: {{''correct'': ''no'', ''reasoning'': ''bad'',}}'
-                       WHEN 2 THEN 'Decision: {{"correct": "YES", "meta": {{"c": 0.9}}}} end'
-                       WHEN 3 THEN 'Correct: yes'
-                       WHEN 4 THEN '{{"correct": "maybe"}}'
-                       ELSE 'cannot decide' END AS reply
-FROM {documents}""",
+SELECT id, said, CASE id % 8
+         WHEN 0 THEN concat('{{"correct": "yes", "reasoning": "', quoted, '"}}')
+         WHEN 1 THEN concat('output: ', repeat('{{"n": ', 9), '{{"text": "', quoted, '"}}', repeat('}}', 9), ' then {{"n": {{"n": {{"n": {{"n": {{"n": {{"n": {{"n": "', quoted, '"}}}}}}}}}}}}, "correct": "no", "reasoning": "', quoted, '"}}')
+         WHEN 2 THEN concat(plain, replace(' {{`correct`: "YES", `meta`: {{`c`: 0.9}}, `reasoning`: `brief`,}}', '`', chr(39)))
+         WHEN 3 THEN concat('Correct: yes. Reasoning: ', plain)
+         WHEN 4 THEN '{{"correct": "maybe", "reasoning": {{"a": [1, {{"b": "c"}}]}}}}'
+         WHEN 5 THEN concat('cannot decide: ', plain)
+         WHEN 6 THEN concat('{{"correct": "yes", "reasoning": "first"}} ', plain, ' {{"correct": "no", "reasoning": "', quoted, '"}}')
+         ELSE concat('{{"correct": "yes", "reasoning": "', quoted) END AS reply
+FROM (SELECT *, translate(said, '{{}}', '()') AS plain, replace(replace(replace(said, chr(92), concat(chr(92), chr(92))), '"', concat(chr(92), '"')), chr(10), concat(chr(92), 'n')) AS quoted
+      FROM (SELECT doc_id AS id, replace(replace(coalesce(text, ''), chr(9), ' '), chr(13), ' ') AS said FROM {documents}) s) t""",
     "v_annotation": """
 SELECT concat('HEVAL-', lpad(CAST(doc_id AS STRING), 6, '0')) AS audit_id, annotator_id, label AS correct, ord FROM (
   SELECT doc_id, 'annotator_1' AS annotator_id, CASE WHEN doc_id % 11 = 0 THEN '' WHEN quality = 1 THEN 'Yes' ELSE 'n' END AS label, 1 AS ord FROM {labels}

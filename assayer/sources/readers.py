@@ -133,3 +133,38 @@ def file_digests(spark: SparkSession, path: str | list[str], pattern: str = "*")
     """(path, sha256, bytes) of each file."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(path)
     return files.select("path", F.sha2("content", 256).alias("sha256"), F.col("length").alias("bytes"))
+
+
+_ROWS = ("predictions", "detailed_results")
+_OPEN = "metadata variant, detailed_results array<variant>, predictions array<variant>, _bad string"
+
+
+def run_envelopes(spark: SparkSession, path: str | list[str], pattern: str = "*.json") -> DataFrame:
+    """(file, metadata): every key of each run file's `metadata` object or, where it has none, of its top level but for the rows, as MAP<STRING, VARIANT>.
+
+    Bare lists have no metadata (an empty map); summaries and unreadable files are left out.
+    A file is one VARIANT here, of the size that Spark allows for it.
+    """
+    reader = spark.read.option("singleVariantColumn", "whole").option("multiLine", True).option("recursiveFileLookup", True).option("pathGlobFilter", pattern)
+    rows = reader.json(path).select("whole", F.col("_metadata.file_path").alias("file")).where(~F.substring_index("file", "/", -1).startswith("summary"))
+    is_object = lambda v: F.coalesce(F.schema_of_variant(v).startswith("OBJECT"), F.lit(False))
+    keys = lambda v: F.when(is_object(v), v.cast("map<string,variant>"))
+    own = F.try_variant_get("whole", "$.metadata", "variant")
+    top = F.map_filter(keys(F.col("whole")), lambda k, v: ~k.isin(*_ROWS))
+    readable = is_object(F.col("whole")) | F.schema_of_variant("whole").startswith("ARRAY")
+    return rows.where(readable).select("file", F.coalesce(keys(own), top, F.create_map().cast("map<string,variant>")).alias("metadata"))
+
+
+def run_items(spark: SparkSession, path: str | list[str], pattern: str = "*.json") -> DataFrame:
+    """(file, ordinal, item): each row of prediction or judged files, with all its keys, as VARIANT. What is no object is left out; ordinal is its place in the file.
+
+    Every item of an object's rows is a VARIANT of its own; a bare list is one, of the size that Spark allows for it.
+    """
+    outside = lambda df: df.where("_bad is null").where(~F.substring_index("file", "/", -1).startswith("summary"))
+    rows = outside(_json(spark, path, _OPEN, pattern).select("*", F.col("_metadata.file_path").alias("file")))
+    filled = lambda c: F.when(F.size(c) > 0, F.col(c))
+    listed = rows.select("file", F.posexplode(F.coalesce(filled("detailed_results"), filled("predictions"))).alias("ordinal", "item"))
+    whole = spark.read.option("singleVariantColumn", "whole").option("multiLine", True).option("recursiveFileLookup", True).option("pathGlobFilter", pattern).json(path)
+    bare = whole.select("whole", F.col("_metadata.file_path").alias("file")).where(~F.substring_index("file", "/", -1).startswith("summary"))
+    bare = bare.where(F.schema_of_variant("whole").startswith("ARRAY")).select("file", F.posexplode(F.col("whole").cast("array<variant>")).alias("ordinal", "item"))
+    return listed.unionByName(bare).where(F.schema_of_variant("item").startswith("OBJECT")).select("file", F.col("ordinal").cast("long").alias("ordinal"), "item")

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -15,9 +16,24 @@ def flat(rows: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     return rows.select(*(F.to_json(c).alias(c) if kinds[c].startswith(("array", "map", "struct")) else F.col(c) for c in names))
 
 
+def _as_arrays(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The lines of a task's file: its objects with the array's brackets and commas, batch by batch."""
+    begun = False
+    for batch in batches:
+        lines = [f"{',' if begun or i else '['}{x}" for i, x in enumerate(batch.column("value").to_pylist())]
+        if lines:
+            begun = True
+            yield pa.RecordBatch.from_arrays([pa.array(lines, pa.string())], names=["value"])
+    if begun:
+        yield pa.RecordBatch.from_arrays([pa.array(["]"], pa.string())], names=["value"])
+
+
 def write(rows: DataFrame, path: str, kind: str = "parquet", columns: Sequence[str] | None = None, mode: str = "error") -> None:
-    """parquet, json (one object a line) or csv (header, fixed columns)."""
-    if kind == "csv":
+    """parquet, json (one object a line), json_array (each file one array of objects) or csv (header, fixed columns)."""
+    if kind == "json_array":
+        own = rows.select(F.to_json(F.struct(*(columns or rows.columns)), {"ignoreNullFields": "false"}).alias("value"))
+        own.mapInArrow(_as_arrays, "value string").write.mode(mode).text(path)
+    elif kind == "csv":
         flat(rows, columns).write.mode(mode).option("header", True).option("escape", '"').csv(path)
     else:
         (rows.select(*columns) if columns else rows).write.mode(mode).format(kind).save(path)

@@ -1,6 +1,8 @@
 import hashlib
 import json
 
+from pyspark.sql import functions as F
+
 from assayer.operators import annotations
 from assayer.sources import readers, sinks
 
@@ -66,3 +68,26 @@ def test_digests(spark, tmp_path):
     save(tmp_path / "f.json", "hello")
     r = readers.file_digests(spark, str(tmp_path), "*.json").first()
     assert (r.sha256, r.bytes) == (hashlib.sha256(b"hello").hexdigest(), 5)
+
+
+def test_envelopes_keep_every_key(spark, tmp_path):
+    save(tmp_path / "a" / "nested.json", {"metadata": {"run_id": "r", "odd": {"x": [1, None]}}, "other": 1, "detailed_results": [{"id": 1, "odd": {"y": 2}}, 5, {"id": 2}]})
+    save(tmp_path / "a" / "flat.json", {"run_id": "q", "k": 3, "detailed_results": [], "predictions": [{"id": 3, "z": "é"}]})
+    save(tmp_path / "b" / "bare.json", [{"id": 4, "own": True}, [1], {"id": 5}])
+    save(tmp_path / "b" / "summary_x.json", {"predictions": [{"id": 9}]})
+    save(tmp_path / "b" / "broken.json", "{oops")
+    save(tmp_path / "b" / "number.json", "7")
+    name = F.substring_index("file", "/", -1)
+    heads = {r.n: r.m for r in readers.run_envelopes(spark, str(tmp_path)).select(name.alias("n"), F.to_json("metadata").alias("m")).collect()}
+    assert {k: json.loads(v) for k, v in heads.items()} == {"nested.json": {"run_id": "r", "odd": {"x": [1, None]}}, "flat.json": {"run_id": "q", "k": 3}, "bare.json": {}}
+    items = readers.run_items(spark, str(tmp_path)).select(name.alias("n"), "ordinal", F.to_json("item").alias("i")).collect()
+    assert sorted((r.n, r.ordinal, r.i) for r in items) == [("bare.json", 0, '{"id":4,"own":true}'), ("bare.json", 2, '{"id":5}'), ("flat.json", 0, '{"id":3,"z":"é"}'), ("nested.json", 0, '{"id":1,"odd":{"y":2}}'), ("nested.json", 2, '{"id":2}')]
+
+
+def test_array_files(spark, tmp_path):
+    rows = [(i, f'q"{i}\n', None if i % 3 else [i]) for i in range(50)]
+    sinks.write(spark.createDataFrame(rows, "id long, input string, v array<long>").repartition(3), str(tmp_path / "out"), "json_array")
+    files = [json.loads(p.read_text()) for p in (tmp_path / "out").glob("part-*")]
+    assert sorted((x["id"], x["input"], x["v"]) for own in files for x in own) == rows and len(files) == 3
+    sinks.write(spark.createDataFrame([], "id long"), str(tmp_path / "none"), "json_array")
+    assert not "".join(p.read_text() for p in (tmp_path / "none").glob("part-*")).strip()

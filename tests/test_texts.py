@@ -63,6 +63,13 @@ def test_verdicts(spark):
         "{'correct': 'yes', 'reasoning': 'ok',}": ("yes", "ok"),
         '```json\n{"a": {"b": 1}, "correct": " YES "}\n```': ("yes", "No reasoning provided."),
         "Correct: yes\nbecause": ("yes", "No reasoning provided."),
+        'Correct = "no", Reasoning: "two words.\nand more" ': ("no", "two words.\nand more"),
+        "{}": ("no", "No reasoning provided."),
+        "{'correct': True, 'reasoning': None}": ("no", "None"),
+        '{"correct": "yes", "reasoning": "a {b} \\\\" c}"}'.replace('\\\\"', '\\"'): ("yes", 'a {b} " c}'),
+        '{"correct": "yes", "reasoning": false}': ("yes", "False"),
+        "{" * 9 + '"correct": "yes"' + "}" * 9: ("no", "Judge response was not valid JSON."),
+        '{"a": ' * 8 + "1" + "}" * 8 + ' {"x": {"y": {"z": {"w": [{"v": 1}]}}}, "correct": "yes", "reasoning": "deep"} {bad}': ("yes", "deep"),
         'output: {"correct": "no"} output: {"correct": "yes"}': ("yes", "No reasoning provided."),
         '{"correct": "yes"} then {"correct": "no"}': ("no", "No reasoning provided."),
         "don't know {“correct”: “yes”}": ("yes", "No reasoning provided."),
@@ -110,3 +117,57 @@ def test_profile(spark):
 
 def test_counts_matter(spark):
     assert Counter(["a"]) != Counter(["a", "a"])
+
+
+def plain_objects(text):
+    """The scan in plain Python: quotes count within braces only."""
+    found, start, depth, quote, escaped = [], 0, 0, "", False
+    for i, c in enumerate(text):
+        if quote:
+            if escaped:
+                escaped = False
+            elif c == "\\":
+                escaped = True
+            elif c == quote:
+                quote = ""
+        elif depth and c in "\"'":
+            quote = c
+        elif c == "{":
+            start = i if depth == 0 else start
+            depth += 1
+        elif c == "}" and depth:
+            depth -= 1
+            if depth == 0:
+                found.append(text[start : i + 1])
+    return found
+
+
+def test_objects_of_any_depth(spark):
+    r = random.Random(3)
+    texts = ["".join(r.choice(["{", "{", "}", "}", '"', "'", "\\", "ab", "\n", "é😀", ":", " "]) for _ in range(r.randrange(40))) for _ in range(3_000)]
+
+    def nest(depth):
+        return json.dumps({"k": "v}\"'{"}) if depth == 0 else '{"a' + r.choice(["", "'", "}"]) + '": ' + nest(depth - 1) + "}"
+
+    texts += [f"say {nest(d)} and {nest(8)} end" for d in range(30)]
+    assert column(spark, texts, text.objects) == [plain_objects(t) for t in texts]
+    assert max(len(x) for x in map(plain_objects, texts)) > 3
+
+
+def test_verdicts_of_random_objects(spark):
+    r = random.Random(4)
+
+    def value(depth):
+        kind = r.randrange(6 if depth else 4)
+        return [r.choice(["yes", "no", "it's", 'a "b"', "x}{y", "é"]), r.randrange(9), None, True, {f"k{i}": value(depth - 1) for i in range(r.randrange(3))} if depth else 0, [value(depth - 1) for _ in range(2)] if depth else 0][kind]
+
+    replies, want = [], []
+    for i in range(600):
+        data = {f"n{j}": value(8) for j in range(r.randrange(4))} | {"correct": r.choice(["yes", "no", " YES ", "maybe", 3]), "reasoning": r.choice(["", " why ", "it's {so}"])}
+        keys = list(data)
+        r.shuffle(keys)
+        own = {k: data[k] for k in keys}
+        replies.append(f"prose isn't an object {json.dumps(own) if i % 2 else repr(own)} done")
+        decision = str(data["correct"]).strip().lower()
+        want.append((decision if decision in ("yes", "no") else "no", data["reasoning"].strip() or "No reasoning provided."))
+    assert [tuple(x) for x in column(spark, replies, text.verdict)] == want
