@@ -9,6 +9,7 @@ one range.
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -46,14 +47,15 @@ def borders(numbers: DataFrame, column: str, n: int) -> list[int]:
 
 
 def range_of(column: Column, cuts: list[int]) -> Column:
-    """Number of the range that the value is in; null is in the first."""
+    """Number of the range that the value is in; null is in the first. By halves of an array: an expression of one size, however many cuts."""
     if not cuts:
         return F.lit(0)
+    array = F.lit(np.array(cuts, np.int64))
 
-    def within(a: int, b: int) -> Column:
-        if a == b:
-            return F.lit(a)
-        middle = (a + b) // 2  # by halves: as many comparisons as the number of cuts has bits
-        return F.when(column < F.lit(cuts[middle]), within(a, middle)).otherwise(within(middle + 1, b))
+    def halved(s: Column, _: Column) -> Column:
+        middle = F.shiftright(s["a"] + s["b"], 1)
+        under = column < F.element_at(array, F.least(middle + 1, F.lit(len(cuts))))
+        return F.when(s["a"] >= s["b"], s).otherwise(F.struct(F.when(under, s["a"]).otherwise(middle + 1).alias("a"), F.when(under, middle).otherwise(s["b"]).alias("b")))
 
-    return F.when(column.isNull(), F.lit(0)).otherwise(within(0, len(cuts)))
+    found = F.aggregate(F.sequence(F.lit(0), F.lit(len(cuts).bit_length())), F.struct(F.lit(0).alias("a"), F.lit(len(cuts)).alias("b")), halved, lambda s: s["a"])
+    return F.when(column.isNull(), F.lit(0)).otherwise(found)

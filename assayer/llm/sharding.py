@@ -56,18 +56,21 @@ def slot_of(key: Column, slots: int = SLOTS) -> Column:
 
 
 def place(df: DataFrame, key: str = "doc_id", shards: list[str] | tuple[str, ...] = SHARDS, slots: int = SLOTS) -> DataFrame:
-    """df with its slot and the name of its shard."""
+    """df with its slot and the name of its shard; columns of these names are replaced, the key among them."""
     table = lookup_table(list(shards), slots)
     spark = df.sparkSession
     rows = spark.createDataFrame([(i, shards[x]) for i, x in enumerate(table)], "slot long, shard string")
-    return df.drop("slot", "shard").withColumn("slot", slot_of(F.col(key), slots)).join(F.broadcast(rows), "slot")
+    kept = [F.col(f"`{c}`") for c in df.columns if c not in ("slot", "shard")]
+    return df.select(*kept, slot_of(F.col(f"`{key}`"), slots).alias("slot")).join(F.broadcast(rows), "slot")
 
 
 def write(df: DataFrame, path: str, key: str = "doc_id", shards: list[str] | tuple[str, ...] = SHARDS, slots: int = SLOTS, files_per_shard: int = 4) -> None:
     """One folder for each shard. A shard's rows go to several tasks, by a second hash."""
-    placed = place(df, key, shards, slots)
-    part = F.pmod(F.xxhash64(key), F.lit(files_per_shard))
-    placed.repartition(len(shards) * files_per_shard, F.col("shard"), part).write.partitionBy("shard").mode("overwrite").parquet(path)
+    part = "_part"
+    while part in df.columns:
+        part = f"_{part}"
+    placed = place(df.withColumn(part, F.pmod(F.xxhash64(F.col(f"`{key}`")), F.lit(files_per_shard))), key, shards, slots)
+    placed.repartition(len(shards) * files_per_shard, "shard", part).drop(part).write.partitionBy("shard").mode("overwrite").parquet(path)
 
 
 def op2_sharding(spark, sf_dir: str) -> DataFrame:

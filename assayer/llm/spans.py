@@ -6,9 +6,9 @@ is hashed to 128 bits, runs are compared over all documents, and every sentence
 in a run which is not its hash's first occurrence goes. First is by (doc_id,
 text hash, place); a run that occurs again within one document goes there too.
 Runs are of `span` sentences or, in texts with fewer, of all of them. A run
-without words is no repeat. A caller can ask for a floor, `least` words in a run,
-below which headings and lists may recur; the query compares every run that has
-a word.
+without words is no repeat; every other run counts. A caller can ask for a floor,
+`least` words in a run, below which headings and lists may recur. Only these
+ASCII characters end sentences: of a script with other full stops a line is one.
 
 Defined results: null text is the empty text and stays as it is (''), with no
 sentences. Rows alike in doc_id and text are one document: neither is the
@@ -31,7 +31,6 @@ from assayer.llm.files import as_rows
 from assayer.llm.repeats import NO_ID, marked, repeated, unpack, with_places
 
 SPAN = 3
-LEAST_WORDS = 10
 OUT = "doc_id long, text string, n_sentences long, n_removed long, kept_sha256 string"
 _END = np.zeros(256, bool)
 _END[[ord(c) for c in ".!?\n\r"]] = True
@@ -90,7 +89,7 @@ def runs(data: np.ndarray, at: np.ndarray, span: int, least: int) -> tuple[np.nd
     return own[enough], row[enough], sentence[enough].astype(np.uint32)
 
 
-def drop_repeated_spans(docs: DataFrame, span: int = SPAN, least: int = LEAST_WORDS) -> DataFrame:
+def drop_repeated_spans(docs: DataFrame, span: int = SPAN, least: int = 1) -> DataFrame:
     """docs (doc_id, text) with what is left of each text, the number of its sentences and of those removed."""
     base = marked(docs)
     places = repeated(base, lambda data, at: runs(data, at, span, least), across=False, kept=8)
@@ -119,5 +118,5 @@ def drop_repeated_spans(docs: DataFrame, span: int = SPAN, least: int = LEAST_WO
 
 
 def op3_substring_dedup(spark, sf_dir: str) -> DataFrame:
-    out = drop_repeated_spans(spark.read.parquet(f"{sf_dir}/documents.parquet"), least=1)
+    out = drop_repeated_spans(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return out.select("doc_id", "n_sentences", "n_removed", "kept_sha256", "text")

@@ -22,7 +22,8 @@ a document with a smaller doc_id goes; strings never cross documents.
    end is an interval of one repeated `length`-byte string. Its smallest doc_id
    decides for all its windows.
    A group of over GROUP_BYTES is not merged: its strings are dealt out anew, by
-   owners under other hashes, and go through 2 and 3 again, as often as it takes.
+   owners under other hashes, and go through 2 and 3 again, up to
+   LEVELS times; one still over the bound then (equal strings) is merged whole.
    No task holds more than one group, nor more of it than that.
 4. Removed windows go back to their documents, which are cut.
 

@@ -1,6 +1,8 @@
 import hashlib
 from collections import Counter
 
+from pyspark.sql import functions as F
+
 from assayer.llm import sharding as s
 
 
@@ -40,3 +42,10 @@ def test_places(spark, tmp_path):
     assert len(out) == len(rows) and s.place(df.limit(0)).count() == 0
     s.write(df, str(tmp_path / "x"), shards=["a", "b", "c"], slots=101)
     assert spark.read.parquet(str(tmp_path / "x")).groupBy("shard").count().count() == 3
+
+
+def test_keys_of_clashing_names(spark):
+    df = spark.createDataFrame([("x", "y", 1), (None, "z", 2)], "shard string, slot string, _part int")
+    assert sorted(r.slot for r in s.place(df, "shard").collect()) == sorted(x[0] for x in df.select(s.slot_of(F.col("shard"))).collect())
+    assert sorted(r.slot for r in s.place(df, "slot").collect()) == sorted(x[0] for x in df.select(s.slot_of(F.col("slot"))).collect())
+    assert s.place(df, "shard").columns.count("slot") == 1

@@ -50,7 +50,7 @@ def test_against_brute_force(spark):
         rows.append((i, "".join(x + r.choice([". ", "! ", "\n"]) for x in s)))
     rows += [(None, rows[5][1]), (200, None), (201, ""), (202, "One. " * 30)]
     docs = spark.createDataFrame([(d, t, 1) for d, t in rows], "doc_id long, text string, mark int")
-    got = sorted((str(x.doc_id), x.text, x.n_sentences, x.n_removed) for x in spans.drop_repeated_spans(docs).collect())
+    got = sorted((str(x.doc_id), x.text, x.n_sentences, x.n_removed) for x in spans.drop_repeated_spans(docs, least=10).collect())
     want = sorted((str(d), t, n, g) for d, t, n, g in brute(rows, 3, 10))
     assert got == want and sum(x[3] for x in want) > 20
     assert spans.drop_repeated_spans(docs.limit(0)).count() == 0
@@ -72,6 +72,11 @@ def test_a_text_of_several_chunks(spark):
     long = "".join(f"Sentence number {i} has some words of its own. " for i in range(70_000))
     assert len(long) > 3 << 20
     docs = spark.createDataFrame([(1, shared), (2, long + shared + long[:200])], "doc_id long, text string")
-    got = {x.doc_id: x for x in spans.drop_repeated_spans(docs, least=1).collect()}
+    got = {x.doc_id: x for x in spans.drop_repeated_spans(docs).collect()}
     assert got[1].n_removed == 0 and got[2].n_removed >= 3
     assert shared not in got[2].text and got[2].text.startswith(long)
+
+
+def test_every_run_counts_by_default(spark):
+    docs = spark.createDataFrame([(1, "Aa. Bb. Cc."), (2, "Aa. Bb. Cc."), (3, "今日。明日。")], "doc_id long, text string")
+    assert {x.doc_id: (x.n_sentences, x.n_removed) for x in spans.drop_repeated_spans(docs).collect()} == {1: (3, 0), 2: (3, 3), 3: (1, 0)}
