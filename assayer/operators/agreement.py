@@ -55,6 +55,13 @@ def require_judges(ratings: DataFrame, wanted: list[str]) -> DataFrame:
     return ratings.where(F.col("judge").isin(*wanted))
 
 
+def judge_coverage(ratings: DataFrame, wanted: list[str]) -> DataFrame:
+    """(judge, n_ratings, missing): a row for each judge asked for, whether it has rated or not."""
+    asked = ratings.sparkSession.createDataFrame([(j,) for j in dict.fromkeys(wanted)], "judge string")
+    counts = ratings.groupBy("judge").agg(F.count("*").alias("n"))
+    return asked.join(counts, "judge", "left").select("judge", F.coalesce("n", F.lit(0)).alias("n_ratings"), F.col("n").isNull().alias("missing"))
+
+
 def items(ratings: DataFrame, by: tuple[str, ...] = ITEM) -> DataFrame:
     """One row for each item: n raters, yes and no counts, votes (judge, verdict) in the judges' order."""
     return ratings.groupBy(*by).agg(

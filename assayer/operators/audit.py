@@ -217,5 +217,44 @@ def complexity_counts(rows: DataFrame, sample: DataFrame, by: str = "complexity_
     return both.groupBy(by).agg(F.sum("_r").alias("population"), F.sum("_s").alias("sampled"))
 
 
+# The columns of the key that belongs to a blind sample, in order.
+KEY_FIELDS = (
+    "audit_id",
+    "presentation_order",
+    "population_key",
+    "annotation_unit_key",
+    "primary_stratum",
+    "source_stratum",
+    "sampling_weight_primary",
+    "source_stem",
+    "source_file",
+    "run_id",
+    "item_id",
+    "model",
+    "model_short",
+    "condition",
+    "seed",
+    "finetuned",
+    "few_shot",
+    "num_few_shot",
+    "git_commit",
+    "dataset_path",
+    "source_sha256",
+    "formula_profile",
+    "input",
+    "gold",
+    "gold_options",
+    "prediction",
+    "judge_decisions",
+)
+
+
+def decisions(judges: Sequence[str], fields: Mapping[str, Sequence[str]]) -> Column:
+    """{judge: {field: value}} from a column for each judge and field."""
+    return F.create_map(*(x for i, j in enumerate(judges) for x in (F.lit(j), F.struct(*(F.col(columns[i]).alias(name) for name, columns in fields.items())))))
+
+
 def key_items(sample: DataFrame, weights: DataFrame, by: str = "primary_stratum") -> DataFrame:
-    return sample.join(F.broadcast(weights.select(by, "sampling_weight")), by, "left")  # a row for each stratum
+    """What a reviewer joins annotations with: every field of KEY_FIELDS by name, null where the sample has no such column."""
+    weighed = sample.join(F.broadcast(weights.select(by, F.round("sampling_weight", 6).alias("sampling_weight_primary"))), by, "left")  # a row for each stratum
+    return weighed.select(*(F.col(c) if c in weighed.columns else F.lit(None).cast("string").alias(c) for c in KEY_FIELDS))

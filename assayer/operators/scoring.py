@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from assayer.functions import text
+from assayer.sources.shared import staged
 
 
 def exact_match(prediction: Column, golds: Column) -> Column:
@@ -21,9 +24,14 @@ def scored(rows: DataFrame, prediction_sources: list[str], golds: str) -> DataFr
     return out.withColumns({"gold": F.array_join(golds, "\n"), "exact_match": exact_match(F.col("prediction"), F.col(golds)).cast("int")})
 
 
+def exact_evaluator(golds: str = "golds", sources: Sequence[str] = ("prediction",)) -> Callable[[DataFrame], DataFrame]:
+    """An evaluator for DataFrame.transform: pairs in, scored rows out. Any function of this form is one."""
+    return lambda pairs: scored(pairs, list(sources), golds)
+
+
 def aligned_pairs(predictions: DataFrame, references: DataFrame, keys: list[str]) -> DataFrame:
     """Predictions and references joined by position or id; an error where either has rows without partner."""
-    marked = predictions.withColumn("_p", F.lit(1)).join(references.withColumn("_r", F.lit(1)), keys, "full_outer")
+    marked = staged(predictions.withColumn("_p", F.lit(1)).join(references.withColumn("_r", F.lit(1)), keys, "full_outer"), "aligned")  # the join is made once
     if not marked.where("_p is null or _r is null").isEmpty():
         raise ValueError("predictions and references differ in number")
     return marked.drop("_p", "_r")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -166,12 +167,16 @@ def _count_sql(s: str) -> str:
 _SCORE = "(nf + ng + nand + nor + nimp + nnot + co + gold_option_count - 1)"
 
 
+_PROFILED = f"""FROM (SELECT *, length(g) AS gold_length_chars, {_count_sql('&&')} AS nand, {_count_sql('||')} AS nor, {_count_sql('->')} AS nimp, {_count_sql('!')} AS nnot, {_count_sql('<<')} AS co,
+             len(regexp_extract_all(g, '(^|[^A-Za-z0-9_])G($|[^A-Za-z0-9_])'))::BIGINT AS ng, len(regexp_extract_all(g, '(^|[^A-Za-z0-9_])F($|[^A-Za-z0-9_])'))::BIGINT AS nf
+      FROM (SELECT id, len({_GOLDS})::BIGINT AS gold_option_count, array_to_string({_GOLDS}, ' || ') AS g, length(prediction) AS prediction_length_chars FROM v_formula) a) b"""
+_BIN = f"CASE WHEN {_SCORE} <= 3 AND gold_length_chars <= 100 THEN 'simple' WHEN {_SCORE} <= 8 AND gold_length_chars <= 240 THEN 'medium' ELSE 'complex' END"
+
+
 @query(f"""
 SELECT id, gold_option_count, gold_length_chars, prediction_length_chars, co AS coalition_count, instr(replace(g, ' ', ''), '!<<') > 0 AS has_negated_ability, ng AS n_G, nf AS n_F, nand AS n_and, nor AS n_or, nimp AS n_implies, nnot AS n_not,
        {_SCORE} AS complexity_score, CASE WHEN {_SCORE} <= 3 AND gold_length_chars <= 100 THEN 'simple' WHEN {_SCORE} <= 8 AND gold_length_chars <= 240 THEN 'medium' ELSE 'complex' END AS complexity_bin
-FROM (SELECT *, length(g) AS gold_length_chars, {_count_sql('&&')} AS nand, {_count_sql('||')} AS nor, {_count_sql('->')} AS nimp, {_count_sql('!')} AS nnot, {_count_sql('<<')} AS co,
-             len(regexp_extract_all(g, '(^|[^A-Za-z0-9_])G($|[^A-Za-z0-9_])'))::BIGINT AS ng, len(regexp_extract_all(g, '(^|[^A-Za-z0-9_])F($|[^A-Za-z0-9_])'))::BIGINT AS nf
-      FROM (SELECT id, len({_GOLDS})::BIGINT AS gold_option_count, array_to_string({_GOLDS}, ' || ') AS g, length(prediction) AS prediction_length_chars FROM v_formula) a) b""")
+{_PROFILED}""")
 def formula_profiles(spark, sf_dir):
     rows = load(spark, sf_dir, "v_formula").select("id", text.formula_profile(_golds(), F.col("prediction")).alias("p")).select("id", "p.*")
     return shown(rows.drop("n_X", "n_U"))
@@ -687,13 +692,29 @@ def audit_sample(spark, sf_dir):
     rows = staged(_population(spark, sf_dir), "population")
     sample = audit.audit_sample(rows, QUOTAS, PRIORITY, SEED)
     items = audit.key_items(audit.with_audit_ids(sample, SEED), audit.stratum_weights(rows, sample))
-    return shown(items.select("audit_id", "presentation_order", "population_key", "annotation_unit_key", "primary_stratum", "source_stratum", "sampling_weight"))
+    return shown(items.select("audit_id", "presentation_order", "population_key", "annotation_unit_key", "primary_stratum", "source_stratum", F.col("sampling_weight_primary").alias("sampling_weight")))
 
 
-@query(f"""WITH {_POP} SELECT CASE WHEN count(*) > 0 THEN 'bin_' END || (length(population_key) % 3)::VARCHAR AS complexity_bin, count(*) AS population, count(*) FILTER (WHERE primary_stratum LIKE 'disagree_%') AS sampled FROM strata GROUP BY length(population_key) % 3""")
+@query(f"""WITH p AS (SELECT id, {_BIN} AS complexity_bin {_PROFILED}) SELECT complexity_bin, count(*) AS population, count(*) FILTER (WHERE p_size > 40) AS sampled FROM p JOIN (SELECT id, p_size FROM v_formula) f USING (id) GROUP BY 1""")
 def complexity_counts(spark, sf_dir):
-    rows = _population(spark, sf_dir).withColumn("complexity_bin", F.concat(F.lit("bin_"), (F.length("population_key") % 3).cast("string")))
-    return audit.complexity_counts(rows, rows.where(F.col("primary_stratum").startswith("disagree_")))
+    rows = load(spark, sf_dir, "v_formula").withColumn("profile", text.formula_profile(_golds(), F.col("prediction"))).withColumn("complexity_bin", F.col("profile.complexity_bin"))
+    return audit.complexity_counts(rows, rows.where("p_size > 40"))
+
+
+@query(f"""WITH p AS (SELECT id, {_BIN} AS complexity_bin {_PROFILED}), r AS (SELECT *, CASE WHEN p_size % 3 = 0 THEN 'llm_agree_yes' WHEN p_size % 3 = 1 THEN 'llm_agree_no' ELSE 'exact_match' END AS st, concat('run_', p_size) AS f FROM v_formula JOIN p USING (id) WHERE p_size <= 20)
+SELECT row_number() OVER (ORDER BY {_hash_sql("'presentation'", "id")}, id) AS presentation_order, id AS population_key, st AS primary_stratum, f AS source_stratum, round((SELECT count(*) FROM v_formula v WHERE v.p_size % 3 = r.p_size % 3) / (SELECT count(*) FROM r x WHERE x.st = r.st)::DOUBLE, 6) AS sampling_weight_primary, f AS run_id, id AS item_id, sha256(f) AS source_sha256, complexity_bin, input, gold, len(gold_options) AS n_golds, prediction,
+       CASE WHEN p_size % 2 = 0 THEN 'yes' ELSE 'no' END AS first_decision, CASE WHEN p_size % 5 = 0 THEN 'exact' ELSE 'llm' END AS second_method, git_commit IS NULL AS no_commit
+FROM (SELECT *, concat('Q', id) AS input, array_to_string(CASE WHEN gold_2 IS NULL THEN [trim(gold_1)] ELSE [trim(gold_1), trim(gold_2)] END, chr(10)) AS gold, CASE WHEN gold_2 IS NULL THEN [gold_1] ELSE [gold_1, gold_2] END AS gold_options, NULL AS git_commit FROM r) r""")
+def audit_key(spark, sf_dir):
+    """Every field a reviewer joins on, from a sample that has most of them."""
+    name = F.concat(F.lit("run_"), F.col("p_size").cast("string"))
+    rows = load(spark, sf_dir, "v_formula").withColumns({"population_key": F.col("id"), "annotation_unit_key": F.col("id"), "item_id": F.col("id"), "primary_stratum": F.when(F.col("p_size") % 3 == 0, "llm_agree_yes").when(F.col("p_size") % 3 == 1, "llm_agree_no").otherwise("exact_match"), "source_stratum": name, "source_file": name, "run_id": name, "source_sha256": F.sha2(name, 256), "gold_options": _golds(), "gold": F.array_join(_golds(), "\n"), "input": F.concat(F.lit("Q"), "id"), "formula_profile": text.formula_profile(_golds(), F.col("prediction"))})
+    rows = rows.withColumns({"v_0": F.when(F.col("p_size") % 2 == 0, "yes").otherwise("no"), "v_1": F.lit("no"), "m_0": F.lit("llm"), "m_1": F.when(F.col("p_size") % 5 == 0, "exact").otherwise("llm")})
+    rows = rows.withColumn("judge_decisions", audit.decisions(["a", "b"], {"decision": ["v_0", "v_1"], "method": ["m_0", "m_1"]}))
+    sample = audit.with_audit_ids(rows.where("p_size <= 20"), SEED)
+    out = audit.key_items(sample, audit.stratum_weights(rows, sample))
+    kept = ["presentation_order", "population_key", "primary_stratum", "source_stratum", "sampling_weight_primary", "run_id", "item_id", "source_sha256"]
+    return out.select(*kept, F.col("formula_profile.complexity_bin").alias("complexity_bin"), "input", "gold", F.size("gold_options").cast("long").alias("n_golds"), "prediction", F.col("judge_decisions")["a"]["decision"].alias("first_decision"), F.col("judge_decisions")["b"]["method"].alias("second_method"), F.col("git_commit").isNull().alias("no_commit"))
 
 
 @query(f"""WITH {_POP} SELECT concat('DIS-', lpad(row_number() OVER (ORDER BY {_hash_sql("'presentation'", "population_key")}, population_key)::VARCHAR, 4, '0')) AS audit_id, population_key FROM strata WHERE primary_stratum LIKE 'disagree_%'""")
@@ -943,7 +964,33 @@ def ranked_conditions(spark, sf_dir):
     return shown(rows.groupBy("condition", "place").agg(F.count("*").alias("n"), F.round(F.sum("x"), 2).alias("total")))
 
 
-@query("SELECT id, gold_1, prediction FROM v_formula")
+@query("SELECT p_partkey AS id, p_name, p_type, prediction FROM part JOIN v_formula ON id = p_partkey")
 def aligned_pairs(spark, sf_dir):
-    rows = load(spark, sf_dir, "v_formula")
-    return scoring.aligned_pairs(rows.select("id", "gold_1"), rows.select("id", "prediction"), ["id"])
+    references = load(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), "p_name", "p_type")
+    return scoring.aligned_pairs(load(spark, sf_dir, "v_formula").select("id", "prediction"), references, ["id"])
+
+
+@query(f"SELECT p_size, count(*) AS n_examples, round(avg(CASE WHEN {_MATCH} THEN 1.0 ELSE 0.0 END), 6) AS exact_match FROM v_formula GROUP BY 1")
+def evaluated_pairs(spark, sf_dir):
+    """An evaluator over pairs, through transform, and its metrics."""
+    pairs = load(spark, sf_dir, "v_formula").withColumn("golds", _golds())
+    return shown(scoring.match_rate(pairs.transform(scoring.exact_evaluator()), ["p_size"]))
+
+
+@query("""SELECT w.judge, count(r.judge) AS n_ratings, count(r.judge) = 0 AS missing FROM (VALUES ('click'), ('purchase'), ('nobody')) w(judge) LEFT JOIN v_ratings r ON r.judge = w.judge GROUP BY w.judge""")
+def requested_judges(spark, sf_dir):
+    return agreement.judge_coverage(load(spark, sf_dir, "v_ratings"), ["click", "purchase", "nobody", "click"])
+
+
+@query("""WITH f AS (SELECT DISTINCT id // 100 AS k FROM v_formula), n AS (SELECT k, concat('set', k % 3, '/run', k, '.json') AS path FROM f)
+SELECT 'all' AS wanted, path FROM n UNION ALL SELECT 'run1', path FROM n WHERE k = 1 UNION ALL SELECT 'run1*.json', path FROM n WHERE k::VARCHAR LIKE '1%' UNION ALL SELECT 'set2/run2.json', path FROM n WHERE k = 2""")
+def found_files(spark, sf_dir):
+    """Files by all, name, pattern and path."""
+    k = F.floor(F.col("id") / 100)
+    rows = load(spark, sf_dir, "v_formula").groupBy(F.concat(F.lit("set"), (k % 3).cast("string"), F.lit("/run"), k.cast("string"), F.lit(".json")).alias("name")).agg(F.to_json(F.collect_list("id")).alias("content"))
+    folder = fresh_path(spark, "found")
+    sinks.write_named(rows, folder)
+    tail = F.concat_ws("/", F.element_at(F.split("path", "/"), -2), F.element_at(F.split("path", "/"), -1))
+    asked = ("all", "run1", "run1*.json", "set2/run2.json")
+    out = [readers.matching_files(spark, folder, w).select(F.lit(w).alias("wanted"), tail.alias("path")) for w in asked]
+    return reduce(DataFrame.unionByName, out)

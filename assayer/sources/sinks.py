@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -42,3 +44,23 @@ def write(rows: DataFrame, path: str, kind: str = "parquet", columns: Sequence[s
 def write_judged(rows: DataFrame, path: str) -> None:
     """Judged rows by judge and prompt version; only the partitions at hand are replaced."""
     rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("judge_model", "prompt_version").parquet(path)
+
+
+def write_named(rows: DataFrame, folder: str, name: str = "name", content: str = "content") -> int:
+    """A file for each row, by its name under the folder (which may hold further folders), and how many there are. A rerun task writes the same files."""
+
+    def save(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, base = fs.FileSystem.from_uri(folder) if ":" in folder else (fs.LocalFileSystem(), folder)
+        for batch in batches:
+            names = batch.column("name").to_pylist()
+            for own, text in zip(names, batch.column("content").to_pylist(), strict=True):
+                path = f"{base}/{own}"
+                system.create_dir(path.rsplit("/", 1)[0], recursive=True)
+                temporary = f"{path}.{uuid.uuid4().hex}"
+                with system.open_output_stream(temporary, compression=None) as out:
+                    out.write((text or "").encode())
+                system.move(temporary, path)
+            yield pa.RecordBatch.from_arrays([pa.array([len(names)], pa.int64())], names=["n"])
+
+    done = rows.select(F.col(name).alias("name"), F.col(content).alias("content")).mapInArrow(save, "n long")
+    return done.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
