@@ -886,6 +886,15 @@ def gold_files(spark, sf_dir):
     return readers.gold_dataset(spark, folder).select("id", "input", "outputs", "problem")
 
 
+@query("""SELECT id::VARCHAR AS id, concat('Q "', id, '" {[,') AS input, CASE WHEN gold_2 IS NULL THEN [trim(gold_1)] ELSE [trim(gold_1), trim(gold_2)] END AS outputs FROM v_formula""")
+def large_gold_files(spark, sf_dir):
+    """Arrays read by ranges of 8 kB: elements lie across them."""
+    item = F.struct(F.col("id").cast("string").alias("id"), F.concat(F.lit('Q "'), "id", F.lit('" {[,')).alias("input"), F.transform(_golds(), lambda g: F.struct(g.alias("formula"))).alias("outputs"))
+    rows = load(spark, sf_dir, "v_formula").select(F.floor(F.col("id") / PER_FILE).alias("bucket"), item.alias("item"))
+    folder = _as_files(rows.groupBy("bucket").agg(F.to_json(F.collect_list("item")).alias("content")), "large-gold", {"bucket": "bucket"})
+    return readers.large_gold_dataset(spark, folder, "*.txt", 1 << 13).select("id", "input", "outputs")
+
+
 def _judged_folder(spark, sf_dir) -> str:
     rows = load(spark, sf_dir, "v_formula").withColumns({"run": F.concat(F.lit("run"), F.floor(F.col("id") / PER_FILE)), "bucket": F.when(F.col("id") % 2 == 0, "judge_a").otherwise("judge_b")})
     item = F.struct(F.col("id").cast("string").alias("id"), F.concat(F.lit("Q"), "id").alias("input"), F.col("gold_1").alias("expected"), F.col("prediction").alias("generated"), F.when(F.col("p_size") > 25, "yes").otherwise("no").alias("correct"))

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from assayer.functions import text
 from assayer.operators import dataset
+from assayer.sources import arrays
 
 DATASET = "id string, input string, outputs array<struct<formula:string>>, _bad string"
 ITEM = "struct<id:string,input:string,gold:string,expected:string,reference:string,gold_options:array<string>,expected_options:array<string>,prediction:string,generated:string,model_output:string,correct:string,reasoning:string,decision_method:string,exact_match:string,latency_ms:double,generation_error:string>"
@@ -34,6 +35,14 @@ def gold_dataset(spark: SparkSession, path: str) -> DataFrame:
     return out.withColumn("problem", F.when(F.col("_bad").isNotNull(), "not an object").otherwise(F.col("problem"))).drop("_bad", "_file")
 
 
+def large_gold_dataset(spark: SparkSession, path: str, pattern: str = "*", range_bytes: int = arrays.RANGE_BYTES) -> DataFrame:
+    """gold_dataset for files of any size: each is read by many tasks. ordinal grows along a file, with gaps."""
+    read = F.from_json("value", DATASET, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"})
+    rows = arrays.array_elements(spark, path, pattern, range_bytes).select("ordinal", read.alias("x")).select("ordinal", "x.*")
+    out = dataset.normalized_items(rows.withColumn("outputs", F.transform("outputs", lambda x: x["formula"])))
+    return out.withColumn("problem", F.when(F.col("_bad").isNotNull(), "not an object").otherwise(F.col("problem"))).drop("_bad")
+
+
 def matching_files(spark: SparkSession, folder: str, wanted: str = "all") -> DataFrame:
     """Paths of record files under a folder: all, by path, by name with or without .json, or by pattern."""
     listed = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.json").load(folder).select("path", F.substring_index("path", "/", -1).alias("name"))
@@ -130,9 +139,8 @@ def _annotation_rows(rows: DataFrame) -> DataFrame:
 
 
 def file_digests(spark: SparkSession, path: str | list[str], pattern: str = "*") -> DataFrame:
-    """(path, sha256, bytes) of each file."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(path)
-    return files.select("path", F.sha2("content", 256).alias("sha256"), F.col("length").alias("bytes"))
+    """(path, sha256, bytes) of each file, of whatever size."""
+    return arrays.digests(arrays.listed(spark, path, pattern)).select(F.col("file").alias("path"), "sha256", "bytes")
 
 
 _ROWS = ("predictions", "detailed_results")

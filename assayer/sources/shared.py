@@ -34,9 +34,8 @@ def staged(df: DataFrame, name: str) -> DataFrame:
 
 
 def discard(df: DataFrame) -> None:
-    """Deletes the files of a staged table that nothing needs any more."""
-    files = df.inputFiles()
-    if files:
-        spark = df.sparkSession
-        folder = spark._jvm.org.apache.hadoop.fs.Path(files[0].rsplit("/", 1)[0])
+    """Deletes the files of a staged table, or of a union of some, that nothing needs any more."""
+    spark = df.sparkSession
+    for name in {file.rsplit("/", 1)[0] for file in df.inputFiles()}:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(name)
         folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)

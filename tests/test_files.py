@@ -1,10 +1,11 @@
 import hashlib
 import json
+import random
 
 from pyspark.sql import functions as F
 
 from assayer.operators import annotations
-from assayer.sources import readers, sinks
+from assayer.sources import arrays, readers, sinks
 
 
 def save(path, value):
@@ -91,3 +92,52 @@ def test_array_files(spark, tmp_path):
     assert sorted((x["id"], x["input"], x["v"]) for own in files for x in own) == rows and len(files) == 3
     sinks.write(spark.createDataFrame([], "id long"), str(tmp_path / "none"), "json_array")
     assert not "".join(p.read_text() for p in (tmp_path / "none").glob("part-*")).strip()
+
+
+def test_a_file_in_ranges_is_the_file(spark, tmp_path):
+    """Wherever ranges are cut: in strings, escapes, characters, nested brackets."""
+    r = random.Random(7)
+    words = ["a", '"', "\\\\", "{", "}", "[", "]", ",", "é", "😀", "\n", " ", ":"]
+    text = lambda: "".join(r.choice(words) for _ in range(r.randrange(12)))
+    value = lambda d: r.choice([text(), r.randrange(99), None, True, 1.5, {text(): value(d - 1) for _ in range(r.randrange(3))} if d else [], [value(d - 1) for _ in range(r.randrange(3))] if d else {}])
+    for n, indent in ((0, None), (1, None), (7, 1), (120, None), (120, 2)):
+        items = [value(3) for _ in range(n)]
+        path = tmp_path / f"{n}-{indent}.json"
+        path.write_text(json.dumps(items, indent=indent, ensure_ascii=r.random() < 0.5))
+        size = path.stat().st_size
+        for cut in {1, 2, 3, 7, max(1, size // 16), size + 5} if n < 20 else {max(1, size // 16), 61, 997}:
+            states, found = [(arrays.OUTSIDE, 0)], []
+            for a in range(0, size, cut):
+                b = min(size, a + cut)
+                state, depth = states[-1]
+                found += [json.loads(x) for x in arrays.elements(str(path), a, b, size, state, depth)]
+                after, change = arrays.effect(str(path), a, b)[state]
+                states.append((after, depth + change))
+            assert found == items and states[-1] == (arrays.OUTSIDE, 0), (n, cut)
+
+
+def test_large_gold_dataset(spark, tmp_path):
+    rows = [{"id": str(i), "input": f'q "{i}" {{[,\\' if i % 5 else " ", "outputs": [{"formula": f" <<a>>F p{i} "}] * (i % 3)} for i in range(400)] + [{"input": "no outputs", "odd": {"a": []}}]
+    (tmp_path / "gold").mkdir()
+    save(tmp_path / "gold" / "d.json", rows)
+    size = (tmp_path / "gold" / "d.json").stat().st_size
+    want = readers.gold_dataset(spark, str(tmp_path / "gold")).orderBy("ordinal").drop("ordinal").collect()
+    out = readers.large_gold_dataset(spark, str(tmp_path / "gold"), range_bytes=size // 16 + 1)
+    assert out.orderBy("ordinal").drop("ordinal").select(*want[0].asDict()).collect() == want
+    assert len({x.ordinal >> 32 for x in out.select("ordinal").collect()}) == 16
+    save(tmp_path / "odd.json", [5, rows[1], "x", [rows[2]]])
+    assert [x.problem for x in readers.large_gold_dataset(spark, str(tmp_path / "odd.json")).orderBy("ordinal").collect()] == ["not an object", None, "not an object", "not an object"]
+
+
+def test_digest_of_a_file_that_no_row_holds(spark, tmp_path):
+    (tmp_path / "large").mkdir()
+    path = tmp_path / "large" / "sparse.bin"
+    with open(path, "wb") as f:
+        f.truncate((2 << 30) + 10)
+    want = hashlib.sha256()
+    zeros = bytes(1 << 20)
+    for _ in range(2 << 10):
+        want.update(zeros)
+    want.update(bytes(10))
+    r = readers.file_digests(spark, str(tmp_path / "large")).first()
+    assert (r.sha256, r.bytes) == (want.hexdigest(), (2 << 30) + 10)

@@ -9,8 +9,8 @@ import pytest
 from assayer.plans.queries import ORACLE_SQL, QUERIES
 
 SF = "/root/testdata/sf0.001"
-#: Queries that call a scorer.
-PYTHON = {"judged_predictions"}
+#: Queries that call a scorer, or read files as streams.
+PYTHON = {"judged_predictions", "file_digests", "large_gold_files"}
 
 
 @pytest.fixture(scope="module")
