@@ -12,7 +12,7 @@ from itertools import count
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from assayer.llm.common import shuffle_partitions, staged
+from assayer.llm.common import discard, shuffle_partitions, staged
 
 
 EDGES_PER_TASK = 10_000
@@ -36,7 +36,8 @@ def components(edges: DataFrame) -> DataFrame:
     # a small graph takes few tasks: a round has several shuffles, and each would have as many tasks as there are partitions
     tasks = max(2, min(shuffle_partitions(edges.sparkSession), -(-now.count() // EDGES_PER_TASK)))
     for i in count():  # each round brings what isn't a star yet nearer to one, so they end
-        now = staged(_star(_star(now, True, tasks), False, tasks), f"edges-{i}")
+        before, now = now, staged(_star(_star(now, True, tasks), False, tasks), f"edges-{i}")
+        discard(before)
         # a star: no vertex has two neighbours, none is both an end and a middle
         again = now.groupBy("u").agg(F.count("*").alias("n")).where("n > 1").coalesce(tasks).select("u")
         middle = now.join(now.select(F.col("v").alias("u")).distinct().coalesce(tasks), "u", "left_semi").coalesce(tasks).select("u")

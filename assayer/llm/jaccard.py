@@ -45,7 +45,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from assayer.llm.common import chunks, distinct, mix, released, shingle_hashes, shuffle_partitions, staged, word_hashes
+from assayer.llm.common import chunks, discard, distinct, mix, released, shingle_hashes, shuffle_partitions, staged, word_hashes
 from assayer.llm.files import as_rows
 from assayer.llm.graph import components
 from assayer.llm.repeats import NO_ID
@@ -245,11 +245,15 @@ def links(docs: DataFrame, marks: DataFrame, k: int, percent: int, block_sets: i
     near = components(keyed.join(hubs, "key").select(F.col("node").alias("u"), F.col("hub").alias("v")))
     cluster = near.select(F.col("u").alias("node"), F.col("v").alias("cluster")).unionByName(near.select(F.col("v").alias("node"), F.col("v").alias("cluster")).distinct())
     member = staged(cluster.join(nodes.drop("keys"), "node").withColumn("_salt", F.pmod(F.hash("node"), F.lit(SALTS))), "clusters")
+    discard(nodes)
+    discard(near)
+    clusters = member
     size = member.groupBy("cluster").agg(F.ceil(F.greatest(F.count("*") / F.lit(block_sets), F.sum("n") / F.lit(block_shingles))).cast("int").alias("blocks")).where("blocks > 1")
     size = size.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     blocks = F.coalesce("blocks", F.lit(1))
     member = member.join(size.hint("merge"), ["cluster", "_salt"], "left").select("node", "cluster", "_doc", "_mark", blocks.alias("blocks"), F.pmod(F.xxhash64("node"), blocks).cast("int").alias("block"))
     member = staged(member, "members")
+    discard(clusters)
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ("node", "cluster", "block", "blocks")
@@ -266,12 +270,15 @@ def links(docs: DataFrame, marks: DataFrame, k: int, percent: int, block_sets: i
     same = (F.col("mark") == F.col("_mark")) & F.col("doc_id").eqNullSafe(F.col("_doc"))
     wanted = texts.join(member.hint("merge"), same).dropDuplicates(["node"]).select("node", "cluster", "block", "blocks", "text")
     sets = staged(wanted.mapInArrow(read, "node binary, cluster binary, block int, blocks int, set binary"), "sets")
+    discard(member)
     released(docs.sparkSession)
     none = F.lit(None).cast("int")
     own = sets.select("cluster", "block", none.alias("other"), "node", F.lit(1).alias("side"), "set")
     several = sets.where("blocks > 1")
     if several.isEmpty():
-        return staged(_searched(own, percent), "links")
+        found = staged(_searched(own, percent), "links")
+        discard(sets)
+        return found
     first = several.groupBy("cluster").agg(F.slice(F.array_sort(F.collect_set(F.when(F.pmod(F.xxhash64(F.lit(7), "node"), F.greatest(F.lit(1), F.floor(F.col("blocks") * block_sets / (2 * PIVOTS)))) == 0, F.col("node")))), 1, PIVOTS).alias("nodes"))
     pivots = several.join(first.select("cluster", F.explode("nodes").alias("node")).hint("merge"), ["cluster", "node"]).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     found = staged(_searched(own.unionByName(pivots.select("cluster", "block", none.alias("other"), "node", F.lit(0).alias("side"), "set")), percent), "links")
@@ -282,10 +289,12 @@ def links(docs: DataFrame, marks: DataFrame, k: int, percent: int, block_sets: i
     main = top.groupBy("cluster", "top").agg(F.count("*").alias("n")).groupBy("cluster").agg(F.max(F.struct("n", "top"))["top"].alias("main"))
     main = main.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     rest = staged(top.withColumn("_salt", F.pmod(F.hash("node"), F.lit(SALTS))).join(main.hint("merge"), ["cluster", "_salt"]).where("top <> main").select("cluster", "node"), "rest")
-    if rest.isEmpty():
-        return found
-    across = _across(several, several.join(first.select("cluster", F.explode("nodes").alias("node")).hint("merge"), ["cluster", "node"]), rest, percent, block_sets)
-    return found.unionByName(staged(_searched(across, percent), "links-across"))
+    discard(top)
+    if not rest.isEmpty():
+        across = _across(several, several.join(first.select("cluster", F.explode("nodes").alias("node")).hint("merge"), ["cluster", "node"]), rest, percent, block_sets)
+        found = found.unionByName(staged(_searched(across, percent), "links-across"))
+    discard(sets)
+    return found
 
 
 def prefix(tokens: np.ndarray, common: np.ndarray, often: np.ndarray, percent: int) -> np.ndarray:
@@ -343,7 +352,9 @@ def _across(several: DataFrame, pivots: DataFrame, rest: DataFrame, percent: int
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, block_sets: int = BLOCK_SETS, block_shingles: int = BLOCK_SHINGLES) -> DataFrame:
     """One row for each row of docs (doc_id, text): doc_id, mark, n_shingles, component_id and component (a name of it that is never null but for empty sets)."""
     marks = staged(sketches(docs, k, percent), "sketches")
-    joined = components(links(docs, marks, k, percent, block_sets, block_shingles))
+    found = links(docs, marks, k, percent, block_sets, block_shingles)
+    joined = components(found)
+    discard(found)
     named = joined.select(F.col("u").alias("node"), F.col("v").alias("top"))
     nodes = marks.where("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("doc")).join(named, "node", "left")
     nodes = staged(nodes.select("node", "doc", F.coalesce("top", "node").alias("component")), "nodes-named")
