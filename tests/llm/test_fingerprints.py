@@ -63,3 +63,11 @@ def test_cut_whatever_the_length(spark):
     assert round(got[1].near_next, 9) == 0.8  # four of five, both lines short
     assert len(rows[2][1]) > 500 > len(rows[3][1]) and round(got[3].near_next, 9) == round(12 / 14, 9)
     assert all(x.near_edited > 0 for x in got.values())
+
+
+def test_long_texts(spark):
+    """Over 2 MiB, and many keys."""
+    rows = [(1, "\n".join(f"own {i}" for i in range(1_500))), (2, "\n".join(f"own {i}" for i in range(3, 1_600))), (3, "word " * 500_000 + "end.")]
+    out = {x.doc_id: x for x in f.fingerprints(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for i, (doc, text) in enumerate(rows):
+        assert out[doc].near_next == pytest.approx(like(paragraphs(text), paragraphs(rows[(i + 1) % 3][1])))
