@@ -138,14 +138,14 @@ def _fill(rows: DataFrame, taken: DataFrame, gaps: DataFrame, order: Column, ran
     sizes = free.where("_gap > 0").groupBy("_group", "_gap").agg(F.count("*").alias("n")).collect()  # a row for each group
     widen = 4.0
     while True:
-        limits = rows.sparkSession.createDataFrame([(s["_group"], min(1 << 32, int((s["_gap"] + 6 * s["_gap"] ** 0.5 + 20) * widen / s["n"] * (1 << 32)))) for s in sizes], "_group string, _limit long")
+        upto = {s["_group"]: min(1 << 32, int((s["_gap"] + 6 * s["_gap"] ** 0.5 + 20) * widen / s["n"] * (1 << 32))) for s in sizes}
+        limits = rows.sparkSession.createDataFrame(list(upto.items()), "_group string, _limit long")
         candidates = free.where("_gap > 0").join(F.broadcast(limits), "_group").where(_prefix(F.col("_h")) <= F.col("_limit")).select(unit).distinct()
         first = Window.partitionBy(unit).orderBy("_place", "_h", key)
         own = free.join(candidates, unit, "left_semi").withColumn("_n", F.row_number().over(first)).where("_n = 1 and _gap > 0")
         own = staged(own.join(F.broadcast(limits), "_group").where(_prefix(F.col("_h")) <= F.col("_limit")), "fill")
         found = {r["_group"]: r["n"] for r in own.groupBy("_group").agg(F.count("*").alias("n")).collect()}
-        whole = {r["_group"] for r in limits.where(F.col("_limit") >= 1 << 32).collect()}
-        if all(s["_group"] in whole or found.get(s["_group"], 0) >= s["_gap"] for s in sizes):
+        if all(upto[s["_group"]] >= 1 << 32 or found.get(s["_group"], 0) >= s["_gap"] for s in sizes):
             best = Window.partitionBy("_group").orderBy("_h", key)
             return own.withColumn("_rank", F.row_number().over(best)).where(F.col("_rank") <= F.col("_gap")).select(*names)
         widen *= 8
@@ -156,9 +156,9 @@ def audit_sample(rows: DataFrame, requested: Mapping[str, int], priority: Sequen
 
     Of a unit chosen in several strata, the first requested keeps it. Rows that
     fill a gap are chosen by a seeded hash among units not taken yet, and are no
-    units twice among themselves. The sample's size is bounded by the quotas.
+    units twice among themselves. The sample's size is bounded by the quotas. rows
+    is read several times: pass a stored table.
     """
-    rows = staged(rows, "rows")
     available = rows.groupBy(F.col("primary_stratum").alias("stratum")).agg(F.count("*").alias("n"))
     spark = rows.sparkSession
     settled = resolved_quotas(available, requested, priority).collect()  # a row for each stratum
@@ -173,17 +173,17 @@ def audit_sample(rows: DataFrame, requested: Mapping[str, int], priority: Sequen
     gaps = [(q["stratum"], q["stratum"], int(q["quota"] - have.get(q["stratum"], 0))) for q in settled if q["quota"] > have.get(q["stratum"], 0)]
     if gaps:
         table = spark.createDataFrame(gaps, "primary_stratum string, _group string, _gap long")
-        taken = staged(taken.unionByName(_fill(rows, taken, table, ordering_hash(seed, "unique-fill", F.col(key)), rank, key, unit)), "taken")
-    missing = sum(int(q["quota"]) for q in settled) - taken.count()
-    strata = [r["stratum"] for r in available.select("stratum").collect()]  # a row for each stratum
+        taken = taken.unionByName(_fill(rows, taken, table, ordering_hash(seed, "unique-fill", F.col(key)), rank, key, unit))  # of staged rows, as many as the quotas
+    missing = sum(int(q["quota"]) for q in settled) - (taken.count() if gaps else sum(have.values()))
+    strata = [r["stratum"] for r in available.select("stratum").collect()] if missing > 0 else []  # a row for each stratum
     level = {s: i for i, s in enumerate(priority)}
     for own in sorted({level.get(s, 99) for s in strata}):  # along the priorities, as long as something is missing
         if missing <= 0:
             break
         table = spark.createDataFrame([(s, "all", missing) for s in strata if level.get(s, 99) == own], "primary_stratum string, _group string, _gap long")
-        more = staged(_fill(rows, taken, table, ordering_hash(seed, "global-unique-fill", F.col(key)), rank, key, unit), "more")
+        more = _fill(rows, taken, table, ordering_hash(seed, "global-unique-fill", F.col(key)), rank, key, unit)
         missing -= more.count()
-        taken = staged(taken.unionByName(more), "taken")
+        taken = taken.unionByName(more)
     return taken
 
 

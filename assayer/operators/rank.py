@@ -41,8 +41,8 @@ def quantiles(rows: DataFrame, by: list[str], value: str, shares: dict[str, floa
     """Exact, interpolated quantiles of each group, by name.
 
     Different values are counted first. A sketch of these brackets the ranks: its
-    cuts deal a group's values to `parts` ranges of about as many each, whatever
-    the values are. Ranges are counted exactly, and only those that hold a wanted
+    cuts deal a group's values to `parts` (a power of 2) ranges of about as many
+    each, whatever the values are. Ranges are counted exactly, and only those that hold a wanted
     rank are ordered. Nulls are skipped; a group without values has no row.
     """
     keyed = rows.where(F.col(value).isNotNull()).withColumn("_group", F.struct(F.lit(0).alias("_"), *by))
@@ -51,7 +51,10 @@ def quantiles(rows: DataFrame, by: list[str], value: str, shares: dict[str, floa
     # a group's values may be a third of all: its row is copied for each salt
     cuts = cuts.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     placed = own.withColumn("_salt", F.pmod(F.hash("_v"), F.lit(salts))).join(cuts, ["_group", "_salt"])
-    placed = placed.withColumn("_part", F.size(F.filter("_cuts", lambda c: c <= F.col("_v")))).select("_group", "_v", "_n", "_all", "_part")
+    # how many cuts aren't above the value, by halves
+    halves = F.array(*(F.lit(1 << i) for i in reversed(range(parts.bit_length() - 1))))
+    below = F.aggregate(halves, F.lit(0), lambda p, s: F.when(F.get("_cuts", p + s - 1) <= F.col("_v"), p + s).otherwise(p))
+    placed = placed.withColumn("_part", below).select("_group", "_v", "_n", "_all", "_part")
     sizes = placed.groupBy("_group", "_part").agg(F.sum("_n").alias("_size"), F.first("_all").alias("_all"))
     before = Window.partitionBy("_group").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # as many rows as parts
     ranks = F.array(*(F.struct(F.lit(n).alias("name"), ((F.col("_all") - 1) * p).alias("at")) for n, p in shares.items()))
