@@ -505,7 +505,7 @@ pr AS (SELECT model_short, condition, j, (1 + sum(size * cos(turn - t * j))) / a
 c AS (SELECT *, sum(pr) OVER (PARTITION BY model_short, condition ORDER BY j) AS c FROM pr),
 b AS (SELECT model_short, condition, min(j) FILTER (WHERE c >= 0.025) AS lo, min(j) FILTER (WHERE c >= 0.975) AS hi FROM c GROUP BY ALL),
 f AS (SELECT model_short, condition, greatest(0, 1 - (2 * abs(any_value(s)) - 1 + sum(flip * sin((abs(s) - 0.5) * t) / sin(t / 2))) / any_value(p)) AS pv FROM phi WHERE s <> 0 GROUP BY model_short, condition)
-SELECT model_short, condition, n AS n_paired_items, round(s / 12.0 / n, 6) AS accuracy_difference, round(lo / 12.0 / n, 6) AS ci95_low, round(hi / 12.0 / n, 6) AS ci95_high, round(coalesce(pv, 1.0), 6) AS randomization_p_value, 0.0 AS off_grid
+SELECT model_short, condition, n AS n_paired_items, round(s / 12.0 / n, 6) AS accuracy_difference, round(lo / 12.0 / n, 6) AS ci95_low, round(hi / 12.0 / n, 6) AS ci95_high, round(coalesce(pv, 1.0), 6) AS randomization_p_value, 0::DOUBLE AS off_grid
 FROM g JOIN b USING (model_short, condition) LEFT JOIN f USING (model_short, condition)""")
 def paired_tests(spark, sf_dir):
     scores = _supplier_scores(spark, sf_dir).withColumn("combined_score", F.round(F.col("combined_score") * 12) / 12)
