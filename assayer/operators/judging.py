@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from assayer.functions import text
 from assayer.operators import scoring
+from assayer.sources.sinks import REQUEST
 
 METHODS = ("exact", "llm", "no_llm", "unmatched", "content_filtered")
 
@@ -71,6 +72,13 @@ def not_yet_judged(rows: DataFrame, done: DataFrame, on: tuple[str, ...] = ("jud
     return rows.join(done.select(*on).distinct(), list(on), "left_anti")
 
 
+def split_by_store(rows: DataFrame, store: DataFrame, on: Sequence[str] = REQUEST) -> tuple[DataFrame, DataFrame]:
+    """(stored, open): what is stored of the requests of rows, and the rows whose request isn't. Only rows are shuffled where the store is in buckets by request."""
+    asked = rows.select(*on).distinct()
+    known = store.select(*on).distinct()
+    return store.join(asked.hint("merge"), list(on), "left_semi"), rows.join(known.hint("merge"), list(on), "left_anti")
+
+
 Scorer = Callable[[pd.Series], pd.DataFrame]
 
 

@@ -105,6 +105,20 @@ def rows_not_yet_judged(spark, sf_dir):
     return judging.not_yet_judged(rows, done, ("judge_model", "model_short", "condition")).agg(F.count("*").alias("n"))
 
 
+@query("""SELECT concat(model_short, '/', condition) AS source_file, judge_model, CASE WHEN condition <> 'P' THEN count(*) ELSE 0 END AS n_stored, CASE WHEN condition = 'P' THEN count(*) ELSE 0 END AS n_open FROM v_judged GROUP BY model_short, condition, judge_model""")
+def stored_judgements(spark, sf_dir):
+    """A second run over stored results, after the content of some sources has changed."""
+    source = F.concat_ws("/", "model_short", "condition")
+    rows = load(spark, sf_dir, "v_judged").select("judge_model", F.lit("1").alias("prompt_version"), source.alias("source_file"), F.sha2("model_short", 256).alias("source_sha256"), "model_short", "condition", "o_orderkey", "correct")
+    path = fresh_path(spark, "judged_store")
+    table = f"judged_{path.rsplit('/', 2)[-2].rsplit('-', 1)[-1]}"
+    sinks.store_judged(rows, table, path, 8)
+    again = rows.withColumn("source_sha256", F.when(F.col("condition") == "P", F.sha2(F.concat("model_short", F.lit(" changed")), 256)).otherwise(F.col("source_sha256")))
+    stored, open_ = judging.split_by_store(again, spark.table(table))
+    both = stored.select("source_file", "judge_model", F.lit(1).alias("s"), F.lit(0).alias("o")).unionByName(open_.select("source_file", "judge_model", F.lit(0).alias("s"), F.lit(1).alias("o")))
+    return both.groupBy("source_file", "judge_model").agg(F.sum("s").alias("n_stored"), F.sum("o").alias("n_open"))
+
+
 # --- formulas, texts, prompts ---
 
 

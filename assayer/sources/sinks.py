@@ -46,6 +46,16 @@ def write_judged(rows: DataFrame, path: str) -> None:
     rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("judge_model", "prompt_version").parquet(path)
 
 
+#: What a stored judgement is found by: a source whose content has changed has another digest, and is judged again.
+REQUEST = ("judge_model", "prompt_version", "source_file", "source_sha256")
+
+
+def store_judged(rows: DataFrame, table: str, path: str | None = None, buckets: int = 64, key: Sequence[str] = REQUEST) -> None:
+    """Appends judged rows to a table in buckets by request, which later runs join without shuffling it. path: where the table's files are kept."""
+    writer = rows.write.mode("append").format("parquet").bucketBy(buckets, *key).sortBy(*key)
+    (writer.option("path", path) if path else writer).saveAsTable(table)
+
+
 def write_named(rows: DataFrame, folder: str, name: str = "name", content: str = "content") -> int:
     """A file for each row, by its name under the folder (which may hold further folders), and how many there are. A rerun task writes the same files."""
 

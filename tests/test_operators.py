@@ -1,6 +1,7 @@
 import hashlib
 import itertools
 import random
+import re
 import statistics
 from collections import Counter
 
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 
 from assayer.operators import agreement, annotations, audit, dataset, efficiency, judging, runs, scoring, significance
 from assayer.operators.rank import quantiles, ranked
+from assayer.sources import sinks
 
 
 def test_rank_is_a_window(spark):
@@ -222,6 +224,28 @@ def test_reuse_skips_finished_work(spark):
     assert judging.not_yet_judged(rows, done).count() == 2
 
 
+def test_the_store_is_not_shuffled(spark, tmp_path):
+    rows = spark.createDataFrame([("j", "1", f"s{i % 9}", f"d{i % 9}", i) for i in range(90)], "judge_model string, prompt_version string, source_file string, source_sha256 string, x int")
+    sinks.store_judged(rows.where("x % 9 < 5"), "judged_store_test", str(tmp_path / "store"), 8)
+    sinks.store_judged(rows.where("x % 9 = 5"), "judged_store_test", str(tmp_path / "store"), 8)
+    again = rows.withColumn("source_sha256", F.when(F.col("source_file") == "s0", "new").otherwise(F.col("source_sha256")))
+    stored, open_ = judging.split_by_store(again, spark.table("judged_store_test"))
+    assert sorted(r.x % 9 for r in stored.collect()) == sorted([1, 2, 3, 4, 5] * 10)
+    assert {r.source_file for r in open_.collect()} == {"s0", "s6", "s7", "s8"} and open_.count() == 40
+    for out in (stored, open_):
+        lines = out._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1].splitlines()
+        at = next(i for i, line in enumerate(lines) if "FileScan" in line)
+        depth, above = len(lines[at]), []
+        for line in reversed(lines[: at + 1]):  # the scan and what it goes through, up to the join
+            own = re.search(r"[A-Za-z(*]", line).start()
+            if own < depth:
+                depth = own
+                above.append(line)
+            if "SortMergeJoin" in line:
+                break
+        assert "Bucketed: true" in above[0] and "SortMergeJoin" in above[-1] and not any("Exchange" in x for x in above)
+
+
 def test_resampling(spark):
     r = random.Random(5)
     rows = [("a", "x", str(i), "yes" if r.random() < 0.7 else "no") for i in range(400)] + [("b", "x", str(i), "yes" if r.random() < 0.6 else "no") for i in range(400)] + [("c", "x", str(i), "yes") for i in range(0)]
