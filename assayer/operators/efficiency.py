@@ -100,8 +100,10 @@ def grouped(rows: DataFrame) -> DataFrame:
 
 
 def totals(rows: DataFrame) -> DataFrame:
-    """Numbers of entries, models and conditions, and of entries that lack accuracy or latency."""
-    return rows.agg(F.count("*").alias("n_entries"), F.count_distinct("model_short").alias("n_models"), F.count_distinct("condition").alias("n_conditions"), F.count_if(F.col("accuracy").isNull()).alias("n_missing_accuracy"), F.count_if(F.col("latency_mean_ms").isNull()).alias("n_missing_latency"))
+    """Numbers of entries, models and conditions, and of entries that lack accuracy or latency, with all of their names (model/condition/judge, in order, '' where there are none)."""
+    name = F.concat_ws("/", "model_short", "condition", "judge_model")
+    listed = lambda c: F.array_join(F.array_sort(F.collect_list(F.when(F.col(c).isNull(), name))), ",")
+    return rows.agg(F.count("*").alias("n_entries"), F.count_distinct("model_short").alias("n_models"), F.count_distinct("condition").alias("n_conditions"), F.count_if(F.col("accuracy").isNull()).alias("n_missing_accuracy"), F.count_if(F.col("latency_mean_ms").isNull()).alias("n_missing_latency"), listed("accuracy").alias("missing_accuracy"), listed("latency_mean_ms").alias("missing_latency"))
 
 
 def missing(rows: DataFrame) -> DataFrame:

@@ -338,6 +338,13 @@ def test_success_is_an_output(spark):
     assert sorted(x.id for x in runs.refused_ids(df, ["m"]).collect()) == [2, 3]
 
 
+def test_totals_name_every_entry_that_lacks_something(spark):
+    rows = [(f"m{i:03}", "c", "j", None if i % 2 else 1.0, None) for i in range(250)] + [("a", "c", None, 0.5, 2.0)]
+    out = efficiency.totals(spark.createDataFrame(rows, "model_short string, condition string, judge_model string, accuracy double, latency_mean_ms double")).first()
+    assert (out.n_entries, out.n_models, out.n_missing_accuracy, out.n_missing_latency) == (251, 251, 125, 250)
+    assert out.missing_accuracy.split(",") == [f"m{i:03}/c/j" for i in range(1, 250, 2)] and out.missing_latency.split(",") == [f"m{i:03}/c/j" for i in range(250)]
+
+
 @pytest.mark.parametrize("seed", range(3))
 def test_apportionment_by_levels(spark, seed):
     """Against units handed out one by one: largest fraction first, then most room left, then the last name."""
