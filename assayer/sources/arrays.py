@@ -62,11 +62,11 @@ def marks(data: np.ndarray, state: int) -> tuple[np.ndarray, np.ndarray, int]:
     return at, step, end
 
 
-def _blocks(uri: str, begin: int, end: int) -> Iterator[np.ndarray]:
+def _blocks(uri: str, begin: int, end: int, block: int = BLOCK_BYTES) -> Iterator[np.ndarray]:
     system, path = open_file(uri)
     with system.open_input_file(path) as f:
         f.seek(begin)
-        while begin < end and (data := f.read(min(BLOCK_BYTES, end - begin))):
+        while begin < end and (data := f.read(min(block, BLOCK_BYTES, end - begin))):
             begin += len(data)
             yield np.frombuffer(data, np.uint8)
 
@@ -84,7 +84,7 @@ def elements(uri: str, begin: int, end: int, size: int, state: int, depth: int)
     """Elements whose opening bracket or comma lies in the range, which begins in a state and at a depth."""
     held: bytearray | None = None  # of the element that is open
     at_end = False
-    for first, data in _counted(_blocks(uri, begin, size), begin):
+    for first, data in _counted(_blocks(uri, begin, size, end - begin), begin):  # past its end as much at a time as it has itself
         places, steps, state = marks(data, state)
         depths = depth + np.cumsum(steps)
         kinds = data[places]
@@ -117,11 +117,17 @@ def _counted(blocks: Iterator[np.ndarray], begin: int) -> Iterator[tuple[int, np
         begin += len(data)
 
 
+def _tasks(spark: SparkSession) -> int:
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
 def array_elements(spark: SparkSession, path: str | list[str], pattern: str = "*.json", range_bytes: int = RANGE_BYTES) -> DataFrame:
     """(file, ordinal, value): every element of the JSON array that each file is, as JSON text; ordinal grows along a file."""
     last = F.greatest(F.lit(0), F.floor((F.col("bytes") - 1) / range_bytes)).cast("long")
     ranges = listed(spark, path, pattern).withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), last)))
-    ranges = ranges.repartition("file", "k")  # a range is a row: its bytes are read by the task
+    # a range is a row: its bytes are read by the task. A given number of tasks: by the rows' own size they would all go to one
+    n = _tasks(spark)
+    ranges = ranges.repartition(n, "file", "k")
 
     def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -157,7 +163,7 @@ def array_elements(spark: SparkSession, path: str | list[str], pattern: str = "*
 
     effects = ranges.mapInArrow(summed, "file string, bytes long, k long, states array<long>, depths array<long>")
     starts = effects.repartition("file").sortWithinPartitions("file", "k").mapInArrow(begun, "file string, bytes long, k long, state long, depth long")  # a row for each range
-    return starts.repartition("file", "k").mapInArrow(read, ELEMENTS)
+    return starts.repartition(n, "file", "k").mapInArrow(read, ELEMENTS)
 
 
 def digests(files: DataFrame) -> DataFrame:
@@ -174,4 +180,4 @@ def digests(files: DataFrame) -> DataFrame:
                 out.append(own.hexdigest())
             yield pa.RecordBatch.from_arrays([batch.column("file"), batch.column("bytes"), pa.array(out, pa.string())], names=["file", "bytes", "sha256"])
 
-    return files.repartition("file").mapInArrow(run, "file string, bytes long, sha256 string")
+    return files.repartition(_tasks(files.sparkSession), "file").mapInArrow(run, "file string, bytes long, sha256 string")

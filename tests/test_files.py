@@ -141,3 +141,18 @@ def test_digest_of_a_file_that_no_row_holds(spark, tmp_path):
     want.update(bytes(10))
     r = readers.file_digests(spark, str(tmp_path / "large")).first()
     assert (r.sha256, r.bytes) == (want.hexdigest(), (2 << 30) + 10)
+
+
+def test_ranges_are_dealt_to_tasks_and_read_no_further_than_needed(spark, tmp_path, monkeypatch):
+    items = [{"id": str(i), "text": "x" * 60} for i in range(4_000)]
+    save(tmp_path / "a.json", items)
+    size = (tmp_path / "a.json").stat().st_size
+    out = arrays.array_elements(spark, str(tmp_path), "a.json", 1 << 12)
+    held = [n for n in out.rdd.mapPartitions(lambda rows: [sum(1 for _ in rows)]).collect() if n]
+    assert sum(held) == len(items) and len(held) > 1 and max(held) < 0.7 * len(items)
+    seen, whole = [], arrays.marks
+    monkeypatch.setattr(arrays, "marks", lambda data, state: seen.append(len(data)) or whole(data, state))
+    assert len(list(arrays.elements(str(tmp_path / "a.json"), 0, 1 << 12, size, arrays.OUTSIDE, 0))) > 40
+    assert sum(seen) <= 2 << 12
+    digests = arrays.digests(arrays.listed(spark, str(tmp_path)))
+    assert digests.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
