@@ -338,6 +338,17 @@ def test_success_is_an_output(spark):
     assert sorted(x.id for x in runs.refused_ids(df, ["m"]).collect()) == [2, 3]
 
 
+def test_pairs_from_one_file_are_compared_by_many_tasks_once(spark, monkeypatch):
+    n, kept = 400, []
+    monkeypatch.setattr(judging, "staged", lambda d, name: kept.append(d) or d.localCheckpoint())
+    pairs = spark.range(n).coalesce(1).select(F.col("id").alias("ord"), F.lit("q").alias("input"), F.array(F.lit("p and q")).alias("golds"), F.when(F.col("id") % 2 == 0, "p && q").otherwise(F.concat(F.lit("r"), (F.col("id") % 7).cast("string"))).alias("prediction"))
+    out = judging.evaluate(pairs, lambda p: pd.DataFrame({"response": ["Correct: yes"] * len(p), "refused": [False] * len(p)}), "{gold} {prediction}")
+    assert Counter((x.decision_method, x.correct, x.from_cache) for x in out.collect()) == {("exact", "yes", False): 200, ("llm", "yes", False): 7, ("llm", "yes", True): 193}
+    (stored,) = kept
+    held = stored.groupBy(F.spark_partition_id()).count().collect()
+    assert len(held) == 4 and max(x["count"] for x in held) < 0.4 * n
+
+
 def test_totals_name_every_entry_that_lacks_something(spark):
     rows = [(f"m{i:03}", "c", "j", None if i % 2 else 1.0, None) for i in range(250)] + [("a", "c", None, 0.5, 2.0)]
     out = efficiency.totals(spark.createDataFrame(rows, "model_short string, condition string, judge_model string, accuracy double, latency_mean_ms double")).first()
