@@ -122,7 +122,7 @@ def copies(docs: DataFrame) -> DataFrame:
     return staged(salted.join(least.hint("merge"), [*by, "_salt"]).where("doc_id > _least").select("doc_id", "mark", "n_bytes").distinct(), "copies")
 
 
-def repeated(docs: DataFrame, items: Items, across: bool, kept: int = 8, copies_apart: bool = False) -> DataFrame:
+def repeated(docs: DataFrame, items: Items, across: bool, kept: int = 8, copies_apart: bool = False, elsewhere: int = 0) -> DataFrame:
     """(doc_id, mark, places): places may come in several rows of a document.
 
     across: the places of hashes that occur in documents of different ids.
@@ -131,6 +131,8 @@ def repeated(docs: DataFrame, items: Items, across: bool, kept: int = 8, copies_
     number that are sent and compared, besides the bucket; with few, hashes that
     only look alike count as repeats. copies_apart: the caller sees to documents whose text a
     document with a smaller id has too; a task leaves out those it comes across.
+    elsewhere: a bit of the places (not with across) of items that only count where the first item is
+    another document's; then all of a document's do.
     """
     spark = docs.sparkSession
     buckets = shuffle_partitions(spark)
@@ -150,7 +152,8 @@ def repeated(docs: DataFrame, items: Items, across: bool, kept: int = 8, copies_
             return order[known], order[begins | ~known]  # of one document's items all go on: none is answered yet
         m, p = mark[row][order], place[order]
         lead = first[group]
-        return order[(d != d[lead]) | (m != m[lead]) | (p != p[lead])], order[first]
+        other, marked = (d != d[lead]) | (m != m[lead]), (p & elsewhere) != 0
+        return order[other | ((p != p[lead]) & ~marked)], order[begins | (marked & ~other)]
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[tuple[int, int], int] = {}

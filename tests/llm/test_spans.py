@@ -80,3 +80,29 @@ def test_a_text_of_several_chunks(spark):
 def test_every_run_counts_by_default(spark):
     docs = spark.createDataFrame([(1, "Aa. Bb. Cc."), (2, "Aa. Bb. Cc."), (3, "今日。明日。")], "doc_id long, text string")
     assert {x.doc_id: (x.n_sentences, x.n_removed) for x in spans.drop_repeated_spans(docs).collect()} == {1: (3, 0), 2: (3, 3), 3: (1, 0)}
+
+
+def test_passages_are_found_wherever_they_begin(spark, tmp_path):
+    r = random.Random(5)
+    own = lambda doc, n: " ".join(f"{doc}é{r.randrange(10**9)}" for _ in range(n))
+    upper = lambda text: re.sub("[a-z]+", lambda m: m[0].upper(), text)
+    rows, planted = [(0, "Start here."), (1, "la " * 300)], {}
+    for i in range(2, 60, 2):
+        words = own(f"p{i}", r.choice([50, 51, 64, 90])).split()
+        if i % 4:
+            words[r.randrange(len(words) - 1)] += "."
+        rows += [(i, f"{own(i, 30)} {' '.join(words)} {own(i, 9)}. {own(i, 5)}"), (i + 1, f"{own(i + 1, 4)}. {own(i + 1, 8)} {upper(' '.join(words))}\n{own(i + 1, 40)}")]
+        planted[i + 1] = upper(" ".join(words)).split()
+    rows += [(70, own(70, 60) + " " + own(71, 28)), (71, rows[4][1][:150])]
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {x.doc_id: x for x in spans.op3_substring_dedup(spark, str(tmp_path)).collect()}
+    text = dict(rows)
+    for doc, x in got.items():
+        kept, whole = x.text.split(), text[doc].split()
+        if doc not in planted:
+            assert x.n_removed == 0 and x.text == text[doc]
+            continue
+        passage = planted[doc]
+        assert x.n_removed >= 1 and [w for w in whole if w not in passage] == [w for w in kept if w not in passage]
+        left = [w for w in kept if w in passage]
+        assert len(left) <= 2 * (spans.GAP - 1) and len(passage) - len(left) >= spans.WORDS - spans.GAP + 1
