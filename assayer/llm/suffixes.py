@@ -327,6 +327,7 @@ def removed(base: DataFrame, length: int = LENGTH, group_bytes: int = GROUP_BYTE
     buckets = shuffle_partitions(spark)
     keys = even_keys(spark, buckets)
     places = repeated(base, lambda data, at: anchors(data, at, length), across=True, kept=4, copies_apart=True)  # looking alike is enough to be a candidate
+    places = staged(places, "anchors")  # so that the hashes are off the disks before the texts are shuffled
     copied = copies(base)
 
     def strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

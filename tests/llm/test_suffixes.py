@@ -1,9 +1,13 @@
 import hashlib
+import os
 import random
+import time
+from pathlib import Path
 
 import numpy as np
 import pytest
 
+from assayer.llm import repeats
 from assayer.llm import suffixes as s
 from assayer.llm import transforms as t
 
@@ -139,3 +143,32 @@ def test_no_task_holds_more_than_a_group():
 
 def test_empty(spark):
     assert s.summary(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_no_step_begins_with_the_shuffles_of_another_on_disk(spark, monkeypatch):
+    def on_disk():
+        return set(Path(os.environ.get("SPARK_LOCAL_DIRS", spark.conf.get("spark.local.dir"))).rglob("shuffle_*.data"))
+
+    def left_by_others():
+        until = time.time() + 10  # executors delete at once, but by themselves
+        while (found := on_disk() - before) and time.time() < until:
+            time.sleep(0.1)
+        return len(found)
+
+    left, staged = {}, s.staged
+
+    def watched(df, name):
+        left[name] = left_by_others()
+        return staged(df, name)
+
+    for module in (s, repeats):
+        monkeypatch.setattr(module, "staged", watched)
+    monkeypatch.setattr(s, "released", lambda spark: None)  # the driver need not collect garbage for it
+    rows = corpus(5, 40)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    before = on_disk()
+    out = s.summary(docs)
+    left["result"] = left_by_others()
+    assert list(left) == ["anchors", "ids", "copies", "merged-0", "result"] and not any(left.values()), left
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled", None) is None
+    assert sorted((str(x.doc_id), x.n_bytes, x.n_removed, x.n_spans, x.kept_sha256) for x in out.collect()) == [w[:5] for w in brute(rows, 50)]
