@@ -3,6 +3,8 @@
 Both steps are an aggregation (the least neighbour) and a join back to the
 edges, so a vertex with very many neighbours is never gathered in one place:
 partial sums do the first, and Spark splits skewed joins. Each round is staged.
+Each shuffle of a round also costs the driver a thread, a plan and its tasks'
+records; so there are few, and a round's go before the next.
 """
 
 from __future__ import annotations
@@ -12,7 +14,7 @@ from itertools import count
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from assayer.llm.common import discard, shuffle_partitions, staged
+from assayer.llm.common import discard, released, shuffle_partitions, staged
 
 
 EDGES_PER_TASK = 10_000
@@ -38,8 +40,9 @@ def components(edges: DataFrame) -> DataFrame:
     for i in count():  # each round brings what isn't a star yet nearer to one, so they end
         before, now = now, staged(_star(_star(now, True, tasks), False, tasks), f"edges-{i}")
         discard(before)
+        released(edges.sparkSession)
         # a star: no vertex has two neighbours, none is both an end and a middle
-        again = now.groupBy("u").agg(F.count("*").alias("n")).where("n > 1").coalesce(tasks).select("u")
-        middle = now.join(now.select(F.col("v").alias("u")).distinct().coalesce(tasks), "u", "left_semi").coalesce(tasks).select("u")
-        if again.unionByName(middle).isEmpty():
+        ends = now.select("u", F.lit(1).alias("n"), F.lit(0).alias("middle")).unionByName(now.select(F.col("v").alias("u"), F.lit(0).alias("n"), F.lit(1).alias("middle")))
+        held = ends.coalesce(tasks).groupBy("u").agg(F.sum("n").alias("n"), F.max("middle").alias("middle"))
+        if held.where("n + middle > 1 and n > 0").coalesce(tasks).isEmpty():
             return now

@@ -24,7 +24,7 @@ empty table gives no rows.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -108,7 +108,7 @@ def class_counts(rows: DataFrame, bits: int = BITS, order: int = ORDER) -> np.nd
     return total
 
 
-def fit_hinge(rows: list[np.ndarray], values: list[np.ndarray], labels: np.ndarray, size: int, cost: float = COST, epochs: int = EPOCHS, seed: int = 7) -> tuple[np.ndarray, float]:
+def fit_hinge(rows: Sequence[np.ndarray], values: Sequence[np.ndarray], labels: np.ndarray, size: int, cost: float = COST, epochs: int = EPOCHS, seed: int = 7) -> tuple[np.ndarray, float]:
     """Linear model of hinge loss by dual coordinate descent, with a constant feature as intercept. labels: +1 or -1; classes weigh alike."""
     w, bias = np.zeros(size), 0.0
     share = {y: max(1, int((labels == y).sum())) for y in (1, -1)}
@@ -138,6 +138,23 @@ def _scaled(features: np.ndarray, ratios: np.ndarray) -> np.ndarray:
     return v / np.sqrt(v @ v + PRIOR)
 
 
+class _Vectors(Sequence):
+    """The rows' vectors, each made when it is asked for: together they are as large as the rows."""
+
+    def __init__(self, rows: list[np.ndarray], ratios: np.ndarray, lengths: np.ndarray | None = None):
+        self.rows, self.ratios = rows, ratios
+        self.lengths = np.array([np.sqrt(ratios[x] @ ratios[x] + PRIOR) for x in rows]) if lengths is None else lengths
+
+    def __len__(self) -> int:
+        return len(self.rows)
+
+    def __getitem__(self, i: int) -> np.ndarray:
+        return (self.ratios[self.rows[i]] / self.lengths[i]).astype(np.float32)
+
+    def part(self, at: np.ndarray) -> _Vectors:
+        return _Vectors([self.rows[i] for i in at], self.ratios, self.lengths[at])
+
+
 def _logistic(margins: np.ndarray, labels: np.ndarray) -> tuple[float, float]:
     """Slope and shift of the curve that fits the labels best, by Newton's steps: scores are shares of class 1."""
     a, b = 1.0, 0.0
@@ -194,16 +211,17 @@ def fit(labelled: DataFrame, bits: int = BITS, order: int = ORDER, sample: int =
     data, at = bytes_of(taken["features"])  # held once, as it came
     rows = [data[at[i] : at[i + 1]].view("<u4") for i in by.tolist()]
     del taken
+    pa.default_memory_pool().release_unused()
     if len(set(y.tolist())) < 2:
         return Model(np.zeros(1 << bits, np.float32), ratios, 1.0 if y.all() else -1.0, 30.0, 0.0, bits, order)
-    values = [_scaled(x, ratios).astype(np.float32) for x in rows]
+    values = _Vectors(rows, ratios)
     signs = np.where(y == 1, 1, -1)
     w, bias = fit_hinge(rows, values, signs, 1 << bits)
     margins = np.empty(len(rows))
     fold = np.arange(len(rows)) % 2  # the curve is set on rows that the model at hand hasn't seen
     for f in (0, 1):
         seen, unseen = np.flatnonzero(fold != f), np.flatnonzero(fold == f)
-        own, shift = (w, bias) if len(set(signs[seen].tolist())) < 2 else fit_hinge([rows[i] for i in seen], [values[i] for i in seen], signs[seen], 1 << bits)
+        own, shift = (w, bias) if len(set(signs[seen].tolist())) < 2 else fit_hinge([rows[i] for i in seen], values.part(seen), signs[seen], 1 << bits)
         margins[unseen] = [float(own[rows[i]] @ values[i]) + shift for i in unseen]
     slope, shift = _logistic(margins, signs)
     return Model(w.astype(np.float32), ratios, bias, slope, shift, bits, order)

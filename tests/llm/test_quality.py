@@ -1,9 +1,11 @@
 import math
 import random
 import re
+import tracemalloc
 import zlib
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from assayer.llm import quality
@@ -117,3 +119,18 @@ def test_edges(spark):
         m = quality.fit(part)
         assert {round(r.score, 3) for r in quality.score(df, m, ["doc_id"]).collect()} == {score}
     assert quality.score(df.limit(0), model, ["doc_id"]).count() == 0
+
+
+def test_the_fit_holds_the_features_once(spark, monkeypatch):
+    r = random.Random(2)
+    words = ["".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(6)) for _ in range(400)]
+    rows = [(i, " ".join(r.choice(words) + (" good" if i % 2 else " bad") for _ in range(300)), i % 2) for i in range(600)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, label int").repartition(4)
+    made = quality.row_features(*quality.bytes_of(pa.array([t for _, t, _ in rows])), 13, 4)
+    size = 4 * sum(len(x) for x in made)  # bytes of the features' numbers, which Arrow holds
+    held, fit_hinge = [], quality.fit_hinge
+    monkeypatch.setattr(quality, "fit_hinge", lambda *a: (held.append(tracemalloc.get_traced_memory()[0]), fit_hinge(*a))[1])
+    tracemalloc.start()
+    quality.fit(df, 13)
+    tracemalloc.stop()
+    assert len(held) == 3 and max(held) < size / 2, (held, size)
