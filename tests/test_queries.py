@@ -7,6 +7,7 @@ import duckdb
 import pytest
 
 from assayer.plans.queries import ORACLE_SQL, QUERIES
+from assayer.plans.views import load
 
 SF = "/root/testdata/sf0.001"
 #: Queries that call a scorer, or read files as streams.
@@ -45,6 +46,14 @@ def test_plans_stay_in_the_jvm(spark, name):
     assert not any(x in plan for x in ("Python", "Pandas", "Arrow", "CartesianProduct"))
 
 
+def test_refused_rows_are_failed(spark):
+    """A refused row has no output: it is counted with the failed ones, as is one that nothing matches."""
+    rows = [(r.model_short, r.condition) for r in load(spark, SF, "v_judged").where("decision_method IN ('unmatched', 'content_filtered')").collect()]
+    out = QUERIES["run_stats"](spark, SF).collect()
+    assert {(r.model_short, r.condition): r.failed for r in out if r.failed} == {g: rows.count(g) for g in set(rows)}
+    assert all(r.content_filtered <= r.failed and r.successful + r.failed == r.total_samples for r in out)
+
+
 def test_entry(spark):
     import __spark_entry__ as entry
 
